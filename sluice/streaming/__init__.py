@@ -1,0 +1 @@
+"""Incremental ingestion of the landing zone with Structured Streaming."""
