@@ -61,7 +61,10 @@ def convert_currency(
     rate = _maybe_broadcast(latest_rates(rates, as_of).withColumnRenamed("currency", "_cur"))
     joined = df.withColumn("_cur", cur).join(rate, "_cur", "left")
     amt = F.col(amount)
-    cols = {out: F.when(F.col("_cur") == "USD", amt).otherwise(F.round(amt * F.col("rate_to_usd"), digits))}
+    # Exact decimal product, rounded half-up, so that money never rounds on
+    # a binary-fraction tie.
+    usd = F.round(amt.cast("decimal(20,4)") * F.col("rate_to_usd").cast("decimal(20,8)"), digits).cast("double")
+    cols = {out: F.when(F.col("_cur") == "USD", amt).otherwise(usd)}
     if original:
         cols[original] = F.when(F.col("_cur") == "USD", F.lit(None).cast("double")).otherwise(amt)
     if source_currency:

@@ -142,3 +142,130 @@ ORACLES["dq_summary"] = (
     + " UNION ALL "
     + _summary_sql("src_customer", CUSTOMER, CUSTOMER_RULES_SQL, "merchant_id")
 )
+
+ORACLES["column_mapping"] = (
+    "SELECT o_orderkey AS transaction_id, o_custkey AS card_identifier, CAST(NULL AS VARCHAR) AS merchant_name, "
+    "CAST(NULL AS DOUBLE) AS amount_usd, o_orderdate AS transaction_ts, o_orderstatus AS status, "
+    "CAST(NULL AS INTEGER) AS is_international, CAST(NULL AS VARCHAR) AS source_currency, o_totalprice AS original_amount "
+    "FROM orders"
+)
+
+INT_RE = "^[+-]?[0-9]+$"
+DEC_RE = "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def _guarded(col: str, pattern: str, typ: str) -> str:
+    return f"CASE WHEN regexp_matches(trim({col}), '{pattern}') THEN TRY_CAST(trim({col}) AS {typ}) END"
+
+
+def _cast_fail(raw: str, typed: str, name: str) -> str:
+    return f"CASE WHEN {raw} IS NOT NULL AND trim({raw}) <> '' AND {typed} IS NULL THEN 'cast:{name}' END"
+
+
+ORACLES["safe_cast"] = (
+    "WITH r AS (SELECT CAST(p_partkey AS VARCHAR) AS a, p_name AS b, CAST(p_size AS VARCHAR) AS c, "
+    "CAST(p_retailprice AS VARCHAR) AS d FROM part), "
+    f"x AS (SELECT a, b, c, d, {_guarded('a', INT_RE, 'BIGINT')} AS part_id, {_guarded('b', DEC_RE, 'DOUBLE')} AS part_name, "
+    f"{_guarded('c', INT_RE, 'INTEGER')} AS size, {_guarded('d', DEC_RE, 'DOUBLE')} AS retail_price FROM r) "
+    "SELECT part_id, part_name, size, retail_price, concat_ws(',', "
+    f"{_cast_fail('a', 'part_id', 'part_id')}, {_cast_fail('b', 'part_name', 'part_name')}, "
+    f"{_cast_fail('c', 'size', 'size')}, {_cast_fail('d', 'retail_price', 'retail_price')}) AS cast_failures FROM x"
+)
+
+_TEXT_DATES = (
+    "SELECT o_orderkey AS transaction_id, CASE WHEN o_orderstatus = 'P' THEN strftime(o_orderdate, '%Y-%m-%d') "
+    "ELSE strftime(o_orderdate, '%d/%m/%Y %H:%M') END AS raw_ts FROM orders"
+)
+ORACLES["timestamp_parse"] = (
+    f"SELECT transaction_id, raw_ts, try_strptime(raw_ts, '%d/%m/%Y %H:%M') AS transaction_ts FROM ({_TEXT_DATES})"
+)
+ORACLES["date_parse"] = (
+    f"SELECT transaction_id, raw_ts, CAST(try_strptime(raw_ts, '%Y-%m-%d') AS DATE) AS onboarded_date FROM ({_TEXT_DATES})"
+)
+ORACLES["iso_fraction_parse"] = (
+    "SELECT event_id AS flag_id, CASE WHEN event_id % 2 = 1 THEN ts ELSE date_trunc('second', ts) END AS flagged_at FROM events"
+)
+ORACLES["utc_normalise"] = (
+    "SELECT event_id AS flag_id, ts AS flagged_at, ts - INTERVAL 330 MINUTE AS flagged_at_utc FROM events"
+)
+ORACLES["currency_convert"] = (
+    "WITH r AS (SELECT currency, CAST(d AS DATE) AS as_of_date, CAST(rate AS DOUBLE) AS rate_to_usd FROM (VALUES "
+    "('USD', '2020-01-01', 1.0), ('INR', '2020-01-01', 0.0125), ('INR', '2024-01-01', 0.012), "
+    "('INR', '2025-01-01', 0.0115), ('SGD', '2020-01-01', 0.74)) v(currency, d, rate)), "
+    "lr AS (SELECT currency, arg_max(rate_to_usd, as_of_date) AS rate FROM r WHERE as_of_date <= DATE '2024-06-30' GROUP BY currency), "
+    "o AS (SELECT o_orderkey AS transaction_id, o_totalprice AS amt, CASE o_orderstatus WHEN 'F' THEN 'USD' "
+    "WHEN 'O' THEN 'INR' WHEN 'P' THEN 'SGD' END AS cur FROM orders) "
+    "SELECT transaction_id, cur AS source_currency, CASE WHEN cur = 'USD' THEN NULL ELSE amt END AS original_amount, "
+    "CASE WHEN cur = 'USD' THEN amt ELSE CAST(round(CAST(amt AS DECIMAL(20,4)) * CAST(rate AS DECIMAL(20,8)), 2) AS DOUBLE) END "
+    "AS amount_usd FROM o LEFT JOIN lr ON o.cur = lr.currency"
+)
+ORACLES["status_normalise"] = (
+    "SELECT o_orderkey AS transaction_id, o_orderstatus AS raw_status, CASE o_orderstatus WHEN 'F' THEN 'APPROVED' "
+    "WHEN 'O' THEN 'PENDING' ELSE o_orderstatus END AS status FROM orders"
+)
+ORACLES["audit_columns"] = (
+    "SELECT o_orderkey AS transaction_id, o_orderstatus AS status, true AS dq_passed, 'run-0001' AS run_id, "
+    "TIMESTAMP '2024-01-01 06:00:00' AS ingested_at, '2024-01-01' AS processing_date, 'src_orders' AS source_id FROM orders"
+)
+ORACLES["mask_hash"] = (
+    "SELECT c_custkey AS merchant_id, substr(sha256(c_name), 1, 16) AS name_hash, "
+    "regexp_matches(substr(sha256(c_name), 1, 16), '^[0-9a-f]{16}$') AS hash_ok FROM customer"
+)
+ORACLES["filter_project"] = (
+    "SELECT o_orderkey AS transaction_id, o_orderstatus AS status, 'card' AS feed, true AS stamped FROM orders "
+    "WHERE o_orderstatus = 'F'"
+)
+ORACLES["json_object_parse"] = (
+    "SELECT event_id, je.key AS prop_key, CASE WHEN json_type(je.value) = 'VARCHAR' THEN je.value ->> '$' "
+    "ELSE CAST(je.value AS VARCHAR) END AS prop_value FROM events, json_each(props) AS je"
+)
+
+
+def _rules_union(source_id: str, feed: str, rules: list[tuple], has_q003: bool) -> list[str]:
+    return [
+        f"SELECT {_q(source_id)} AS source_id, {_q(r[0])} AS rule_id, {_q(r[2])} AS rule_type, "
+        f"CAST({r[6]} AS DOUBLE) AS threshold, {str(has_q003).lower()} AS has_q003, "
+        f"(SELECT count(*) FROM ({feed}) t WHERE NOT ({r[5]})) AS failed_rows"
+        for r in rules
+    ]
+
+
+ORACLES["config_rules_parse"] = " UNION ALL ".join(
+    _rules_union("src_orders", ORDERS, ORDER_RULES_SQL, True)
+    + _rules_union("src_customer", CUSTOMER, CUSTOMER_RULES_SQL, False)
+    + _rules_union("src_lineitem", LINEITEM, LINEITEM_RULES_SQL, False)
+)
+
+ORACLES["dedup_latest"] = (
+    f"SELECT withdrawal_id, line_no, atm_id, location_id, amount_sgd, withdrawal_ts, dispense_status FROM ("
+    f"SELECT *, row_number() OVER (PARTITION BY withdrawal_id, line_no ORDER BY withdrawal_ts DESC NULLS LAST, "
+    f"atm_id DESC NULLS LAST, location_id DESC NULLS LAST) AS rn FROM ({LINEITEM})) WHERE rn = 1"
+)
+ORACLES["dup_report"] = (
+    f"SELECT withdrawal_id, line_no, count(*) AS copies FROM ({LINEITEM}) GROUP BY withdrawal_id, line_no HAVING count(*) > 1"
+)
+ORACLES["key_uniqueness"] = (
+    f"WITH k AS (SELECT withdrawal_id, line_no, count(*) AS n FROM ({LINEITEM}) GROUP BY withdrawal_id, line_no) "
+    "SELECT CAST(sum(n) AS BIGINT) AS total_rows, count(*) AS distinct_keys, count(*) FILTER (WHERE n > 1) AS duplicate_keys, "
+    "CAST(sum(n - 1) AS BIGINT) AS extra_copies FROM k"
+)
+ORACLES["union_sources"] = (
+    "SELECT c_custkey AS party_id, c_name AS name, c_acctbal AS balance, c_mktsegment AS segment, 'src_customer' AS source_id "
+    "FROM customer UNION ALL SELECT s_suppkey, s_name, s_acctbal, NULL, 'src_supplier' FROM supplier"
+)
+_FLAGS = "SELECT l_orderkey AS transaction_ref, l_linenumber AS flag_line, l_quantity AS fraud_score FROM lineitem"
+_TXNS = ("SELECT o_orderkey AS transaction_id, o_totalprice AS amount, o_orderstatus AS status FROM orders "
+         "WHERE o_orderkey % 2 = 0")
+ORACLES["fk_join"] = f"SELECT * FROM ({_FLAGS}) f JOIN ({_TXNS}) t ON f.transaction_ref = t.transaction_id"
+ORACLES["fk_orphans"] = f"SELECT * FROM ({_FLAGS}) f WHERE NOT EXISTS (SELECT 1 FROM ({_TXNS}) t WHERE t.transaction_id = f.transaction_ref)"
+ORACLES["fk_semi"] = f"SELECT * FROM ({_TXNS}) t WHERE EXISTS (SELECT 1 FROM ({_FLAGS}) f WHERE f.transaction_ref = t.transaction_id)"
+ORACLES["dashboard_counts"] = (
+    f"SELECT CAST(flagged_at AS DATE) AS flag_date, flag_type, count(*) AS rows, count(*) FILTER (WHERE score > 50) "
+    f"AS high_score_rows FROM ({EVENTS}) GROUP BY 1, 2 ORDER BY 1, 2"
+)
+_LI_FAIL = " OR ".join(f"NOT ({r[5]})" for r in LINEITEM_RULES_SQL)
+ORACLES["reconcile"] = (
+    f"WITH t AS ({LINEITEM}), c AS (SELECT count(*) AS rows_read, "
+    f"(SELECT count(*) FROM (SELECT DISTINCT withdrawal_id, line_no FROM t WHERE NOT ({_LI_FAIL}))) AS rows_written FROM t) "
+    "SELECT rows_read, rows_written, rows_read - rows_written AS rows_rejected, true AS reconciled FROM c"
+)

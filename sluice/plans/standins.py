@@ -112,6 +112,41 @@ def events_feed(spark, sf_dir) -> DataFrame:
     return map_columns(table(spark, sf_dir, "events"), EVENTS_MAP)
 
 
+STANDIN_FEEDS = {
+    "src_orders": orders_feed,
+    "src_customer": customer_feed,
+    "src_lineitem": lineitem_feed,
+    "src_events": events_feed,
+}
+
+
+def standin_configs():
+    """Config rows describing the stand-in feeds (parquet tables)."""
+    from sluice.config import SourceConfig
+
+    def cfg(source_id, name, stype, tbl, mapping, pk, date_col, rules, target, active=True):
+        return SourceConfig(
+            source_id=source_id, source_name=name, source_type=stype,
+            raw_path="{root}/" + tbl + ".parquet", file_format="parquet", delimiter=",", has_header=True,
+            date_column=date_col, date_format="yyyy-MM-dd HH:mm:ss", primary_key_column=pk,
+            target_table=target, silver_path="{root}/silver/" + tbl + "/", rejected_path="{root}/rejected/" + tbl + "/",
+            rules=tuple(rules), column_mapping=tuple(mapping.items()), is_active=active,
+        )
+
+    return (
+        cfg("src_orders", "Orders as card transactions", "card_transactions", "orders", ORDERS_MAP, "o_orderkey", "o_orderdate", ORDER_RULES, "card_transactions_silver"),
+        cfg("src_customer", "Customers as merchants", "merchant", "customer", CUSTOMER_MAP, "c_custkey", "c_custkey", CUSTOMER_RULES, "merchant_silver"),
+        cfg("src_lineitem", "Line items as ATM withdrawals", "atm", "lineitem", LINEITEM_MAP, "l_orderkey", "l_shipdate", LINEITEM_RULES, "atm_silver"),
+        cfg("src_events", "Events as fraud flags", "fraud_flags", "events", EVENTS_MAP, "event_id", "ts", (), "fraud_flags_silver", active=False),
+    )
+
+
+def standin_config_frame(spark) -> DataFrame:
+    from sluice.config import config_frame
+
+    return config_frame(spark, standin_configs())
+
+
 def _metrics(df: DataFrame, rules) -> DataFrame:
     m = quality.rule_metrics_direct(df, compile_rules(df, rules))
     return m.withColumn("pass_rate", F.round("pass_rate", 4)).select(*METRIC_COLUMNS)
@@ -204,3 +239,276 @@ def dq_summary(spark, sf_dir):
         s = s.select(F.lit(source_id).alias("source_id"), "*").withColumn("overall_pass_rate", F.round("overall_pass_rate", 4))
         out = s if out is None else out.unionByName(s)
     return out
+
+
+# ---------------------------------------------------------------------------
+# Mapping, casts, time, currency, status, audit, masking, filters
+# ---------------------------------------------------------------------------
+@query
+def column_mapping(spark, sf_dir):
+    """C1 + C2: rename to silver names, drop unmapped, pad missing targets."""
+    from sluice.operators.mapping import pad_columns
+    from sluice.schemas import data_fields
+
+    return pad_columns(orders_feed(spark, sf_dir), data_fields("card_transactions_silver"))
+
+
+@query
+def safe_cast(spark, sf_dir):
+    """Text feed cast to a target schema; failures listed per row."""
+    from pyspark.sql import types as T
+
+    from sluice.operators.mapping import CAST_FAILURES, conform
+
+    raw = table(spark, sf_dir, "part").select(*[F.col(c).cast("string").alias(c) for c in ("p_partkey", "p_name", "p_size", "p_retailprice")])
+    target = T.StructType([
+        T.StructField("part_id", T.LongType()),
+        T.StructField("part_name", T.DoubleType()),
+        T.StructField("size", T.IntegerType()),
+        T.StructField("retail_price", T.DoubleType()),
+    ])
+    mapping = {"p_partkey": "part_id", "p_name": "part_name", "p_size": "size", "p_retailprice": "retail_price"}
+    out = conform(raw, mapping, target)
+    return out.withColumn("cast_failures", F.array_join(CAST_FAILURES, ",")).drop(CAST_FAILURES)
+
+
+def _orders_text_dates(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    txt = F.when(F.col("o_orderstatus") == "P", F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(
+        F.date_format("o_orderdate", "dd/MM/yyyy HH:mm"))
+    return o.select(F.col("o_orderkey").alias("transaction_id"), txt.alias("raw_ts"))
+
+
+@query
+def timestamp_parse(spark, sf_dir):
+    """C4: per-source pattern (``dd/MM/yyyy HH:mm``); other shapes give NULL."""
+    from sluice.functions.timefmt import parse_timestamp
+
+    df = _orders_text_dates(spark, sf_dir)
+    return df.withColumn("transaction_ts", parse_timestamp(F.col("raw_ts"), "dd/MM/yyyy HH:mm").cast("timestamp_ntz"))
+
+
+@query
+def date_parse(spark, sf_dir):
+    """Date from a date-only pattern; other shapes give NULL."""
+    from sluice.functions.timefmt import parse_date
+
+    df = _orders_text_dates(spark, sf_dir)
+    return df.withColumn("onboarded_date", parse_date(F.col("raw_ts"), "yyyy-MM-dd"))
+
+
+@query
+def iso_fraction_parse(spark, sf_dir):
+    """C4, trap: ISO text with and without microseconds under one seconds pattern."""
+    from sluice.functions.timefmt import parse_timestamp
+
+    e = table(spark, sf_dir, "events")
+    txt = F.when(F.col("event_id") % 2 == 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).otherwise(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+    return e.select(
+        F.col("event_id").alias("flag_id"),
+        parse_timestamp(txt, "yyyy-MM-dd'T'HH:mm:ss").cast("timestamp_ntz").alias("flagged_at"),
+    )
+
+
+@query
+def utc_normalise(spark, sf_dir):
+    """Naive Asia/Kolkata wall-clock times to UTC."""
+    from sluice.functions.timefmt import to_utc
+
+    e = events_feed(spark, sf_dir)
+    return e.select("flag_id", "flagged_at", to_utc(F.col("flagged_at").cast("timestamp"), "Asia/Kolkata").cast("timestamp_ntz").alias("flagged_at_utc"))
+
+
+# FIXED VALUES (stand-in only): currency per order status and a rates table.
+STANDIN_CURRENCY = {"F": "USD", "O": "INR", "P": "SGD"}
+STANDIN_RATES = [
+    ("USD", "2020-01-01", 1.0),
+    ("INR", "2020-01-01", 0.0125),
+    ("INR", "2024-01-01", 0.012),
+    ("INR", "2025-01-01", 0.0115),
+    ("SGD", "2020-01-01", 0.74),
+]
+
+
+def rates_frame(spark) -> DataFrame:
+    return spark.createDataFrame(STANDIN_RATES, "currency string, as_of_date string, rate_to_usd double").withColumn(
+        "as_of_date", F.to_date("as_of_date"))
+
+
+@query
+def currency_convert(spark, sf_dir):
+    """Amounts to USD at the rate in force on the processing date."""
+    from sluice.operators.convert import convert_currency
+
+    o = orders_feed(spark, sf_dir)
+    cur = F.create_map(*[F.lit(x) for kv in STANDIN_CURRENCY.items() for x in kv])[F.col("status")]
+    out = convert_currency(o, rates_frame(spark), "original_amount", cur, as_of="2024-06-30")
+    return out.select("transaction_id", "source_currency", "original_amount", "amount_usd")
+
+
+@query
+def status_normalise(spark, sf_dir):
+    """Feed status vocabulary to silver vocabulary; unknown values kept."""
+    from sluice.operators.convert import normalise_status
+
+    o = orders_feed(spark, sf_dir).select("transaction_id", F.col("status").alias("raw_status"))
+    return normalise_status(o, "raw_status", {"F": "APPROVED", "O": "PENDING"}, out="status")
+
+
+@query
+def audit_columns(spark, sf_dir):
+    """Audit and partition columns with fixed run literals."""
+    from sluice.operators.mapping import with_audit_columns
+
+    o = orders_feed(spark, sf_dir).select("transaction_id", "status")
+    stamp = F.to_timestamp(F.lit("2024-01-01 06:00:00"))
+    out = with_audit_columns(o, "run-0001", "2024-01-01", "src_orders", ingested_at=stamp)
+    return out.withColumn("ingested_at", F.col("ingested_at").cast("timestamp_ntz"))
+
+
+@query
+def mask_hash(spark, sf_dir):
+    """Truncated SHA-256 and its format check."""
+    from sluice.functions.masking import is_masked, mask_sha256
+
+    c = table(spark, sf_dir, "customer")
+    m = mask_sha256(F.col("c_name"))
+    return c.select(F.col("c_custkey").alias("merchant_id"), m.alias("name_hash"), is_masked(m).alias("hash_ok"))
+
+
+@query
+def filter_project(spark, sf_dir):
+    """C11 + C12 + C13: equality filter, aliased literal, query timestamp."""
+    from sluice.operators.mapping import equality_filter, with_current_timestamp, with_literals
+
+    o = equality_filter(orders_feed(spark, sf_dir), "status", "F").select("transaction_id", "status")
+    o = with_current_timestamp(with_literals(o, {"feed": "card"}))
+    return o.withColumn("stamped", F.col("stamped_at").isNotNull()).drop("stamped_at")
+
+
+# ---------------------------------------------------------------------------
+# JSON
+# ---------------------------------------------------------------------------
+@query
+def json_object_parse(spark, sf_dir):
+    """D2 on a data column: a JSON object to one (key, value) row per entry."""
+    from sluice.config import MAPPING_SCHEMA
+
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", F.explode(F.from_json("props", MAPPING_SCHEMA)).alias("prop_key", "prop_value"))
+
+
+@query
+def config_rules_parse(spark, sf_dir):
+    """D1 + D5 + A8: rules exploded from the config table drive the run.
+
+    The stand-in config rows are parsed on the executors, the active ones are
+    collected (one row per source), and each rule's failures are measured on
+    its source table.
+    """
+    from sluice.config import active_configs, has_rule, rules_frame
+
+    cfg = standin_config_frame(spark)
+    parsed = rules_frame(cfg).select("source_id", "rule_id", F.col("type").alias("rule_type"), "threshold")
+    probe = has_rule(cfg, "q003").select("source_id", F.col("has_rule").alias("has_q003"))
+    measured = None
+    for c in active_configs(cfg):
+        df = STANDIN_FEEDS[c.source_id](spark, sf_dir)
+        m = quality.rule_metrics_direct(df, compile_rules(df, c.rules)).select(
+            F.lit(c.source_id).alias("source_id"), "rule_id", "failed_rows")
+        measured = m if measured is None else measured.unionByName(m)
+    return parsed.join(probe, "source_id").join(measured, ["source_id", "rule_id"], "left")
+
+
+# ---------------------------------------------------------------------------
+# Dedup, union, joins, counts, sort
+# ---------------------------------------------------------------------------
+@query
+def dedup_latest(spark, sf_dir):
+    """one row per key, the newest (then greatest) copy wins."""
+    from sluice.operators.dedup import dedup_latest as dedup
+
+    li = lineitem_feed(spark, sf_dir)
+    return dedup(li, LINEITEM_KEYS, LINEITEM_ORDER)
+
+
+@query
+def dup_report(spark, sf_dir):
+    """keys with more than one row."""
+    from sluice.operators.dedup import duplicate_keys
+
+    return duplicate_keys(lineitem_feed(spark, sf_dir), LINEITEM_KEYS)
+
+
+@query
+def key_uniqueness(spark, sf_dir):
+    """rows vs distinct keys in one row."""
+    from sluice.operators.dedup import uniqueness_report
+
+    return uniqueness_report(lineitem_feed(spark, sf_dir), LINEITEM_KEYS)
+
+
+@query
+def union_sources(spark, sf_dir):
+    """two feeds in one table, told apart by ``source_id``."""
+    from sluice.operators.relate import union_sources as union
+
+    c = map_columns(table(spark, sf_dir, "customer"), {"c_custkey": "party_id", "c_name": "name", "c_acctbal": "balance", "c_mktsegment": "segment"})
+    s = map_columns(table(spark, sf_dir, "supplier"), {"s_suppkey": "party_id", "s_name": "name", "s_acctbal": "balance"})
+    return union({"src_customer": c, "src_supplier": s})
+
+
+def _fk_sides(spark, sf_dir):
+    flags = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("transaction_ref"), F.col("l_linenumber").alias("flag_line"), F.col("l_quantity").alias("fraud_score"))
+    txns = table(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 2 == 0).select(
+        F.col("o_orderkey").alias("transaction_id"), F.col("o_totalprice").alias("amount"), F.col("o_orderstatus").alias("status"))
+    return flags, txns
+
+
+@query
+def fk_join(spark, sf_dir):
+    """flags to transactions, 1:N equi-join."""
+    from sluice.operators.relate import fk_join as join
+
+    flags, txns = _fk_sides(spark, sf_dir)
+    return join(flags, txns, "transaction_ref", "transaction_id")
+
+
+@query
+def fk_orphans(spark, sf_dir):
+    """flags whose transaction does not exist."""
+    from sluice.operators.relate import fk_orphans as orphans
+
+    flags, txns = _fk_sides(spark, sf_dir)
+    return orphans(flags, txns, "transaction_ref", "transaction_id")
+
+
+@query
+def fk_semi(spark, sf_dir):
+    """transactions with at least one flag."""
+    from sluice.operators.relate import flagged_only
+
+    flags, txns = _fk_sides(spark, sf_dir)
+    return flagged_only(txns, flags, "transaction_id", "transaction_ref")
+
+
+@query
+def dashboard_counts(spark, sf_dir):
+    """F8 + F9 + F10: counts per day and type, with a predicate, sorted."""
+    from sluice.operators.relate import group_counts
+
+    e = events_feed(spark, sf_dir).withColumn("flag_date", F.to_date("flagged_at"))
+    return group_counts(e, ["flag_date", "flag_type"], {"high_score_rows": F.col("score") > 50})
+
+
+@query
+def reconcile(spark, sf_dir):
+    """G1 + G2: rows read = written + rejected, with rules and dedup."""
+    from sluice.operators.lineage import row_counts
+
+    li = lineitem_feed(spark, sf_dir)
+    compiled = compile_rules(li, LINEITEM_RULES)
+    v = assess(li, compiled, keys=LINEITEM_KEYS, order=LINEITEM_ORDER)
+    return row_counts(v)
