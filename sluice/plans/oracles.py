@@ -269,3 +269,113 @@ ORACLES["reconcile"] = (
     f"(SELECT count(*) FROM (SELECT DISTINCT withdrawal_id, line_no FROM t WHERE NOT ({_LI_FAIL}))) AS rows_written FROM t) "
     "SELECT rows_read, rows_written, rows_read - rows_written AS rows_rejected, true AS reconciled FROM c"
 )
+
+
+def _profile_sql(feed: str, cols: list[tuple[str, str, str]]) -> str:
+    """cols: (name, logical type, text rendering of x)."""
+    parts = []
+    for name, typ, render in cols:
+        parts.append(
+            f"SELECT '{name}' AS column_name, '{typ}' AS column_type, count(*) FILTER (WHERE {name} IS NULL) > 0 AS is_nullable, "
+            f"round(CASE WHEN count(*) = 0 THEN 0.0 ELSE count(*) FILTER (WHERE {name} IS NULL) / count(*) END, 4) AS null_rate, "
+            f"{render.format(x=f'min({name})')} AS min_value, {render.format(x=f'max({name})')} AS max_value FROM ({feed})"
+        )
+    return " UNION ALL ".join(parts)
+
+
+TXT = "CAST({x} AS VARCHAR)"
+TSTXT = "strftime({x}, '%Y-%m-%d %H:%M:%S.%f')"
+ORDER_PROFILE = [
+    ("transaction_id", "integer", TXT), ("card_identifier", "integer", TXT), ("original_amount", "double", TXT),
+    ("transaction_ts", "timestamp", TSTXT), ("status", "string", TXT),
+]
+ORACLES["profile_columns"] = _profile_sql(ORDERS, ORDER_PROFILE)
+
+ORACLES["sample_values"] = (
+    "WITH l AS (SELECT 'brand' AS c, p_brand AS v FROM part UNION ALL SELECT 'part_type', p_type FROM part "
+    "UNION ALL SELECT 'size', CAST(p_size AS VARCHAR) FROM part UNION ALL SELECT 'part_id', CAST(p_partkey AS VARCHAR) FROM part), "
+    "n AS (SELECT c, v, count(*) AS n FROM l WHERE v IS NOT NULL GROUP BY c, v), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY n DESC, v ASC) AS r FROM n) "
+    "SELECT c AS column_name, '[' || string_agg('\"' || v || '\"', ',' ORDER BY r) || ']' AS sample_values FROM r WHERE r <= 10 GROUP BY c"
+)
+
+BOOL_RE = "^(true|false)$"
+TS_RE = "^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,9})?)?)?$"
+
+
+def _infer_sql(tbl: str, cols: list[tuple[str, str]]) -> str:
+    parts = []
+    for name, expr in cols:
+        x = f"trim({expr})"
+        checks = {
+            "integer": f"regexp_matches({x}, '{INT_RE}') AND TRY_CAST({x} AS BIGINT) IS NOT NULL",
+            "double": f"regexp_matches({x}, '{DEC_RE}')",
+            "boolean": f"regexp_matches(lower({x}), '{BOOL_RE}')",
+            "timestamp": f"regexp_matches({x}, '{TS_RE}') AND TRY_CAST({x} AS TIMESTAMP) IS NOT NULL",
+        }
+        case = f"CASE WHEN count({expr}) = 0 THEN 'string' "
+        for t, c in checks.items():
+            case += f"WHEN coalesce(bool_and(CASE WHEN {expr} IS NOT NULL THEN {c} END), false) THEN '{t}' "
+        case += "ELSE 'string' END"
+        parts.append(f"SELECT '{name}' AS column_name, {case} AS column_type FROM {tbl}")
+    return " UNION ALL ".join(parts)
+
+
+ORACLES["infer_types"] = (
+    _infer_sql("part", [("p_partkey", "CAST(p_partkey AS VARCHAR)"), ("p_name", "p_name"), ("p_brand", "p_brand"),
+                        ("p_type", "p_type"), ("p_size", "CAST(p_size AS VARCHAR)"), ("p_retailprice", "CAST(p_retailprice AS VARCHAR)")])
+    + " UNION ALL "
+    + _infer_sql("orders", [("o_orderkey", "CAST(o_orderkey AS VARCHAR)"), ("o_orderdate", "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')"),
+                            ("o_is_final", "CASE WHEN o_orderstatus = 'F' THEN 'true' ELSE 'false' END"),
+                            ("o_totalprice", "CAST(o_totalprice AS VARCHAR)")])
+)
+
+_OLD = f"SELECT * FROM ({ORDERS}) WHERE year(transaction_ts) < 1998"
+_NEW = (f"SELECT transaction_id, CAST(original_amount AS VARCHAR) AS original_amount, transaction_ts, "
+        f"CASE WHEN status <> 'P' THEN status END AS status, 'web' AS channel FROM ({ORDERS}) WHERE year(transaction_ts) >= 1998")
+_OLD_P = _profile_sql(_OLD, ORDER_PROFILE)
+_NEW_P = _profile_sql(_NEW, [("transaction_id", "integer", TXT), ("original_amount", "string", TXT),
+                             ("transaction_ts", "timestamp", TSTXT), ("status", "string", TXT), ("channel", "string", TXT)])
+_PAIR = (f"SELECT coalesce(o.column_name, n.column_name) AS column_name, o.column_type AS old_column_type, "
+         f"n.column_type AS new_column_type, o.is_nullable AS old_is_nullable, n.is_nullable AS new_is_nullable, "
+         f"o.null_rate AS old_null_rate, n.null_rate AS new_null_rate, o.min_value AS old_min, n.min_value AS new_min, "
+         f"o.max_value AS old_max, n.max_value AS new_max FROM ({_OLD_P}) o FULL OUTER JOIN ({_NEW_P}) n ON o.column_name = n.column_name")
+ORACLES["schema_drift"] = (
+    "SELECT column_name, change_type, old_column_type, new_column_type, old_is_nullable, new_is_nullable FROM ("
+    "SELECT *, CASE WHEN old_column_type IS NULL THEN 'added' WHEN new_column_type IS NULL THEN 'removed' "
+    "WHEN old_column_type <> new_column_type THEN 'retyped' WHEN old_is_nullable <> new_is_nullable THEN 'nullability_changed' END "
+    f"AS change_type FROM ({_PAIR})) WHERE change_type IS NOT NULL"
+)
+ORACLES["value_drift"] = (
+    "SELECT column_name, round(new_null_rate - old_null_rate, 4) AS null_rate_delta, old_min IS DISTINCT FROM new_min AS min_changed, "
+    f"old_max IS DISTINCT FROM new_max AS max_changed FROM ({_PAIR}) WHERE old_column_type IS NOT NULL AND new_column_type IS NOT NULL"
+)
+ORACLES["registry_version_match"] = (
+    "SELECT 'src_orders' AS source_id, column_name, column_type, null_rate, min_value, max_value, 2 AS schema_version "
+    f"FROM ({_profile_sql(f'SELECT * FROM ({ORDERS}) WHERE year(transaction_ts) >= 1998', ORDER_PROFILE)})"
+)
+
+ORACLES["snapshot_latest"] = (
+    "WITH s AS (SELECT o.o_custkey AS merchant_id, strftime(o.o_orderdate, '%Y') AS processing_date, "
+    "'seg_' || lower(c.c_mktsegment) AS source_id FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey), "
+    "m AS (SELECT source_id, max(processing_date) AS processing_date FROM s GROUP BY source_id) "
+    "SELECT s.source_id, s.processing_date, count(*) AS rows, count(DISTINCT merchant_id) AS merchants FROM s "
+    "JOIN m ON s.source_id = m.source_id AND s.processing_date = m.processing_date GROUP BY 1, 2"
+)
+ORACLES["update_rows"] = (
+    "SELECT merchant_id, CASE WHEN merchant_category = 'BUILDING' THEN upper(business_name) ELSE business_name END AS business_name, "
+    "merchant_category, CASE WHEN merchant_category = 'BUILDING' THEN 0.0 ELSE account_balance END AS account_balance, nation_id "
+    f"FROM ({CUSTOMER})"
+)
+ORACLES["delete_rows"] = f"SELECT * FROM ({CUSTOMER}) WHERE NOT coalesce(account_balance < 0, false)"
+ORACLES["upsert_rows"] = (
+    f"WITH t AS (SELECT * FROM ({CUSTOMER}) WHERE account_balance >= 0), "
+    f"u AS (SELECT merchant_id, business_name, merchant_category, account_balance + 100 AS account_balance, nation_id "
+    f"FROM ({CUSTOMER}) WHERE merchant_category = 'BUILDING') "
+    "SELECT * FROM u UNION ALL SELECT * FROM t WHERE merchant_id NOT IN (SELECT merchant_id FROM u)"
+)
+ORACLES["truncate_reload"] = (
+    "SELECT merchant_id, business_name, merchant_category, CASE WHEN merchant_category = 'MACHINERY' THEN 85000.0 "
+    f"ELSE account_balance END AS account_balance, nation_id FROM ({CUSTOMER}) "
+    "WHERE NOT coalesce(CASE WHEN merchant_category = 'MACHINERY' THEN 85000.0 ELSE account_balance END < 0, false)"
+)

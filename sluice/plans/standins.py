@@ -512,3 +512,154 @@ def reconcile(spark, sf_dir):
     compiled = compile_rules(li, LINEITEM_RULES)
     v = assess(li, compiled, keys=LINEITEM_KEYS, order=LINEITEM_ORDER)
     return row_counts(v)
+
+
+# ---------------------------------------------------------------------------
+# H1-H7: registry and drift
+# ---------------------------------------------------------------------------
+def _round_rate(df: DataFrame, col: str = "null_rate") -> DataFrame:
+    return df.withColumn(col, F.round(col, 4))
+
+
+@query
+def profile_columns(spark, sf_dir):
+    """H1: one row per column -- type, nullability, null rate, min, max."""
+    from sluice.operators.registry import profile
+
+    return _round_rate(profile(orders_feed(spark, sf_dir)))
+
+
+@query
+def sample_values(spark, sf_dir):
+    """H2: up to ten values per column, most frequent first."""
+    from sluice.operators.registry import sample_values as samples
+
+    p = map_columns(table(spark, sf_dir, "part"), {"p_brand": "brand", "p_type": "part_type", "p_size": "size", "p_partkey": "part_id"})
+    return samples(p)
+
+
+@query
+def infer_types(spark, sf_dir):
+    """H3: narrowest logical type of text columns."""
+    from sluice.operators.registry import infer_types as infer
+
+    p = table(spark, sf_dir, "part")
+    o = table(spark, sf_dir, "orders")
+    text_p = p.select(*[F.col(c).cast("string").alias(c) for c in p.columns])
+    text_o = o.select(F.col("o_orderkey").cast("string").alias("o_orderkey"),
+                      F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("o_orderdate"),
+                      F.when(F.col("o_orderstatus") == "F", "true").otherwise("false").alias("o_is_final"),
+                      F.col("o_totalprice").cast("string").alias("o_totalprice"))
+    return infer(text_p).unionByName(infer(text_o))
+
+
+def _orders_snapshots(spark, sf_dir):
+    """Two snapshots of the orders feed: before 1998, and from 1998 with a changed schema."""
+    from sluice.operators.registry import profile
+
+    o = orders_feed(spark, sf_dir)
+    old = o.filter(F.year("transaction_ts") < 1998)
+    new = (o.filter(F.year("transaction_ts") >= 1998)
+           .withColumn("original_amount", F.col("original_amount").cast("string"))
+           .withColumn("status", F.when(F.col("status") != "P", F.col("status")))
+           .drop("card_identifier")
+           .withColumn("channel", F.lit("web")))
+    return profile(old), profile(new)
+
+
+@query
+def schema_drift(spark, sf_dir):
+    """H5: added / removed / retyped / nullability-changed columns."""
+    from sluice.operators.registry import schema_drift as drift
+
+    old, new = _orders_snapshots(spark, sf_dir)
+    return drift(old, new)
+
+
+@query
+def value_drift(spark, sf_dir):
+    """H6: null-rate and min/max change between snapshots."""
+    from sluice.operators.registry import value_drift as drift
+
+    old, new = _orders_snapshots(spark, sf_dir)
+    return drift(old, new).withColumn("null_rate_delta", F.round("null_rate_delta", 4))
+
+
+@query
+def registry_version_match(spark, sf_dir):
+    """F7 + H4 + H7: registry snapshots joined to the config's current version."""
+    from sluice.config import config_frame
+    from sluice.operators.registry import bump_versions, snapshot
+    from sluice.operators.relate import version_match
+
+    o = orders_feed(spark, sf_dir)
+    stamp = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+    v1 = snapshot(o.filter(F.year("transaction_ts") < 1998), "src_orders", 1, stamp, with_samples=False)
+    v2 = snapshot(o.filter(F.year("transaction_ts") >= 1998), "src_orders", 2, stamp, with_samples=False)
+    registry = v1.unionByName(v2)
+    stored = config_frame(spark, standin_configs())
+    changed_rules = F.when(F.col("source_id") == "src_orders", F.concat(F.col("dq_rules_json"), F.lit(" "))).otherwise(F.col("dq_rules_json"))
+    incoming = stored.withColumn("dq_rules_json", changed_rules)
+    current = bump_versions(stored, incoming)
+    return _round_rate(version_match(registry, current).select(
+        "source_id", "column_name", "column_type", "null_rate", "min_value", "max_value", "schema_version"))
+
+
+# ---------------------------------------------------------------------------
+# Snapshots and mutation
+# ---------------------------------------------------------------------------
+@query
+def snapshot_latest(spark, sf_dir):
+    """Reference data overwritten per run -- newest snapshot per source."""
+    from sluice.sources.tables import latest_snapshot
+
+    c = customer_feed(spark, sf_dir)
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("merchant_id"),
+                                              F.date_format("o_orderdate", "yyyy").alias("processing_date"))
+    snaps = o.join(c, "merchant_id").withColumn("source_id", F.concat(F.lit("seg_"), F.lower("merchant_category")))
+    return latest_snapshot(snaps).groupBy("source_id", "processing_date").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("merchant_id").alias("merchants"))
+
+
+@query
+def update_rows(spark, sf_dir):
+    """UPDATE ... SET ... WHERE."""
+    from sluice.operators.mutate import update_rows as update
+
+    c = customer_feed(spark, sf_dir)
+    return update(c, {"account_balance": 0.0, "business_name": F.upper("business_name")}, F.col("merchant_category") == "BUILDING")
+
+
+@query
+def delete_rows(spark, sf_dir):
+    """DELETE ... WHERE (a NULL condition keeps the row)."""
+    from sluice.operators.mutate import delete_rows as delete
+
+    return delete(customer_feed(spark, sf_dir), F.col("account_balance") < 0)
+
+
+@query
+def upsert_rows(spark, sf_dir):
+    """MERGE by key -- matched rows updated, new keys inserted."""
+    from sluice.operators.mutate import upsert
+
+    c = customer_feed(spark, sf_dir)
+    target = c.filter(F.col("account_balance") >= 0)
+    updates = c.filter(F.col("merchant_category") == "BUILDING").withColumn("account_balance", F.col("account_balance") + 100)
+    return upsert(target, updates, ["merchant_id"])
+
+
+@query
+def truncate_reload(spark, sf_dir):
+    """I4 + I5: load, update, delete as committed versions; read the newest."""
+    from sluice.operators.mutate import commit_snapshot, delete_rows as delete, read_snapshot, update_rows as update
+    from sluice.session import scratch_path
+
+    path = scratch_path(spark, "snapshots", "customer")
+    c = customer_feed(spark, sf_dir)
+    commit_snapshot(c, path)
+    s1 = read_snapshot(spark, path)
+    commit_snapshot(update(s1, {"account_balance": 85000.0}, F.col("merchant_category") == "MACHINERY"), path)
+    s2 = read_snapshot(spark, path)
+    commit_snapshot(delete(s2, F.col("account_balance") < 0), path)
+    return read_snapshot(spark, path)

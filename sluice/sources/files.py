@@ -35,20 +35,20 @@ class RawScan:
 # ---------------------------------------------------------------------------
 # File system helpers (Hadoop FileSystem API, so any cluster scheme works)
 # ---------------------------------------------------------------------------
-def _fs(spark: SparkSession, path: str):
+def hadoop_fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
+    fs, p = hadoop_fs(spark, path)
     return bool(fs.exists(p))
 
 
 def list_data_files(spark: SparkSession, path: str) -> list[str]:
     """Data files directly under ``path`` (hidden and ``_`` files skipped)."""
-    fs, p = _fs(spark, path)
+    fs, p = hadoop_fs(spark, path)
     if not fs.exists(p):
         return []
     out = []
@@ -60,14 +60,14 @@ def list_data_files(spark: SparkSession, path: str) -> list[str]:
 
 
 def delete_path(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
+    fs, p = hadoop_fs(spark, path)
     return bool(fs.delete(p, True)) if fs.exists(p) else False
 
 
 def read_header(spark: SparkSession, file_path: str, delimiter: str = ",") -> list[str]:
     """The first line of a delimited file, split into column names."""
     jvm = spark.sparkContext._jvm
-    fs, p = _fs(spark, file_path)
+    fs, p = hadoop_fs(spark, file_path)
     stream = fs.open(p)
     try:
         reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
