@@ -379,3 +379,80 @@ ORACLES["truncate_reload"] = (
     f"ELSE account_balance END AS account_balance, nation_id FROM ({CUSTOMER}) "
     "WHERE NOT coalesce(CASE WHEN merchant_category = 'MACHINERY' THEN 85000.0 ELSE account_balance END < 0, false)"
 )
+
+
+# ---------------------------------------------------------------------------
+# Queries through files: the ingestion run over orders landed as CSV
+# ---------------------------------------------------------------------------
+_RUN = "'run-standin-0001'"
+_ORD_FAILS = _failed_list_sql(ORDER_RULES_SQL)
+_RUN_ROWS = f"SELECT *, {_ORD_FAILS} AS failed_rules FROM ({ORDERS})"
+ORACLES["rejected_sink"] = (
+    f"SELECT CAST(transaction_id AS VARCHAR) AS o_orderkey, status AS o_orderstatus, failed_rules, {_RUN} AS run_id "
+    f"FROM ({_RUN_ROWS}) WHERE failed_rules <> ''"
+)
+ORACLES["silver_write"] = (
+    "SELECT CAST(transaction_id AS VARCHAR) AS transaction_id, CAST(card_identifier AS VARCHAR) AS card_identifier, "
+    "CAST(round(CAST(original_amount AS DECIMAL(20,4)) * CAST(0.012 AS DECIMAL(20,8)), 2) AS DOUBLE) AS amount_usd, "
+    "original_amount, 'INR' AS source_currency, status, transaction_ts, true AS dq_passed, "
+    f"{_RUN} AS run_id, TIMESTAMP '2024-01-01 06:00:00' AS ingested_at, '2024-01-01' AS processing_date, "
+    f"'src_orders_csv' AS source_id FROM ({_RUN_ROWS}) WHERE failed_rules = ''"
+)
+
+
+def _run_results_sql() -> str:
+    counts = ", ".join(f"count(*) FILTER (WHERE NOT ({r[5]})) AS f{i}" for i, r in enumerate(ORDER_RULES_SQL))
+    parts = []
+    for i, (rid, _, rtype, text, col, _, thr) in enumerate(ORDER_RULES_SQL):
+        rate = f"(CASE WHEN total = 0 THEN 1.0 ELSE (total - f{i}) / total END)"
+        parts.append(
+            f"SELECT {_RUN} AS run_id, 'src_orders_csv' AS source_id, {_q(rid)} AS rule_id, {_q(rtype)} AS rule_type, "
+            f"{_q(text)} AS rule_expression, {_q(col)} AS column_name, total AS total_rows, total - f{i} AS passed_rows, "
+            f"f{i} AS failed_rows, round({rate}, 4) AS pass_rate, CAST({thr} AS DOUBLE) AS threshold, "
+            f"{rate} >= CAST({thr} AS DOUBLE) AS rule_passed, f{i} > 0 AS has_samples FROM c"
+        )
+    return f"WITH t AS ({ORDERS}), c AS (SELECT count(*) AS total, {counts} FROM t) " + " UNION ALL ".join(parts)
+
+
+ORACLES["run_results"] = _run_results_sql()
+_S = _summary_sql("src_orders_csv", ORDERS, ORDER_RULES_SQL, "transaction_id")
+ORACLES["run_summary"] = (
+    f"SELECT {_RUN} AS run_id, source_id, '2024-01-01' AS processing_date, total_rows_ingested, total_rows_passed, "
+    "total_rows_rejected, overall_pass_rate, rules_checked, rules_passed, rules_failed, ingestion_status, true AS timed "
+    f"FROM {_S}"
+)
+_TLOG = ('{"column_mapping_applied":{"o_orderkey":"transaction_id","o_custkey":"card_identifier",'
+         '"o_totalprice":"original_amount","o_orderdate":"transaction_ts","o_orderstatus":"status"},'
+         '"dq_rules_applied":["q001","q002","q003","q004","q005"],"dedup_column":"transaction_id"}')
+ORACLES["lineage_row"] = (
+    f"SELECT {_RUN} AS run_id, source_id, 'card_transactions_silver' AS target_table, total_rows_ingested AS rows_read, "
+    "total_rows_passed AS rows_written, total_rows_rejected AS rows_rejected, ingestion_status AS status, "
+    f"{_q(_TLOG)} AS transformation_log, true AS reconciled, true AS written_back, true AS exact_partition FROM {_S}"
+)
+ORACLES["catalog_objects"] = (
+    f"SELECT 'card_transactions_silver' AS table_name, 'EXTERNAL' AS table_type, total_rows_passed AS rows FROM {_S} "
+    "UNION ALL SELECT 'dq_results', 'EXTERNAL', 5 UNION ALL SELECT 'dq_summary', 'EXTERNAL', 1 "
+    "UNION ALL SELECT 'pipeline_lineage', 'EXTERNAL', 1 UNION ALL SELECT 'schema_registry', 'EXTERNAL', 0 "
+    "UNION ALL SELECT 'merchant_silver', 'EXTERNAL', 0 UNION ALL SELECT 'atm_silver', 'EXTERNAL', 0 "
+    "UNION ALL SELECT 'fraud_flags_silver', 'EXTERNAL', 0 UNION ALL SELECT 'ingestion_config', 'MANAGED', 4"
+)
+ORACLES["expectations"] = (
+    "SELECT * FROM (VALUES ('active_sources', '3', '3', true), ('row_once_after_update', '1', '1', true), "
+    "('rule_q003_present', 'true', 'true', true), ('silver_key_unique', 'true', 'true', true), "
+    "('lineage_reconciled', '0', '0', true), ('silver_union_rejected_is_raw', '0', '0', true)) "
+    "v(\"check\", expected, actual, ok)"
+)
+ORACLES["csv_scan"] = (
+    "SELECT c_custkey AS merchant_id, c_name AS business_name, c_acctbal AS account_balance, "
+    "c_mktsegment AS merchant_category, 0 AS cast_failures FROM customer"
+)
+ORACLES["headerless_scan"] = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate FROM orders"
+ORACLES["format_scan"] = "SELECT *, 'json' AS file_format FROM part UNION ALL SELECT *, 'orc' AS file_format FROM part"
+ORACLES["skip_missing"] = (
+    "SELECT '2024-01-01' AS processing_date, 'READ' AS status, count(*) AS rows FROM events "
+    "UNION ALL SELECT '2024-01-02', 'SKIPPED', 0"
+)
+ORACLES["partition_scan"] = (
+    "SELECT event_id AS flag_id, event_type AS flag_type, value AS score, ts AS flagged_at, "
+    "strftime(ts, '%Y-%m-%d') AS processing_date FROM events WHERE strftime(ts, '%Y-%m-%d') = '2024-01-15'"
+)

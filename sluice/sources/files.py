@@ -59,6 +59,12 @@ def list_data_files(spark: SparkSession, path: str) -> list[str]:
     return sorted(out)
 
 
+def make_dirs(spark: SparkSession, path: str) -> None:
+    fs, p = hadoop_fs(spark, path)
+    if not fs.exists(p):
+        fs.mkdirs(p)
+
+
 def delete_path(spark: SparkSession, path: str) -> bool:
     fs, p = hadoop_fs(spark, path)
     return bool(fs.delete(p, True)) if fs.exists(p) else False
