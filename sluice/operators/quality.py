@@ -165,10 +165,12 @@ def sample_failures(
     failing = verdict.filter(F.size(F.col(FAILED)) > 0).select(
         F.explode(F.col(FAILED)).alias("rule_id"),
         F.col(order_key).alias("_k"),
-        F.to_json(row).alias("_row"),
+        row.alias("_row"),
     ).filter(F.col("rule_id").isin(*ids))
     w = Window.partitionBy("rule_id").orderBy(F.col("_k").asc_nulls_last(), F.col("_row"))
-    top = failing.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= per_rule)
+    # JSON is rendered only for the rows that survive the limit.
+    top = (failing.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= per_rule)
+           .withColumn("_row", F.to_json("_row")))
     return top.groupBy("rule_id").agg(
         F.concat(
             F.lit("["),

@@ -32,6 +32,26 @@ def rule_verdict(df: DataFrame, compiled: list[CompiledRule]) -> DataFrame:
     return df.withColumn(FAILED, rules)
 
 
+def dedup_verdict(
+    v: DataFrame,
+    keys: list[str],
+    order: list[Column | str] | None = None,
+    total_rows: int | None = None,
+) -> DataFrame:
+    """Step 2 on a rule verdict: extra copies of a key among passing rows get ``dup:<key>``."""
+    had_id = ROW_ID in v.columns
+    if not had_id:
+        v = with_row_id(v)
+    ok = F.size(F.col(FAILED)) == 0
+    good = v.filter(ok)
+    bad = v.filter(~ok)
+    flagged = flag_duplicates(good, keys, order or [], total_rows=total_rows)
+    dup_reason = F.array(F.lit(DUP_PREFIX + ",".join(keys)))
+    flagged = flagged.withColumn(FAILED, F.when(F.col(DUP_FLAG), dup_reason).otherwise(F.col(FAILED))).drop(DUP_FLAG)
+    out = flagged.unionByName(bad)
+    return out if had_id else out.drop(ROW_ID)
+
+
 def assess(
     df: DataFrame,
     compiled: list[CompiledRule],
@@ -47,14 +67,4 @@ def assess(
     v = rule_verdict(df, compiled)
     if not keys:
         return v
-    had_id = ROW_ID in v.columns
-    if not had_id:
-        v = with_row_id(v)
-    ok = F.size(F.col(FAILED)) == 0
-    good = v.filter(ok)
-    bad = v.filter(~ok)
-    flagged = flag_duplicates(good, keys, order or [], total_rows=total_rows)
-    dup_reason = F.array(F.lit(DUP_PREFIX + ",".join(keys)))
-    flagged = flagged.withColumn(FAILED, F.when(F.col(DUP_FLAG), dup_reason).otherwise(F.col(FAILED))).drop(DUP_FLAG)
-    out = flagged.unionByName(bad)
-    return out if had_id else out.drop(ROW_ID)
+    return dedup_verdict(v, keys, order, total_rows)

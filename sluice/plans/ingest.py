@@ -5,12 +5,13 @@ Plan of ``run_source`` (one source, one processing date, one run id):
 1. scan the raw feed as text (routed files of the day's directory);
 2. one narrow projection: map names, cast safely (cast failures listed),
    parse event times with the source pattern, evaluate every rule;
-3. dedup on the primary key among rows that passed (aggregate winners, hot
-   keys split -- see ``operators.dedup``);
-4. stage the verdict as a Parquet table under ``spark.checkpoint.dir``:
+3. stage that rule verdict as a Parquet table under ``spark.checkpoint.dir``:
    this cuts the lineage (the row-id tiebreak is frozen, lost executors
-   recompute from the staged files, not from the raw scan) and lets the
-   sinks and metrics read only the columns they need;
+   recompute from the staged files, not from the raw scan), and counts read
+   one column of it;
+4. dedup on the primary key among rows that passed (aggregate winners, hot
+   keys split -- see ``operators.dedup``); the final verdict is persisted
+   for the sinks and metrics and recomputed from the staged files if lost;
 5. silver: passing rows, then currency conversion, status vocabulary, UTC,
    audit columns -> dynamic overwrite of ``(processing_date, source_id)``;
    rejected: failing rows as raw text plus ``failed_rules``;
@@ -31,6 +32,7 @@ import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,7 +46,7 @@ from sluice.operators.convert import STATUS_MAP, convert_currency, normalise_sta
 from sluice.operators.dedup import ROW_ID, with_row_id
 from sluice.operators.lineage import transformation_log
 from sluice.operators.mapping import conform, with_audit_columns
-from sluice.plans.assess import assess
+from sluice.plans.assess import dedup_verdict, rule_verdict
 from sluice.session import ensure_settings, scratch_path
 from sluice.sinks.writers import append, partition_path, replace_partition
 from sluice.sources.files import read_source
@@ -161,8 +163,12 @@ def run_source(
 
     prepared = prepare(spark, cfg, scan.df)
     compiled = compile_rules(prepared, cfg.rules)
-    verdict = assess(prepared, compiled, keys=[cfg.pk_silver], order=dedup_order(cfg))
-    staged = _stage(spark, verdict, run_id, cfg.source_id)
+    # Stage the rule verdict: one narrow pass over the raw feed, and the row-id
+    # tiebreak is frozen before any shuffle.
+    ruled = _stage(spark, rule_verdict(prepared, compiled), run_id, cfg.source_id)
+    passing = ruled.filter(quality.passed(ruled)).count()  # reads one column
+    staged = dedup_verdict(ruled, [cfg.pk_silver], dedup_order(cfg), total_rows=passing)
+    staged = staged.persist(StorageLevel.MEMORY_AND_DISK)  # lost blocks recompute from the staged files
 
     counts_row = quality.quality_counts(staged, compiled).first()
     rows_read, rows_written = int(counts_row["_total"]), int(counts_row["_passed"])
@@ -231,6 +237,7 @@ def run_source(
         started, completed, status, processing_date,
     )
     append(lineage, layout.lineage, schemas.PARTITIONS["pipeline_lineage"])
+    staged.unpersist()
     return RunResult(cfg.source_id, processing_date, run_id, status, rows_read, rows_written, rows_rejected,
                      rule_rows, message)
 
