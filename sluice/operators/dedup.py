@@ -1,32 +1,39 @@
 """Primary-key dedup (F1) and key-uniqueness report (F2).
 
 F1 keeps, per key, the row that is greatest by the given order (newest event
-time first, then the remaining columns) and flags every other copy, so that
-extra copies can be sent to the rejected zone and counts still reconcile.
-
-Skew: one key may hold a third of all rows.  A ``row_number`` window would
-sort that whole group in one task, so the winner is found with an aggregate
-instead (``max`` of an ordering struct, combined map-side before the
-shuffle).  Rows then learn their key's winner through a join that is split
-by key heat: keys with more than ``total / max_hot_keys`` rows -- at most
-``max_hot_keys`` of them, a proven bound -- are broadcast and joined without
-moving the big side; the rest take a shuffled join whose groups are bounded
-by the same threshold (AQE's skew-join split stays on as a safety net).
-Rows with a NULL key are never duplicates (a NULL key is a ``not_null`` rule
-matter) and bypass both joins.
+time first, then the remaining columns, then a row id) and flags every other
+copy, so that extra copies can go to the rejected zone and counts reconcile.
+
+Skew: one key may hold a third of all rows, and a ``row_number`` window
+sorts each key's group inside one task.  Keys are therefore split by heat:
+
+* heavy-hitter candidates come from ``freqItems`` (one pass over the key
+  columns, map-side counters): every key holding more than ``support`` of the
+  rows is returned, plus some false positives, and never more than
+  ``1 / support`` keys -- a proven bound;
+* rows of candidate keys take an aggregate path: the winner is a ``max`` of
+  the ordering struct, combined map-side before the shuffle, and the winners
+  (at most ``1 / support`` rows) are broadcast back -- the hot rows
+  themselves are never shuffled;
+* all other rows take one window shuffle on the key, where no group can
+  exceed ``support`` of the rows.
+
+In the common case (mostly unique keys) this is one exchange for the rows
+plus one small aggregate.  Rows with a NULL key are never duplicates (a NULL
+key is a ``not_null`` rule matter) and bypass both paths.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DUP_FLAG = "_is_dup"
 ROW_ID = "_rid"
-MAX_HOT_KEYS = 10_000
-MIN_HOT_ROWS = 100_000
+# Smallest support Spark's frequent-items aggregate accepts: at most 10,000
+# candidate keys, and no cold key above 0.01 % of the rows.
+FREQ_SUPPORT = 1e-4
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
@@ -39,21 +46,26 @@ def _order_struct(order: list[Column | str]) -> Column:
     return F.struct(*fields, F.col(ROW_ID).alias("_oid"))
 
 
-def hot_threshold(total_rows: int, max_hot_keys: int = MAX_HOT_KEYS, min_hot_rows: int = MIN_HOT_ROWS) -> int:
-    """Rows per key above which a key counts as hot.
+def _has_keys(keys: list[str]) -> Column:
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).isNotNull()
+    return cond
 
-    At most ``total_rows / threshold <= max_hot_keys`` keys can exceed it.
-    """
-    return max(min_hot_rows, math.ceil(total_rows / max_hot_keys))
+
+def hot_keys(df: DataFrame, keys: list[str], support: float = FREQ_SUPPORT) -> DataFrame:
+    """Candidate heavy-hitter keys (at most ``1 / support`` rows, no false negatives)."""
+    found = df.select(F.struct(*keys).alias("_k")).stat.freqItems(["_k"], support).first()[0] or []
+    schema = T.StructType([T.StructField(k, df.schema[k].dataType, True) for k in keys])
+    return df.sparkSession.createDataFrame([tuple(r) for r in found], schema)
 
 
 def flag_duplicates(
     df: DataFrame,
     keys: list[str],
     order: list[Column | str],
-    total_rows: int | None = None,
-    max_hot_keys: int = MAX_HOT_KEYS,
-    min_hot_rows: int = MIN_HOT_ROWS,
+    hot: DataFrame | None = None,
+    support: float = FREQ_SUPPORT,
 ) -> DataFrame:
     """Add ``_is_dup``: True for every row that is not its key's winner.
 
@@ -62,43 +74,38 @@ def flag_duplicates(
     ``_rid`` (see ``with_row_id``).
     """
     ordv = _order_struct(order)
-    has_key = F.lit(True)
-    for k in keys:
-        has_key = has_key & F.col(k).isNotNull()
-
-    keyed = df.filter(has_key).select(*keys, ordv.alias("_ord"))
-    stats = keyed.groupBy(*keys).agg(F.max("_ord").alias("_win"), F.count(F.lit(1)).alias("_n"))
-
-    if total_rows is None:
-        total_rows = df.count()
-    limit = hot_threshold(total_rows, max_hot_keys, min_hot_rows)
-
-    hot = stats.filter(F.col("_n") > limit).select(*keys, F.col("_win").alias("_hwin"))
-    cold = stats.filter((F.col("_n") > 1) & (F.col("_n") <= limit)).select(*keys, "_win")
-
-    no_key = df.filter(~has_key).withColumn(DUP_FLAG, F.lit(False))
-    with_key = df.filter(has_key).join(F.broadcast(hot), keys, "left")
-    hot_rows = with_key.filter(F.col("_hwin").isNotNull()).withColumn(DUP_FLAG, ~ordv.eqNullSafe(F.col("_hwin"))).drop("_hwin")
-    cold_rows = (
-        with_key.filter(F.col("_hwin").isNull())
-        .drop("_hwin")
-        .join(cold, keys, "left")
-        .withColumn(DUP_FLAG, F.col("_win").isNotNull() & ~ordv.eqNullSafe(F.col("_win")))
+    has_key = _has_keys(keys)
+    keyed = df.filter(has_key)
+    if hot is None:
+        hot = hot_keys(keyed, keys, support)
+
+    marked = keyed.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
+    hot_rows = marked.filter(F.col("_hot").isNotNull()).drop("_hot")
+    cold_rows = marked.filter(F.col("_hot").isNull()).drop("_hot")
+
+    w = Window.partitionBy(*keys).orderBy(ordv.desc())
+    cold = cold_rows.withColumn(DUP_FLAG, F.row_number().over(w) > 1)
+
+    winners = hot_rows.groupBy(*keys).agg(F.max(ordv).alias("_win"))
+    hot_flagged = (
+        hot_rows.join(F.broadcast(winners), keys)
+        .withColumn(DUP_FLAG, ~ordv.eqNullSafe(F.col("_win")))
         .drop("_win")
     )
+    no_key = df.filter(~has_key).withColumn(DUP_FLAG, F.lit(False))
     cols = df.columns + [DUP_FLAG]
-    return hot_rows.select(cols).unionByName(cold_rows.select(cols)).unionByName(no_key.select(cols))
+    return cold.select(cols).unionByName(hot_flagged.select(cols)).unionByName(no_key.select(cols))
 
 
-def dedup_latest(df: DataFrame, keys: list[str], order: list[Column | str], total_rows: int | None = None) -> DataFrame:
+def dedup_latest(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """Keep one row per key (the winner); rows with a NULL key are kept."""
     src = df if ROW_ID in df.columns else with_row_id(df)
-    out = flag_duplicates(src, keys, order, total_rows).filter(~F.col(DUP_FLAG)).drop(DUP_FLAG)
+    out = flag_duplicates(src, keys, order).filter(~F.col(DUP_FLAG)).drop(DUP_FLAG)
     return out if ROW_ID in df.columns else out.drop(ROW_ID)
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """keys that occur more than once, with their copy count."""
+    """keys that occur more than once, with their copy count (map-side combined)."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > 1)
 
 

@@ -36,7 +36,6 @@ def dedup_verdict(
     v: DataFrame,
     keys: list[str],
     order: list[Column | str] | None = None,
-    total_rows: int | None = None,
 ) -> DataFrame:
     """Step 2 on a rule verdict: extra copies of a key among passing rows get ``dup:<key>``."""
     had_id = ROW_ID in v.columns
@@ -45,7 +44,7 @@ def dedup_verdict(
     ok = F.size(F.col(FAILED)) == 0
     good = v.filter(ok)
     bad = v.filter(~ok)
-    flagged = flag_duplicates(good, keys, order or [], total_rows=total_rows)
+    flagged = flag_duplicates(good, keys, order or [])
     dup_reason = F.array(F.lit(DUP_PREFIX + ",".join(keys)))
     flagged = flagged.withColumn(FAILED, F.when(F.col(DUP_FLAG), dup_reason).otherwise(F.col(FAILED))).drop(DUP_FLAG)
     out = flagged.unionByName(bad)
@@ -57,7 +56,6 @@ def assess(
     compiled: list[CompiledRule],
     keys: list[str] | None = None,
     order: list[Column | str] | None = None,
-    total_rows: int | None = None,
 ) -> DataFrame:
     """Full verdict: ``failed_rules`` from casts, rules and dedup.
 
@@ -67,4 +65,4 @@ def assess(
     v = rule_verdict(df, compiled)
     if not keys:
         return v
-    return dedup_verdict(v, keys, order, total_rows)
+    return dedup_verdict(v, keys, order)

@@ -7,8 +7,7 @@ Plan of ``run_source`` (one source, one processing date, one run id):
    parse event times with the source pattern, evaluate every rule;
 3. stage that rule verdict as a Parquet table under ``spark.checkpoint.dir``:
    this cuts the lineage (the row-id tiebreak is frozen, lost executors
-   recompute from the staged files, not from the raw scan), and counts read
-   one column of it;
+   recompute from the staged files, not from the raw scan);
 4. dedup on the primary key among rows that passed (aggregate winners, hot
    keys split -- see ``operators.dedup``); the final verdict is persisted
    for the sinks and metrics and recomputed from the staged files if lost;
@@ -164,10 +163,9 @@ def run_source(
     prepared = prepare(spark, cfg, scan.df)
     compiled = compile_rules(prepared, cfg.rules)
     # Stage the rule verdict: one narrow pass over the raw feed, and the row-id
-    # tiebreak is frozen before any shuffle.
+    # tiebreak is frozen before any shuffle; dedup reads the staged files.
     ruled = _stage(spark, rule_verdict(prepared, compiled), run_id, cfg.source_id)
-    passing = ruled.filter(quality.passed(ruled)).count()  # reads one column
-    staged = dedup_verdict(ruled, [cfg.pk_silver], dedup_order(cfg), total_rows=passing)
+    staged = dedup_verdict(ruled, [cfg.pk_silver], dedup_order(cfg))
     staged = staged.persist(StorageLevel.MEMORY_AND_DISK)  # lost blocks recompute from the staged files
 
     counts_row = quality.quality_counts(staged, compiled).first()
