@@ -7,10 +7,10 @@ copy, so that extra copies can go to the rejected zone and counts reconcile.
 Skew: one key may hold a third of all rows, and a ``row_number`` window
 sorts each key's group inside one task.  Keys are therefore split by heat:
 
-* heavy-hitter candidates come from ``freqItems`` (one pass over the key
-  columns, map-side counters): every key holding more than ``support`` of the
-  rows is returned, plus some false positives, and never more than
-  ``1 / support`` keys -- a proven bound;
+* heavy hitters: ``freqItems`` proposes candidates in one pass over the key
+  columns (every key holding more than ``support`` of the rows, plus some
+  false positives, never more than ``1 / support`` keys -- a proven bound),
+  and an exact count of the candidates keeps the true ones;
 * rows of candidate keys take an aggregate path: the winner is a ``max`` of
   the ordering struct, combined map-side before the shuffle, and the winners
   (at most ``1 / support`` rows) are broadcast back -- the hot rows
@@ -34,6 +34,9 @@ ROW_ID = "_rid"
 # Smallest support Spark's frequent-items aggregate accepts: at most 10,000
 # candidate keys, and no cold key above 0.01 % of the rows.
 FREQ_SUPPORT = 1e-4
+# A group can never hold more rows than the input: below this many keyed rows
+# one task sorts any group comfortably and heavy-hitter detection is skipped.
+MIN_SPLIT_ROWS = 2_000_000
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
@@ -53,11 +56,30 @@ def _has_keys(keys: list[str]) -> Column:
     return cond
 
 
-def hot_keys(df: DataFrame, keys: list[str], support: float = FREQ_SUPPORT) -> DataFrame:
-    """Candidate heavy-hitter keys (at most ``1 / support`` rows, no false negatives)."""
-    found = df.select(F.struct(*keys).alias("_k")).stat.freqItems(["_k"], support).first()[0] or []
+def hot_keys(df: DataFrame, keys: list[str], support: float = FREQ_SUPPORT, total: int | None = None) -> DataFrame:
+    """Keys holding more than ``support`` of the rows (at most ``1 / support`` of them).
+
+    ``freqItems`` proposes candidates in one pass (no false negatives, some
+    false positives); one more pass over the key columns counts the
+    candidates exactly (a broadcast semi-join, counts combined map-side) and
+    keeps the true heavy hitters.  The result is collected: its size is
+    bounded by ``1 / support`` rows.
+    """
+    spark = df.sparkSession
     schema = T.StructType([T.StructField(k, df.schema[k].dataType, True) for k in keys])
-    return df.sparkSession.createDataFrame([tuple(r) for r in found], schema)
+    found = df.select(F.struct(*keys).alias("_k")).stat.freqItems(["_k"], support).first()[0] or []
+    if not found:
+        return spark.createDataFrame([], schema)
+    cands = spark.createDataFrame([tuple(r) for r in found], schema)
+    counted = (
+        df.select(*keys)
+        .join(F.broadcast(cands), keys, "left_semi")
+        .groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    total = df.count() if total is None else total
+    heavy = counted.filter(F.col("_n") > F.lit(support * total)).select(*keys).collect()
+    return spark.createDataFrame([tuple(r) for r in heavy], schema)
 
 
 def flag_duplicates(
@@ -66,6 +88,7 @@ def flag_duplicates(
     order: list[Column | str],
     hot: DataFrame | None = None,
     support: float = FREQ_SUPPORT,
+    min_split_rows: int = MIN_SPLIT_ROWS,
 ) -> DataFrame:
     """Add ``_is_dup``: True for every row that is not its key's winner.
 
@@ -77,13 +100,23 @@ def flag_duplicates(
     has_key = _has_keys(keys)
     keyed = df.filter(has_key)
     if hot is None:
-        hot = hot_keys(keyed, keys, support)
+        total = keyed.count()
+        if total <= min_split_rows:
+            hot = df.sparkSession.createDataFrame([], T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys]))
+        else:
+            hot = hot_keys(keyed, keys, support, total)
+
+    w = Window.partitionBy(*keys).orderBy(ordv.desc())
+    no_key = df.filter(~has_key).withColumn(DUP_FLAG, F.lit(False))
+    cols = df.columns + [DUP_FLAG]
+    if hot.isEmpty():
+        # No heavy hitter: one window shuffle on the key, nothing else.
+        cold = keyed.withColumn(DUP_FLAG, F.row_number().over(w) > 1)
+        return cold.select(cols).unionByName(no_key.select(cols))
 
     marked = keyed.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
     hot_rows = marked.filter(F.col("_hot").isNotNull()).drop("_hot")
     cold_rows = marked.filter(F.col("_hot").isNull()).drop("_hot")
-
-    w = Window.partitionBy(*keys).orderBy(ordv.desc())
     cold = cold_rows.withColumn(DUP_FLAG, F.row_number().over(w) > 1)
 
     winners = hot_rows.groupBy(*keys).agg(F.max(ordv).alias("_win"))
@@ -92,8 +125,6 @@ def flag_duplicates(
         .withColumn(DUP_FLAG, ~ordv.eqNullSafe(F.col("_win")))
         .drop("_win")
     )
-    no_key = df.filter(~has_key).withColumn(DUP_FLAG, F.lit(False))
-    cols = df.columns + [DUP_FLAG]
     return cold.select(cols).unionByName(hot_flagged.select(cols)).unionByName(no_key.select(cols))
 
 
