@@ -150,17 +150,37 @@ def run_source(
     """Ingest one source for one processing date (see module doc)."""
     ensure_settings(spark)
     run_id = run_id or uuid.uuid4().hex
+    scan = read_source(spark, cfg, processing_date)
+    if scan is None:
+        return RunResult(cfg.source_id, processing_date, run_id, "SKIPPED", message="no raw data for this day")
+    return ingest_frame(spark, cfg, scan.df, ",".join(scan.files), processing_date, layout, run_id, rates, now)
+
+
+def ingest_frame(
+    spark: SparkSession,
+    cfg: SourceConfig,
+    raw: DataFrame,
+    source_path: str,
+    processing_date: str,
+    layout: Layout,
+    run_id: str,
+    rates: DataFrame | None = None,
+    now: dt.datetime | None = None,
+    append_only: bool = False,
+) -> RunResult:
+    """Steps 2-7 over an all-text raw DataFrame.
+
+    ``append_only`` (micro-batches of a stream): silver and rejected rows are
+    appended instead of replacing the day's partition.
+    """
+    ensure_settings(spark)
     started = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     t0 = time.time()
     spec = {"processing_date": processing_date, "source_id": cfg.source_id}
     silver_part = partition_path(cfg.silver_path, spec)
     rejected_part = partition_path(cfg.rejected_path, spec)
 
-    scan = read_source(spark, cfg, processing_date)
-    if scan is None:
-        return RunResult(cfg.source_id, processing_date, run_id, "SKIPPED", message="no raw data for this day")
-
-    prepared = prepare(spark, cfg, scan.df)
+    prepared = prepare(spark, cfg, raw)
     compiled = compile_rules(prepared, cfg.rules)
     # Stage the rule verdict: one narrow pass over the raw feed, and the row-id
     # tiebreak is frozen before any shuffle; dedup reads the staged files.
@@ -172,19 +192,26 @@ def run_source(
     rows_read, rows_written = int(counts_row["_total"]), int(counts_row["_passed"])
     rows_rejected = rows_read - rows_written
 
+    def write(df: DataFrame, path: str, rows: int) -> None:
+        if append_only:
+            if rows:
+                append(df, path, schemas.PARTITION_COLUMNS)
+        else:
+            replace_partition(df, path, schemas.PARTITION_COLUMNS, spec, rows)
+
     # silver
     ok = quality.passed(staged)
     data_cols = [f.name for f in _target_fields(cfg)]
     silver = finish_silver(staged.filter(ok).select(*data_cols), cfg, processing_date, rates)
     silver = with_audit_columns(silver, run_id, processing_date, cfg.source_id, ingested_at=_lit_ts(started))
     silver = silver.select(*[f.name for f in schemas.TABLES[cfg.target_table].fields])
-    replace_partition(silver, cfg.silver_path, schemas.PARTITION_COLUMNS, spec, rows_written)
+    write(silver, cfg.silver_path, rows_written)
 
     # rejected zone: raw text + reasons
     rejected = staged.filter(~ok).select(f"{RAW}.*", quality.FAILED).withColumns(
         {"run_id": F.lit(run_id), "processing_date": F.lit(processing_date), "source_id": F.lit(cfg.source_id)}
     )
-    replace_partition(rejected, cfg.rejected_path, schemas.PARTITION_COLUMNS, spec, rows_rejected)
+    write(rejected, cfg.rejected_path, rows_rejected)
 
     # metrics, samples, summary
     counts = spark.createDataFrame([counts_row])
@@ -206,8 +233,8 @@ def run_source(
     append(results, layout.dq_results, schemas.PARTITIONS["dq_results"])
 
     # written-back verification (G4): partition-pruned count of what was written
-    found = 0
-    if rows_written:
+    found = rows_written
+    if rows_written and not append_only:
         found = read_table(spark, cfg.silver_path, schemas.TABLES[cfg.target_table], spec).count()
     summary = quality.summary(counts, compiled).first().asDict()
     status = summary["ingestion_status"]
@@ -231,7 +258,7 @@ def run_source(
     append(summary_df, layout.dq_summary, schemas.PARTITIONS["dq_summary"])
 
     lineage = lineage_frame(
-        spark, run_id, cfg, ",".join(scan.files), silver_part, rows_read, rows_written, rows_rejected,
+        spark, run_id, cfg, source_path, silver_part, rows_read, rows_written, rows_rejected,
         started, completed, status, processing_date,
     )
     append(lineage, layout.lineage, schemas.PARTITIONS["pipeline_lineage"])

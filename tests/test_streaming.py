@@ -1,0 +1,31 @@
+"""Incremental landing-zone ingestion: new files exactly once."""
+
+import os
+import tempfile
+
+from sluice import schemas
+from sluice.config import SEED_CONFIGS
+from sluice.plans.ingest import Layout
+from sluice.sources.tables import read_table
+from sluice.streaming.landing import ingest_stream
+from tests.fixtures import IN_FEED, US_FEED, write_feed
+
+US_COLS = ["transaction_id", "card_number", "merchant_name", "amount_usd", "transaction_time", "status", "is_international"]
+
+
+def test_stream_picks_up_new_files_once(spark):
+    root = tempfile.mkdtemp(prefix="sluice-stream-")
+    write_feed(root, "card_transactions", "2026-01-01", "us_card_transactions_2026-01-01_001.csv", US_FEED)
+    write_feed(root, "card_transactions", "2026-01-01", "in_card_transactions_2026-01-01_001.csv", IN_FEED)
+    us = SEED_CONFIGS[0].with_root(root)
+    layout = Layout(root)
+    ckpt = os.path.join(root, "ckpt")
+    _, res = ingest_stream(spark, us, layout, US_COLS, checkpoint=ckpt)
+    assert [(r.rows_read, r.rows_written, r.rows_rejected) for r in res] == [(7, 1, 6)]  # India file routed away
+    # second landing: a new day; the first file is not read again
+    write_feed(root, "card_transactions", "2026-01-02", "us_card_transactions_2026-01-02_001.csv",
+               US_FEED.replace("2026-01-01", "2026-01-02"))
+    _, res2 = ingest_stream(spark, us, layout, US_COLS, checkpoint=ckpt)
+    assert [(r.processing_date, r.rows_read) for r in res2] == [("2026-01-02", 7)]
+    silver = read_table(spark, us.silver_path, schemas.CARD_TRANSACTIONS_SILVER)
+    assert sorted(r.processing_date for r in silver.collect()) == ["2026-01-01", "2026-01-02"]
