@@ -44,7 +44,7 @@ from sluice.operators import quality
 from sluice.operators.convert import STATUS_MAP, convert_currency, normalise_status
 from sluice.operators.dedup import ROW_ID, with_row_id
 from sluice.operators.lineage import transformation_log
-from sluice.operators.mapping import conform, with_audit_columns
+from sluice.operators.mapping import CAST_FAILURES, conform, with_audit_columns
 from sluice.plans.assess import dedup_verdict, rule_verdict
 from sluice.session import ensure_settings, scratch_path
 from sluice.sinks.writers import append, partition_path, replace_partition
@@ -106,10 +106,17 @@ def prepare(spark: SparkSession, cfg: SourceConfig, raw: DataFrame) -> DataFrame
     return conform(with_raw, cfg.column_mapping, _target_fields(cfg), formats, keep=[RAW, ROW_ID])
 
 
+def retype(spark: SparkSession, cfg: SourceConfig, staged: DataFrame) -> DataFrame:
+    """Typed silver columns recomputed from the staged raw text (same projection as ``prepare``)."""
+    formats = {cfg.date_silver: cfg.date_format}
+    flat = staged.select(f"{RAW}.*", RAW, ROW_ID, quality.FAILED)
+    return conform(flat, cfg.column_mapping, _target_fields(cfg), formats, keep=[RAW, ROW_ID, quality.FAILED]).drop(
+        CAST_FAILURES)
+
+
 def dedup_order(cfg: SourceConfig) -> list[str]:
-    """Newest event time first, then every other silver column."""
-    names = [f.name for f in _target_fields(cfg) if f.name not in (cfg.pk_silver, cfg.date_silver)]
-    return [cfg.date_silver, *names]
+    """Newest event time first, then the whole raw row (a total order on content)."""
+    return [cfg.date_silver, RAW]
 
 
 def finish_silver(df: DataFrame, cfg: SourceConfig, processing_date: str, rates: DataFrame | None) -> DataFrame:
@@ -184,8 +191,10 @@ def ingest_frame(
     compiled = compile_rules(prepared, cfg.rules)
     # Stage the rule verdict: one narrow pass over the raw feed, and the row-id
     # tiebreak is frozen before any shuffle; dedup reads the staged files.
-    ruled = _stage(spark, rule_verdict(prepared, compiled), run_id, cfg.source_id)
-    staged = dedup_verdict(ruled, [cfg.pk_silver], dedup_order(cfg))
+    # Only raw text, row id and verdict are staged (about the raw size); typed
+    # columns are recomputed from the raw text by the same projection.
+    ruled = _stage(spark, rule_verdict(prepared, compiled).select(RAW, ROW_ID, quality.FAILED), run_id, cfg.source_id)
+    staged = dedup_verdict(retype(spark, cfg, ruled), [cfg.pk_silver], dedup_order(cfg))
     staged = staged.persist(StorageLevel.MEMORY_AND_DISK)  # lost blocks recompute from the staged files
 
     counts_row = quality.quality_counts(staged, compiled).first()
