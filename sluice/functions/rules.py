@@ -64,16 +64,34 @@ def compile_rules(df: DataFrame, rules) -> list[CompiledRule]:
     A rule whose text does not resolve (unknown column, bad SQL, unknown
     type) is returned with ``error`` set instead of failing the run; it is
     reported as a failed rule set-up and takes no part in the row verdict.
-    Resolution is analysis only -- no job runs.
+    Resolution is analysis only -- no job runs: all predicates are analysed
+    together, and one by one only when that fails.
     """
-    out = []
+    rules = list(rules)
+    preds: list = []
+    errors: list = []
     for rule in rules:
-        text = rule_expression_text(rule) if rule.type in ("not_null", "allowed_values", "regex", "range", "custom") else ""
         try:
-            pred = rule_predicate(rule)
-            df.select(pred.alias("_probe")).schema  # analysis only
+            preds.append(rule_predicate(rule))
+            errors.append(None)
+        except (AnalysisException, ValueError, TypeError, AttributeError) as exc:  # parse errors included
+            preds.append(None)
+            errors.append((str(exc).splitlines() or [type(exc).__name__])[0][:300])
+    ok_preds = [(i, p) for i, p in enumerate(preds) if p is not None]
+    try:
+        if ok_preds:
+            df.select(*[p.alias(f"_probe{i}") for i, p in ok_preds]).schema  # analysis only
+    except AnalysisException:
+        for i, p in ok_preds:
+            try:
+                df.select(p.alias("_probe")).schema
+            except AnalysisException as exc:
+                errors[i] = str(exc).splitlines()[0][:300] if str(exc) else type(exc).__name__
+    out = []
+    for rule, pred, err in zip(rules, preds, errors):
+        text = rule_expression_text(rule)
+        if err is None:
             out.append(CompiledRule(rule, pred, text))
-        except (AnalysisException, ValueError, TypeError, AttributeError) as exc:
-            msg = str(exc).splitlines()[0][:300] if str(exc) else type(exc).__name__
-            out.append(CompiledRule(rule, F.lit(True), text, error=msg))
+        else:
+            out.append(CompiledRule(rule, F.lit(True), text, error=err))
     return out

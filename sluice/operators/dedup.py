@@ -49,6 +49,10 @@ def _order_struct(order: list[Column | str]) -> Column:
     return F.struct(*fields, F.col(ROW_ID).alias("_oid"))
 
 
+def _order_columns(order: list[Column | str]) -> list[Column]:
+    return [F.col(c) if isinstance(c, str) else c for c in order] + [F.col(ROW_ID)]
+
+
 def _has_keys(keys: list[str]) -> Column:
     cond = F.lit(True)
     for k in keys:
@@ -106,7 +110,9 @@ def flag_duplicates(
         else:
             hot = hot_keys(keyed, keys, support, total)
 
-    w = Window.partitionBy(*keys).orderBy(ordv.desc())
+    # Same order as the struct comparison (NULL lowest), column by column so
+    # that the sort can use a prefix of the first column.
+    w = Window.partitionBy(*keys).orderBy(*[c.desc_nulls_last() for c in _order_columns(order)])
     no_key = df.filter(~has_key).withColumn(DUP_FLAG, F.lit(False))
     cols = df.columns + [DUP_FLAG]
     if hot.isEmpty():

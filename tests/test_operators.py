@@ -41,6 +41,8 @@ def test_custom_modulo_and_unknown_column_is_setup_error(spark):
              Rule("bad", "bad", "nope", "custom", 1.0, expression="nope > 1")]
     compiled = compile_rules(df, rules)
     assert compiled[0].error is None and compiled[1].error is not None
+    broken = compile_rules(df, [Rule("p", "p", "amount_sgd", "custom", 1.0, expression="amount_sgd >>> (")])
+    assert broken[0].error is not None
     m = quality.rule_metrics_direct(df, compiled).orderBy("rule_id").collect()
     assert (m[0].rule_id, m[0].passed_rows, m[0].rule_passed) == ("bad", None, False)
     assert (m[1].failed_rows, m[1].pass_rate, m[1].rule_passed) == (1, 0.5, False)
