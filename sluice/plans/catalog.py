@@ -49,9 +49,14 @@ def create_external_table(spark: SparkSession, db: str, table: str, location: st
     )
 
 
-def create_all(spark: SparkSession, db: str, layout: Layout) -> None:
-    """B6 + B7 + B5: database, managed config table, external tables."""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {_ident(db)} COMMENT 'Metadata-driven ingestion'")
+def create_all(spark: SparkSession, db: str, layout: Layout, location: str | None = None) -> None:
+    """B6 + B7 + B5: database, managed config table, external tables.
+
+    ``location`` places the database (and so its managed tables) outside
+    the session's default warehouse.
+    """
+    loc = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {_ident(db)} COMMENT 'Metadata-driven ingestion'{loc}")
     if not spark.catalog.tableExists(f"{db}.ingestion_config"):
         spark.createDataFrame([], schemas.INGESTION_CONFIG).write.format("parquet").saveAsTable(f"{db}.ingestion_config")
     for table, loc in external_locations(layout).items():
@@ -71,8 +76,8 @@ def drop_database(spark: SparkSession, db: str) -> None:
 
 
 def list_tables(spark: SparkSession, db: str) -> DataFrame:
-    """``SHOW TABLES`` as a DataFrame."""
-    return spark.sql(f"SHOW TABLES IN {_ident(db)}")
+    """``SHOW TABLES`` as a DataFrame (catalog tables only, no temporary views)."""
+    return spark.sql(f"SHOW TABLES IN {_ident(db)}").filter(~F.col("isTemporary"))
 
 
 def table_type(spark: SparkSession, db: str, table: str) -> str:

@@ -147,7 +147,7 @@ def catalog_objects(spark, sf_dir):
 
     _, cfg, layout, _ = orders_run(spark, sf_dir)
     db = "sluice_" + uuid.uuid4().hex[:12]
-    create_all(spark, db, Layout(layout.root))
+    create_all(spark, db, Layout(layout.root), location=scratch_path(spark, "catalog", db))
     standin_config_frame(spark).write.insertInto(f"{db}.ingestion_config")
     rows = []
     for name in sorted(r["tableName"] for r in list_tables(spark, db).collect()):
