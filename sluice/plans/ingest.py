@@ -153,6 +153,7 @@ def run_source(
     run_id: str | None = None,
     rates: DataFrame | None = None,
     now: dt.datetime | None = None,
+    profile_registry: bool = False,
 ) -> RunResult:
     """Ingest one source for one processing date (see module doc)."""
     ensure_settings(spark)
@@ -160,7 +161,8 @@ def run_source(
     scan = read_source(spark, cfg, processing_date)
     if scan is None:
         return RunResult(cfg.source_id, processing_date, run_id, "SKIPPED", message="no raw data for this day")
-    return ingest_frame(spark, cfg, scan.df, ",".join(scan.files), processing_date, layout, run_id, rates, now)
+    return ingest_frame(spark, cfg, scan.df, ",".join(scan.files), processing_date, layout, run_id, rates, now,
+                        profile_registry=profile_registry)
 
 
 def ingest_frame(
@@ -174,11 +176,14 @@ def ingest_frame(
     rates: DataFrame | None = None,
     now: dt.datetime | None = None,
     append_only: bool = False,
+    profile_registry: bool = False,
 ) -> RunResult:
     """Steps 2-7 over an all-text raw DataFrame.
 
     ``append_only`` (micro-batches of a stream): silver and rejected rows are
-    appended instead of replacing the day's partition.
+    appended instead of replacing the day's partition.  ``profile_registry``:
+    profile the silver rows written (H1 + H2) and append the snapshot to the
+    schema registry under the config's schema version (H4).
     """
     ensure_settings(spark)
     started = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
@@ -271,6 +276,12 @@ def ingest_frame(
         started, completed, status, processing_date,
     )
     append(lineage, layout.lineage, schemas.PARTITIONS["pipeline_lineage"])
+    if profile_registry and rows_written:
+        from sluice.operators.registry import snapshot
+
+        written = read_table(spark, cfg.silver_path, schemas.TABLES[cfg.target_table], spec, data_cols)
+        append(snapshot(written, cfg.source_id, cfg.schema_version, _lit_ts(started)), layout.registry,
+               schemas.PARTITIONS["schema_registry"])
     staged.unpersist()
     return RunResult(cfg.source_id, processing_date, run_id, status, rows_read, rows_written, rows_rejected,
                      rule_rows, message)
@@ -299,6 +310,7 @@ def run_all(
     run_id: str | None = None,
     rates: DataFrame | None = None,
     parallel: int = 1,
+    profile_registry: bool = False,
 ) -> list[RunResult]:
     """All active sources of one day; a failing source never stops the others.
 
@@ -314,7 +326,7 @@ def run_all(
     def one(cfg: SourceConfig) -> RunResult:
         started = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
         try:
-            return run_source(spark, cfg, processing_date, layout, run_id, rates)
+            return run_source(spark, cfg, processing_date, layout, run_id, rates, profile_registry=profile_registry)
         except Exception as exc:  # noqa: BLE001 -- failure isolation per source
             msg = f"{type(exc).__name__}: {str(exc).splitlines()[0] if str(exc) else ''}"
             try:

@@ -84,7 +84,8 @@ def test_rerun_is_idempotent(spark):
 def test_run_all_four_sources(spark):
     root, configs = _setup()
     layout = Layout(root)
-    results = {r.source_id: r for r in run_all(spark, configs, DATE, layout, run_id="run-all", rates=_rates(spark))}
+    results = {r.source_id: r for r in run_all(spark, configs, DATE, layout, run_id="run-all", rates=_rates(spark),
+                                               profile_registry=True)}
     assert results["src_us_card_txns"].rows_read == 7
     india = results["src_in_card_txns"]
     assert (india.rows_read, india.rows_written, india.rows_rejected) == (3, 1, 2)
@@ -99,6 +100,10 @@ def test_run_all_four_sources(spark):
     assert (atm.rows_read, atm.rows_written, atm.rows_rejected) == (3, 2, 1)  # 75 is not a multiple of 50
     atm_rows = read_table(spark, configs[3].silver_path, schemas.ATM_SILVER).orderBy("withdrawal_id").collect()
     assert [str(x.withdrawal_ts) for x in atm_rows] == ["2026-01-01 10:00:00.123456", "2026-01-01 12:00:00.500000"]
+    reg = read_table(spark, layout.registry, schemas.SCHEMA_REGISTRY, {"source_id_part": "src_atm_sg"}).collect()
+    assert {r.column_name for r in reg} == {"withdrawal_id", "atm_id", "card_hash", "amount_sgd", "currency",
+                                            "withdrawal_ts", "dispense_status", "location"}
+    assert {r.schema_version for r in reg} == {1}
     # both card sources share one silver table, told apart by source_id
     both = read_table(spark, configs[0].silver_path, schemas.CARD_TRANSACTIONS_SILVER)
     assert sorted(r.source_id for r in both.collect()) == ["src_in_card_txns", "src_us_card_txns"]
