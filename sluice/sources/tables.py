@@ -29,11 +29,18 @@ def read_table(
     return df.select(*columns) if columns else df
 
 
+MAX_BROADCAST_GROUPS = 100_000
+
+
 def latest_snapshot(df: DataFrame, group: str = "source_id", version: str = "processing_date") -> DataFrame:
     """Rows of the newest snapshot per group (reference data overwritten per run).
 
-    Computed as a semi-join against the max version per group: one small
-    aggregate, no window over the rows.
+    A semi-join against the max version per group: one aggregate combined
+    map-side (a group with a third of all rows collapses before the
+    shuffle), no window over the rows.  The (group, version) pairs are
+    broadcast once their count is checked, so the rows are never shuffled.
     """
     newest = df.groupBy(group).agg(F.max(version).alias(version))
+    if newest.count() <= MAX_BROADCAST_GROUPS:
+        newest = F.broadcast(newest)
     return df.join(newest, [group, version], "left_semi")
