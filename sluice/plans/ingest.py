@@ -46,7 +46,7 @@ from sluice.operators.dedup import ROW_ID, with_row_id
 from sluice.operators.lineage import transformation_log
 from sluice.operators.mapping import CAST_FAILURES, conform, with_audit_columns
 from sluice.plans.assess import dedup_verdict, rule_verdict
-from sluice.session import ensure_settings, scratch_path
+from sluice.session import ensure_settings, scratch_path, size_shuffles
 from sluice.sinks.writers import append, partition_path, replace_partition
 from sluice.sources.files import read_source
 from sluice.sources.tables import read_table
@@ -161,6 +161,7 @@ def run_source(
     scan = read_source(spark, cfg, processing_date)
     if scan is None:
         return RunResult(cfg.source_id, processing_date, run_id, "SKIPPED", message="no raw data for this day")
+    size_shuffles(spark, scan.bytes)
     return ingest_frame(spark, cfg, scan.df, ",".join(scan.files), processing_date, layout, run_id, rates, now,
                         profile_registry=profile_registry)
 

@@ -31,6 +31,26 @@ def ensure_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
+TARGET_SHUFFLE_PARTITION_BYTES = 128 * 1024 * 1024
+MAX_SHUFFLE_PARTITIONS = 200_000
+
+
+def size_shuffles(spark: SparkSession, input_bytes: int) -> int:
+    """Raise the initial shuffle partition count to about one per 128 MB of input.
+
+    AQE merges small shuffle partitions at run time but cannot split a
+    too-coarse one (skew joins aside), so the starting count must grow with
+    the input.  Never lowers a configured value.
+    """
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    current = spark.conf.get(key, None) or spark.conf.get("spark.sql.shuffle.partitions", "200")
+    want = min(MAX_SHUFFLE_PARTITIONS, -(-int(input_bytes) // TARGET_SHUFFLE_PARTITION_BYTES))
+    n = max(int(current), want)
+    if n != int(current):
+        spark.conf.set(key, str(n))
+    return n
+
+
 def work_root(spark: SparkSession) -> str:
     """Shared folder for staged tables and scratch output.
 

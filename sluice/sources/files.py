@@ -30,6 +30,7 @@ class RawScan:
     df: DataFrame
     files: tuple[str, ...]
     path: str
+    bytes: int = 0
 
 
 # ---------------------------------------------------------------------------
@@ -46,7 +47,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def list_data_files(spark: SparkSession, path: str) -> list[str]:
+def list_data_files(spark: SparkSession, path: str, with_sizes: bool = False):
     """Data files directly under ``path`` (hidden and ``_`` files skipped)."""
     fs, p = hadoop_fs(spark, path)
     if not fs.exists(p):
@@ -55,8 +56,18 @@ def list_data_files(spark: SparkSession, path: str) -> list[str]:
     for st in fs.listStatus(p):
         name = st.getPath().getName()
         if st.isFile() and not name.startswith((".", "_")):
-            out.append(st.getPath().toString())
-    return sorted(out)
+            out.append((st.getPath().toString(), int(st.getLen())))
+    out.sort()
+    return out if with_sizes else [f for f, _ in out]
+
+
+def total_bytes(spark: SparkSession, files) -> int:
+    """Summed length of the given files (file-system metadata only)."""
+    total = 0
+    for f in files:
+        fs, p = hadoop_fs(spark, f)
+        total += int(fs.getFileStatus(p).getLen())
+    return total
 
 
 def make_dirs(spark: SparkSession, path: str) -> None:
@@ -137,7 +148,7 @@ def read_source(spark: SparkSession, cfg: SourceConfig, processing_date: str) ->
             .option("multiLine", "false")
             .csv(files)
         )
-        return RawScan(df, tuple(files), path)
+        return RawScan(df, tuple(files), path, total_bytes(spark, files))
     files = list_data_files(spark, path) or [path]
     if fmt == "json":
         df = spark.read.schema(string_schema(raw_cols)).json(files)
@@ -146,7 +157,7 @@ def read_source(spark: SparkSession, cfg: SourceConfig, processing_date: str) ->
         df = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
     else:
         raise ValueError(f"{cfg.source_id}: unsupported file format {cfg.file_format!r}")
-    return RawScan(df, tuple(files), path)
+    return RawScan(df, tuple(files), path, total_bytes(spark, files))
 
 
 def read_headerless(spark: SparkSession, path: str, ddl: str, delimiter: str = ",") -> DataFrame:

@@ -90,3 +90,20 @@ def test_dynamic_overwrite_and_empty_rerun(spark):
     append(b, path + "_audit", ["processing_date"])
     append(b, path + "_audit", ["processing_date"])
     assert spark.read.parquet(path + "_audit").count() == 2
+
+
+def test_shuffle_sizing_only_raises(spark):
+    from sluice.session import size_shuffles
+
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(key, None)
+    try:
+        base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert size_shuffles(spark, 1024) == base  # small input: unchanged
+        assert size_shuffles(spark, 100 * 1024**4) == 200_000  # 100 TB: capped
+        assert size_shuffles(spark, 1024) == 200_000  # never lowered
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
