@@ -42,7 +42,7 @@ from sluice.functions.rules import compile_rules
 from sluice.functions.timefmt import to_utc
 from sluice.operators import quality
 from sluice.operators.convert import STATUS_MAP, convert_currency, normalise_status
-from sluice.operators.dedup import ROW_ID, with_row_id
+from sluice.operators.dedup import MIN_SPLIT_ROWS, ROW_ID, with_row_id
 from sluice.operators.lineage import transformation_log
 from sluice.operators.mapping import CAST_FAILURES, conform, with_audit_columns
 from sluice.plans.assess import dedup_verdict, rule_verdict
@@ -178,6 +178,7 @@ def ingest_frame(
     now: dt.datetime | None = None,
     append_only: bool = False,
     profile_registry: bool = False,
+    min_split_rows: int = MIN_SPLIT_ROWS,
 ) -> RunResult:
     """Steps 2-7 over an all-text raw DataFrame.
 
@@ -200,7 +201,7 @@ def ingest_frame(
     # Only raw text, row id and verdict are staged (about the raw size); typed
     # columns are recomputed from the raw text by the same projection.
     ruled = _stage(spark, rule_verdict(prepared, compiled).select(RAW, ROW_ID, quality.FAILED), run_id, cfg.source_id)
-    staged = dedup_verdict(retype(spark, cfg, ruled), [cfg.pk_silver], dedup_order(cfg))
+    staged = dedup_verdict(retype(spark, cfg, ruled), [cfg.pk_silver], dedup_order(cfg), min_split_rows)
     staged = staged.persist(StorageLevel.MEMORY_AND_DISK)  # lost blocks recompute from the staged files
 
     counts_row = quality.quality_counts(staged, compiled).first()

@@ -113,3 +113,31 @@ def test_missing_day_is_skipped(spark):
     root, configs = _setup()
     res = run_source(spark, configs[0], "2030-01-01", Layout(root))
     assert res.status == "SKIPPED"
+
+
+def test_hot_key_feed_reconciles(spark):
+    """One key holds a third of the rows: one winner, every other copy rejected, counts exact."""
+    from sluice.plans.ingest import ingest_frame
+
+    us = SEED_CONFIGS[0].with_root(tempfile.mkdtemp(prefix="sluice-hot-"))
+    lines = US_FEED.strip().splitlines()
+    header = lines[0]
+    rows = []
+    for i in range(3000):
+        tid = "HOT" if i % 3 == 0 else f"K{i}"
+        rows.append(f"{tid},4000000000000001,Acme,{10 + i % 7}.5,2026-01-01 10:{i % 60:02d}:{(i // 60) % 60:02d},APPROVED,0")
+    path = os.path.join(tempfile.mkdtemp(prefix="sluice-hot-raw-"), "feed.csv")
+    with open(path, "w") as f:
+        f.write("\n".join([header, *rows]) + "\n")
+    raw = spark.read.option("header", "true").schema(", ".join(f"`{c}` string" for c in header.split(","))).csv(path)
+    layout = Layout(os.path.dirname(us.silver_path.rstrip("/")))
+    res = ingest_frame(spark, us, raw, path, DATE, layout, "run-hot", min_split_rows=0)
+    assert (res.rows_read, res.rows_written, res.rows_rejected) == (3000, 2001, 999)
+    silver = read_table(spark, us.silver_path, schemas.CARD_TRANSACTIONS_SILVER)
+    hot = silver.filter(F.col("transaction_id") == "HOT").collect()
+    assert len(hot) == 1
+    # the newest copy wins: latest minute, then latest second
+    newest = max((f"10:{i % 60:02d}:{(i // 60) % 60:02d}", i) for i in range(0, 3000, 3))
+    assert hot[0].transaction_ts.strftime("%H:%M:%S") == newest[0]
+    rej = spark.read.parquet(us.rejected_path)
+    assert rej.filter(F.array_contains("failed_rules", "dup:transaction_id")).count() == 999
