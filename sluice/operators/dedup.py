@@ -60,7 +60,7 @@ def _has_keys(keys: list[str]) -> Column:
     return cond
 
 
-def hot_keys(df: DataFrame, keys: list[str], support: float = FREQ_SUPPORT, total: int | None = None) -> DataFrame:
+def hot_key_rows(df: DataFrame, keys: list[str], support: float = FREQ_SUPPORT, total: int | None = None) -> list[tuple]:
     """Keys holding more than ``support`` of the rows (at most ``1 / support`` of them).
 
     ``freqItems`` proposes candidates in one pass (no false negatives, some
@@ -70,10 +70,10 @@ def hot_keys(df: DataFrame, keys: list[str], support: float = FREQ_SUPPORT, tota
     bounded by ``1 / support`` rows.
     """
     spark = df.sparkSession
-    schema = T.StructType([T.StructField(k, df.schema[k].dataType, True) for k in keys])
+    schema = _key_schema(df, keys)
     found = df.select(F.struct(*keys).alias("_k")).stat.freqItems(["_k"], support).first()[0] or []
     if not found:
-        return spark.createDataFrame([], schema)
+        return []
     cands = spark.createDataFrame([tuple(r) for r in found], schema)
     counted = (
         df.select(*keys)
@@ -83,7 +83,16 @@ def hot_keys(df: DataFrame, keys: list[str], support: float = FREQ_SUPPORT, tota
     )
     total = df.count() if total is None else total
     heavy = counted.filter(F.col("_n") > F.lit(support * total)).select(*keys).collect()
-    return spark.createDataFrame([tuple(r) for r in heavy], schema)
+    return [tuple(r) for r in heavy]
+
+
+def hot_keys(df: DataFrame, keys: list[str], support: float = FREQ_SUPPORT, total: int | None = None) -> DataFrame:
+    """``hot_key_rows`` as a DataFrame (at most ``1 / support`` rows)."""
+    return df.sparkSession.createDataFrame(hot_key_rows(df, keys, support, total), _key_schema(df, keys))
+
+
+def _key_schema(df: DataFrame, keys: list[str]) -> T.StructType:
+    return T.StructType([T.StructField(k, df.schema[k].dataType, True) for k in keys])
 
 
 def flag_duplicates(
@@ -105,17 +114,15 @@ def flag_duplicates(
     keyed = df.filter(has_key)
     if hot is None:
         total = keyed.count()
-        if total <= min_split_rows:
-            hot = df.sparkSession.createDataFrame([], T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys]))
-        else:
-            hot = hot_keys(keyed, keys, support, total)
+        rows = [] if total <= min_split_rows else hot_key_rows(keyed, keys, support, total)
+        hot = df.sparkSession.createDataFrame(rows, _key_schema(df, keys)) if rows else None
 
     # Same order as the struct comparison (NULL lowest), column by column so
     # that the sort can use a prefix of the first column.
     w = Window.partitionBy(*keys).orderBy(*[c.desc_nulls_last() for c in _order_columns(order)])
     no_key = df.filter(~has_key).withColumn(DUP_FLAG, F.lit(False))
     cols = df.columns + [DUP_FLAG]
-    if hot.isEmpty():
+    if hot is None:
         # No heavy hitter: one window shuffle on the key, nothing else.
         cold = keyed.withColumn(DUP_FLAG, F.row_number().over(w) > 1)
         return cold.select(cols).unionByName(no_key.select(cols))

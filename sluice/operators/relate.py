@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sluice.operators.dedup import MIN_SPLIT_ROWS
 
@@ -19,14 +20,16 @@ def union_sources(frames: dict[str, DataFrame], source_col: str = "source_id") -
 
 def _hot_child_keys(child: DataFrame, child_key: str, min_split_rows: int) -> DataFrame | None:
     """Heavy-hitter child keys, or None when no split is needed (see ``dedup.hot_keys``)."""
-    from sluice.operators.dedup import hot_keys
+    from sluice.operators.dedup import hot_key_rows
 
     keyed = child.filter(F.col(child_key).isNotNull())
     total = keyed.count()
     if total <= min_split_rows:
         return None
-    hot = hot_keys(keyed, [child_key], total=total)
-    return None if hot.isEmpty() else hot
+    rows = hot_key_rows(keyed, [child_key], total=total)
+    if not rows:
+        return None
+    return child.sparkSession.createDataFrame(rows, T.StructType([T.StructField(child_key, child.schema[child_key].dataType)]))
 
 
 def fk_join(
