@@ -32,7 +32,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -221,7 +221,10 @@ def ingest_frame(
     silver = finish_silver(staged.filter(ok).select(*data_cols), cfg, processing_date, rates)
     silver = with_audit_columns(silver, run_id, processing_date, cfg.source_id, ingested_at=_lit_ts(started))
     silver = silver.select(*[f.name for f in schemas.TABLES[cfg.target_table].fields])
-    write(silver, cfg.silver_path, rows_written)
+    # G1 cross-check: the writer's own row count, observed during the write
+    obs = Observation(f"silver-{uuid.uuid4().hex}")
+    write(silver.observe(obs, F.count(F.lit(1)).alias("rows")), cfg.silver_path, rows_written)
+    observed = int(obs.get["rows"]) if rows_written else 0
 
     # rejected zone: raw text + reasons
     rejected = staged.filter(~ok).select(f"{RAW}.*", quality.FAILED).withColumns(
@@ -255,8 +258,8 @@ def ingest_frame(
     summary = quality.summary(counts, compiled).first().asDict()
     status = summary["ingestion_status"]
     message = None
-    if found != rows_written:
-        status, message = "FAILED", f"written-back count {found} != rows_written {rows_written}"
+    if found != rows_written or observed != rows_written:
+        status, message = "FAILED", f"written {observed} / re-read {found} != rows_written {rows_written}"
     completed = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     duration = int(round(time.time() - t0))
 

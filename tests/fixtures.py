@@ -28,6 +28,13 @@ W2,ATM2,0123456789abcdef,75,SGD,2026-01-01T11:00:00,DISPENSED,Jurong
 W3,ATM3,0123456789abcdef,50,SGD,2026-01-01T12:00:00.5,FAILED,Changi
 """
 
+FRAUD_FEED = """flag_id,transaction_ref,fraud_score,flag_type,flagged_at,reviewed
+F1,U1,0.91,VELOCITY,2026-01-01T10:30:00.250000,0
+F2,U1,0.55,GEO_ANOMALY,2026-01-01T11:00:00,1
+F3,U999,0.4,AMOUNT_SPIKE,2026-01-01T12:00:00,0
+F4,,0.7,NEW_MERCHANT,2026-01-01T13:00:00,0
+"""
+
 EMP_CSV = "101,ALICE,Data Engineering,75000.0\n102,BOB,Analytics,68000.0\n103,CHARLIE,Operations,55000.0\n"
 
 

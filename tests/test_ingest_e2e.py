@@ -9,7 +9,12 @@ from sluice import schemas
 from sluice.config import SEED_CONFIGS
 from sluice.plans.ingest import Layout, run_all, run_source
 from sluice.sources.tables import read_table
-from tests.fixtures import ATM_FEED, IN_FEED, MERCHANT_FEED, US_FEED, write_feed
+from dataclasses import replace
+
+from sluice.config import FRAUD_CONFIG
+from sluice.operators.relate import fk_join, fk_orphans
+from sluice.sources.files import read_source
+from tests.fixtures import ATM_FEED, FRAUD_FEED, IN_FEED, MERCHANT_FEED, US_FEED, write_feed
 
 DATE = "2026-01-01"
 
@@ -20,6 +25,7 @@ def _setup():
     write_feed(root, "card_transactions", DATE, f"in_card_transactions_{DATE}_001.csv", IN_FEED)
     write_feed(root, "merchant_updates", DATE, f"merchant_updates_{DATE}_001.csv", MERCHANT_FEED)
     write_feed(root, "atm_withdrawals", DATE, f"atm_withdrawals_{DATE}_001.csv", ATM_FEED)
+    write_feed(root, "fraud_flags", DATE, f"fraud_flags_{DATE}_001.csv", FRAUD_FEED)
     configs = [c.with_root(root) for c in SEED_CONFIGS]
     return root, configs
 
@@ -141,3 +147,44 @@ def test_hot_key_feed_reconciles(spark):
     assert hot[0].transaction_ts.strftime("%H:%M:%S") == newest[0]
     rej = spark.read.parquet(us.rejected_path)
     assert rej.filter(F.array_contains("failed_rules", "dup:transaction_id")).count() == 999
+
+
+def test_five_feeds_invariants(spark):
+    """Five feeds in one run; invariants of SURVEY section 5 on every source."""
+    root, configs = _setup()
+    configs = configs + [replace(FRAUD_CONFIG.with_root(root), is_active=True)]
+    layout = Layout(root)
+    results = run_all(spark, configs, DATE, layout, run_id="run-5", rates=_rates(spark))
+    assert {r.source_id: r.status for r in results}["src_fraud_flags"] == "PARTIAL"  # F3 score, F4 ref
+    lin = read_table(spark, layout.lineage, schemas.PIPELINE_LINEAGE)
+    assert lin.count() == 5
+    assert lin.filter(F.col("rows_read") != F.col("rows_written") + F.col("rows_rejected")).count() == 0  # G2
+    dq = read_table(spark, layout.dq_results, schemas.DQ_RESULTS)
+    assert dq.filter(F.col("passed_rows") + F.col("failed_rows") != F.col("total_rows")).count() == 0
+    assert dq.count() == 21  # 18 seeded rules + 3 fraud rules
+    for cfg in configs:
+        silver = read_table(spark, cfg.silver_path, schemas.TABLES[cfg.target_table], {"source_id": cfg.source_id})
+        pk = cfg.pk_silver
+        assert silver.count() == silver.select(pk).distinct().count()  # silver key unique
+        raw = read_source(spark, cfg, DATE).df  # the routed feed of this source
+        rejected = spark.read.parquet(cfg.rejected_path).filter(F.col("source_id") == cfg.source_id)
+        key_raw = [c for c, s_ in cfg.column_mapping if s_ == pk][0]
+        back = silver.select(F.col(pk).alias("k")).unionAll(rejected.select(F.col(key_raw).alias("k")))
+        assert raw.select(F.col(key_raw).alias("k")).exceptAll(back).count() == 0  # silver + rejected = raw
+        assert back.count() == raw.count()
+    # fraud flags join to card transactions 1:N; orphans found
+    card = read_table(spark, configs[0].silver_path, schemas.CARD_TRANSACTIONS_SILVER)
+    flags = read_table(spark, configs[-1].silver_path, schemas.FRAUD_FLAGS_SILVER).drop("run_id", "ingested_at", "dq_passed", "processing_date", "source_id")
+    assert fk_join(flags, card, "transaction_ref", "transaction_id").count() == 2  # F1 and F2 both hit U1
+    assert fk_orphans(flags, card, "transaction_ref", "transaction_id").count() == 0
+
+
+def test_rerun_gives_identical_silver(spark):
+    root, configs = _setup()
+    layout = Layout(root)
+    cols = [f.name for f in schemas.data_fields("merchant_silver")]
+    run_source(spark, configs[2], DATE, layout, run_id="a")
+    first = {tuple(r) for r in read_table(spark, configs[2].silver_path, schemas.MERCHANT_SILVER).select(*cols).collect()}
+    run_source(spark, configs[2], DATE, layout, run_id="b")
+    second = {tuple(r) for r in read_table(spark, configs[2].silver_path, schemas.MERCHANT_SILVER).select(*cols).collect()}
+    assert first == second and len(first) == 1
