@@ -84,7 +84,7 @@ class SourceConfig:
     is_active: bool = True
     created_by: str = "human"
     schema_version: int = 1
-    # Extensions for gaps in the reference's config model (see README).
+    # Extensions for gaps in the config model (see README).
     file_pattern: str | None = None
     source_timezone: str = "UTC"
     source_currency: str | None = None
