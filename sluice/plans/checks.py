@@ -38,6 +38,16 @@ def config_checks(config_df: DataFrame, active_expected: int, rule_source: str,
     ]
 
 
+def catalog_checks(spark: SparkSession, db: str) -> list[DataFrame]:
+    """The config table is MANAGED and the results table EXTERNAL."""
+    from sluice.plans.catalog import table_type
+
+    return [
+        literal_check(spark, "config_table_managed", "MANAGED", table_type(spark, db, "ingestion_config")),
+        literal_check(spark, "results_table_external", "EXTERNAL", table_type(spark, db, "dq_results")),
+    ]
+
+
 def expectations(checks: list[DataFrame]) -> DataFrame:
     """The union of all checks."""
     out = checks[0]

@@ -437,7 +437,8 @@ ORACLES["catalog_objects"] = (
     "UNION ALL SELECT 'fraud_flags_silver', 'EXTERNAL', 0 UNION ALL SELECT 'ingestion_config', 'MANAGED', 4"
 )
 ORACLES["expectations"] = (
-    "SELECT * FROM (VALUES ('active_sources', '3', '3', true), ('row_once_after_update', '1', '1', true), "
+    "SELECT * FROM (VALUES ('config_table_managed', 'MANAGED', 'MANAGED', true), "
+    "('results_table_external', 'EXTERNAL', 'EXTERNAL', true), ('active_sources', '3', '3', true), ('row_once_after_update', '1', '1', true), "
     "('rule_q003_present', 'true', 'true', true), ('silver_key_unique', 'true', 'true', true), "
     "('lineage_reconciled', '0', '0', true), ('silver_union_rejected_is_raw', '0', '0', true)) "
     "v(\"check\", expected, actual, ok)"

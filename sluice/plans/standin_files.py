@@ -160,15 +160,21 @@ def catalog_objects(spark, sf_dir):
 @query
 def expectations(spark, sf_dir):
     """J1 + J2: set-up checks on the config table and invariants of the run."""
-    from sluice.plans.checks import check_row, config_checks, expectations as union
+    from sluice.plans.catalog import create_all, drop_database
+    from sluice.plans.checks import catalog_checks, check_row, config_checks, expectations as union
 
     _, cfg, layout, _ = orders_run(spark, sf_dir)
+    db = "sluice_" + uuid.uuid4().hex[:12]
+    create_all(spark, db, Layout(layout.root), location=scratch_path(spark, "catalog", db))
+    kinds = catalog_checks(spark, db)
+    kinds = [spark.createDataFrame(k.collect(), k.schema) for k in kinds]  # evaluated before the drop
+    drop_database(spark, db)
     conf = standin_config_frame(spark)
     silver = read_table(spark, cfg.silver_path, schemas.CARD_TRANSACTIONS_SILVER, {"source_id": cfg.source_id})
     rejected = spark.read.parquet(cfg.rejected_path)
     raw = spark.read.option("header", "true").csv(cfg.raw_path_for(RUN_DATE))
     lin = read_table(spark, layout.lineage, schemas.PIPELINE_LINEAGE)
-    checks = config_checks(conf, 3, "src_orders", "q003", "src_orders") + [
+    checks = kinds + config_checks(conf, 3, "src_orders", "q003", "src_orders") + [
         check_row(silver.agg((F.count(F.lit(1)) == F.count_distinct("transaction_id")).alias("u")),
                   "silver_key_unique", "true", F.col("u")),
         check_row(lin.agg(F.count_if(F.col("rows_read") != F.col("rows_written") + F.col("rows_rejected")).alias("n")),

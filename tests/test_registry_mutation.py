@@ -9,7 +9,7 @@ from sluice.config import SEED_CONFIGS, config_frame
 from sluice.operators.mutate import commit_snapshot, delete_rows, latest_version, read_snapshot, update_rows, upsert
 from sluice.operators.registry import bump_versions, infer_types, profile, sample_values, schema_drift, snapshot, value_drift
 from sluice.plans.catalog import create_all, drop_database, list_tables, table_type
-from sluice.plans.checks import config_checks, expectations, seed_listing
+from sluice.plans.checks import catalog_checks, config_checks, expectations, seed_listing
 from sluice.plans.ingest import Layout
 from sluice.sources.files import read_headerless
 from tests.fixtures import EMP_CSV
@@ -103,8 +103,10 @@ def test_catalog_and_checks(spark):
     assert table_type(spark, db, "ingestion_config") == "MANAGED"
     assert table_type(spark, db, "dq_results") == "EXTERNAL"
     conf = spark.table(f"{db}.ingestion_config")
-    checks = {r.check: (r.actual, r.ok) for r in expectations(config_checks(conf, 4, "src_atm_sg", "r014", "src_us_card_txns")).collect()}
-    assert checks == {"active_sources": ("4", True), "row_once_after_update": ("1", True), "rule_r014_present": ("true", True)}
+    checks = {r.check: (r.actual, r.ok) for r in expectations(
+        catalog_checks(spark, db) + config_checks(conf, 4, "src_atm_sg", "r014", "src_us_card_txns")).collect()}
+    assert checks == {"config_table_managed": ("MANAGED", True), "results_table_external": ("EXTERNAL", True),
+                      "active_sources": ("4", True), "row_once_after_update": ("1", True), "rule_r014_present": ("true", True)}
     listing = [(r.source_id, r.is_active, r.created_by, r.schema_version) for r in seed_listing(conf).collect()]
     assert [x[0] for x in listing] == ["src_atm_sg", "src_in_card_txns", "src_us_card_txns", "src_merchant_updates"]
     assert all(x[1:] == (True, "human", 1) for x in listing)
