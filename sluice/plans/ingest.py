@@ -48,7 +48,7 @@ from sluice.operators.mapping import CAST_FAILURES, conform, with_audit_columns
 from sluice.plans.assess import dedup_verdict, rule_verdict
 from sluice.session import ensure_settings, scratch_path, size_shuffles
 from sluice.sinks.writers import append, partition_path, replace_partition
-from sluice.sources.files import read_source
+from sluice.sources.files import delete_path, read_source
 from sluice.sources.tables import read_table
 
 RAW = "_raw"
@@ -139,10 +139,10 @@ def finish_silver(df: DataFrame, cfg: SourceConfig, processing_date: str, rates:
     return out
 
 
-def _stage(spark: SparkSession, df: DataFrame, run_id: str, source_id: str) -> DataFrame:
+def _stage(spark: SparkSession, df: DataFrame, run_id: str, source_id: str) -> tuple[DataFrame, str]:
     path = scratch_path(spark, "stage", run_id, source_id)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path), path
 
 
 def run_source(
@@ -200,96 +200,100 @@ def ingest_frame(
     # tiebreak is frozen before any shuffle; dedup reads the staged files.
     # Only raw text, row id and verdict are staged (about the raw size); typed
     # columns are recomputed from the raw text by the same projection.
-    ruled = _stage(spark, rule_verdict(prepared, compiled).select(RAW, ROW_ID, quality.FAILED), run_id, cfg.source_id)
+    ruled, stage_path = _stage(spark, rule_verdict(prepared, compiled).select(RAW, ROW_ID, quality.FAILED), run_id,
+                               cfg.source_id)
     staged = dedup_verdict(retype(spark, cfg, ruled), [cfg.pk_silver], dedup_order(cfg), min_split_rows)
-    staged = staged.persist(StorageLevel.MEMORY_AND_DISK)  # lost blocks recompute from the staged files
-
-    counts_row = quality.quality_counts(staged, compiled).first()
-    rows_read, rows_written = int(counts_row["_total"]), int(counts_row["_passed"])
-    rows_rejected = rows_read - rows_written
-
-    def write(df: DataFrame, path: str, rows: int) -> None:
-        if append_only:
-            if rows:
-                append(df, path, schemas.PARTITION_COLUMNS)
-        else:
-            replace_partition(df, path, schemas.PARTITION_COLUMNS, spec, rows)
-
-    # silver
-    ok = quality.passed(staged)
-    data_cols = [f.name for f in _target_fields(cfg)]
-    silver = finish_silver(staged.filter(ok).select(*data_cols), cfg, processing_date, rates)
-    silver = with_audit_columns(silver, run_id, processing_date, cfg.source_id, ingested_at=_lit_ts(started))
-    silver = silver.select(*[f.name for f in schemas.TABLES[cfg.target_table].fields])
-    # G1 cross-check: the writer's own row count, observed during the write
-    obs = Observation(f"silver-{uuid.uuid4().hex}")
-    write(silver.observe(obs, F.count(F.lit(1)).alias("rows")), cfg.silver_path, rows_written)
-    observed = int(obs.get["rows"]) if rows_written else 0
-
-    # rejected zone: raw text + reasons
-    rejected = staged.filter(~ok).select(f"{RAW}.*", quality.FAILED).withColumns(
-        {"run_id": F.lit(run_id), "processing_date": F.lit(processing_date), "source_id": F.lit(cfg.source_id)}
-    )
-    write(rejected, cfg.rejected_path, rows_rejected)
-
-    # metrics, samples, summary
-    counts = spark.createDataFrame([counts_row])
-    metrics = quality.rule_metrics(counts, compiled)
-    samples = quality.sample_failures(staged, compiled, cfg.pk_silver, data_cols)
-    checked_at = _lit_ts(started)
-    results = (
-        metrics.join(samples, "rule_id", "left")
-        .withColumn("sample_failures", F.coalesce(F.col("sample_failures"),
-                                                  F.when(F.col("setup_error").isNotNull(),
-                                                         F.to_json(F.struct(F.col("setup_error").alias("error"))))))
-        .withColumns({
-            "run_id": F.lit(run_id), "source_id": F.lit(cfg.source_id), "source_name": F.lit(cfg.source_name),
-            "checked_at": checked_at, "processing_date": F.lit(processing_date), "source_id_part": F.lit(cfg.source_id),
-        })
-        .select(*[f.name for f in schemas.DQ_RESULTS.fields])
-    )
-    rule_rows = [r.asDict() for r in results.drop("sample_failures").collect()]
-    append(results, layout.dq_results, schemas.PARTITIONS["dq_results"])
-
-    # written-back verification (G4): partition-pruned count of what was written
-    found = rows_written
-    if rows_written and not append_only:
-        found = read_table(spark, cfg.silver_path, schemas.TABLES[cfg.target_table], spec).count()
-    summary = quality.summary(counts, compiled).first().asDict()
-    status = summary["ingestion_status"]
-    message = None
-    if found != rows_written or observed != rows_written:
-        status, message = "FAILED", f"written {observed} / re-read {found} != rows_written {rows_written}"
-    completed = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-    duration = int(round(time.time() - t0))
-
-    summary_df = (
-        quality.summary(counts, compiled)
-        .withColumns({
-            "run_id": F.lit(run_id), "source_id": F.lit(cfg.source_id), "source_name": F.lit(cfg.source_name),
-            "processing_date": F.lit(processing_date), "ingestion_status": F.lit(status),
-            "duration_seconds": F.lit(duration).cast("bigint"), "silver_path": F.lit(silver_part),
-            "rejected_path": F.lit(rejected_part), "run_completed_at": _lit_ts(completed),
-            "processing_date_part": F.lit(processing_date),
-        })
-        .select(*[f.name for f in schemas.DQ_SUMMARY.fields])
-    )
-    append(summary_df, layout.dq_summary, schemas.PARTITIONS["dq_summary"])
-
-    lineage = lineage_frame(
-        spark, run_id, cfg, source_path, silver_part, rows_read, rows_written, rows_rejected,
-        started, completed, status, processing_date,
-    )
-    append(lineage, layout.lineage, schemas.PARTITIONS["pipeline_lineage"])
-    if profile_registry and rows_written:
-        from sluice.operators.registry import snapshot
-
-        written = read_table(spark, cfg.silver_path, schemas.TABLES[cfg.target_table], spec, data_cols)
-        append(snapshot(written, cfg.source_id, cfg.schema_version, _lit_ts(started)), layout.registry,
-               schemas.PARTITIONS["schema_registry"])
-    staged.unpersist()
-    return RunResult(cfg.source_id, processing_date, run_id, status, rows_read, rows_written, rows_rejected,
-                     rule_rows, message)
+    try:
+        staged = staged.persist(StorageLevel.MEMORY_AND_DISK)  # lost blocks recompute from the staged files
+
+        counts_row = quality.quality_counts(staged, compiled).first()
+        rows_read, rows_written = int(counts_row["_total"]), int(counts_row["_passed"])
+        rows_rejected = rows_read - rows_written
+
+        def write(df: DataFrame, path: str, rows: int) -> None:
+            if append_only:
+                if rows:
+                    append(df, path, schemas.PARTITION_COLUMNS)
+            else:
+                replace_partition(df, path, schemas.PARTITION_COLUMNS, spec, rows)
+
+        # silver
+        ok = quality.passed(staged)
+        data_cols = [f.name for f in _target_fields(cfg)]
+        silver = finish_silver(staged.filter(ok).select(*data_cols), cfg, processing_date, rates)
+        silver = with_audit_columns(silver, run_id, processing_date, cfg.source_id, ingested_at=_lit_ts(started))
+        silver = silver.select(*[f.name for f in schemas.TABLES[cfg.target_table].fields])
+        # G1 cross-check: the writer's own row count, observed during the write
+        obs = Observation(f"silver-{uuid.uuid4().hex}")
+        write(silver.observe(obs, F.count(F.lit(1)).alias("rows")), cfg.silver_path, rows_written)
+        observed = int(obs.get["rows"]) if rows_written else 0
+
+        # rejected zone: raw text + reasons
+        rejected = staged.filter(~ok).select(f"{RAW}.*", quality.FAILED).withColumns(
+            {"run_id": F.lit(run_id), "processing_date": F.lit(processing_date), "source_id": F.lit(cfg.source_id)}
+        )
+        write(rejected, cfg.rejected_path, rows_rejected)
+
+        # metrics, samples, summary
+        counts = spark.createDataFrame([counts_row])
+        metrics = quality.rule_metrics(counts, compiled)
+        samples = quality.sample_failures(staged, compiled, cfg.pk_silver, data_cols)
+        checked_at = _lit_ts(started)
+        results = (
+            metrics.join(samples, "rule_id", "left")
+            .withColumn("sample_failures", F.coalesce(F.col("sample_failures"),
+                                                      F.when(F.col("setup_error").isNotNull(),
+                                                             F.to_json(F.struct(F.col("setup_error").alias("error"))))))
+            .withColumns({
+                "run_id": F.lit(run_id), "source_id": F.lit(cfg.source_id), "source_name": F.lit(cfg.source_name),
+                "checked_at": checked_at, "processing_date": F.lit(processing_date), "source_id_part": F.lit(cfg.source_id),
+            })
+            .select(*[f.name for f in schemas.DQ_RESULTS.fields])
+        )
+        rule_rows = [r.asDict() for r in results.drop("sample_failures").collect()]
+        append(results, layout.dq_results, schemas.PARTITIONS["dq_results"])
+
+        # written-back verification (G4): partition-pruned count of what was written
+        found = rows_written
+        if rows_written and not append_only:
+            found = read_table(spark, cfg.silver_path, schemas.TABLES[cfg.target_table], spec).count()
+        summary = quality.summary(counts, compiled).first().asDict()
+        status = summary["ingestion_status"]
+        message = None
+        if found != rows_written or observed != rows_written:
+            status, message = "FAILED", f"written {observed} / re-read {found} != rows_written {rows_written}"
+        completed = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+        duration = int(round(time.time() - t0))
+
+        summary_df = (
+            quality.summary(counts, compiled)
+            .withColumns({
+                "run_id": F.lit(run_id), "source_id": F.lit(cfg.source_id), "source_name": F.lit(cfg.source_name),
+                "processing_date": F.lit(processing_date), "ingestion_status": F.lit(status),
+                "duration_seconds": F.lit(duration).cast("bigint"), "silver_path": F.lit(silver_part),
+                "rejected_path": F.lit(rejected_part), "run_completed_at": _lit_ts(completed),
+                "processing_date_part": F.lit(processing_date),
+            })
+            .select(*[f.name for f in schemas.DQ_SUMMARY.fields])
+        )
+        append(summary_df, layout.dq_summary, schemas.PARTITIONS["dq_summary"])
+
+        lineage = lineage_frame(
+            spark, run_id, cfg, source_path, silver_part, rows_read, rows_written, rows_rejected,
+            started, completed, status, processing_date,
+        )
+        append(lineage, layout.lineage, schemas.PARTITIONS["pipeline_lineage"])
+        if profile_registry and rows_written:
+            from sluice.operators.registry import snapshot
+
+            written = read_table(spark, cfg.silver_path, schemas.TABLES[cfg.target_table], spec, data_cols)
+            append(snapshot(written, cfg.source_id, cfg.schema_version, _lit_ts(started)), layout.registry,
+                   schemas.PARTITIONS["schema_registry"])
+        return RunResult(cfg.source_id, processing_date, run_id, status, rows_read, rows_written, rows_rejected,
+                         rule_rows, message)
+    finally:
+        staged.unpersist()
+        delete_path(spark, stage_path)  # every consumer is done (or the run failed); no staged copy is kept
 
 
 def lineage_frame(spark, run_id, cfg: SourceConfig, source_path, target_path, rows_read, rows_written,
