@@ -255,7 +255,7 @@ ORACLES["union_sources"] = (
 )
 _FLAGS = "SELECT l_orderkey AS transaction_ref, l_linenumber AS flag_line, l_quantity AS fraud_score FROM lineitem"
 _TXNS = ("SELECT o_orderkey AS transaction_id, o_totalprice AS amount, o_orderstatus AS status FROM orders "
-         "WHERE o_orderkey % 2 = 0")
+         "WHERE o_orderstatus <> 'P'")
 ORACLES["fk_join"] = f"SELECT * FROM ({_FLAGS}) f JOIN ({_TXNS}) t ON f.transaction_ref = t.transaction_id"
 ORACLES["fk_orphans"] = f"SELECT * FROM ({_FLAGS}) f WHERE NOT EXISTS (SELECT 1 FROM ({_TXNS}) t WHERE t.transaction_id = f.transaction_ref)"
 ORACLES["fk_semi"] = f"SELECT * FROM ({_TXNS}) t WHERE EXISTS (SELECT 1 FROM ({_FLAGS}) f WHERE f.transaction_ref = t.transaction_id)"

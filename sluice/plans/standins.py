@@ -462,7 +462,9 @@ def union_sources(spark, sf_dir):
 def _fk_sides(spark, sf_dir):
     flags = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("transaction_ref"), F.col("l_linenumber").alias("flag_line"), F.col("l_quantity").alias("fraud_score"))
-    txns = table(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 2 == 0).select(
+    # Only settled orders (status F or O) reach the transactions table; flags on
+    # pending orders are the orphans.
+    txns = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") != "P").select(
         F.col("o_orderkey").alias("transaction_id"), F.col("o_totalprice").alias("amount"), F.col("o_orderstatus").alias("status"))
     return flags, txns
 
