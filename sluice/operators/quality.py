@@ -68,37 +68,37 @@ def _pass_rate(passed_rows: Column, total: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(passed_rows.cast("double") / total.cast("double"))
 
 
+RULE_INFO = (
+    "_i int, rule_id string, rule_name string, rule_type string, rule_expression string, "
+    "column_name string, threshold double, setup_error string"
+)
+
+
 def rule_metrics(counts: DataFrame, compiled: list[CompiledRule]) -> DataFrame:
-    """E7 + E8 + E10: one row per rule from the one-row ``quality_counts``."""
-    total = F.col("_total")
-    rows = []
-    for i, c in enumerate(compiled):
-        r = c.rule
-        failed = F.col(f"_f{i}") if c.error is None else F.lit(None).cast("bigint")
-        ok_rows = (total - failed) if c.error is None else F.lit(None).cast("bigint")
-        rate = _pass_rate(ok_rows, total) if c.error is None else F.lit(None).cast("double")
-        rows.append(
-            F.struct(
-                F.lit(r.rule_id).alias("rule_id"),
-                F.lit(r.rule_name).alias("rule_name"),
-                F.lit(r.type).alias("rule_type"),
-                F.lit(c.text).alias("rule_expression"),
-                F.lit(r.column).alias("column_name"),
-                total.alias("total_rows"),
-                ok_rows.alias("passed_rows"),
-                failed.alias("failed_rows"),
-                rate.alias("pass_rate"),
-                F.lit(float(r.threshold)).alias("threshold"),
-                (F.coalesce(rate >= F.lit(float(r.threshold)), F.lit(False))).alias("rule_passed"),
-                F.lit(c.error).cast("string").alias("setup_error"),
-            )
-        )
-    if not rows:
-        return counts.select(F.inline(F.array().cast(
-            "array<struct<rule_id:string,rule_name:string,rule_type:string,rule_expression:string,column_name:string,"
-            "total_rows:bigint,passed_rows:bigint,failed_rows:bigint,pass_rate:double,threshold:double,"
-            "rule_passed:boolean,setup_error:string>>")))
-    return counts.select(F.inline(F.array(*rows)))
+    """E7 + E8 + E10: one row per rule from the one-row ``quality_counts``.
+
+    The failure counts are exploded from the one-row aggregate and joined
+    (broadcast, one row per rule) to the rules' static description.
+    """
+    spark = counts.sparkSession
+    info = spark.createDataFrame(
+        [(i, c.rule.rule_id, c.rule.rule_name, c.rule.type, c.text, c.rule.column, float(c.rule.threshold), c.error)
+         for i, c in enumerate(compiled)],
+        RULE_INFO,
+    )
+    fails = [F.col(f"_f{i}") if c.error is None else F.lit(None).cast("bigint") for i, c in enumerate(compiled)]
+    if not fails:
+        fails = [F.lit(None).cast("bigint")]
+    per_rule = counts.select(F.col("_total").alias("total_rows"), F.posexplode(F.array(*fails)).alias("_i", "failed_rows"))
+    total, failed = F.col("total_rows"), F.col("failed_rows")
+    ok_rows = total - failed
+    rate = _pass_rate(ok_rows, total)
+    return per_rule.join(F.broadcast(info), "_i").select(
+        "rule_id", "rule_name", "rule_type", "rule_expression", "column_name", "total_rows",
+        ok_rows.alias("passed_rows"), "failed_rows", F.when(failed.isNotNull(), rate).alias("pass_rate"), "threshold",
+        F.coalesce(F.when(failed.isNotNull(), rate) >= F.col("threshold"), F.lit(False)).alias("rule_passed"),
+        "setup_error",
+    )
 
 
 def rule_metrics_direct(df: DataFrame, compiled: list[CompiledRule]) -> DataFrame:
