@@ -61,15 +61,6 @@ def list_data_files(spark: SparkSession, path: str, with_sizes: bool = False):
     return out if with_sizes else [f for f, _ in out]
 
 
-def total_bytes(spark: SparkSession, files) -> int:
-    """Summed length of the given files (file-system metadata only)."""
-    total = 0
-    for f in files:
-        fs, p = hadoop_fs(spark, f)
-        total += int(fs.getFileStatus(p).getLen())
-    return total
-
-
 def make_dirs(spark: SparkSession, path: str) -> None:
     fs, p = hadoop_fs(spark, path)
     if not fs.exists(p):
@@ -98,25 +89,37 @@ def read_header(spark: SparkSession, file_path: str, delimiter: str = ",") -> li
 # ---------------------------------------------------------------------------
 # scans
 # ---------------------------------------------------------------------------
-def route_files(spark: SparkSession, cfg: SourceConfig, path: str) -> tuple[list[str], list[str] | None]:
-    """A3: files of ``cfg`` under ``path`` and their header (if routed by header)."""
-    files = list_data_files(spark, path)
+HEADER_READERS = 16
+
+
+def route_files(spark: SparkSession, cfg: SourceConfig, path: str) -> tuple[list[str], list[str] | None, int]:
+    """A3: files of ``cfg`` under ``path``, their header (if routed by header) and total bytes.
+
+    Headers are read concurrently (one short read per file); sizes come from
+    the directory listing.
+    """
+    listed = list_data_files(spark, path, with_sizes=True)
     if cfg.file_pattern:
         import fnmatch
 
-        return [f for f in files if fnmatch.fnmatch(f.rsplit("/", 1)[-1], cfg.file_pattern)], None
+        chosen = [(f, n) for f, n in listed if fnmatch.fnmatch(f.rsplit("/", 1)[-1], cfg.file_pattern)]
+        return [f for f, _ in chosen], None, sum(n for _, n in chosen)
     if cfg.file_format != "csv" or not cfg.has_header:
-        return files, None
+        return [f for f, _ in listed], None, sum(n for _, n in listed)
+    from concurrent.futures import ThreadPoolExecutor
+
     wanted = {raw for raw, _ in cfg.column_mapping}
-    chosen, header = [], None
-    for f in files:
-        h = read_header(spark, f, cfg.delimiter)
+    with ThreadPoolExecutor(max_workers=HEADER_READERS) as pool:
+        headers = list(pool.map(lambda fn: read_header(spark, fn[0], cfg.delimiter), listed))
+    chosen, header, size = [], None, 0
+    for (f, n), h in zip(listed, headers):
         if wanted <= set(h):
             if header is not None and h != header:
                 raise ValueError(f"{cfg.source_id}: files under {path} disagree on the header: {header} vs {h}")
             header = h
             chosen.append(f)
-    return chosen, header
+            size += n
+    return chosen, header, size
 
 
 def string_schema(columns: list[str]) -> T.StructType:
@@ -135,7 +138,7 @@ def read_source(spark: SparkSession, cfg: SourceConfig, processing_date: str) ->
     fmt = (cfg.file_format or "csv").lower()
     raw_cols = [raw for raw, _ in cfg.column_mapping]
     if fmt == "csv":
-        files, header = route_files(spark, cfg, path)
+        files, header, size = route_files(spark, cfg, path)
         if not files:
             return None
         columns = header or raw_cols
@@ -148,8 +151,9 @@ def read_source(spark: SparkSession, cfg: SourceConfig, processing_date: str) ->
             .option("multiLine", "false")
             .csv(files)
         )
-        return RawScan(df, tuple(files), path, total_bytes(spark, files))
-    files = list_data_files(spark, path) or [path]
+        return RawScan(df, tuple(files), path, size)
+    listed = list_data_files(spark, path, with_sizes=True)
+    files = [f for f, _ in listed] or [path]
     if fmt == "json":
         df = spark.read.schema(string_schema(raw_cols)).json(files)
     elif fmt in ("parquet", "orc"):
@@ -157,7 +161,7 @@ def read_source(spark: SparkSession, cfg: SourceConfig, processing_date: str) ->
         df = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
     else:
         raise ValueError(f"{cfg.source_id}: unsupported file format {cfg.file_format!r}")
-    return RawScan(df, tuple(files), path, total_bytes(spark, files))
+    return RawScan(df, tuple(files), path, sum(n for _, n in listed))
 
 
 def read_headerless(spark: SparkSession, path: str, ddl: str, delimiter: str = ",") -> DataFrame:

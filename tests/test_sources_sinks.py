@@ -26,8 +26,8 @@ def _landing():
 def test_header_routing_in_shared_directory(spark):
     root = _landing()
     us, india = (c.with_root(root) for c in SEED_CONFIGS[:2])
-    files, header = route_files(spark, us, us.raw_path_for(DATE))
-    assert len(files) == 2 and header[0] == "transaction_id"
+    files, header, size = route_files(spark, us, us.raw_path_for(DATE))
+    assert len(files) == 2 and header[0] == "transaction_id" and size == 2 * len(US_FEED.encode())
     scan = read_source(spark, india, DATE)
     rows = scan.df.collect()
     assert len(rows) == 3 and rows[0]["upi_flag"] == "Y"  # every column read as text, nothing shifted
