@@ -25,6 +25,7 @@ one-row aggregates only.
 from __future__ import annotations
 
 import datetime as dt
+import threading
 import time
 import traceback
 import uuid
@@ -52,6 +53,16 @@ from sluice.sources.files import delete_path, read_source
 from sluice.sources.tables import read_table
 
 RAW = "_raw"
+# Concurrent jobs must not commit into the same directory at once (they would
+# share the committer's temporary folder).  Audit tables are shared by every
+# source, so their (tiny) appends are serialised; silver and rejected paths are
+# written by one source group at a time.
+_AUDIT_LOCK = threading.Lock()
+
+
+def append_audit(df: DataFrame, path: str, partition_cols) -> None:
+    with _AUDIT_LOCK:
+        append(df, path, partition_cols)
 
 
 @dataclass(frozen=True)
@@ -251,7 +262,7 @@ def ingest_frame(
             .select(*[f.name for f in schemas.DQ_RESULTS.fields])
         )
         rule_rows = [r.asDict() for r in results.drop("sample_failures").collect()]
-        append(results, layout.dq_results, schemas.PARTITIONS["dq_results"])
+        append_audit(results, layout.dq_results, schemas.PARTITIONS["dq_results"])
 
         # written-back verification (G4): partition-pruned count of what was written
         found = rows_written
@@ -276,18 +287,18 @@ def ingest_frame(
             })
             .select(*[f.name for f in schemas.DQ_SUMMARY.fields])
         )
-        append(summary_df, layout.dq_summary, schemas.PARTITIONS["dq_summary"])
+        append_audit(summary_df, layout.dq_summary, schemas.PARTITIONS["dq_summary"])
 
         lineage = lineage_frame(
             spark, run_id, cfg, source_path, silver_part, rows_read, rows_written, rows_rejected,
             started, completed, status, processing_date,
         )
-        append(lineage, layout.lineage, schemas.PARTITIONS["pipeline_lineage"])
+        append_audit(lineage, layout.lineage, schemas.PARTITIONS["pipeline_lineage"])
         if profile_registry and rows_written:
             from sluice.operators.registry import snapshot
 
             written = read_table(spark, cfg.silver_path, schemas.TABLES[cfg.target_table], spec, data_cols)
-            append(snapshot(written, cfg.source_id, cfg.schema_version, _lit_ts(started)), layout.registry,
+            append_audit(snapshot(written, cfg.source_id, cfg.schema_version, _lit_ts(started)), layout.registry,
                    schemas.PARTITIONS["schema_registry"])
         return RunResult(cfg.source_id, processing_date, run_id, status, rows_read, rows_written, rows_rejected,
                          rule_rows, message)
@@ -340,7 +351,7 @@ def run_all(
             msg = f"{type(exc).__name__}: {str(exc).splitlines()[0] if str(exc) else ''}"
             try:
                 completed = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-                append(lineage_frame(spark, run_id, cfg, cfg.raw_path_for(processing_date), None, None, None, None,
+                append_audit(lineage_frame(spark, run_id, cfg, cfg.raw_path_for(processing_date), None, None, None, None,
                                      started, completed, "FAILED", processing_date),
                        layout.lineage, schemas.PARTITIONS["pipeline_lineage"])
             except Exception:  # noqa: BLE001

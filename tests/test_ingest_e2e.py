@@ -188,3 +188,24 @@ def test_rerun_gives_identical_silver(spark):
     run_source(spark, configs[2], DATE, layout, run_id="b")
     second = {tuple(r) for r in read_table(spark, configs[2].silver_path, schemas.MERCHANT_SILVER).select(*cols).collect()}
     assert first == second and len(first) == 1
+
+
+def test_run_all_parallel_by_target_table(spark):
+    root, configs = _setup()
+    layout = Layout(root)
+    results = run_all(spark, configs, DATE, layout, run_id="run-par", rates=_rates(spark), parallel=3)
+    assert sorted(r.source_id for r in results) == sorted(c.source_id for c in configs)
+    assert all(r.status in ("SUCCESS", "PARTIAL") for r in results)
+    card = read_table(spark, configs[0].silver_path, schemas.CARD_TRANSACTIONS_SILVER)
+    assert sorted({r.source_id for r in card.collect()}) == ["src_in_card_txns", "src_us_card_txns"]
+
+
+def test_failing_source_is_isolated(spark):
+    root, configs = _setup()
+    broken = replace(configs[2], column_mapping=configs[2].column_mapping + (("merchant_id", "merchant_id"),),
+                     target_table="no_such_table")
+    results = {r.source_id: r for r in run_all(spark, [configs[0], broken], DATE, Layout(root), run_id="run-iso")}
+    assert results["src_merchant_updates"].status == "FAILED"
+    assert results["src_us_card_txns"].status == "PARTIAL"
+    lin = read_table(spark, Layout(root).lineage, schemas.PIPELINE_LINEAGE)
+    assert {(r.source_id, r.status) for r in lin.collect()} == {("src_us_card_txns", "PARTIAL"), ("src_merchant_updates", "FAILED")}
