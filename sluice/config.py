@@ -14,7 +14,7 @@ Rules and mapping arrive as JSON text (``dq_rules_json``,
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.config import SEED_CONFIGS, Rule, config_frame, has_rule, mapping_frame, rules_frame, validate_configs
+from sluice.config import Rule, config_frame, has_rule, mapping_frame, rules_frame, validate_configs
 from sluice.functions.casting import safe_cast
 from sluice.functions.masking import is_masked, mask_sha256
 from sluice.functions.rules import compile_rules, rule_expression_text
