@@ -94,3 +94,26 @@ def commit_snapshot(df: DataFrame, path: str) -> int:
     nxt = max([n for n, _, _ in _versions(spark, path)] + [0]) + 1
     df.write.mode("errorifexists").option("compression", "snappy").parquet(f"{path.rstrip('/')}/v={nxt:07d}")
     return nxt
+
+
+def merge_configs(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """I3 + H7 for the config table: upsert by ``source_id``.
+
+    ``schema_version`` goes up by one when a source's rules or mapping text
+    changed (new sources start at 1); ``last_modified_at`` is stamped on
+    changed rows and ``created_at`` is kept from the stored row.
+    """
+    from sluice.operators.registry import bump_versions
+
+    bumped = bump_versions(stored, incoming)
+    prev = stored.select(
+        "source_id", F.col("schema_version").alias("_v0"), F.col("created_at").alias("_c0"),
+        F.col("last_modified_at").alias("_m0"))
+    j = bumped.join(prev, "source_id", "left")
+    changed = F.col("_v0").isNull() | (F.col("schema_version") != F.col("_v0"))
+    now = F.current_timestamp()
+    stamped = j.withColumns({
+        "created_at": F.coalesce(F.col("_c0"), F.col("created_at"), now),
+        "last_modified_at": F.when(changed, now).otherwise(F.coalesce(F.col("_m0"), F.col("last_modified_at"))),
+    }).select(*incoming.columns)
+    return upsert(stored, stamped, ["source_id"])

@@ -370,3 +370,21 @@ def run_all(
             for rs in pool.map(table_group, by_table.values()):
                 results.extend(rs)
     return results
+
+
+def run_from_config(
+    spark: SparkSession,
+    config_df: DataFrame,
+    processing_date: str,
+    layout: Layout,
+    run_id: str | None = None,
+    rates: DataFrame | None = None,
+    parallel: int = 1,
+) -> list[RunResult]:
+    """One day for every active source of a config table (A8 + ``run_all``).
+
+    The config rows are the only rows collected to the driver (one per source).
+    """
+    from sluice.config import active_configs
+
+    return run_all(spark, active_configs(config_df), processing_date, layout, run_id, rates, parallel)

@@ -112,3 +112,32 @@ def test_catalog_and_checks(spark):
     assert all(x[1:] == (True, "human", 1) for x in listing)
     drop_database(spark, db)
     assert os.path.isdir(os.path.join(root, "hive", "dq_results"))  # external files survive the drop
+
+
+def test_merge_configs_bumps_and_commits(spark):
+    from sluice.operators.mutate import merge_configs
+
+    stored = config_frame(spark)
+    incoming = stored.filter(F.col("source_id").isin("src_atm_sg", "src_us_card_txns")).withColumn(
+        "dq_rules_json", F.when(F.col("source_id") == "src_atm_sg", F.lit("[]")).otherwise(F.col("dq_rules_json")))
+    new_src = stored.filter(F.col("source_id") == "src_atm_sg").withColumn("source_id", F.lit("src_new"))
+    merged = merge_configs(stored, incoming.unionByName(new_src))
+    v = {r.source_id: r.schema_version for r in merged.collect()}
+    assert v == {"src_us_card_txns": 1, "src_in_card_txns": 1, "src_merchant_updates": 1, "src_atm_sg": 2, "src_new": 1}
+    path = tempfile.mkdtemp(prefix="sluice-cfg-") + "/ingestion_config"
+    commit_snapshot(stored, path)
+    commit_snapshot(merged, path)
+    assert latest_version(spark, path) == 2 and read_snapshot(spark, path).count() == 5
+
+
+def test_run_from_config_table(spark):
+    from sluice.config import SEED_CONFIGS
+    from sluice.plans.ingest import run_from_config
+    from tests.fixtures import US_FEED, write_feed
+
+    root = tempfile.mkdtemp(prefix="sluice-cfgrun-")
+    write_feed(root, "card_transactions", "2026-01-01", "us_card_transactions_2026-01-01_001.csv", US_FEED)
+    cfg = config_frame(spark, [c.with_root(root) for c in SEED_CONFIGS])
+    res = {r.source_id: r.status for r in run_from_config(spark, cfg, "2026-01-01", Layout(root))}
+    assert res == {"src_us_card_txns": "PARTIAL", "src_in_card_txns": "SKIPPED",
+                   "src_merchant_updates": "SKIPPED", "src_atm_sg": "SKIPPED"}
