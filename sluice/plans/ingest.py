@@ -261,7 +261,7 @@ def ingest_frame(
             })
             .select(*[f.name for f in schemas.DQ_RESULTS.fields])
         )
-        rule_rows = [r.asDict() for r in results.drop("sample_failures").collect()]
+        rule_rows = [r.asDict() for r in metrics.collect()]  # one row per rule, from the one-row counts
         append_audit(results, layout.dq_results, schemas.PARTITIONS["dq_results"])
 
         # written-back verification (G4): partition-pruned count of what was written
@@ -299,7 +299,7 @@ def ingest_frame(
 
             written = read_table(spark, cfg.silver_path, schemas.TABLES[cfg.target_table], spec, data_cols)
             append_audit(snapshot(written, cfg.source_id, cfg.schema_version, _lit_ts(started)), layout.registry,
-                   schemas.PARTITIONS["schema_registry"])
+                         schemas.PARTITIONS["schema_registry"])
         return RunResult(cfg.source_id, processing_date, run_id, status, rows_read, rows_written, rows_rejected,
                          rule_rows, message)
     finally:
