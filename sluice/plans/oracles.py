@@ -457,3 +457,27 @@ ORACLES["partition_scan"] = (
     "SELECT event_id AS flag_id, event_type AS flag_type, value AS score, ts AS flagged_at, "
     "strftime(ts, '%Y-%m-%d') AS processing_date FROM events WHERE strftime(ts, '%Y-%m-%d') = '2024-01-15'"
 )
+
+
+def _mapping_sql(source_id: str, tbl: str, pairs: list[tuple[str, str]]) -> list[str]:
+    return [
+        f"SELECT '{source_id}' AS source_id, '{raw}' AS raw_column, '{silver}' AS silver_column, "
+        f"count({raw}) AS non_null_rows FROM {tbl}"
+        for raw, silver in pairs
+    ]
+
+
+ORACLES["config_mapping_parse"] = " UNION ALL ".join(
+    _mapping_sql("src_orders", "orders", [("o_orderkey", "transaction_id"), ("o_custkey", "card_identifier"),
+                                          ("o_totalprice", "original_amount"), ("o_orderdate", "transaction_ts"),
+                                          ("o_orderstatus", "status")])
+    + _mapping_sql("src_customer", "customer", [("c_custkey", "merchant_id"), ("c_name", "business_name"),
+                                                ("c_mktsegment", "merchant_category"), ("c_acctbal", "account_balance"),
+                                                ("c_nationkey", "nation_id")])
+    + _mapping_sql("src_lineitem", "lineitem", [("l_orderkey", "withdrawal_id"), ("l_linenumber", "line_no"),
+                                                ("l_partkey", "atm_id"), ("l_suppkey", "location_id"),
+                                                ("l_quantity", "amount_sgd"), ("l_shipdate", "withdrawal_ts"),
+                                                ("l_returnflag", "dispense_status")])
+    + _mapping_sql("src_events", "events", [("event_id", "flag_id"), ("user_id", "reference"), ("value", "score"),
+                                            ("event_type", "flag_type"), ("ts", "flagged_at")])
+)

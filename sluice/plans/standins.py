@@ -665,3 +665,25 @@ def truncate_reload(spark, sf_dir):
     s2 = read_snapshot(spark, path)
     commit_snapshot(delete(s2, F.col("account_balance") < 0), path)
     return read_snapshot(spark, path)
+
+
+STANDIN_TABLES = {"src_orders": "orders", "src_customer": "customer", "src_lineitem": "lineitem", "src_events": "events"}
+
+
+@query
+def config_mapping_parse(spark, sf_dir):
+    """D2 + A8: the mapping JSON exploded to rows, joined to each raw column's
+    non-null count in its source table (one aggregate per source)."""
+    from sluice.config import mapping_frame
+
+    cfg = standin_config_frame(spark)
+    mapped = mapping_frame(cfg)
+    counts = None
+    for c in standin_configs():
+        t = table(spark, sf_dir, STANDIN_TABLES[c.source_id])
+        raws = [r for r, _ in c.column_mapping]
+        wide = t.agg(*[F.count(F.col(r)).alias(r) for r in raws])
+        long = wide.select(F.inline(F.array(*[F.struct(F.lit(r).alias("raw_column"), F.col(r).alias("non_null_rows"))
+                                             for r in raws]))).withColumn("source_id", F.lit(c.source_id))
+        counts = long if counts is None else counts.unionByName(long)
+    return mapped.join(counts, ["source_id", "raw_column"], "left")
