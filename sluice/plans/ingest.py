@@ -150,6 +150,21 @@ def finish_silver(df: DataFrame, cfg: SourceConfig, processing_date: str, rates:
     return out
 
 
+TARGET_FILE_BYTES = 128 * 1024 * 1024
+DEFAULT_ROW_BYTES = 256
+
+
+def sized_for_files(df: DataFrame, rows: int, bytes_per_row: float) -> DataFrame:
+    """Merge partitions (no shuffle) so that each output file holds about 128 MB.
+
+    Silver and rejected come out of the dedup shuffle with one partition per
+    shuffle partition; a small rejected share would otherwise be written as
+    one tiny file per partition.
+    """
+    want = max(1, -(-int(rows * bytes_per_row) // TARGET_FILE_BYTES))
+    return df.coalesce(want) if want < df.rdd.getNumPartitions() else df
+
+
 def _stage(spark: SparkSession, df: DataFrame, run_id: str, source_id: str) -> tuple[DataFrame, str]:
     path = scratch_path(spark, "stage", run_id, source_id)
     df.write.mode("overwrite").parquet(path)
@@ -174,7 +189,7 @@ def run_source(
         return RunResult(cfg.source_id, processing_date, run_id, "SKIPPED", message="no raw data for this day")
     size_shuffles(spark, scan.bytes)
     return ingest_frame(spark, cfg, scan.df, ",".join(scan.files), processing_date, layout, run_id, rates, now,
-                        profile_registry=profile_registry)
+                        profile_registry=profile_registry, input_bytes=scan.bytes)
 
 
 def ingest_frame(
@@ -190,6 +205,7 @@ def ingest_frame(
     append_only: bool = False,
     profile_registry: bool = False,
     min_split_rows: int = MIN_SPLIT_ROWS,
+    input_bytes: int | None = None,
 ) -> RunResult:
     """Steps 2-7 over an all-text raw DataFrame.
 
@@ -220,6 +236,7 @@ def ingest_frame(
         counts_row = quality.quality_counts(staged, compiled).first()
         rows_read, rows_written = int(counts_row["_total"]), int(counts_row["_passed"])
         rows_rejected = rows_read - rows_written
+        row_bytes = (input_bytes / rows_read) if (input_bytes and rows_read) else DEFAULT_ROW_BYTES
 
         def write(df: DataFrame, path: str, rows: int) -> None:
             if append_only:
@@ -236,6 +253,7 @@ def ingest_frame(
         silver = silver.select(*[f.name for f in schemas.TABLES[cfg.target_table].fields])
         # G1 cross-check: the writer's own row count, observed during the write
         obs = Observation(f"silver-{uuid.uuid4().hex}")
+        silver = sized_for_files(silver, rows_written, row_bytes)
         write(silver.observe(obs, F.count(F.lit(1)).alias("rows")), cfg.silver_path, rows_written)
         observed = int(obs.get["rows"]) if rows_written else 0
 
@@ -243,7 +261,7 @@ def ingest_frame(
         rejected = staged.filter(~ok).select(f"{RAW}.*", quality.FAILED).withColumns(
             {"run_id": F.lit(run_id), "processing_date": F.lit(processing_date), "source_id": F.lit(cfg.source_id)}
         )
-        write(rejected, cfg.rejected_path, rows_rejected)
+        write(sized_for_files(rejected, rows_rejected, row_bytes), cfg.rejected_path, rows_rejected)
 
         # metrics, samples, summary
         counts = spark.createDataFrame([counts_row])
