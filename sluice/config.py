@@ -363,7 +363,9 @@ def config_frame(spark: SparkSession, configs=None, stamp: Column | None = None)
 
     configs = SEED_CONFIGS if configs is None else configs
     base = [f for f in INGESTION_CONFIG.fields if f.name not in ("created_at", "last_modified_at")]
-    df = spark.createDataFrame(config_rows(configs), T.StructType(base))
+    from sluice.session import local_frame
+
+    df = local_frame(spark, config_rows(configs), T.StructType(base))
     ts = stamp if stamp is not None else F.current_timestamp()
     return df.withColumns({"created_at": ts, "last_modified_at": ts}).select(
         *[f.name for f in INGESTION_CONFIG.fields]

@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluice.session import local_frame
+
 DUP_FLAG = "_is_dup"
 ROW_ID = "_rid"
 # Smallest support Spark's frequent-items aggregate accepts: at most 10,000
@@ -74,7 +76,7 @@ def hot_key_rows(df: DataFrame, keys: list[str], support: float = FREQ_SUPPORT,
     found = df.select(F.struct(*keys).alias("_k")).stat.freqItems(["_k"], support).first()[0] or []
     if not found:
         return []
-    cands = spark.createDataFrame([tuple(r) for r in found], schema)
+    cands = local_frame(spark, [tuple(r) for r in found], schema)
     counted = (
         df.select(*keys)
         .join(F.broadcast(cands), keys, "left_semi")
@@ -88,7 +90,7 @@ def hot_key_rows(df: DataFrame, keys: list[str], support: float = FREQ_SUPPORT,
 
 def hot_keys(df: DataFrame, keys: list[str], support: float = FREQ_SUPPORT, total: int | None = None) -> DataFrame:
     """``hot_key_rows`` as a DataFrame (at most ``1 / support`` rows)."""
-    return df.sparkSession.createDataFrame(hot_key_rows(df, keys, support, total), _key_schema(df, keys))
+    return local_frame(df.sparkSession, hot_key_rows(df, keys, support, total), _key_schema(df, keys))
 
 
 def _key_schema(df: DataFrame, keys: list[str]) -> T.StructType:
@@ -115,7 +117,7 @@ def flag_duplicates(
     if hot is None:
         total = keyed.count()
         rows = [] if total <= min_split_rows else hot_key_rows(keyed, keys, support, total)
-        hot = df.sparkSession.createDataFrame(rows, _key_schema(df, keys)) if rows else None
+        hot = local_frame(df.sparkSession, rows, _key_schema(df, keys)) if rows else None
 
     # Same order as the struct comparison (NULL lowest), column by column so
     # that the sort can use a prefix of the first column.

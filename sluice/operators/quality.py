@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.rules import CompiledRule
+from sluice.session import local_frame
 
 FAILED = "failed_rules"
 CAST_PREFIX = "cast:"
@@ -81,7 +82,8 @@ def rule_metrics(counts: DataFrame, compiled: list[CompiledRule]) -> DataFrame:
     (broadcast, one row per rule) to the rules' static description.
     """
     spark = counts.sparkSession
-    info = spark.createDataFrame(
+    info = local_frame(
+        spark,
         [(i, c.rule.rule_id, c.rule.rule_name, c.rule.type, c.text, c.rule.column, float(c.rule.threshold), c.error)
          for i, c in enumerate(compiled)],
         RULE_INFO,

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.functions.casting import logical_type_name, matches_logical
+from sluice.session import local_frame
 
 INFER_ORDER = ("integer", "double", "boolean", "timestamp")
 
@@ -92,7 +93,7 @@ def infer_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     for t in INFER_ORDER:
         pick = pick.when(F.coalesce(F.col(t), F.lit(False)), F.lit(t))
     found = per_col.select(F.col("c").alias("column_name"), pick.otherwise(F.lit("string")).alias("column_type"))
-    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")  # one row per column
+    names = local_frame(df.sparkSession, [(c,) for c in cols], "column_name string")  # one row per column
     return names.join(F.broadcast(found), "column_name", "left").select(
         "column_name", F.coalesce(F.col("column_type"), F.lit("string")).alias("column_type"))
 

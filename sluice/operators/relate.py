@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.operators.dedup import MIN_SPLIT_ROWS
+from sluice.session import local_frame
 
 
 def union_sources(frames: dict[str, DataFrame], source_col: str = "source_id") -> DataFrame:
@@ -29,7 +30,7 @@ def _hot_child_keys(child: DataFrame, child_key: str, min_split_rows: int) -> Da
     rows = hot_key_rows(keyed, [child_key], total=total)
     if not rows:
         return None
-    return child.sparkSession.createDataFrame(rows, T.StructType([T.StructField(child_key, child.schema[child_key].dataType)]))
+    return local_frame(child.sparkSession, rows, T.StructType([T.StructField(child_key, child.schema[child_key].dataType)]))
 
 
 def fk_join(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sluice import schemas
 from sluice.plans.ingest import Layout
+from sluice.session import local_frame
 from sluice.sources.files import make_dirs
 
 SILVER_DIRS = {
@@ -58,7 +59,7 @@ def create_all(spark: SparkSession, db: str, layout: Layout, location: str | Non
     loc = f" LOCATION '{location}'" if location else ""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {_ident(db)} COMMENT 'Metadata-driven ingestion'{loc}")
     if not spark.catalog.tableExists(f"{db}.ingestion_config"):
-        spark.createDataFrame([], schemas.INGESTION_CONFIG).write.format("parquet").saveAsTable(f"{db}.ingestion_config")
+        local_frame(spark, [], schemas.INGESTION_CONFIG).write.format("parquet").saveAsTable(f"{db}.ingestion_config")
     for table, loc in external_locations(layout).items():
         create_external_table(spark, db, table, loc)
 

@@ -47,7 +47,7 @@ from sluice.operators.dedup import MIN_SPLIT_ROWS, ROW_ID, with_row_id
 from sluice.operators.lineage import transformation_log
 from sluice.operators.mapping import CAST_FAILURES, conform, with_audit_columns
 from sluice.plans.assess import dedup_verdict, rule_verdict
-from sluice.session import ensure_settings, scratch_path, size_shuffles
+from sluice.session import ensure_settings, local_frame, scratch_path, size_shuffles
 from sluice.sinks.writers import append, partition_path, replace_partition
 from sluice.sources.files import delete_path, read_source
 from sluice.sources.tables import read_table
@@ -264,7 +264,8 @@ def ingest_frame(
         write(sized_for_files(rejected, rows_rejected, row_bytes), cfg.rejected_path, rows_rejected)
 
         # metrics, samples, summary
-        counts = spark.createDataFrame([counts_row])
+        counts = local_frame(spark, [tuple(counts_row)],
+                             T.StructType([T.StructField(k, T.LongType()) for k in counts_row.asDict()]))
         metrics = quality.rule_metrics(counts, compiled)
         samples = quality.sample_failures(staged, compiled, cfg.pk_silver, data_cols)
         checked_at = _lit_ts(started)
@@ -332,7 +333,7 @@ def lineage_frame(spark, run_id, cfg: SourceConfig, source_path, target_path, ro
                          if f.name not in ("transformation_log", "started_at", "completed_at")])
     row = (uuid.uuid4().hex, run_id, cfg.source_id, source_path, cfg.target_table, target_path,
            rows_read, rows_written, rows_rejected, spark.sparkContext.applicationId, status, processing_date)
-    df = spark.createDataFrame([row], base)
+    df = local_frame(spark, [row], base)
     return df.withColumns({
         "transformation_log": transformation_log(cfg.mapping, [r.rule_id for r in cfg.rules], cfg.pk_silver),
         "started_at": _lit_ts(started),

@@ -22,7 +22,7 @@ from sluice.plans.ingest import Layout, run_source
 from sluice.plans.standins import (
     ORDER_RULES, ORDERS_MAP, query, rates_frame, standin_config_frame, table,
 )
-from sluice.session import scratch_path
+from sluice.session import local_frame, scratch_path
 from sluice.sources.tables import read_table
 
 RUN_DATE = "2024-01-01"
@@ -154,7 +154,7 @@ def catalog_objects(spark, sf_dir):
         refresh_partitions(spark, db, name)
         rows.append((name, table_type(spark, db, name), spark.table(f"{db}.{name}").count()))
     drop_database(spark, db)
-    return spark.createDataFrame(rows, "table_name string, table_type string, rows bigint")
+    return local_frame(spark, rows, "table_name string, table_type string, rows bigint")
 
 
 @query
@@ -167,7 +167,7 @@ def expectations(spark, sf_dir):
     db = "sluice_" + uuid.uuid4().hex[:12]
     create_all(spark, db, Layout(layout.root), location=scratch_path(spark, "catalog", db))
     kinds = catalog_checks(spark, db)
-    kinds = [spark.createDataFrame(k.collect(), k.schema) for k in kinds]  # evaluated before the drop
+    kinds = [local_frame(spark, k.collect(), k.schema) for k in kinds]  # evaluated before the drop
     drop_database(spark, db)
     conf = standin_config_frame(spark)
     silver = read_table(spark, cfg.silver_path, schemas.CARD_TRANSACTIONS_SILVER, {"source_id": cfg.source_id})

@@ -332,7 +332,9 @@ STANDIN_RATES = [
 
 
 def rates_frame(spark) -> DataFrame:
-    return spark.createDataFrame(STANDIN_RATES, "currency string, as_of_date string, rate_to_usd double").withColumn(
+    from sluice.session import local_frame
+
+    return local_frame(spark, STANDIN_RATES, "currency string, as_of_date string, rate_to_usd double").withColumn(
         "as_of_date", F.to_date("as_of_date"))
 
 

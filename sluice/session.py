@@ -51,6 +51,23 @@ def size_shuffles(spark: SparkSession, input_bytes: int) -> int:
     return n
 
 
+def local_frame(spark: SparkSession, rows, schema) -> "DataFrame":
+    """A small driver-side table (config rows, one-row counts, bounded key lists).
+
+    Built through Arrow into a JVM-local relation, so reading it needs no
+    Python worker.  Only for data whose size is bounded by construction.
+    """
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    st = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    rows = [tuple(r) for r in rows]
+    cols = {f.name: pd.Series([r[i] for r in rows], dtype=object) for i, f in enumerate(st.fields)}
+    if spark.conf.get("spark.sql.execution.arrow.pyspark.enabled", "false") != "true":
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    return spark.createDataFrame(pd.DataFrame(cols, columns=[f.name for f in st.fields]), st)
+
+
 def work_root(spark: SparkSession) -> str:
     """Shared folder for staged tables and scratch output.
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.session import ensure_settings
+from sluice.session import ensure_settings, local_frame
 from sluice.sources.files import delete_path
 
 
@@ -57,4 +57,4 @@ def insert_into(df: DataFrame, table: str, overwrite: bool = False) -> None:
 
 def insert_values(spark: SparkSession, table: str, rows: list[tuple], schema) -> None:
     """``INSERT ... VALUES`` as a DataFrame append."""
-    spark.createDataFrame(rows, schema).write.insertInto(table)
+    local_frame(spark, rows, schema).write.insertInto(table)
