@@ -68,17 +68,21 @@ def ingest_stream(
     wanted = {raw for raw, _ in cfg.column_mapping}
 
     def batch(df: DataFrame, epoch_id: int) -> None:
-        files = [r[0] for r in df.select(FILE_COL).distinct().collect()]  # new files of this batch
-        mine = [f for f in files if cfg.file_pattern or wanted <= set(read_header(spark, f, cfg.delimiter))]
-        if not mine:
-            return
-        rows = df.filter(F.col(FILE_COL).isin(mine))
-        dates = sorted(r[0] for r in rows.select("processing_date").distinct().collect())
-        for day in dates:
-            raw = rows.filter(F.col("processing_date") == day).drop("processing_date", FILE_COL)
-            run_id = f"{cfg.source_id}-{day}-e{epoch_id}"
-            day_files = ",".join(f for f in mine if f"processing_date={day}/" in f)
-            results.append(ingest_frame(spark, cfg, raw, day_files, day, layout, run_id, rates, append_only=True))
+        df = df.persist()  # read by the file list, the date list and the ingestion below
+        try:
+            files = [r[0] for r in df.select(FILE_COL).distinct().collect()]  # new files of this batch
+            mine = [f for f in files if cfg.file_pattern or wanted <= set(read_header(spark, f, cfg.delimiter))]
+            if not mine:
+                return
+            rows = df.filter(F.col(FILE_COL).isin(mine))
+            dates = sorted(r[0] for r in rows.select("processing_date").distinct().collect())
+            for day in dates:
+                raw = rows.filter(F.col("processing_date") == day).drop("processing_date", FILE_COL)
+                run_id = f"{cfg.source_id}-{day}-e{epoch_id}"
+                day_files = ",".join(f for f in mine if f"processing_date={day}/" in f)
+                results.append(ingest_frame(spark, cfg, raw, day_files, day, layout, run_id, rates, append_only=True))
+        finally:
+            df.unpersist()
 
     q = (
         stream_source(spark, cfg, columns, max_files)
