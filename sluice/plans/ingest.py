@@ -162,7 +162,7 @@ def sized_for_files(df: DataFrame, rows: int, bytes_per_row: float) -> DataFrame
     one tiny file per partition.
     """
     want = max(1, -(-int(rows * bytes_per_row) // TARGET_FILE_BYTES))
-    return df.coalesce(want) if want < df.rdd.getNumPartitions() else df
+    return df.coalesce(want)  # never raises the partition count, only merges
 
 
 def _stage(spark: SparkSession, df: DataFrame, run_id: str, source_id: str) -> tuple[DataFrame, str]:
