@@ -15,6 +15,16 @@ from sluice.plans.ingest import Layout
 from sluice.session import local_frame
 from sluice.sources.files import make_dirs
 
+# Join keys the silver tables are bucketed on when buckets are asked for: the
+# card table and the fraud flags share one bucketing of the transaction id, so
+# the fraud -> card join reads co-located buckets without a shuffle.
+BUCKET_KEYS = {
+    "card_transactions_silver": "transaction_id",
+    "fraud_flags_silver": "transaction_ref",
+    "merchant_silver": "merchant_id",
+    "atm_silver": "withdrawal_id",
+}
+
 SILVER_DIRS = {
     "card_transactions_silver": "silver/card_transactions",
     "merchant_silver": "silver/merchant_updates",
@@ -38,30 +48,37 @@ def external_locations(layout: Layout) -> dict[str, str]:
     return locs
 
 
-def create_external_table(spark: SparkSession, db: str, table: str, location: str) -> None:
-    """``CREATE TABLE IF NOT EXISTS ... USING parquet PARTITIONED BY ... LOCATION``."""
+def create_external_table(spark: SparkSession, db: str, table: str, location: str, buckets: int | None = None) -> None:
+    """``CREATE TABLE IF NOT EXISTS ... USING parquet PARTITIONED BY ... [CLUSTERED BY ...] LOCATION``."""
     make_dirs(spark, location)  # an external table owns its directory even before data lands
     schema = schemas.TABLES[table]
     parts = schemas.PARTITIONS[table]
     part_sql = f" PARTITIONED BY ({', '.join(parts)})" if parts else ""
+    bucket_sql = ""
+    if buckets and table in BUCKET_KEYS:
+        key = BUCKET_KEYS[table]
+        bucket_sql = f" CLUSTERED BY ({key}) SORTED BY ({key}) INTO {int(buckets)} BUCKETS"
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {_ident(db)}.{_ident(table)} ({schemas.ddl(schema)}) USING parquet"
-        f"{part_sql} LOCATION '{location}' OPTIONS (compression 'snappy')"
+        f"{part_sql}{bucket_sql} LOCATION '{location}' OPTIONS (compression 'snappy')"
     )
 
 
-def create_all(spark: SparkSession, db: str, layout: Layout, location: str | None = None) -> None:
+def create_all(spark: SparkSession, db: str, layout: Layout, location: str | None = None,
+               buckets: int | None = None) -> None:
     """B6 + B7 + B5: database, managed config table, external tables.
 
     ``location`` places the database (and so its managed tables) outside
-    the session's default warehouse.
+    the session's default warehouse.  ``buckets`` buckets the silver tables
+    on their join keys (``BUCKET_KEYS``); write them with ``run_source(...,
+    silver_table=...)`` so that every write keeps the bucketing.
     """
     loc = f" LOCATION '{location}'" if location else ""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {_ident(db)} COMMENT 'Metadata-driven ingestion'{loc}")
     if not spark.catalog.tableExists(f"{db}.ingestion_config"):
         local_frame(spark, [], schemas.INGESTION_CONFIG).write.format("parquet").saveAsTable(f"{db}.ingestion_config")
     for table, loc in external_locations(layout).items():
-        create_external_table(spark, db, table, loc)
+        create_external_table(spark, db, table, loc, buckets if table in SILVER_DIRS else None)
 
 
 def refresh_partitions(spark: SparkSession, db: str, table: str) -> None:

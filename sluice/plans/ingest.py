@@ -48,7 +48,7 @@ from sluice.operators.lineage import transformation_log
 from sluice.operators.mapping import CAST_FAILURES, conform, with_audit_columns
 from sluice.plans.assess import dedup_verdict, rule_verdict
 from sluice.session import ensure_settings, local_frame, scratch_path, size_shuffles
-from sluice.sinks.writers import append, partition_path, replace_partition
+from sluice.sinks.writers import append, overwrite_table_partitions, partition_path, replace_partition
 from sluice.sources.files import delete_path, read_source
 from sluice.sources.tables import read_table
 
@@ -180,8 +180,13 @@ def run_source(
     rates: DataFrame | None = None,
     now: dt.datetime | None = None,
     profile_registry: bool = False,
+    silver_table: str | None = None,
 ) -> RunResult:
-    """Ingest one source for one processing date (see module doc)."""
+    """Ingest one source for one processing date (see module doc).
+
+    ``silver_table``: write silver through this catalog table (e.g. a bucketed
+    one from ``create_all(..., buckets=N)``) instead of by path.
+    """
     ensure_settings(spark)
     run_id = run_id or uuid.uuid4().hex
     scan = read_source(spark, cfg, processing_date)
@@ -189,7 +194,7 @@ def run_source(
         return RunResult(cfg.source_id, processing_date, run_id, "SKIPPED", message="no raw data for this day")
     size_shuffles(spark, scan.bytes)
     return ingest_frame(spark, cfg, scan.df, ",".join(scan.files), processing_date, layout, run_id, rates, now,
-                        profile_registry=profile_registry, input_bytes=scan.bytes)
+                        profile_registry=profile_registry, input_bytes=scan.bytes, silver_table=silver_table)
 
 
 def ingest_frame(
@@ -206,6 +211,7 @@ def ingest_frame(
     profile_registry: bool = False,
     min_split_rows: int = MIN_SPLIT_ROWS,
     input_bytes: int | None = None,
+    silver_table: str | None = None,
 ) -> RunResult:
     """Steps 2-7 over an all-text raw DataFrame.
 
@@ -254,7 +260,10 @@ def ingest_frame(
         # G1 cross-check: the writer's own row count, observed during the write
         obs = Observation(f"silver-{uuid.uuid4().hex}")
         silver = sized_for_files(silver, rows_written, row_bytes)
-        write(silver.observe(obs, F.count(F.lit(1)).alias("rows")), cfg.silver_path, rows_written)
+        if silver_table and rows_written and not append_only:
+            overwrite_table_partitions(silver.observe(obs, F.count(F.lit(1)).alias("rows")), silver_table)
+        else:
+            write(silver.observe(obs, F.count(F.lit(1)).alias("rows")), cfg.silver_path, rows_written)
         observed = int(obs.get["rows"]) if rows_written else 0
 
         # rejected zone: raw text + reasons

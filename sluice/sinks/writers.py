@@ -30,6 +30,13 @@ def overwrite_partitions(df: DataFrame, path: str, partition_cols: list[str] | t
     )
 
 
+def overwrite_table_partitions(df: DataFrame, table: str) -> None:
+    """B1 into a catalog table (keeps its bucketing): dynamic partition overwrite by name."""
+    ensure_settings(df.sparkSession)
+    cols = [f.name for f in df.sparkSession.table(table).schema.fields]
+    df.select(*cols).write.insertInto(table, overwrite=True)
+
+
 def replace_partition(df: DataFrame, path: str, partition_cols, spec: dict[str, str], rows: int) -> None:
     """Idempotent write of one partition.
 

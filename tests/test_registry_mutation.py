@@ -141,3 +141,34 @@ def test_run_from_config_table(spark):
     res = {r.source_id: r.status for r in run_from_config(spark, cfg, "2026-01-01", Layout(root))}
     assert res == {"src_us_card_txns": "PARTIAL", "src_in_card_txns": "SKIPPED",
                    "src_merchant_updates": "SKIPPED", "src_atm_sg": "SKIPPED"}
+
+
+def test_bucketed_silver_join_without_shuffle(spark):
+    """Card and fraud silver bucketed on the transaction id: the FK join reads co-located buckets."""
+    from dataclasses import replace as dc_replace
+
+    from sluice.config import FRAUD_CONFIG, SEED_CONFIGS
+    from sluice.operators.relate import fk_join
+    from sluice.plans.ingest import run_source
+    from tests.fixtures import FRAUD_FEED, US_FEED, write_feed
+
+    root = tempfile.mkdtemp(prefix="sluice-bucket-")
+    db = "sluice_bucket_test"
+    write_feed(root, "card_transactions", "2026-01-01", "us_card_transactions_2026-01-01_001.csv", US_FEED)
+    write_feed(root, "fraud_flags", "2026-01-01", "fraud_flags_2026-01-01_001.csv", FRAUD_FEED)
+    create_all(spark, db, Layout(root), buckets=4)
+    us = SEED_CONFIGS[0].with_root(root)
+    fraud = dc_replace(FRAUD_CONFIG.with_root(root), is_active=True)
+    assert run_source(spark, us, "2026-01-01", Layout(root), silver_table=f"{db}.card_transactions_silver").rows_written == 1
+    assert run_source(spark, fraud, "2026-01-01", Layout(root), silver_table=f"{db}.fraud_flags_silver").rows_written == 2
+    card = spark.table(f"{db}.card_transactions_silver").select("transaction_id", "amount_usd")
+    flags = spark.table(f"{db}.fraud_flags_silver").select("flag_id", "transaction_ref")
+    joined = fk_join(flags, card, "transaction_ref", "transaction_id")
+    assert joined.count() == 2
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # force the shuffled-join planning path
+    try:
+        plan = flags.join(card, flags.transaction_ref == card.transaction_id)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan
+    drop_database(spark, db)
