@@ -1,6 +1,6 @@
 """Command line: set-up, verification, ingestion and landing manifest.
 
-    spark-submit -m sluice.cli setup  --db ops --root hdfs:///lake
+    spark-submit -m sluice.cli setup  --db ops --root hdfs:///lake [--buckets 512]
     spark-submit -m sluice.cli verify --db ops
     spark-submit -m sluice.cli ingest --db ops --root hdfs:///lake --date 2026-01-01 [--parallel 2]
     spark-submit -m sluice.cli manifest --root hdfs:///lake
@@ -24,13 +24,13 @@ def _session() -> SparkSession:
     return ensure_settings(SparkSession.builder.getOrCreate())
 
 
-def setup(spark: SparkSession, db: str, root: str) -> dict:
+def setup(spark: SparkSession, db: str, root: str, buckets: int | None = None) -> dict:
     """Idempotent DDL, then the seeded configs (reloaded as in TRUNCATE + INSERT)."""
     from sluice.config import SEED_CONFIGS, config_frame
     from sluice.plans.catalog import create_all
     from sluice.plans.ingest import Layout
 
-    create_all(spark, db, Layout(root))
+    create_all(spark, db, Layout(root), buckets=buckets)
     config_frame(spark, [c.with_root(root) for c in SEED_CONFIGS]).write.insertInto(f"{db}.ingestion_config", overwrite=True)
     return {"database": db, "configs": spark.table(f"{db}.ingestion_config").count()}
 
@@ -51,7 +51,8 @@ def ingest(spark: SparkSession, db: str, root: str, date: str, parallel: int = 1
     from sluice.plans.catalog import refresh_partitions
     from sluice.plans.ingest import Layout, run_from_config
 
-    results = run_from_config(spark, spark.table(f"{db}.ingestion_config"), date, Layout(root), parallel=parallel)
+    results = run_from_config(spark, spark.table(f"{db}.ingestion_config"), date, Layout(root), parallel=parallel,
+                              silver_db=db)
     for t in ("dq_results", "dq_summary", "pipeline_lineage", "card_transactions_silver", "merchant_silver",
               "atm_silver", "fraud_flags_silver"):
         if spark.catalog.tableExists(f"{db}.{t}"):
@@ -73,6 +74,7 @@ def main(argv: list[str] | None = None) -> int:
     p = sub.add_parser("setup")
     p.add_argument("--db", required=True)
     p.add_argument("--root", required=True)
+    p.add_argument("--buckets", type=int, default=None, help="bucket the silver tables on their join keys")
     p = sub.add_parser("verify")
     p.add_argument("--db", required=True)
     p = sub.add_parser("ingest")
@@ -86,7 +88,7 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = _session()
     if args.cmd == "setup":
-        out = setup(spark, args.db, args.root)
+        out = setup(spark, args.db, args.root, args.buckets)
     elif args.cmd == "verify":
         out = verify(spark, args.db)
     elif args.cmd == "ingest":

@@ -359,9 +359,13 @@ def run_all(
     rates: DataFrame | None = None,
     parallel: int = 1,
     profile_registry: bool = False,
+    silver_db: str | None = None,
 ) -> list[RunResult]:
     """All active sources of one day; a failing source never stops the others.
 
+    ``silver_db``: write silver through that database's catalog tables
+    (keeps their bucketing, see ``catalog.create_all``).
+
     Sources writing the same silver table run one after another; different
     tables may run concurrently (``parallel`` > 1) as separate Spark jobs.
     """
@@ -374,7 +378,9 @@ def run_all(
     def one(cfg: SourceConfig) -> RunResult:
         started = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
         try:
-            return run_source(spark, cfg, processing_date, layout, run_id, rates, profile_registry=profile_registry)
+            table = f"{silver_db}.{cfg.target_table}" if silver_db else None
+            return run_source(spark, cfg, processing_date, layout, run_id, rates, profile_registry=profile_registry,
+                              silver_table=table)
         except Exception as exc:  # noqa: BLE001 -- failure isolation per source
             msg = f"{type(exc).__name__}: {str(exc).splitlines()[0] if str(exc) else ''}"
             try:
@@ -408,6 +414,7 @@ def run_from_config(
     run_id: str | None = None,
     rates: DataFrame | None = None,
     parallel: int = 1,
+    silver_db: str | None = None,
 ) -> list[RunResult]:
     """One day for every active source of a config table (A8 + ``run_all``).
 
@@ -415,4 +422,5 @@ def run_from_config(
     """
     from sluice.config import active_configs
 
-    return run_all(spark, active_configs(config_df), processing_date, layout, run_id, rates, parallel)
+    return run_all(spark, active_configs(config_df), processing_date, layout, run_id, rates, parallel,
+                   silver_db=silver_db)

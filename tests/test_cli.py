@@ -12,7 +12,7 @@ def test_cli_round_trip(spark, capsys):
     db = "sluice_cli_test"
     write_feed(root, "card_transactions", "2026-01-01", "us_card_transactions_2026-01-01_001.csv", US_FEED)
     write_feed(root, "atm_withdrawals", "2026-01-01", "atm_withdrawals_2026-01-01_001.csv", ATM_FEED)
-    assert cli.main(["setup", "--db", db, "--root", root]) == 0
+    assert cli.main(["setup", "--db", db, "--root", root, "--buckets", "4"]) == 0
     assert json.loads(capsys.readouterr().out)["configs"] == 4
     assert cli.main(["verify", "--db", db]) == 0
     assert json.loads(capsys.readouterr().out)["ok"] is True
@@ -20,6 +20,7 @@ def test_cli_round_trip(spark, capsys):
     runs = {r["source_id"]: r for r in json.loads(capsys.readouterr().out)["runs"]}
     assert runs["src_us_card_txns"]["rows_read"] == 7 and runs["src_atm_sg"]["rows_written"] == 2
     assert spark.table(f"{db}.dq_summary").count() == 2  # partitions registered in the catalog
+    assert spark.table(f"{db}.card_transactions_silver").count() == 1  # written through the bucketed table
     assert cli.main(["manifest", "--root", root]) == 0
     files = json.loads(capsys.readouterr().out)["files"]
     assert {f["source_dir"] for f in files} == {"card_transactions", "atm_withdrawals"}
