@@ -10,6 +10,7 @@ outputs (cached per Spark application and data directory).
 from __future__ import annotations
 
 import datetime as dt
+import threading
 import uuid
 
 from pyspark.sql import SparkSession
@@ -29,6 +30,7 @@ RUN_DATE = "2024-01-01"
 RUN_ID = "run-standin-0001"
 RUN_STAMP = dt.datetime(2024, 1, 1, 6, 0, 0)
 _RUNS: dict[tuple[str, str], tuple] = {}
+_RUNS_LOCK = threading.Lock()
 
 
 def orders_csv_config(root: str) -> SourceConfig:
@@ -67,6 +69,11 @@ def write_orders_feed(spark: SparkSession, sf_dir: str, raw_dir: str) -> None:
 def orders_run(spark: SparkSession, sf_dir: str):
     """Land orders as a CSV feed and ingest it once (shared by several queries)."""
     key = (spark.sparkContext.applicationId, sf_dir)
+    with _RUNS_LOCK:
+        return _orders_run_locked(spark, sf_dir, key)
+
+
+def _orders_run_locked(spark: SparkSession, sf_dir: str, key: tuple[str, str]):
     if key not in _RUNS:
         root = scratch_path(spark, "runs")
         cfg = orders_csv_config(root)
