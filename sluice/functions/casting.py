@@ -18,11 +18,9 @@ from sluice.functions.timefmt import parse_date, parse_timestamp
 
 INTEGER_PATTERN = r"^[+-]?[0-9]+$"
 DECIMAL_PATTERN = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
-BOOLEAN_PATTERN = r"^(?i)(true|false)$"
 BOOLEAN_WORDS = ("true", "false")
 ISO_TIMESTAMP_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,9})?)?)?$"
 
-LOGICAL_TYPES = ("integer", "double", "boolean", "timestamp", "string")
 
 
 def _text(raw: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.functions.casting import cast_failed, safe_cast
+from sluice.operators.quality import CAST_PREFIX
 
 CAST_FAILURES = "_cast_failures"
 
@@ -58,7 +59,7 @@ def conform(
             raw = F.col(_q(raw_of[f.name]))
             typed = safe_cast(raw, f.dataType, formats.get(f.name))
             if not isinstance(f.dataType, T.StringType):
-                reasons.append(F.when(cast_failed(raw, typed), F.lit(f"cast:{f.name}")))
+                reasons.append(F.when(cast_failed(raw, typed), F.lit(CAST_PREFIX + f.name)))
         else:
             typed = F.lit(None).cast(f.dataType)
         out.append(typed.alias(f.name))

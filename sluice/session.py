@@ -88,19 +88,6 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([work_root(spark), "sluice", *parts, uuid.uuid4().hex])
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme so a path can be listed with ``os``."""
-    if path.startswith("file://"):
-        return path[len("file://"):]
-    if path.startswith("file:"):
-        return path[len("file:"):]
-    return path
-
-
-def is_local_fs(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
-
-
 def build_local_session(app: str = "sluice", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """Session for tests and the bench (local mode, UI off)."""
     builder = (

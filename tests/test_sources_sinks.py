@@ -107,3 +107,25 @@ def test_shuffle_sizing_only_raises(spark):
             spark.conf.unset(key)
         else:
             spark.conf.set(key, before)
+
+
+def test_lineage_helpers_and_insert_values(spark):
+    from sluice.operators.lineage import row_counts, source_files, unreconciled
+    from sluice.operators.relate import count_where
+    from sluice.sinks.writers import insert_values
+
+    root = _landing()
+    scan = read_source(spark, SEED_CONFIGS[0].with_root(root), DATE)
+    files = {r.source_path for r in source_files(scan.df).collect()}
+    assert len(files) == 2 and all("us_card_transactions" in f for f in files)  # G3: distinct raw files
+    assert count_where(scan.df, F.col("status") == "APPROVED").first().n == 6  # F8
+    lin = spark.createDataFrame([(7, 1, 6), (5, 2, 2)], "rows_read long, rows_written long, rows_rejected long")
+    assert [r.rows_read for r in unreconciled(lin).collect()] == [5]  # G2
+    v = spark.createDataFrame([(["r1"],), ([],)], "failed_rules array<string>")
+    r = row_counts(v).first()
+    assert (r.rows_read, r.rows_written, r.rows_rejected, r.reconciled) == (2, 1, 1, True)
+    spark.sql("CREATE DATABASE IF NOT EXISTS sluice_iv")
+    spark.sql("CREATE TABLE IF NOT EXISTS sluice_iv.t (k int, v string) USING parquet")
+    insert_values(spark, "sluice_iv.t", [(1, "a"), (2, None)], "k int, v string")  # B9
+    assert spark.table("sluice_iv.t").count() == 2
+    spark.sql("DROP DATABASE sluice_iv CASCADE")
