@@ -64,7 +64,10 @@ def sample_values(df: DataFrame, columns: list[str] | None = None, k: int = 10)
     Values are ranked by frequency (desc) then value (asc).  The (column,
     value) counts are combined map-side, and the top-k filter becomes a
     partial per-task limit before the shuffle, so neither a hot value nor a
-    wide column lands whole in one task.
+    wide column lands whole in one task.  Exact frequencies need one shuffle
+    of each column's distinct values, so on very large tables this belongs to
+    a snapshot cadence (``ingest_frame(profile_registry=True)`` is off by
+    default), not to every run.
     """
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     pairs = F.array(*[F.struct(F.lit(f.name).alias("c"), _as_text(F.col(_q(f.name)), f.dataType).alias("v")) for f in fields])
