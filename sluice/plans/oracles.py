@@ -439,7 +439,8 @@ ORACLES["catalog_objects"] = (
 ORACLES["expectations"] = (
     "SELECT * FROM (VALUES ('config_table_managed', 'MANAGED', 'MANAGED', true), "
     "('results_table_external', 'EXTERNAL', 'EXTERNAL', true), ('active_sources', '3', '3', true), ('row_once_after_update', '1', '1', true), "
-    "('rule_q003_present', 'true', 'true', true), ('silver_key_unique', 'true', 'true', true), "
+    "('rule_q003_present', 'true', 'true', true), ('config_problems', '0', '0', true), "
+    "('silver_key_unique', 'true', 'true', true), "
     "('lineage_reconciled', '0', '0', true), ('silver_union_rejected_is_raw', '0', '0', true)) "
     "v(\"check\", expected, actual, ok)"
 )

@@ -181,7 +181,10 @@ def expectations(spark, sf_dir):
     rejected = spark.read.parquet(cfg.rejected_path)
     raw = spark.read.option("header", "true").csv(cfg.raw_path_for(RUN_DATE))
     lin = read_table(spark, layout.lineage, schemas.PIPELINE_LINEAGE)
+    from sluice.config import validate_configs
+
     checks = kinds + config_checks(conf, 3, "src_orders", "q003", "src_orders") + [
+        check_row(validate_configs(conf).agg(F.count(F.lit(1)).alias("n")), "config_problems", "0", F.col("n")),
         check_row(silver.agg((F.count(F.lit(1)) == F.count_distinct("transaction_id")).alias("u")),
                   "silver_key_unique", "true", F.col("u")),
         check_row(lin.agg(F.count_if(F.col("rows_read") != F.col("rows_written") + F.col("rows_rejected")).alias("n")),
