@@ -76,7 +76,9 @@ def create_all(spark: SparkSession, db: str, layout: Layout, location: str | Non
     loc = f" LOCATION '{location}'" if location else ""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {_ident(db)} COMMENT 'Metadata-driven ingestion'{loc}")
     if not spark.catalog.tableExists(f"{db}.ingestion_config"):
-        local_frame(spark, [], schemas.INGESTION_CONFIG).write.format("parquet").saveAsTable(f"{db}.ingestion_config")
+        # The config table is ORC with Snappy, as in the data model (Spark's ORC default codec is zstd).
+        (local_frame(spark, [], schemas.INGESTION_CONFIG).write.format("orc").option("compression", "snappy")
+         .saveAsTable(f"{db}.ingestion_config"))
     for table, loc in external_locations(layout).items():
         create_external_table(spark, db, table, loc, buckets if table in SILVER_DIRS else None)
 
