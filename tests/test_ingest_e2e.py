@@ -209,3 +209,12 @@ def test_failing_source_is_isolated(spark):
     assert results["src_us_card_txns"].status == "PARTIAL"
     lin = read_table(spark, Layout(root).lineage, schemas.PIPELINE_LINEAGE)
     assert {(r.source_id, r.status) for r in lin.collect()} == {("src_us_card_txns", "PARTIAL"), ("src_merchant_updates", "FAILED")}
+
+
+def test_source_timezone_normalised_to_utc(spark):
+    root, configs = _setup()
+    india = replace(configs[1], source_timezone="Asia/Kolkata")
+    res = run_source(spark, india, DATE, Layout(root), run_id="tz", rates=_rates(spark))
+    assert res.rows_written == 1
+    row = read_table(spark, india.silver_path, schemas.CARD_TRANSACTIONS_SILVER, {"source_id": india.source_id}).first()
+    assert str(row.transaction_ts) == "2026-01-01 03:35:00"  # 09:05 in Kolkata
