@@ -129,3 +129,13 @@ def test_lineage_helpers_and_insert_values(spark):
     insert_values(spark, "sluice_iv.t", [(1, "a"), (2, None)], "k int, v string")  # B9
     assert spark.table("sluice_iv.t").count() == 2
     spark.sql("DROP DATABASE sluice_iv CASCADE")
+
+
+def test_output_file_sizing(spark):
+    from sluice.plans.ingest import TARGET_FILE_BYTES, sized_for_files
+
+    df = spark.range(0, 1000, numPartitions=16)
+    assert sized_for_files(df, 1000, 256).rdd.getNumPartitions() == 1  # 256 kB -> one file
+    rows = 20 * TARGET_FILE_BYTES // 256
+    assert sized_for_files(df, rows, 256).rdd.getNumPartitions() == 16  # 20 files wanted: never more partitions than given
+    assert sized_for_files(df, 4 * TARGET_FILE_BYTES // 256, 256).rdd.getNumPartitions() == 4
