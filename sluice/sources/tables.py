@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.session import ensure_settings
+from sluice.session import ensure_settings, local_frame
 
 
 def read_table(
@@ -41,6 +41,8 @@ def latest_snapshot(df: DataFrame, group: str = "source_id", version: str = "pro
     broadcast once their count is checked, so the rows are never shuffled.
     """
     newest = df.groupBy(group).agg(F.max(version).alias(version))
-    if newest.count() <= MAX_BROADCAST_GROUPS:
-        newest = F.broadcast(newest)
+    rows = newest.limit(MAX_BROADCAST_GROUPS + 1).collect()  # bounded by the limit
+    if len(rows) <= MAX_BROADCAST_GROUPS:
+        # one pass for the maxima, then a broadcast semi-join: the rows never move
+        return df.join(F.broadcast(local_frame(df.sparkSession, rows, newest.schema)), [group, version], "left_semi")
     return df.join(newest, [group, version], "left_semi")
