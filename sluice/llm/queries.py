@@ -8,9 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm.line_dedup import line_dedup
+from sluice.llm.packing import pack
+from sluice.llm.pii import BASE_KINDS, find_pii, joined, of_kind
+from sluice.llm.quality import fit_quality, held_out, score_quality
 from sluice.llm.simhash import simhash_groups
 
 
+def tokenizer_path() -> str:
+    """Where this installation keeps the byte-level vocabulary; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -23,10 +33,34 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_path()).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("spans")
+    return found.select(
+        "doc_id",
+        *[F.size(of_kind(spans, k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS],
+        F.sha2(joined(of_kind(spans, *BASE_KINDS)), 256).alias("base_sha256"),
+        joined(spans).alias("spans"),
+    )
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_quality(docs, _table(spark, sf_dir, "labels"))
+    return score_quality(docs.select("doc_id", "text"), model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_line_dedup,
         op5_simhash_near_dedup,
+        op6_packing,
+        op8_pii,
+        op9_quality,
     )
 }
