@@ -14,6 +14,7 @@ from sluice.llm.packing import pack
 from sluice.llm.pii import BASE_KINDS, find_pii, joined, of_kind
 from sluice.llm.quality import fit_quality, held_out, score_quality
 from sluice.llm.simhash import simhash_groups
+from sluice.llm.warc import archive_pages
 
 
 def tokenizer_path() -> str:
@@ -43,6 +44,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path()).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    index = archive_pages(pages, captured=F.timestamp_seconds(F.lit(1577836800) + F.coalesce("page_id", F.lit(0))))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.col("spans")
@@ -87,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_mixing,
         op5_simhash_near_dedup,
         op6_packing,
+        op7_warc,
         op8_pii,
         op9_quality,
         op10_chat,
