@@ -98,7 +98,7 @@ class Boosted:
         return 1 / (1 + np.exp(-out))
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.1, bins: int = 64, min_hessian: float = 2.0, l2: float = 1.0) -> Boosted:
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 200, depth: int = 4, rate: float = 0.1, bins: int = 64, min_hessian: float = 0.2, l2: float = 1.0) -> Boosted:
     """Fit boosted trees for the logistic loss on histograms of quantile bins.
 
     No rows, or rows of one label, give a model without trees whose score is
