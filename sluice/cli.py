@@ -31,7 +31,10 @@ def setup(spark: SparkSession, db: str, root: str, buckets: int | None = None) -
     from sluice.plans.ingest import Layout
 
     create_all(spark, db, Layout(root), buckets=buckets)
-    config_frame(spark, [c.with_root(root) for c in SEED_CONFIGS]).write.insertInto(f"{db}.ingestion_config", overwrite=True)
+    table = f"{db}.ingestion_config"
+    seeds = config_frame(spark, [c.with_root(root) for c in SEED_CONFIGS])
+    # Sources that are already configured, the user's own among them, stay as they are.
+    seeds.join(spark.table(table).select("source_id"), "source_id", "left_anti").select(seeds.columns).write.insertInto(table)
     return {"database": db, "configs": spark.table(f"{db}.ingestion_config").count()}
 
 
@@ -46,13 +49,22 @@ def verify(spark: SparkSession, db: str) -> dict:
     return {"ok": all(r.ok for r in rows), "checks": [r.asDict() for r in rows]}
 
 
-def ingest(spark: SparkSession, db: str, root: str, date: str, parallel: int = 1) -> dict:
-    """One processing date for every active source of the config table."""
+def _rates(spark: SparkSession, name: str | None):
+    if name is None:
+        return None
+    return spark.read.parquet(name) if "/" in name else spark.table(name)
+
+
+def ingest(spark: SparkSession, db: str, root: str, date: str, parallel: int = 1, rates: str | None = None) -> dict:
+    """One processing date for every active source of the config table.
+
+    ``rates``: a catalog table, or a Parquet path, of ``(currency, as_of_date, rate_to_usd)``.
+    """
     from sluice.plans.catalog import refresh_partitions
     from sluice.plans.ingest import Layout, run_from_config
 
     results = run_from_config(spark, spark.table(f"{db}.ingestion_config"), date, Layout(root), parallel=parallel,
-                              silver_db=db)
+                              silver_db=db, rates=_rates(spark, rates))
     for t in ("dq_results", "dq_summary", "pipeline_lineage", "card_transactions_silver", "merchant_silver",
               "atm_silver", "fraud_flags_silver"):
         if spark.catalog.tableExists(f"{db}.{t}"):
@@ -82,6 +94,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--root", required=True)
     p.add_argument("--date", required=True)
     p.add_argument("--parallel", type=int, default=1)
+    p.add_argument("--rates", default=None, help="catalog table or Parquet path of currency rates")
     p = sub.add_parser("manifest")
     p.add_argument("--root", required=True)
     args = ap.parse_args(argv)
@@ -92,7 +105,7 @@ def main(argv: list[str] | None = None) -> int:
     elif args.cmd == "verify":
         out = verify(spark, args.db)
     elif args.cmd == "ingest":
-        out = ingest(spark, args.db, args.root, args.date, args.parallel)
+        out = ingest(spark, args.db, args.root, args.date, args.parallel, args.rates)
     else:
         out = manifest(spark, args.root)
     print(json.dumps(out, default=str))

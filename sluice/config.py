@@ -341,7 +341,7 @@ CONFIG_COLUMNS = (
     "source_id", "source_name", "source_type", "hdfs_raw_path", "file_format", "delimiter",
     "has_header", "date_column", "date_format", "primary_key_column", "target_table",
     "hdfs_silver_path", "hdfs_rejected_path", "dq_rules_json", "column_mapping_json",
-    "is_active", "created_by", "schema_version",
+    "is_active", "created_by", "schema_version", "file_pattern", "source_timezone", "source_currency",
 )
 
 
@@ -351,7 +351,7 @@ def config_rows(configs: tuple[SourceConfig, ...] | list[SourceConfig]) -> list[
             c.source_id, c.source_name, c.source_type, c.raw_path, c.file_format, c.delimiter,
             c.has_header, c.date_column, c.date_format, c.primary_key_column, c.target_table,
             c.silver_path, c.rejected_path, c.rules_json(), c.mapping_json(), c.is_active,
-            c.created_by, c.schema_version,
+            c.created_by, c.schema_version, c.file_pattern, c.source_timezone, c.source_currency,
         )
         for c in configs
     ]

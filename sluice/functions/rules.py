@@ -58,6 +58,30 @@ class CompiledRule:
     error: str | None = None
 
 
+def _analyse(df: DataFrame, predicates: list[Column]) -> None:
+    """Resolve predicates beside the rows (no job): a rule judges one row, so it
+    may not aggregate, rank over a window or hold a subquery."""
+    plan = df.select("*", *predicates)._jdf.queryExecution().analyzed()
+    text = plan.expressions().mkString(" ")
+    if "windowspecdefinition(" in plan.toString().lower() or "subquery#" in text or "exists#" in text:
+        raise ValueError("a rule may not use window functions or subqueries")
+
+
+def raising_rules(df: DataFrame, compiled: list["CompiledRule"]) -> dict[str, str]:
+    """Rules whose expression raises on some row (say, a division by zero), with the whole error text.
+
+    Called only after a run failed: one narrow job for each expression rule.
+    """
+    out = {}
+    for c in compiled:
+        if c.error is None and c.rule.type in ("range", "custom", "regex"):
+            try:
+                df.agg(F.count_if(~c.ok)).collect()
+            except Exception as exc:  # noqa: BLE001 -- any failure of this rule's job is this rule's
+                out[c.rule.rule_id] = str(exc) or type(exc).__name__
+    return out
+
+
 def compile_rules(df: DataFrame, rules) -> list[CompiledRule]:
     """Compile rules against ``df``'s columns.
 
@@ -76,17 +100,17 @@ def compile_rules(df: DataFrame, rules) -> list[CompiledRule]:
             errors.append(None)
         except (AnalysisException, ValueError, TypeError, AttributeError) as exc:  # parse errors included
             preds.append(None)
-            errors.append((str(exc).splitlines() or [type(exc).__name__])[0][:300])
+            errors.append(str(exc) or type(exc).__name__)
     ok_preds = [(i, p) for i, p in enumerate(preds) if p is not None]
     try:
         if ok_preds:
-            df.select(*[p.alias(f"_probe{i}") for i, p in ok_preds]).schema  # analysis only
-    except AnalysisException:
+            _analyse(df, [p.alias(f"_probe{i}") for i, p in ok_preds])
+    except (AnalysisException, ValueError):
         for i, p in ok_preds:
             try:
-                df.select(p.alias("_probe")).schema
-            except AnalysisException as exc:
-                errors[i] = str(exc).splitlines()[0][:300] if str(exc) else type(exc).__name__
+                _analyse(df, [p.alias("_probe")])
+            except (AnalysisException, ValueError) as exc:
+                errors[i] = str(exc) or type(exc).__name__
     out = []
     for rule, pred, err in zip(rules, preds, errors):
         text = rule_expression_text(rule)

@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 SILVER_STATUSES = ("APPROVED", "DECLINED", "PENDING")
 STATUS_MAP = {"success": "APPROVED", "failed": "DECLINED", "pending": "PENDING"}
 
-# Rates table rows above this count are not broadcast (they are tiny by
-# nature: currencies x days).
-MAX_BROADCAST_RATES = 100_000
-
 
 def normalise_status(df: DataFrame, column: str, mapping: dict[str, str] = STATUS_MAP, out: str | None = None) -> DataFrame:
     """Map feed status values; values absent from the map are kept."""
@@ -35,11 +31,6 @@ def latest_rates(rates: DataFrame, as_of: str | Column | None = None) -> DataFra
     return r.groupBy("currency").agg(F.max_by("rate_to_usd", "as_of_date").alias("rate_to_usd"))
 
 
-def _maybe_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_RATES) -> DataFrame:
-    """Broadcast only after the row count is checked against a bound."""
-    return F.broadcast(small) if small.count() <= max_rows else small
-
-
 def convert_currency(
     df: DataFrame,
     rates: DataFrame,
@@ -58,7 +49,7 @@ def convert_currency(
     no rate get a NULL ``out``.
     """
     cur = F.col(currency) if isinstance(currency, str) else currency
-    rate = _maybe_broadcast(latest_rates(rates, as_of).withColumnRenamed("currency", "_cur"))
+    rate = latest_rates(rates, as_of).withColumnRenamed("currency", "_cur")
     joined = df.withColumn("_cur", cur).join(rate, "_cur", "left")
     amt = F.col(amount)
     # Exact decimal product, rounded half-up, so that money never rounds on

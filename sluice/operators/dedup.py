@@ -1,44 +1,31 @@
 """Primary-key dedup (F1) and key-uniqueness report (F2).
 
 F1 keeps, per key, the row that is greatest by the given order (newest event
-time first, then the remaining columns, then a row id) and flags every other
-copy, so that extra copies can go to the rejected zone and counts reconcile.
-
-Skew: one key may hold a third of all rows, and a ``row_number`` window
-sorts each key's group inside one task.  Keys are therefore split by heat:
-
-* heavy hitters: ``freqItems`` proposes candidates in one pass over the key
-  columns (every key holding more than ``support`` of the rows, plus some
-  false positives, never more than ``1 / support`` keys -- a proven bound),
-  and an exact count of the candidates keeps the true ones;
-* rows of candidate keys take an aggregate path: the winner is a ``max`` of
-  the ordering struct, combined map-side before the shuffle, and the winners
-  (at most ``1 / support`` rows) are broadcast back -- the hot rows
-  themselves are never shuffled;
-* all other rows take one window shuffle on the key, where no group can
-  exceed ``support`` of the rows.
-
-In the common case (mostly unique keys) this is one exchange for the rows
-plus one small aggregate.  Rows with a NULL key are never duplicates (a NULL
-key is a ``not_null`` rule matter) and bypass both paths.
+time first, then the remaining columns, then a row id).  There is one plan
+for every input size, and it needs no knowledge of hot keys:
+
+* ``dedup_latest`` is one aggregate: the winner of a key is a ``max_by`` of
+  the order, combined map-side, so a key with a third of all rows shrinks to
+  one row per task before the shuffle;
+* ``flag_duplicates``, which has to give back every copy, forms the winners of
+  the keys with more than one row in the same way, stores that table, and
+  joins it back.  Its file size tells the planner whether to broadcast it;
+  otherwise both sides of the join are plain shuffles, of which adaptive
+  execution splits the skewed ones.  Rows of unique keys find no winner.
+
+Rows with a NULL key are never duplicates (a NULL key is a ``not_null`` rule
+matter).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sluice.session import local_frame
+from sluice.session import scratch_path
 
 DUP_FLAG = "_is_dup"
 ROW_ID = "_rid"
-# Smallest support Spark's frequent-items aggregate accepts: at most 10,000
-# candidate keys, and no cold key above 0.01 % of the rows.
-FREQ_SUPPORT = 1e-4
-# A group can never hold more rows than the input: below this many keyed rows
-# one task sorts any group comfortably and heavy-hitter detection is skipped.
-MIN_SPLIT_ROWS = 2_000_000
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
@@ -51,10 +38,6 @@ def _order_struct(order: list[Column | str]) -> Column:
     return F.struct(*fields, F.col(ROW_ID).alias("_oid"))
 
 
-def _order_columns(order: list[Column | str]) -> list[Column]:
-    return [F.col(c) if isinstance(c, str) else c for c in order] + [F.col(ROW_ID)]
-
-
 def _has_keys(keys: list[str]) -> Column:
     cond = F.lit(True)
     for k in keys:
@@ -62,92 +45,41 @@ def _has_keys(keys: list[str]) -> Column:
     return cond
 
 
-def hot_key_rows(df: DataFrame, keys: list[str], support: float = FREQ_SUPPORT, total: int | None = None) -> list[tuple]:
-    """Keys holding more than ``support`` of the rows (at most ``1 / support`` of them).
-
-    ``freqItems`` proposes candidates in one pass (no false negatives, some
-    false positives); one more pass over the key columns counts the
-    candidates exactly (a broadcast semi-join, counts combined map-side) and
-    keeps the true heavy hitters.  The result is collected: its size is
-    bounded by ``1 / support`` rows.
-    """
-    spark = df.sparkSession
-    schema = _key_schema(df, keys)
-    found = df.select(F.struct(*keys).alias("_k")).stat.freqItems(["_k"], support).first()[0] or []
-    if not found:
-        return []
-    cands = local_frame(spark, [tuple(r) for r in found], schema)
-    counted = (
-        df.select(*keys)
-        .join(F.broadcast(cands), keys, "left_semi")
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    total = df.count() if total is None else total
-    heavy = counted.filter(F.col("_n") > F.lit(support * total)).select(*keys).collect()
-    return [tuple(r) for r in heavy]
-
-
-def hot_keys(df: DataFrame, keys: list[str], support: float = FREQ_SUPPORT, total: int | None = None) -> DataFrame:
-    """``hot_key_rows`` as a DataFrame (at most ``1 / support`` rows)."""
-    return local_frame(df.sparkSession, hot_key_rows(df, keys, support, total), _key_schema(df, keys))
-
-
-def _key_schema(df: DataFrame, keys: list[str]) -> T.StructType:
-    return T.StructType([T.StructField(k, df.schema[k].dataType, True) for k in keys])
-
-
-def flag_duplicates(
-    df: DataFrame,
-    keys: list[str],
-    order: list[Column | str],
-    hot: DataFrame | None = None,
-    support: float = FREQ_SUPPORT,
-    min_split_rows: int = MIN_SPLIT_ROWS,
-) -> DataFrame:
+def flag_duplicates(df: DataFrame, keys: list[str], order: list[Column | str], scratch: str | None = None) -> DataFrame:
     """Add ``_is_dup``: True for every row that is not its key's winner.
 
     The winner is the row with the greatest ``order`` values (compared left
     to right, NULL lowest), then the greatest row id.  ``df`` must carry
-    ``_rid`` (see ``with_row_id``).
+    ``_rid`` (see ``with_row_id``) and is evaluated twice, so it must be a
+    file scan or a stored table, whose row ids stay the same.  ``scratch``:
+    where the winners go (a fresh folder under the work root by default).
     """
-    ordv = _order_struct(order)
-    has_key = _has_keys(keys)
-    keyed = df.filter(has_key)
-    if hot is None:
-        total = keyed.count()
-        rows = [] if total <= min_split_rows else hot_key_rows(keyed, keys, support, total)
-        hot = local_frame(df.sparkSession, rows, _key_schema(df, keys)) if rows else None
-
-    # Same order as the struct comparison (NULL lowest), column by column so
-    # that the sort can use a prefix of the first column.
-    w = Window.partitionBy(*keys).orderBy(*[c.desc_nulls_last() for c in _order_columns(order)])
-    no_key = df.filter(~has_key).withColumn(DUP_FLAG, F.lit(False))
-    cols = df.columns + [DUP_FLAG]
-    if hot is None:
-        # No heavy hitter: one window shuffle on the key, nothing else.
-        cold = keyed.withColumn(DUP_FLAG, F.row_number().over(w) > 1)
-        return cold.select(cols).unionByName(no_key.select(cols))
-
-    marked = keyed.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
-    hot_rows = marked.filter(F.col("_hot").isNotNull()).drop("_hot")
-    cold_rows = marked.filter(F.col("_hot").isNull()).drop("_hot")
-    cold = cold_rows.withColumn(DUP_FLAG, F.row_number().over(w) > 1)
-
-    winners = hot_rows.groupBy(*keys).agg(F.max(ordv).alias("_win"))
-    hot_flagged = (
-        hot_rows.join(F.broadcast(winners), keys)
-        .withColumn(DUP_FLAG, ~ordv.eqNullSafe(F.col("_win")))
-        .drop("_win")
+    winners = (
+        df.filter(_has_keys(keys))
+        .groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+        .agg(F.count(F.lit(1)).alias("_n"), F.max(_order_struct(order))["_oid"].alias("_win"))
+        .filter(F.col("_n") > 1)
+        .drop("_n")
     )
-    return cold.select(cols).unionByName(hot_flagged.select(cols)).unionByName(no_key.select(cols))
+    path = scratch or scratch_path(df.sparkSession, "dedup-winners")
+    winners.write.mode("overwrite").parquet(path)
+    stored = df.sparkSession.read.schema(winners.schema).parquet(path)
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & (df[k] == stored[f"_k{i}"])
+    is_dup = F.coalesce(F.col("_win") != F.col(ROW_ID), F.lit(False))
+    return df.join(stored, same, "left").withColumn(DUP_FLAG, is_dup).select(*df.columns, DUP_FLAG)
 
 
 def dedup_latest(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
-    """Keep one row per key (the winner); rows with a NULL key are kept."""
+    """Keep one row per key (the winner); rows with a NULL key are kept.
+
+    One scan and one shuffle.  A row with a NULL key is a group of its own.
+    """
     src = df if ROW_ID in df.columns else with_row_id(df)
-    out = flag_duplicates(src, keys, order).filter(~F.col(DUP_FLAG)).drop(DUP_FLAG)
-    return out if ROW_ID in df.columns else out.drop(ROW_ID)
+    alone = F.when(~_has_keys(keys), F.col(ROW_ID)).alias("_alone")
+    won = src.groupBy(*keys, alone).agg(F.max_by(F.struct(*df.columns), _order_struct(order)).alias("_row"))
+    return won.select("_row.*")
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,10 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from sluice.operators.dedup import MIN_SPLIT_ROWS
-from sluice.session import local_frame
 
 
 def union_sources(frames: dict[str, DataFrame], source_col: str = "source_id") -> DataFrame:
@@ -19,72 +15,19 @@ def union_sources(frames: dict[str, DataFrame], source_col: str = "source_id") -
     return out
 
 
-def _hot_child_keys(child: DataFrame, child_key: str, min_split_rows: int) -> DataFrame | None:
-    """Heavy-hitter child keys, or None when no split is needed (see ``dedup.hot_keys``)."""
-    from sluice.operators.dedup import hot_key_rows
-
-    keyed = child.filter(F.col(child_key).isNotNull())
-    total = keyed.count()
-    if total <= min_split_rows:
-        return None
-    rows = hot_key_rows(keyed, [child_key], total=total)
-    if not rows:
-        return None
-    return local_frame(child.sparkSession, rows, T.StructType([T.StructField(child_key, child.schema[child_key].dataType)]))
-
-
-def fk_join(
-    child: DataFrame,
-    parent: DataFrame,
-    child_key: str,
-    parent_key: str,
-    how: str = "inner",
-    min_split_rows: int = MIN_SPLIT_ROWS,
-) -> DataFrame:
+def fk_join(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str, how: str = "inner") -> DataFrame:
     """child rows with their parent (1:N: a parent may have many children).
 
-    The parent side is keyed (one row per key).  Child keys holding more than
-    0.01 % of the child rows are split off: their parent rows (at most 10,000)
-    are broadcast and the hot child rows are joined where they are, never
-    shuffled; the rest is a regular join that Catalyst/AQE plans (broadcast
-    only on measured size, skewed partitions split).
-    """
-    cond = child[child_key] == parent[parent_key]
-    hot = _hot_child_keys(child, child_key, min_split_rows)
-    if hot is None:
-        return child.join(parent, cond, how)
-    hot_keys_ = F.broadcast(hot.withColumnRenamed(child_key, "_hk"))
-    hot_children = child.join(hot_keys_, child[child_key] == F.col("_hk"), "left_semi")
-    cold_children = child.join(hot_keys_, child[child_key] == F.col("_hk"), "left_anti")
-    hot_parents = parent.join(hot_keys_, parent[parent_key] == F.col("_hk"), "left_semi")
-    hot_part = hot_children.join(F.broadcast(hot_parents), hot_children[child_key] == hot_parents[parent_key], how)
-    cold_part = cold_children.join(parent, cold_children[child_key] == parent[parent_key], how)
-    return cold_part.unionByName(hot_part)
-
-
-def fk_orphans(
-    child: DataFrame,
-    parent: DataFrame,
-    child_key: str,
-    parent_key: str,
-    min_split_rows: int = MIN_SPLIT_ROWS,
-) -> DataFrame:
-    """child rows whose parent key does not exist (NULL keys are orphans).
-
-    Hot child keys are checked against a broadcast of their (at most 10,000)
-    parent keys, so their rows are never shuffled.
+    A plain equi-join at every size and for every join type: Catalyst
+    broadcasts the smaller side only if its size is known to be small, and
+    adaptive execution splits the partition of a key with very many rows.
     """
-    hot = _hot_child_keys(child, child_key, min_split_rows)
-    if hot is None:
-        return child.join(parent, child[child_key] == parent[parent_key], "left_anti")
-    hot_keys_ = F.broadcast(hot.withColumnRenamed(child_key, "_hk"))
-    hot_children = child.join(hot_keys_, child[child_key] == F.col("_hk"), "left_semi")
-    cold_children = child.join(hot_keys_, child[child_key] == F.col("_hk"), "left_anti")
-    hot_parent_keys = parent.join(hot_keys_, parent[parent_key] == F.col("_hk"), "left_semi").select(
-        F.col(parent_key).alias("_pk"))
-    hot_orphans = hot_children.join(F.broadcast(hot_parent_keys), hot_children[child_key] == F.col("_pk"), "left_anti")
-    cold_orphans = cold_children.join(parent, cold_children[child_key] == parent[parent_key], "left_anti")
-    return cold_orphans.unionByName(hot_orphans)
+    return child.join(parent, child[child_key] == parent[parent_key], how)
+
+
+def fk_orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
+    """child rows whose parent key does not exist (NULL keys are orphans)."""
+    return child.join(parent, child[child_key] == parent[parent_key], "left_anti")
 
 
 def flagged_only(parent: DataFrame, child: DataFrame, parent_key: str, child_key: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.rules import CompiledRule
-from sluice.operators.dedup import DUP_FLAG, MIN_SPLIT_ROWS, ROW_ID, flag_duplicates, with_row_id
+from sluice.operators.dedup import DUP_FLAG, ROW_ID, flag_duplicates, with_row_id
 from sluice.operators.mapping import CAST_FAILURES
 from sluice.operators.quality import DUP_PREFIX, FAILED, verdict_array
 
@@ -36,19 +36,18 @@ def dedup_verdict(
     v: DataFrame,
     keys: list[str],
     order: list[Column | str] | None = None,
-    min_split_rows: int = MIN_SPLIT_ROWS,
+    scratch: str | None = None,
 ) -> DataFrame:
     """Step 2 on a rule verdict: extra copies of a key among passing rows get ``dup:<key>``."""
     had_id = ROW_ID in v.columns
     if not had_id:
         v = with_row_id(v)
+    # A row that failed takes no part: its key counts as NULL for the dedup.
     ok = F.size(F.col(FAILED)) == 0
-    good = v.filter(ok)
-    bad = v.filter(~ok)
-    flagged = flag_duplicates(good, keys, order or [], min_split_rows=min_split_rows)
+    marked = v.withColumns({f"_pk{i}": F.when(ok, F.col(k)) for i, k in enumerate(keys)})
+    flagged = flag_duplicates(marked, [f"_pk{i}" for i in range(len(keys))], order or [], scratch)
     dup_reason = F.array(F.lit(DUP_PREFIX + ",".join(keys)))
-    flagged = flagged.withColumn(FAILED, F.when(F.col(DUP_FLAG), dup_reason).otherwise(F.col(FAILED))).drop(DUP_FLAG)
-    out = flagged.unionByName(bad)
+    out = flagged.withColumn(FAILED, F.when(F.col(DUP_FLAG), dup_reason).otherwise(F.col(FAILED))).select(*v.columns)
     return out if had_id else out.drop(ROW_ID)
 
 

@@ -30,29 +30,29 @@ import time
 import traceback
 import uuid
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice import schemas
 from sluice.config import SourceConfig
-from sluice.functions.rules import compile_rules
+from sluice.functions.rules import compile_rules, raising_rules
 from sluice.functions.timefmt import to_utc
 from sluice.operators import quality
-from sluice.operators.convert import STATUS_MAP, convert_currency, normalise_status
-from sluice.operators.dedup import MIN_SPLIT_ROWS, ROW_ID, with_row_id
+from sluice.operators.convert import STATUS_MAP, convert_currency, latest_rates, normalise_status
+from sluice.operators.dedup import ROW_ID, with_row_id
 from sluice.operators.lineage import transformation_log
 from sluice.operators.mapping import CAST_FAILURES, conform, with_audit_columns
 from sluice.plans.assess import dedup_verdict, rule_verdict
-from sluice.session import ensure_settings, local_frame, scratch_path, size_shuffles
+from sluice.session import ensure_settings, local_frame, scratch_path, sized_shuffles
 from sluice.sinks.writers import append, overwrite_table_partitions, partition_path, replace_partition
-from sluice.sources.files import delete_path, read_source
+from sluice.sources.files import CORRUPT, delete_path, path_exists, read_source, unclaimed_files
 from sluice.sources.tables import read_table
 
 RAW = "_raw"
+MALFORMED = "raw:malformed"
 # Concurrent jobs must not commit into the same directory at once (they would
 # share the committer's temporary folder).  Audit tables are shared by every
 # source, so their (tiny) appends are serialised; silver and rejected paths are
@@ -61,8 +61,10 @@ _AUDIT_LOCK = threading.Lock()
 
 
 def append_audit(df: DataFrame, path: str, partition_cols) -> None:
+    """Compute the audit rows (one per run, rule or column) first; only the small write holds the lock."""
+    rows = local_frame(df.sparkSession, df.collect(), df.schema)
     with _AUDIT_LOCK:
-        append(df, path, partition_cols)
+        append(rows, path, partition_cols)
 
 
 @dataclass(frozen=True)
@@ -114,7 +116,11 @@ def prepare(spark: SparkSession, cfg: SourceConfig, raw: DataFrame) -> DataFrame
     formats = {cfg.date_silver: cfg.date_format}
     keep_raw = F.struct(*[F.col(f"`{c}`") for c in raw.columns]).alias(RAW)
     with_raw = with_row_id(raw.select("*", keep_raw))
-    return conform(with_raw, cfg.column_mapping, _target_fields(cfg), formats, keep=[RAW, ROW_ID])
+    out = conform(with_raw, cfg.column_mapping, _target_fields(cfg), formats, keep=[RAW, ROW_ID])
+    if CORRUPT in raw.columns:  # a line with too many or too few fields, or broken JSON
+        broken = F.when(F.col(RAW)[CORRUPT].isNotNull(), F.array(F.lit(MALFORMED))).otherwise(F.array().cast("array<string>"))
+        out = out.withColumn(CAST_FAILURES, F.concat(broken, F.col(CAST_FAILURES)))
+    return out
 
 
 def retype(spark: SparkSession, cfg: SourceConfig, staged: DataFrame) -> DataFrame:
@@ -130,18 +136,46 @@ def dedup_order(cfg: SourceConfig) -> list[str]:
     return [cfg.date_silver, RAW]
 
 
+def currency_of(cfg: SourceConfig) -> str | None:
+    """The currency of a source's amounts; None if its silver table has no amounts.
+
+    A source that maps its amount to ``amount_usd`` is in USD.  One that maps
+    it to ``original_amount`` has to name its currency.
+    """
+    fields = {f.name for f in _target_fields(cfg)}
+    if not {"amount_usd", "original_amount"} <= fields:
+        return None
+    mapped = set(cfg.mapping.values())
+    if cfg.source_currency:
+        return cfg.source_currency.upper()
+    if "original_amount" in mapped or "amount_usd" not in mapped:
+        raise ValueError(f"{cfg.source_id}: the currency of original_amount is not configured (source_currency)")
+    return "USD"
+
+
+def check_rate(cfg: SourceConfig, processing_date: str, rates: DataFrame | None) -> None:
+    """A source in another currency than USD needs its rate, or no amount could be told in USD."""
+    currency = currency_of(cfg)
+    if currency in (None, "USD"):
+        return
+    known = rates is not None and latest_rates(rates, processing_date).filter(
+        (F.col("currency") == currency) & F.col("rate_to_usd").isNotNull()).limit(1).count()
+    if not known:
+        raise ValueError(f"{cfg.source_id}: no rate from {currency} to USD as of {processing_date}")
+
+
 def finish_silver(df: DataFrame, cfg: SourceConfig, processing_date: str, rates: DataFrame | None) -> DataFrame:
-    """Step 5 for passing rows: currency, status vocabulary, UTC."""
+    """Step 5 for passing rows: currency, status vocabulary, UTC.  No mapped column is overwritten."""
     fields = {f.name: f for f in _target_fields(cfg)}
     out = df
-    if "amount_usd" in fields and "original_amount" in fields:
-        currency = (cfg.source_currency or "USD").upper()
-        if currency == "USD":
-            out = out.withColumns({"source_currency": F.lit("USD"), "original_amount": F.lit(None).cast("double")})
-        elif rates is not None:
-            out = convert_currency(out, rates, "original_amount", F.lit(currency), as_of=processing_date)
-        else:
-            out = out.withColumns({"source_currency": F.lit(currency), "amount_usd": F.lit(None).cast("double")})
+    currency, mapped = currency_of(cfg), set(cfg.mapping.values())
+    if currency == "USD":
+        filled = {"source_currency": F.lit("USD"), "original_amount": F.lit(None).cast("double")}
+        if "amount_usd" not in mapped:
+            filled["amount_usd"] = F.col("original_amount")
+        out = out.withColumns({k: v for k, v in filled.items() if k not in mapped})
+    elif currency is not None:
+        out = convert_currency(out, rates, "original_amount", F.lit(currency), as_of=processing_date)
     if cfg.target_table == "card_transactions_silver":
         out = normalise_status(out, "status", STATUS_MAP)
     for name, f in fields.items():
@@ -165,10 +199,21 @@ def sized_for_files(df: DataFrame, rows: int, bytes_per_row: float) -> DataFrame
     return df.coalesce(want)  # never raises the partition count, only merges
 
 
-def _stage(spark: SparkSession, df: DataFrame, run_id: str, source_id: str) -> tuple[DataFrame, str]:
-    path = scratch_path(spark, "stage", run_id, source_id)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path), path
+def unreconciled_counts(read: int, written: int, rejected: int, found: int) -> str | None:
+    """What is wrong with the counts of a run, each observed where it arises; None if they reconcile."""
+    if read != written + rejected:
+        return f"read {read} != written {written} + rejected {rejected}"
+    if found != written:
+        return f"written {written} != re-read {found}"
+    return None
+
+
+def _stage(spark: SparkSession, cfg: SourceConfig, raw: DataFrame, compiled, path: str) -> tuple[int, DataFrame]:
+    """Write the rule verdict of every raw row; also gives the number of rows that the scan delivered."""
+    seen = Observation(f"read-{uuid.uuid4().hex}")
+    prepared = prepare(spark, cfg, raw.observe(seen, F.count(F.lit(1)).alias("rows")))
+    rule_verdict(prepared, compiled).select(RAW, ROW_ID, quality.FAILED).write.mode("overwrite").parquet(path)
+    return int(seen.get["rows"]), spark.read.parquet(path)
 
 
 def run_source(
@@ -191,10 +236,12 @@ def run_source(
     run_id = run_id or uuid.uuid4().hex
     scan = read_source(spark, cfg, processing_date)
     if scan is None:
+        at = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+        audit_outcome(spark, cfg, processing_date, layout, run_id, "SKIPPED", at)
         return RunResult(cfg.source_id, processing_date, run_id, "SKIPPED", message="no raw data for this day")
-    size_shuffles(spark, scan.bytes)
-    return ingest_frame(spark, cfg, scan.df, ",".join(scan.files), processing_date, layout, run_id, rates, now,
-                        profile_registry=profile_registry, input_bytes=scan.bytes, silver_table=silver_table)
+    with sized_shuffles(spark, scan.bytes):
+        return ingest_frame(spark, cfg, scan.df, ",".join(scan.files), processing_date, layout, run_id, rates, now,
+                            profile_registry=profile_registry, input_bytes=scan.bytes, silver_table=silver_table)
 
 
 def ingest_frame(
@@ -209,7 +256,6 @@ def ingest_frame(
     now: dt.datetime | None = None,
     append_only: bool = False,
     profile_registry: bool = False,
-    min_split_rows: int = MIN_SPLIT_ROWS,
     input_bytes: int | None = None,
     silver_table: str | None = None,
 ) -> RunResult:
@@ -227,21 +273,29 @@ def ingest_frame(
     silver_part = partition_path(cfg.silver_path, spec)
     rejected_part = partition_path(cfg.rejected_path, spec)
 
-    prepared = prepare(spark, cfg, raw)
-    compiled = compile_rules(prepared, cfg.rules)
+    check_rate(cfg, processing_date, rates)
+    compiled = compile_rules(prepare(spark, cfg, raw), cfg.rules)
     # Stage the rule verdict: one narrow pass over the raw feed, and the row-id
     # tiebreak is frozen before any shuffle; dedup reads the staged files.
     # Only raw text, row id and verdict are staged (about the raw size); typed
     # columns are recomputed from the raw text by the same projection.
-    ruled, stage_path = _stage(spark, rule_verdict(prepared, compiled).select(RAW, ROW_ID, quality.FAILED), run_id,
-                               cfg.source_id)
-    staged = dedup_verdict(retype(spark, cfg, ruled), [cfg.pk_silver], dedup_order(cfg), min_split_rows)
+    # A rule that raises on some row fails as a rule; the source goes on without it.
+    stage_path = scratch_path(spark, "stage", run_id, cfg.source_id)
     try:
-        staged = staged.persist(StorageLevel.MEMORY_AND_DISK)  # lost blocks recompute from the staged files
+        rows_read, ruled = _stage(spark, cfg, raw, compiled, stage_path)
+    except Exception:
+        raising = raising_rules(prepare(spark, cfg, raw), compiled)
+        if not raising:
+            raise
+        compiled = [replace(c, ok=F.lit(True), error=raising[c.rule.rule_id]) if c.rule.rule_id in raising else c for c in compiled]
+        rows_read, ruled = _stage(spark, cfg, raw, compiled, stage_path)
+    try:
+        # Every consumer below reads the columns it needs from the staged files.
+        staged = dedup_verdict(retype(spark, cfg, ruled), [cfg.pk_silver], dedup_order(cfg), f"{stage_path}-winners")
 
         counts_row = quality.quality_counts(staged, compiled).first()
-        rows_read, rows_written = int(counts_row["_total"]), int(counts_row["_passed"])
-        rows_rejected = rows_read - rows_written
+        judged, rows_written = int(counts_row["_total"]), int(counts_row["_passed"])
+        rows_rejected = judged - rows_written
         row_bytes = (input_bytes / rows_read) if (input_bytes and rows_read) else DEFAULT_ROW_BYTES
 
         def write(df: DataFrame, path: str, rows: int) -> None:
@@ -270,7 +324,10 @@ def ingest_frame(
         rejected = staged.filter(~ok).select(f"{RAW}.*", quality.FAILED).withColumns(
             {"run_id": F.lit(run_id), "processing_date": F.lit(processing_date), "source_id": F.lit(cfg.source_id)}
         )
-        write(sized_for_files(rejected, rows_rejected, row_bytes), cfg.rejected_path, rows_rejected)
+        obs_rejected = Observation(f"rejected-{uuid.uuid4().hex}")
+        rejected = sized_for_files(rejected, rows_rejected, row_bytes).observe(obs_rejected, F.count(F.lit(1)).alias("rows"))
+        write(rejected, cfg.rejected_path, rows_rejected)
+        observed_rejected = int(obs_rejected.get["rows"]) if rows_rejected else 0
 
         # metrics, samples, summary
         counts = local_frame(spark, [tuple(counts_row)],
@@ -299,8 +356,12 @@ def ingest_frame(
         summary = quality.summary(counts, compiled).first().asDict()
         status = summary["ingestion_status"]
         message = None
-        if found != rows_written or observed != rows_written:
-            status, message = "FAILED", f"written {observed} / re-read {found} != rows_written {rows_written}"
+        # G1 + G2: three counts that were taken apart -- at the raw scan, in the
+        # silver write and in the rejected write -- and the re-read partition.
+        problem = unreconciled_counts(rows_read, observed, observed_rejected, found)
+        if problem:
+            status, message = "FAILED", problem
+        rows_written, rows_rejected = observed, observed_rejected
         completed = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
         duration = int(round(time.time() - t0))
 
@@ -331,7 +392,7 @@ def ingest_frame(
         return RunResult(cfg.source_id, processing_date, run_id, status, rows_read, rows_written, rows_rejected,
                          rule_rows, message)
     finally:
-        staged.unpersist()
+        delete_path(spark, f"{stage_path}-winners")
         delete_path(spark, stage_path)  # every consumer is done (or the run failed); no staged copy is kept
 
 
@@ -350,6 +411,42 @@ def lineage_frame(spark, run_id, cfg: SourceConfig, source_path, target_path, ro
     }).select(*[f.name for f in schemas.PIPELINE_LINEAGE.fields])
 
 
+def audit_outcome(spark, cfg: SourceConfig, processing_date: str, layout: Layout, run_id: str, status: str, started) -> None:
+    """dq_summary and lineage rows of a source that was skipped or failed; its counts are not known."""
+    completed = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    spec = {"processing_date": processing_date, "source_id": cfg.source_id}
+    known = {
+        "run_id": run_id, "source_id": cfg.source_id, "source_name": cfg.source_name, "processing_date": processing_date,
+        "ingestion_status": status, "duration_seconds": int((completed - started).total_seconds()),
+        "silver_path": partition_path(cfg.silver_path, spec), "rejected_path": partition_path(cfg.rejected_path, spec),
+        "processing_date_part": processing_date,
+    }
+    base = T.StructType([f for f in schemas.DQ_SUMMARY.fields if f.name != "run_completed_at"])
+    row = local_frame(spark, [tuple(known.get(f.name) for f in base.fields)], base)
+    summary = row.withColumn("run_completed_at", _lit_ts(completed)).select(*[f.name for f in schemas.DQ_SUMMARY.fields])
+    append_audit(summary, layout.dq_summary, schemas.PARTITIONS["dq_summary"])
+    lineage = lineage_frame(spark, run_id, cfg, cfg.raw_path_for(processing_date), None, None, None, None,
+                            started, completed, status, processing_date)
+    append_audit(lineage, layout.lineage, schemas.PARTITIONS["pipeline_lineage"])
+
+
+def unclaimed(spark: SparkSession, configs: list[SourceConfig], processing_date: str, run_id: str) -> list[RunResult]:
+    """A FAILED result for each landing directory that holds files no source takes."""
+    out = []
+    for path in sorted({c.raw_path_for(processing_date) for c in configs if c.is_active}):
+        sharing = [c for c in configs if c.raw_path_for(processing_date) == path]
+        try:
+            left = unclaimed_files(spark, sharing, path) if path_exists(spark, path) else []
+        except ValueError:  # files disagree on the header: the source itself fails and says so
+            continue
+        if left:
+            out.append(RunResult(UNCLAIMED, processing_date, run_id, "FAILED", message="no source takes " + ", ".join(left)))
+    return out
+
+
+UNCLAIMED = "(unclaimed)"
+
+
 def run_all(
     spark: SparkSession,
     configs: list[SourceConfig],
@@ -382,12 +479,9 @@ def run_all(
             return run_source(spark, cfg, processing_date, layout, run_id, rates, profile_registry=profile_registry,
                               silver_table=table)
         except Exception as exc:  # noqa: BLE001 -- failure isolation per source
-            msg = f"{type(exc).__name__}: {str(exc).splitlines()[0] if str(exc) else ''}"
+            msg = f"{type(exc).__name__}: {exc}"
             try:
-                completed = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-                append_audit(lineage_frame(spark, run_id, cfg, cfg.raw_path_for(processing_date), None, None, None, None,
-                                     started, completed, "FAILED", processing_date),
-                       layout.lineage, schemas.PARTITIONS["pipeline_lineage"])
+                audit_outcome(spark, cfg, processing_date, layout, run_id, "FAILED", started)
             except Exception:  # noqa: BLE001
                 traceback.print_exc()
             return RunResult(cfg.source_id, processing_date, run_id, "FAILED", message=msg)
@@ -403,7 +497,7 @@ def run_all(
         with ThreadPoolExecutor(max_workers=parallel) as pool:
             for rs in pool.map(table_group, by_table.values()):
                 results.extend(rs)
-    return results
+    return results + unclaimed(spark, configs, processing_date, run_id)
 
 
 def run_from_config(

@@ -24,6 +24,8 @@ INGESTION_CONFIG = _st(
     ("target_table", S), ("hdfs_silver_path", S), ("hdfs_rejected_path", S),
     ("dq_rules_json", S), ("column_mapping_json", S),
     ("is_active", B), ("created_at", TS), ("created_by", S), ("last_modified_at", TS), ("schema_version", I),
+    # Settings that the pipeline needs beyond the 20 columns of the data model.
+    ("file_pattern", S), ("source_timezone", S), ("source_currency", S),
 )
 
 SCHEMA_REGISTRY = _st(

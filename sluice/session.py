@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -32,23 +34,44 @@ def ensure_settings(spark: SparkSession) -> SparkSession:
 
 
 TARGET_SHUFFLE_PARTITION_BYTES = 128 * 1024 * 1024
-MAX_SHUFFLE_PARTITIONS = 200_000
+SHUFFLE_SETTING = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+_SIZING = threading.Lock()
+_wanted: list[int] = []
+_original: list[str | None] = []
 
 
-def size_shuffles(spark: SparkSession, input_bytes: int) -> int:
-    """Raise the initial shuffle partition count to about one per 128 MB of input.
+@contextmanager
+def sized_shuffles(spark: SparkSession, input_bytes: int):
+    """Raise the initial shuffle partition count to one per 128 MB of input, for a while.
 
     AQE merges small shuffle partitions at run time but cannot split a
     too-coarse one (skew joins aside), so the starting count must grow with
-    the input.  Never lowers a configured value.
+    the input; it is never lowered.  Runs side by side use the largest count
+    any of them wants, and the last one to end restores the caller's setting.
     """
-    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-    current = spark.conf.get(key, None) or spark.conf.get("spark.sql.shuffle.partitions", "200")
-    want = min(MAX_SHUFFLE_PARTITIONS, -(-int(input_bytes) // TARGET_SHUFFLE_PARTITION_BYTES))
-    n = max(int(current), want)
-    if n != int(current):
-        spark.conf.set(key, str(n))
-    return n
+    want = -(-int(input_bytes) // TARGET_SHUFFLE_PARTITION_BYTES)
+    with _SIZING:
+        if not _wanted:
+            _original[:] = [spark.conf.get(SHUFFLE_SETTING, None)]
+        _wanted.append(want)
+        _apply_size(spark)
+    try:
+        yield
+    finally:
+        with _SIZING:
+            _wanted.remove(want)
+            _apply_size(spark)
+
+
+def _apply_size(spark: SparkSession) -> None:
+    before = _original[0]
+    least = int(before or spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    if _wanted and max(_wanted) > least:
+        spark.conf.set(SHUFFLE_SETTING, str(max(_wanted)))
+    elif before is None:
+        spark.conf.unset(SHUFFLE_SETTING)
+    else:
+        spark.conf.set(SHUFFLE_SETTING, before)
 
 
 def local_frame(spark: SparkSession, rows, schema) -> "DataFrame":
@@ -63,21 +86,36 @@ def local_frame(spark: SparkSession, rows, schema) -> "DataFrame":
     st = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
     rows = [tuple(r) for r in rows]
     cols = {f.name: pd.Series([r[i] for r in rows], dtype=object) for i, f in enumerate(st.fields)}
-    if spark.conf.get("spark.sql.execution.arrow.pyspark.enabled", "false") != "true":
-        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
-    return spark.createDataFrame(pd.DataFrame(cols, columns=[f.name for f in st.fields]), st)
+    key = "spark.sql.execution.arrow.pyspark.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        return spark.createDataFrame(pd.DataFrame(cols, columns=[f.name for f in st.fields]), st)
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def require_local(master: str) -> None:
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"master {master}: set spark.checkpoint.dir to a folder that all executors share")
 
 
 def work_root(spark: SparkSession) -> str:
     """Shared folder for staged tables and scratch output.
 
-    Uses the cluster's ``spark.checkpoint.dir``.  Only when it is unset (a
-    local test session) a private folder is created and registered.
+    Uses the cluster's ``spark.checkpoint.dir``.  Only when it is unset in a
+    session whose executors are threads of this process (tests) is a private
+    folder made and registered; on a cluster each executor would write to a
+    disk of its own, so there the setting is required.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        require_local(spark.sparkContext.master)
         root = tempfile.mkdtemp(prefix="sluice-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

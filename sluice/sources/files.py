@@ -48,15 +48,17 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def list_data_files(spark: SparkSession, path: str, with_sizes: bool = False):
-    """Data files directly under ``path`` (hidden and ``_`` files skipped)."""
+    """Data files under ``path`` and its sub-folders (hidden and ``_`` names skipped)."""
     fs, p = hadoop_fs(spark, path)
     if not fs.exists(p):
         return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if st.isFile() and not name.startswith((".", "_")):
-            out.append((st.getPath().toString(), int(st.getLen())))
+    root, out = fs.getFileStatus(p).getPath().toString().rstrip("/"), []
+    found = fs.listFiles(p, True)
+    while found.hasNext():
+        st = found.next()
+        name = st.getPath().toString()
+        if not any(part.startswith((".", "_")) for part in name[len(root) + 1 :].split("/")):
+            out.append((name, int(st.getLen())))
     out.sort()
     return out if with_sizes else [f for f, _ in out]
 
@@ -104,7 +106,7 @@ def route_files(spark: SparkSession, cfg: SourceConfig, path: str) -> tuple[list
 
         chosen = [(f, n) for f, n in listed if fnmatch.fnmatch(f.rsplit("/", 1)[-1], cfg.file_pattern)]
         return [f for f, _ in chosen], None, sum(n for _, n in chosen)
-    if cfg.file_format != "csv" or not cfg.has_header:
+    if (cfg.file_format or "csv").lower() != "csv" or not cfg.has_header:
         return [f for f, _ in listed], None, sum(n for _, n in listed)
     from concurrent.futures import ThreadPoolExecutor
 
@@ -122,6 +124,18 @@ def route_files(spark: SparkSession, cfg: SourceConfig, path: str) -> tuple[list
     return chosen, header, size
 
 
+def unclaimed_files(spark: SparkSession, configs: list[SourceConfig], path: str) -> list[str]:
+    """A3: files under a landing directory that none of its sources takes (say, after a column was renamed)."""
+    claimed: set[str] = set()
+    for cfg in configs:
+        claimed.update(route_files(spark, cfg, path)[0])
+    return [f for f in list_data_files(spark, path) if f not in claimed]
+
+
+CORRUPT = "_corrupt_record"
+RAW_JSON = "_raw_json"
+
+
 def string_schema(columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
 
@@ -143,7 +157,8 @@ def read_source(spark: SparkSession, cfg: SourceConfig, processing_date: str) ->
             return None
         columns = header or raw_cols
         df = (
-            spark.read.schema(string_schema(columns))
+            spark.read.schema(string_schema([*columns, CORRUPT]))
+            .option("columnNameOfCorruptRecord", CORRUPT)
             .option("header", str(bool(cfg.has_header)).lower())
             .option("sep", cfg.delimiter or ",")
             .option("enforceSchema", "false" if cfg.has_header else "true")
@@ -153,9 +168,14 @@ def read_source(spark: SparkSession, cfg: SourceConfig, processing_date: str) ->
         )
         return RawScan(df, tuple(files), path, size)
     listed = list_data_files(spark, path, with_sizes=True)
-    files = [f for f, _ in listed] or [path]
+    files = [f for f, _ in listed]
+    if not files:
+        return None
     if fmt == "json":
-        df = spark.read.schema(string_schema(raw_cols)).json(files)
+        # The whole line goes along, so the rejected zone loses no field of it.
+        parsed = F.from_json("value", string_schema([*raw_cols, CORRUPT]), {"columnNameOfCorruptRecord": CORRUPT})
+        lines = spark.read.text(files).filter(F.trim("value") != "")
+        df = lines.select(parsed.alias("_j"), F.col("value").alias(RAW_JSON)).select("_j.*", RAW_JSON)
     elif fmt in ("parquet", "orc"):
         df = spark.read.format(fmt).load(files)
         df = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.session import ensure_settings, local_frame
+from sluice.session import ensure_settings
 
 
 def read_table(
@@ -29,20 +29,13 @@ def read_table(
     return df.select(*columns) if columns else df
 
 
-MAX_BROADCAST_GROUPS = 100_000
-
-
 def latest_snapshot(df: DataFrame, group: str = "source_id", version: str = "processing_date") -> DataFrame:
     """Rows of the newest snapshot per group (reference data overwritten per run).
 
-    A semi-join against the max version per group: one aggregate combined
-    map-side (a group with a third of all rows collapses before the
-    shuffle), no window over the rows.  The (group, version) pairs are
-    broadcast once their count is checked, so the rows are never shuffled.
+    A NULL-safe semi-join against the max version per group: one aggregate
+    combined map-side (a group with a third of all rows collapses before the
+    shuffle), no window over the rows.  A NULL group is a group, and a group
+    whose versions are all NULL keeps its rows.
     """
-    newest = df.groupBy(group).agg(F.max(version).alias(version))
-    rows = newest.limit(MAX_BROADCAST_GROUPS + 1).collect()  # bounded by the limit
-    if len(rows) <= MAX_BROADCAST_GROUPS:
-        # one pass for the maxima, then a broadcast semi-join: the rows never move
-        return df.join(F.broadcast(local_frame(df.sparkSession, rows, newest.schema)), [group, version], "left_semi")
-    return df.join(newest, [group, version], "left_semi")
+    newest = df.groupBy(F.col(group).alias("_g")).agg(F.max(version).alias("_v"))
+    return df.join(newest, df[group].eqNullSafe(newest["_g"]) & df[version].eqNullSafe(newest["_v"]), "left_semi")

@@ -3,7 +3,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
-from sluice.operators.dedup import DUP_FLAG, ROW_ID, dedup_latest, flag_duplicates, hot_keys, uniqueness_report, with_row_id
+from sluice.operators.dedup import DUP_FLAG, ROW_ID, dedup_latest, flag_duplicates, uniqueness_report, with_row_id
 from tests.conftest import SF_SMALL
 
 ORDER = ["l_shipdate", "l_partkey", "l_suppkey"]
@@ -32,9 +32,7 @@ def test_hot_key_third_of_rows(spark):
                .withColumn("l_linenumber", F.when(hot, F.lit(1)).otherwise(F.col("l_linenumber")))
     n_hot = skewed.filter((F.col("l_orderkey") == 7) & (F.col("l_linenumber") == 1)).count()
     assert n_hot * 4 > li.count()  # the hot key holds about a third of all rows
-    cands = {tuple(r) for r in hot_keys(skewed, KEYS).collect()}
-    assert (7, 1) in cands and len(cands) <= 10_000  # bounded candidate set, hot key found
-    flagged = flag_duplicates(with_row_id(skewed), KEYS, ORDER, min_split_rows=0)
+    flagged = flag_duplicates(with_row_id(skewed), KEYS, ORDER)
     assert flagged.count() == li.count()  # every row comes out once
     winners = flagged.filter(~F.col(DUP_FLAG))
     assert winners.filter((F.col("l_orderkey") == 7) & (F.col("l_linenumber") == 1)).count() == 1
@@ -44,7 +42,7 @@ def test_hot_key_third_of_rows(spark):
 
 def test_exact_copies_keep_one(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("a", 1), ("b", 2), (None, 3), (None, 3)], "k string, v int")
-    out = flag_duplicates(with_row_id(df), ["k"], ["v"], min_split_rows=0)
+    out = flag_duplicates(with_row_id(df), ["k"], ["v"])
     res = sorted(((r.k, r.v, r[DUP_FLAG]) for r in out.drop(ROW_ID).collect()), key=lambda x: (x[0] or "", x[1], x[2]))
     assert sum(1 for k, v, d in res if k == "a" and not d) == 1
     assert [x for x in res if x[0] is None] == [(None, 3, False), (None, 3, False)]
@@ -57,9 +55,14 @@ def test_uniqueness_report(spark):
     assert (r.total_rows, r.distinct_keys, r.duplicate_keys, r.extra_copies) == (6, 3, 2, 3)
 
 
-def test_forced_split_matches_window_path(spark):
+def test_latest_agrees_with_flags_and_scans_once(spark):
     li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
-    src = with_row_id(li)
-    a = flag_duplicates(src, KEYS, ORDER, min_split_rows=0).filter(~F.col(DUP_FLAG)).select(*KEYS, *ORDER)
-    b = flag_duplicates(src, KEYS, ORDER).filter(~F.col(DUP_FLAG)).select(*KEYS, *ORDER)
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    a = flag_duplicates(with_row_id(li), KEYS, ORDER).filter(~F.col(DUP_FLAG)).select(*KEYS, *ORDER)
+    b = dedup_latest(li, KEYS, ORDER)
+    assert a.exceptAll(b.select(*KEYS, *ORDER)).count() == 0 and b.select(*KEYS, *ORDER).exceptAll(a).count() == 0
+    assert b._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
+def test_latest_keeps_null_keys(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), (None, 3)], "k string, v int")
+    assert sorted(((r.k or "", r.v) for r in dedup_latest(df, ["k"], ["v"]).collect())) == [("", 3), ("", 3), ("a", 2)]

@@ -137,7 +137,7 @@ def test_hot_key_feed_reconciles(spark):
         f.write("\n".join([header, *rows]) + "\n")
     raw = spark.read.option("header", "true").schema(", ".join(f"`{c}` string" for c in header.split(","))).csv(path)
     layout = Layout(os.path.dirname(us.silver_path.rstrip("/")))
-    res = ingest_frame(spark, us, raw, path, DATE, layout, "run-hot", min_split_rows=0)
+    res = ingest_frame(spark, us, raw, path, DATE, layout, "run-hot")
     assert (res.rows_read, res.rows_written, res.rows_rejected) == (3000, 2001, 999)
     silver = read_table(spark, us.silver_path, schemas.CARD_TRANSACTIONS_SILVER)
     hot = silver.filter(F.col("transaction_id") == "HOT").collect()

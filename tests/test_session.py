@@ -16,3 +16,14 @@ def test_ensure_settings(spark):
     ensure_settings(spark)
     for k, v in ENGINE_SETTINGS.items():
         assert spark.conf.get(k) == v
+
+
+def test_a_cluster_needs_a_shared_folder():
+    import pytest
+
+    from sluice.session import require_local
+
+    require_local("local[4]")
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://host"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            require_local(master)

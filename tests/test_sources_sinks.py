@@ -92,22 +92,18 @@ def test_dynamic_overwrite_and_empty_rerun(spark):
     assert spark.read.parquet(path + "_audit").count() == 2
 
 
-def test_shuffle_sizing_only_raises(spark):
-    from sluice.session import size_shuffles
-
-    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-    before = spark.conf.get(key, None)
-    try:
-        base = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        assert size_shuffles(spark, 1024) == base  # small input: unchanged
-        assert size_shuffles(spark, 100 * 1024**4) == 200_000  # 100 TB: capped
-        assert size_shuffles(spark, 1024) == 200_000  # never lowered
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
-
+def test_shuffle_sizing_grows_with_the_input_and_is_restored(spark):
+    from sluice.session import SHUFFLE_SETTING, sized_shuffles
+
+    before = spark.conf.get(SHUFFLE_SETTING, None)
+    with sized_shuffles(spark, 1024):
+        assert spark.conf.get(SHUFFLE_SETTING, None) == before  # small input: unchanged
+    with sized_shuffles(spark, 100 * 1024**4):
+        assert spark.conf.get(SHUFFLE_SETTING) == str(100 * 1024**4 // (128 * 1024**2))
+        with sized_shuffles(spark, 1024):
+            assert spark.conf.get(SHUFFLE_SETTING) == "819200"  # never lowered
+        assert spark.conf.get(SHUFFLE_SETTING) == "819200"
+    assert spark.conf.get(SHUFFLE_SETTING, None) == before
 
 def test_lineage_helpers_and_insert_values(spark):
     from sluice.operators.lineage import row_counts, source_files, unreconciled
