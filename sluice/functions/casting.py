@@ -76,10 +76,8 @@ def logical_type_name(dtype: T.DataType) -> str:
         return "integer"
     if isinstance(dtype, (T.DoubleType, T.FloatType, T.DecimalType)):
         return "double"
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return "timestamp"
-    if isinstance(dtype, T.DateType):
-        return "date"
     if isinstance(dtype, T.BooleanType):
         return "boolean"
     return "string"

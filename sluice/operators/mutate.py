@@ -100,20 +100,39 @@ def merge_configs(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """I3 + H7 for the config table: upsert by ``source_id``.
 
     ``schema_version`` goes up by one when a source's rules or mapping text
-    changed (new sources start at 1); ``last_modified_at`` is stamped on
-    changed rows and ``created_at`` is kept from the stored row.
+    changed (new sources start at 1); ``last_modified_at`` is stamped on rows
+    with any change (switching a source off is one) and ``created_at`` is kept
+    from the stored row.
     """
     from sluice.operators.registry import bump_versions
 
     bumped = bump_versions(stored, incoming)
+    content = [c for c in incoming.columns if c not in ("source_id", "created_at", "last_modified_at")]
     prev = stored.select(
-        "source_id", F.col("schema_version").alias("_v0"), F.col("created_at").alias("_c0"),
+        "source_id", F.struct(*content).alias("_row0"), F.col("schema_version").alias("_v0"), F.col("created_at").alias("_c0"),
         F.col("last_modified_at").alias("_m0"))
     j = bumped.join(prev, "source_id", "left")
-    changed = F.col("_v0").isNull() | (F.col("schema_version") != F.col("_v0"))
+    changed = F.col("_v0").isNull() | ~F.struct(*content).eqNullSafe(F.col("_row0"))
     now = F.current_timestamp()
     stamped = j.withColumns({
         "created_at": F.coalesce(F.col("_c0"), F.col("created_at"), now),
         "last_modified_at": F.when(changed, now).otherwise(F.coalesce(F.col("_m0"), F.col("last_modified_at"))),
     }).select(*incoming.columns)
     return upsert(stored, stamped, ["source_id"])
+
+
+def rewrite_table(spark: SparkSession, table: str, change) -> None:
+    """I1-I3 on a live catalog table (a config table: a row per source).
+
+    ``change`` maps the table's rows to its new rows.  They go to the work
+    folder first, so the table is overwritten only with rows that are all
+    there, and never while it is being read.
+    """
+    from sluice.session import scratch_path
+    from sluice.sources.files import delete_path
+
+    old = spark.table(table)
+    path = scratch_path(spark, "rewrite")
+    change(old).select(*old.columns).write.parquet(path)
+    spark.read.schema(old.schema).parquet(path).write.insertInto(table, overwrite=True)
+    delete_path(spark, path)

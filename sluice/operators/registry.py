@@ -130,19 +130,52 @@ def _pair(old: DataFrame, new: DataFrame) -> DataFrame:
     return o.join(n, "column_name", "full_outer")
 
 
+def _changes() -> Column:
+    """Names of the schema changes of a column; a retyped one may have changed its nullability as well."""
+    old, new = F.col("old_column_type"), F.col("new_column_type")
+    both = old.isNotNull() & new.isNotNull()
+    return F.array_compact(F.array(
+        F.when(old.isNull(), F.lit("added")),
+        F.when(new.isNull(), F.lit("removed")),
+        F.when(both & (old != new), F.lit("retyped")),
+        F.when(both & (F.col("old_is_nullable") != F.col("new_is_nullable")), F.lit("nullability_changed")),
+    ))
+
+
 def schema_drift(old: DataFrame, new: DataFrame) -> DataFrame:
-    """H5: added / removed / retyped / nullability_changed columns (one row each)."""
-    p = _pair(old, new)
-    change = (
-        F.when(F.col("old_column_type").isNull(), F.lit("added"))
-        .when(F.col("new_column_type").isNull(), F.lit("removed"))
-        .when(F.col("old_column_type") != F.col("new_column_type"), F.lit("retyped"))
-        .when(F.col("old_is_nullable") != F.col("new_is_nullable"), F.lit("nullability_changed"))
+    """H5: one row per change -- added / removed / retyped / nullability_changed."""
+    return _pair(old, new).select(
+        "column_name", F.explode(_changes()).alias("change_type"),
+        "old_column_type", "new_column_type", "old_is_nullable", "new_is_nullable",
+    )
+
+
+def drift_from_registry(registry: DataFrame) -> DataFrame:
+    """H5 + H6 from the registry table: each source's newest snapshot against the version before it.
+
+    Of a version with several snapshots the latest counts.  One aggregate and
+    two equi-joins over the registry (a row per source, version and column).
+    """
+    latest = registry.groupBy("source_id", "schema_version").agg(F.max("analysed_at").alias("analysed_at"))
+    two = latest.groupBy("source_id").agg(F.max_by("analysed_at", "schema_version").alias("_at"), F.max("schema_version").alias("_new"))
+    before = (latest.join(two.select("source_id", "_new"), "source_id").filter(F.col("schema_version") < F.col("_new"))
+              .groupBy("source_id").agg(F.max("schema_version").alias("_old"), F.max_by("analysed_at", "schema_version").alias("_old_at")))
+    chosen = two.join(before, "source_id")
+    cols = ("column_type", "is_nullable", "null_rate", "min_value", "max_value")
+
+    def side(version: str, at: str, prefix: str) -> DataFrame:
+        rows = registry.join(chosen.select("source_id", F.col(version).alias("schema_version"), F.col(at).alias("analysed_at")),
+                             ["source_id", "schema_version", "analysed_at"])
+        return rows.select("source_id", "column_name", *[F.col(c).alias(f"{prefix}_{c}") for c in cols])
+
+    pair = side("_old", "_old_at", "old").join(side("_new", "_at", "new"), ["source_id", "column_name"], "full_outer")
+    values = F.col("old_column_type").isNotNull() & F.col("new_column_type").isNotNull()
+    return pair.select(
+        "source_id", "column_name", F.array_join(_changes(), ",").alias("changes"),
+        F.when(values, F.col("new_null_rate") - F.col("old_null_rate")).alias("null_rate_delta"),
+        F.when(values, ~F.col("old_min_value").eqNullSafe(F.col("new_min_value"))).alias("min_changed"),
+        F.when(values, ~F.col("old_max_value").eqNullSafe(F.col("new_max_value"))).alias("max_changed"),
     )
-    return p.select(
-        "column_name", change.alias("change_type"),
-        F.col("old_column_type"), F.col("new_column_type"), F.col("old_is_nullable"), F.col("new_is_nullable"),
-    ).filter(F.col("change_type").isNotNull())
 
 
 def value_drift(old: DataFrame, new: DataFrame) -> DataFrame:

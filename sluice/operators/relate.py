@@ -30,6 +30,22 @@ def fk_orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key:
     return child.join(parent, child[child_key] == parent[parent_key], "left_anti")
 
 
+def silver_flags_with_transactions(flags: DataFrame, transactions: DataFrame, processing_date: str | None = None,
+                                   transaction_source: str | None = None, how: str = "inner") -> DataFrame:
+    """F4 on the silver tables: each flag with its transaction of the same processing date.
+
+    Feeds deliver the same ids on different days, so the date is part of the
+    key; ``processing_date`` and ``transaction_source`` prune partitions.
+    """
+    t = transactions
+    if processing_date is not None:
+        flags, t = flags.filter(F.col("processing_date") == processing_date), t.filter(F.col("processing_date") == processing_date)
+    if transaction_source is not None:
+        t = t.filter(F.col("source_id") == transaction_source)
+    t = t.select(F.col("transaction_id"), F.col("processing_date").alias("_day"), *[c for c in t.columns if c not in ("transaction_id", "processing_date", "source_id", *flags.columns)])
+    return flags.join(t, (flags["transaction_ref"] == t["transaction_id"]) & (flags["processing_date"] == t["_day"]), how).drop("_day")
+
+
 def flagged_only(parent: DataFrame, child: DataFrame, parent_key: str, child_key: str) -> DataFrame:
     """parent rows with at least one child (each parent once).
 

@@ -26,10 +26,17 @@ def literal_check(spark: SparkSession, name: str, expected: str, actual: str) ->
 
 def config_checks(config_df: DataFrame, active_expected: int, rule_source: str, rule_id: str,
                   updated_source: str) -> list[DataFrame]:
-    """Active-source count, the updated row still there once, a rule present."""
-    from sluice.operators.mutate import update_rows
+    """Active-source count, the updated row still there once, a rule present.
 
-    updated = update_rows(config_df, {"last_modified_at": F.current_timestamp()}, F.col("source_id") == updated_source)
+    The update is written as a new version of the table and read back.
+    """
+    from sluice.operators.mutate import commit_snapshot, read_snapshot, update_rows
+    from sluice.session import scratch_path
+
+    spark = config_df.sparkSession
+    path = scratch_path(spark, "checks")
+    commit_snapshot(update_rows(config_df, {"last_modified_at": F.current_timestamp()}, F.col("source_id") == updated_source), path)
+    updated = read_snapshot(spark, path, config_df.schema)
     return [
         check_row(config_df.agg(F.count_if(F.col("is_active")).alias("n")), "active_sources", str(active_expected), F.col("n")),
         check_row(updated.agg(F.count_if(F.col("source_id") == updated_source).alias("n")), "row_once_after_update", "1", F.col("n")),

@@ -340,11 +340,25 @@ _PAIR = (f"SELECT coalesce(o.column_name, n.column_name) AS column_name, o.colum
          f"n.column_type AS new_column_type, o.is_nullable AS old_is_nullable, n.is_nullable AS new_is_nullable, "
          f"o.null_rate AS old_null_rate, n.null_rate AS new_null_rate, o.min_value AS old_min, n.min_value AS new_min, "
          f"o.max_value AS old_max, n.max_value AS new_max FROM ({_OLD_P}) o FULL OUTER JOIN ({_NEW_P}) n ON o.column_name = n.column_name")
+_CHANGES = (
+    "list_filter([CASE WHEN old_column_type IS NULL THEN 'added' END, CASE WHEN new_column_type IS NULL THEN 'removed' END, "
+    "CASE WHEN old_column_type <> new_column_type THEN 'retyped' END, "
+    "CASE WHEN old_is_nullable <> new_is_nullable THEN 'nullability_changed' END], lambda x: x IS NOT NULL)"
+)
 ORACLES["schema_drift"] = (
-    "SELECT column_name, change_type, old_column_type, new_column_type, old_is_nullable, new_is_nullable FROM ("
-    "SELECT *, CASE WHEN old_column_type IS NULL THEN 'added' WHEN new_column_type IS NULL THEN 'removed' "
-    "WHEN old_column_type <> new_column_type THEN 'retyped' WHEN old_is_nullable <> new_is_nullable THEN 'nullability_changed' END "
-    f"AS change_type FROM ({_PAIR})) WHERE change_type IS NOT NULL"
+    f"SELECT column_name, unnest({_CHANGES}) AS change_type, old_column_type, new_column_type, old_is_nullable, new_is_nullable "
+    f"FROM ({_PAIR})"
+)
+ORACLES["registry_append"] = " UNION ALL ".join(
+    f"SELECT 'src_orders' AS source_id, {v} AS schema_version, column_name, column_type, is_nullable, null_rate, min_value, max_value FROM ({sql})"
+    for v, sql in ((1, _OLD_P), (2, _NEW_P))
+)
+ORACLES["drift_from_registry"] = (
+    f"SELECT 'src_orders' AS source_id, column_name, array_to_string({_CHANGES}, ',') AS changes, "
+    "round(new_null_rate - old_null_rate, 4) AS null_rate_delta, "
+    "CASE WHEN old_column_type IS NOT NULL AND new_column_type IS NOT NULL THEN old_min IS DISTINCT FROM new_min END AS min_changed, "
+    "CASE WHEN old_column_type IS NOT NULL AND new_column_type IS NOT NULL THEN old_max IS DISTINCT FROM new_max END AS max_changed "
+    f"FROM ({_PAIR})"
 )
 ORACLES["value_drift"] = (
     "SELECT column_name, round(new_null_rate - old_null_rate, 4) AS null_rate_delta, old_min IS DISTINCT FROM new_min AS min_changed, "
@@ -482,3 +496,64 @@ ORACLES["config_mapping_parse"] = " UNION ALL ".join(
     + _mapping_sql("src_events", "events", [("event_id", "flag_id"), ("user_id", "reference"), ("value", "score"),
                                             ("event_type", "flag_type"), ("ts", "flagged_at")])
 )
+
+
+# ---------------------------------------------------------------------------
+# Queries of ``sluice.plans.standin_runs``
+# ---------------------------------------------------------------------------
+ORACLES["inr_from_config_table"] = (
+    f"SELECT transaction_id, card_identifier, amount_usd, original_amount, source_currency, status, transaction_ts FROM ({ORACLES['silver_write']})"
+)
+ORACLES["malformed_scan"] = (
+    "SELECT o_orderkey, o_orderkey % 7 = 0 AS malformed, CASE WHEN o_orderkey % 7 = 0 THEN concat_ws(',', o_orderkey, o_custkey, "
+    "o_orderstatus, o_orderpriority, 'surplus') END AS line FROM orders"
+)
+ORACLES["malformed_counts"] = (
+    "SELECT count(*) AS raw_rows, count(*) FILTER (WHERE o_orderkey % 7 <> 0) AS silver_rows, count(*) FILTER (WHERE o_orderkey % 7 = 0) "
+    "AS rejected_rows, count(*) FILTER (WHERE o_orderkey % 7 = 0) AS malformed_rows FROM orders"
+)
+ORACLES["drifted_file"] = (
+    "SELECT 'claimed' AS kind, count(*) AS rows FROM customer UNION ALL SELECT 'unclaimed', count(*) FROM supplier"
+)
+ORACLES["failed_source_summary"] = (
+    "SELECT 'src_no_rate' AS source_id, 'FAILED' AS ingestion_status, CAST(NULL AS BIGINT) AS rows UNION ALL "
+    "SELECT 'src_no_files', 'SKIPPED', NULL UNION ALL "
+    f"SELECT 'src_orders_csv', CASE WHEN count(*) FILTER (WHERE failed_rules <> '') = 0 THEN 'SUCCESS' ELSE 'PARTIAL' END, count(*) FROM ({_RUN_ROWS})"
+)
+_HOT_LI = ("SELECT CASE WHEN l_partkey % 3 = 0 THEN 1 ELSE l_orderkey END AS withdrawal_id, "
+           "CASE WHEN l_partkey % 3 = 0 THEN 1 ELSE l_linenumber END AS line_no, l_shipdate, l_partkey, l_suppkey FROM lineitem")
+ORACLES["skew_dedup"] = (
+    "SELECT withdrawal_id, line_no, max(l_shipdate) AS withdrawal_ts, count(*) AS copies "
+    f"FROM ({_HOT_LI}) GROUP BY withdrawal_id, line_no"
+)
+ORACLES["skew_fk_join"] = (
+    f"SELECT o_orderstatus, count(*) AS rows, count(DISTINCT l_partkey) AS parts, count(o_orderkey) AS matched FROM ({_HOT_LI}) l "
+    "FULL JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') o ON l.withdrawal_id = o.o_orderkey GROUP BY o_orderstatus"
+)
+ORACLES["fraud_join"] = (
+    "SELECT strftime(e.ts, '%Y-%m-%d') AS processing_date, e.event_id AS flag_id, o.o_orderkey AS transaction_id, o.o_orderstatus AS status "
+    "FROM events e JOIN orders o ON e.user_id = o.o_orderkey"
+)
+ORACLES["config_mutation"] = (
+    "SELECT 1 AS state, c_custkey AS source_id, c_acctbal >= 0 AS is_active, 1 AS schema_version, false AS modified FROM customer UNION ALL "
+    "SELECT 2, c_custkey, c_acctbal >= 0 AND c_mktsegment <> 'BUILDING', CASE WHEN c_mktsegment = 'MACHINERY' THEN 2 ELSE 1 END, "
+    "(c_mktsegment = 'BUILDING' AND c_acctbal >= 0) OR c_mktsegment = 'MACHINERY' FROM customer UNION ALL "
+    "SELECT 3, c_custkey, c_acctbal >= 0 AND c_mktsegment <> 'BUILDING', CASE WHEN c_mktsegment = 'MACHINERY' THEN 2 ELSE 1 END, "
+    "(c_mktsegment = 'BUILDING' AND c_acctbal >= 0) OR c_mktsegment = 'MACHINERY' FROM customer WHERE c_mktsegment <> 'FURNITURE'"
+)
+ORACLES["seed_listing"] = (
+    "SELECT row_number() OVER (ORDER BY c_mktsegment, c_custkey) AS nth, c_custkey AS source_id, c_mktsegment AS source_type, "
+    "c_acctbal >= 0 AS is_active FROM customer"
+)
+ORACLES["config_problems"] = (
+    "SELECT p_partkey AS source_id, problem, count(*) AS rows FROM (SELECT p_partkey, unnest(CASE p_partkey % 6 "
+    "WHEN 0 THEN ['unknown rule type: odd', 'threshold outside [0, 1]'] WHEN 1 THEN ['expression missing'] WHEN 2 THEN ['values missing'] "
+    "WHEN 3 THEN ['threshold outside [0, 1]'] WHEN 4 THEN ['column not mapped: nowhere'] ELSE ['duplicate rule id'] END) AS problem FROM part) "
+    "GROUP BY p_partkey, problem"
+)
+ORACLES["landing_files"] = (
+    "SELECT source_dir, processing_date, CAST(sum(n) AS BIGINT) AS total_bytes FROM ("
+    "SELECT 'customer' AS source_dir, '2024-01-01' AS processing_date, strlen(CAST(c_custkey AS VARCHAR) || ',' || c_name) + 1 AS n FROM customer UNION ALL "
+    "SELECT 'customer', '2024-01-02', strlen(CAST(c_custkey AS VARCHAR) || ',' || c_mktsegment) + 1 FROM customer UNION ALL "
+    "SELECT 'supplier', '2024-01-01', strlen(CAST(s_suppkey AS VARCHAR) || ',' || s_name) + 1 FROM supplier) GROUP BY source_dir, processing_date"
+)

@@ -159,6 +159,7 @@ def read_source(spark: SparkSession, cfg: SourceConfig, processing_date: str) ->
         df = (
             spark.read.schema(string_schema([*columns, CORRUPT]))
             .option("columnNameOfCorruptRecord", CORRUPT)
+            .option("columnPruning", "false")  # else a surplus field goes unseen when few columns are read
             .option("header", str(bool(cfg.has_header)).lower())
             .option("sep", cfg.delimiter or ",")
             .option("enforceSchema", "false" if cfg.has_header else "true")
