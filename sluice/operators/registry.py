@@ -6,7 +6,7 @@
 * ``sample_values`` gives up to ten values per column, most frequent first
   (ties by value), from a (column, value) count that is combined map-side;
 * ``infer_types`` finds the narrowest logical type of text columns in one
-  grouped aggregate over (column, value) pairs;
+  wide aggregate;
 * ``schema_drift`` / ``value_drift`` compare two snapshots column by column.
 """
 
@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.functions.casting import logical_type_name, matches_logical
-from sluice.session import local_frame
 
 INFER_ORDER = ("integer", "double", "boolean", "timestamp")
 
@@ -83,22 +82,22 @@ def sample_values(df: DataFrame, columns: list[str] | None = None, k: int = 10)
 def infer_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """H3: narrowest logical type whose pattern every non-null value matches.
 
-    Long form: the text columns are unpivoted to ``(column, value)`` and one
-    grouped aggregate (combined map-side, one row per column and task) checks
-    every candidate type.  All-null or empty columns read as ``string``.
+    One wide aggregate over one scan (a row per task reaches the shuffle), then
+    a row per column.  All-null or empty columns read as ``string``.
     """
     cols = [c for c in df.columns if columns is None or c in columns]
-    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(_q(c)).cast("string").alias("v")) for c in cols])
-    v = F.col("v")
-    checks = [F.bool_and(F.when(v.isNotNull(), matches_logical(v, t))).alias(t) for t in INFER_ORDER]
-    per_col = df.select(F.inline(pairs)).groupBy("c").agg(F.count(v).alias("_nn"), *checks)
-    pick = F.when(F.col("_nn") == 0, F.lit("string"))
-    for t in INFER_ORDER:
-        pick = pick.when(F.coalesce(F.col(t), F.lit(False)), F.lit(t))
-    found = per_col.select(F.col("c").alias("column_name"), pick.otherwise(F.lit("string")).alias("column_type"))
-    names = local_frame(df.sparkSession, [(c,) for c in cols], "column_name string")  # one row per column
-    return names.join(F.broadcast(found), "column_name", "left").select(
-        "column_name", F.coalesce(F.col("column_type"), F.lit("string")).alias("column_type"))
+    aggs = []
+    for i, c in enumerate(cols):
+        v = F.col(_q(c)).cast("string")
+        aggs.append(F.count(v).alias(f"_nn{i}"))
+        aggs += [F.bool_and(F.when(v.isNotNull(), matches_logical(v, t))).alias(f"_{t}{i}") for t in INFER_ORDER]
+    rows = []
+    for i, c in enumerate(cols):
+        pick = F.when(F.col(f"_nn{i}") == 0, F.lit("string"))
+        for t in INFER_ORDER:
+            pick = pick.when(F.coalesce(F.col(f"_{t}{i}"), F.lit(False)), F.lit(t))
+        rows.append(F.struct(F.lit(c).alias("column_name"), pick.otherwise(F.lit("string")).alias("column_type")))
+    return df.agg(*aggs).select(F.inline(F.array(*rows)))
 
 
 def snapshot(

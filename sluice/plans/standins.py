@@ -562,8 +562,8 @@ def _orders_snapshots(spark, sf_dir):
     from sluice.operators.registry import profile
 
     o = orders_feed(spark, sf_dir)
-    old = o.filter(F.year("transaction_ts") < 1998)
-    new = (o.filter(F.year("transaction_ts") >= 1998)
+    old = o.filter(F.col("transaction_ts") < F.lit("1998-01-01 00:00:00").cast("timestamp_ntz"))
+    new = (o.filter(F.col("transaction_ts") >= F.lit("1998-01-01 00:00:00").cast("timestamp_ntz"))
            .withColumn("original_amount", F.col("original_amount").cast("string"))
            .withColumn("status", F.when(F.col("status") != "P", F.col("status")))
            .drop("card_identifier")
@@ -598,8 +598,8 @@ def registry_version_match(spark, sf_dir):
 
     o = orders_feed(spark, sf_dir)
     stamp = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
-    v1 = snapshot(o.filter(F.year("transaction_ts") < 1998), "src_orders", 1, stamp, with_samples=False)
-    v2 = snapshot(o.filter(F.year("transaction_ts") >= 1998), "src_orders", 2, stamp, with_samples=False)
+    v1 = snapshot(o.filter(F.col("transaction_ts") < F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")), "src_orders", 1, stamp, with_samples=False)
+    v2 = snapshot(o.filter(F.col("transaction_ts") >= F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")), "src_orders", 2, stamp, with_samples=False)
     registry = v1.unionByName(v2)
     stored = config_frame(spark, standin_configs())
     changed_rules = F.when(F.col("source_id") == "src_orders", F.concat(F.col("dq_rules_json"), F.lit(" "))).otherwise(F.col("dq_rules_json"))

@@ -218,3 +218,53 @@ def test_source_timezone_normalised_to_utc(spark):
     assert res.rows_written == 1
     row = read_table(spark, india.silver_path, schemas.CARD_TRANSACTIONS_SILVER, {"source_id": india.source_id}).first()
     assert str(row.transaction_ts) == "2026-01-01 03:35:00"  # 09:05 in Kolkata
+
+
+def test_a_short_write_fails_the_run(spark, monkeypatch):
+    """Read, written and rejected rows are counted apart, so a row lost in a write shows."""
+    from sluice.plans import ingest
+
+    root, configs = _setup()
+    monkeypatch.setattr(ingest, "sized_for_files", lambda df, rows, size: df.limit(max(1, rows - 1)))
+    res = run_source(spark, configs[0], DATE, Layout(root))
+    assert res.status == "FAILED" and "read 7 !=" in res.message
+    assert ingest.unreconciled_counts(7, 1, 6, 1) is None
+    assert ingest.unreconciled_counts(7, 1, 5, 1) and ingest.unreconciled_counts(7, 1, 6, 0)
+
+
+def test_a_rule_that_raises_fails_as_a_rule(spark):
+    import dataclasses
+
+    from sluice.config import Rule
+
+    root, configs = _setup()
+    bad = (Rule("x1", "divides", "amount_usd", "custom", 1.0, expression="100 / (amount_usd - 12) > 1"),
+           Rule("x2", "aggregates", "amount_usd", "custom", 1.0, expression="sum(amount_usd) > 1"),
+           Rule("x3", "ranks", "amount_usd", "custom", 1.0, expression="row_number() over (order by amount_usd) > 0"))
+    cfg = dataclasses.replace(configs[0], rules=(*configs[0].rules, *bad))
+    res = run_source(spark, cfg, DATE, Layout(root))
+    assert res.rows_read == 7 and res.rows_written == 1
+    rules = {r["rule_id"]: r for r in res.rules}
+    results = {r.rule_id: r for r in read_table(spark, Layout(root).dq_results, schemas.DQ_RESULTS).collect()}
+    for rule in ("x1", "x2", "x3"):
+        assert not rules[rule]["rule_passed"] and results[rule].sample_failures
+    assert "DIVIDE_BY_ZERO" in results["x1"].sample_failures
+
+
+def test_json_rows_are_rejected_whole(spark):
+    import dataclasses
+    import json
+
+    root = tempfile.mkdtemp(prefix="sluice-json-")
+    us = dataclasses.replace(SEED_CONFIGS[0].with_root(root), file_format="JSON")
+    day = us.raw_path_for(DATE)
+    os.makedirs(day)
+    good = {"transaction_id": "J1", "card_number": "4000000000000001", "merchant_name": "Acme", "amount_usd": "10.5",
+            "transaction_time": "2026-01-01 10:00:00", "status": "APPROVED", "is_international": "0", "loyalty": {"tier": 3}}
+    with open(os.path.join(day, "feed.json"), "w") as f:
+        f.write(json.dumps(good) + "\n" + json.dumps({**good, "transaction_id": "J2", "amount_usd": "abc"}) + "\n{broken\n")
+    res = run_source(spark, us, DATE, Layout(root))
+    assert (res.rows_read, res.rows_written, res.rows_rejected) == (3, 1, 2)
+    rejected = {tuple(r.failed_rules): r._raw_json for r in spark.read.parquet(us.rejected_path).collect()}
+    assert any('"tier": 3' in line for line in rejected.values()) and "{broken" in rejected.values()
+    assert any("raw:malformed" in reasons for reasons in rejected)
