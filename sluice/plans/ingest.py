@@ -240,7 +240,7 @@ def run_source(
         audit_outcome(spark, cfg, processing_date, layout, run_id, "SKIPPED", at)
         return RunResult(cfg.source_id, processing_date, run_id, "SKIPPED", message="no raw data for this day")
     with sized_shuffles(spark, scan.bytes):
-        return ingest_frame(spark, cfg, scan.df, ",".join(scan.files), processing_date, layout, run_id, rates, now,
+        return ingest_frame(spark, cfg, scan.df, scan.path, processing_date, layout, run_id, rates, now,
                             profile_registry=profile_registry, input_bytes=scan.bytes, silver_table=silver_table)
 
 

@@ -441,7 +441,8 @@ _TLOG = ('{"column_mapping_applied":{"o_orderkey":"transaction_id","o_custkey":"
 ORACLES["lineage_row"] = (
     f"SELECT {_RUN} AS run_id, source_id, 'card_transactions_silver' AS target_table, total_rows_ingested AS rows_read, "
     "total_rows_passed AS rows_written, total_rows_rejected AS rows_rejected, ingestion_status AS status, "
-    f"{_q(_TLOG)} AS transformation_log, true AS reconciled, true AS written_back, true AS exact_partition FROM {_S}"
+    f"{_q(_TLOG)} AS transformation_log, 0 AS unaccounted, total_rows_passed AS rows_found, true AS exact_partition, "
+    f"'raw/orders/processing_date=2024-01-01/' AS source_folder FROM {_S}"
 )
 ORACLES["catalog_objects"] = (
     f"SELECT 'card_transactions_silver' AS table_name, 'EXTERNAL' AS table_type, total_rows_passed AS rows FROM {_S} "
@@ -557,3 +558,4 @@ ORACLES["landing_files"] = (
     "SELECT 'customer', '2024-01-02', strlen(CAST(c_custkey AS VARCHAR) || ',' || c_mktsegment) + 1 FROM customer UNION ALL "
     "SELECT 'supplier', '2024-01-01', strlen(CAST(s_suppkey AS VARCHAR) || ',' || s_name) + 1 FROM supplier) GROUP BY source_dir, processing_date"
 )
+ORACLES["scanned_files"] = "SELECT DISTINCT c_mktsegment AS segment FROM customer"

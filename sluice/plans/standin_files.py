@@ -141,9 +141,9 @@ def lineage_row(spark, sf_dir):
     return lin.join(found, "source_id").select(
         "run_id", "source_id", "target_table", "rows_read", "rows_written", "rows_rejected", "status",
         "transformation_log",
-        (F.col("rows_read") == F.col("rows_written") + F.col("rows_rejected")).alias("reconciled"),
-        (F.col("rows_found") == F.col("rows_written")).alias("written_back"),
+        (F.col("rows_read") - F.col("rows_written") - F.col("rows_rejected")).alias("unaccounted"), "rows_found",
         F.col("target_path").endswith(f"processing_date={RUN_DATE}/source_id={cfg.source_id}").alias("exact_partition"),
+        F.regexp_extract("source_path", "(raw/.*)$", 1).alias("source_folder"),
     )
 
 

@@ -273,3 +273,15 @@ def landing_files(spark, sf_dir):
     for name, day, key, text in feeds:
         table(spark, sf_dir, name).select(F.concat_ws(",", F.col(key).cast("string"), text).alias("value")).write.text(f"{root}/raw/{name}/processing_date={day}")
     return manifest(spark, f"{root}/raw").select("source_dir", "processing_date", "total_bytes")
+
+
+@query
+def scanned_files(spark, sf_dir):
+    """The raw files behind a scan, told by the file source's metadata column."""
+    from sluice.operators.lineage import source_files
+
+    path = scratch_path(spark, "landing")
+    c = table(spark, sf_dir, "customer").select(F.concat_ws(",", F.col("c_custkey").cast("string"), "c_name").alias("value"), "c_mktsegment")
+    c.repartition("c_mktsegment").write.partitionBy("c_mktsegment").text(path)
+    scan = spark.read.option("recursiveFileLookup", "true").text(path)
+    return source_files(scan).select(F.regexp_extract("source_path", "c_mktsegment=([^/]+)/", 1).alias("segment"))
