@@ -20,7 +20,7 @@ SEPARATOR = 0
 #: Pieces that wait to be packed together: at most this many times a window of ids in memory.
 BLOCK_PIECES = 1 << 14
 #: Words whose ids a worker remembers.
-MAX_WORDS = 500_000
+MAX_WORDS = 800_000
 #: Texts whose unknown words go to the tokenizer in one call.
 TEXTS_AT_ONCE = 512
 ID_BYTES = 4
@@ -49,7 +49,7 @@ class Encoder:
         self.line_end = self._ids("\n x")[:1]
 
     def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _learn(self, new: list[str]) -> None:
         """Remember the ids of words that follow a space."""
