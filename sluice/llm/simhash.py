@@ -123,9 +123,11 @@ class Union:
         self.parent = np.arange(n)
 
     def find(self, x: np.ndarray) -> np.ndarray:
-        while not np.array_equal(up := self.parent[x], x):
-            x = up
-        return x
+        root = x
+        while not np.array_equal(up := self.parent[root], root):
+            root = up
+        self.parent[x] = root  # so that later walks are short
+        return root
 
     def unite(self, a: np.ndarray, b: np.ndarray) -> None:
         while len(a):
