@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.shared import ship
+from sluice.llm.shared import ship, stored
 
 
 #: What is stripped from both ends of a line: the bytes 0x20 and 0x09 to 0x0D.
@@ -74,8 +74,9 @@ def line_dedup(
     lines are joined again in their order.
 
     Shuffled are 24 bytes a line and, once, the texts, by id.  A line that a
-    third of the documents hold is counted by partial aggregates, and its
-    pairs meet the counts in a join that adaptive execution can split.
+    third of the documents hold is counted by partial aggregates.  The keys to
+    drop are a stored table: its file size tells the planner whether to
+    broadcast it, and otherwise adaptive execution can split the join.
 
     Returns the columns of ``docs`` with the new text, and ``n_lines`` (before
     dropping) and ``n_dropped``.  Cases: a null text is one empty line and
@@ -88,12 +89,13 @@ def line_dedup(
     kind = docs.schema[id_col].dataType.simpleString()
     wanted = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
     pairs = wanted.mapInArrow(_keys(min_code_points), f"doc {kind}, h1 long, h2 long")
-    shared = (
+    counts = (
         pairs.groupBy("h1", "h2")
         .agg(F.countDistinct("doc").alias("n"), F.max("doc").alias("home"))
         .where(F.col("n") >= min_documents)
         .select("h1", "h2", "home")
     )
+    shared = stored(counts, "shared-lines")
     gone = (
         pairs.join(shared, ["h1", "h2"])
         .where(F.col("doc") != F.col("home"))
