@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from sluice.llm.shared import ship, stored
 
-
 #: What is stripped from both ends of a line: the bytes 0x20 and 0x09 to 0x0D.
 BLANKS = " \t\n\x0b\x0c\r"
 MIN_CODE_POINTS = 20
