@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,10 @@ HASH_DIGITS = 13
 LARGEST_RATE = 8.0
 #: The distribution is inverted by adding terms until they no longer change the sum; with rates up to 8, 64 terms do.
 TERMS = 64
+#: Code points of a partition of the mixture on average.
+PARTITION_SIZE = 64 << 20
+#: Hexadecimal digits of the shuffle key that say where in the order a copy belongs.
+PLACE_DIGITS = 12
 
 
 def uniform(key: Column, seed: int, salt: Column | str) -> Column:
@@ -82,8 +87,9 @@ def mix(
     above ``LARGEST_RATE`` are sums of draws.  The rates, a row per source,
     are a stored table whose file size tells the planner whether to broadcast
     it; a source with very many documents needs no grouping of its own.  The
-    copies are sorted globally by a hash of id and copy, which deals them out
-    evenly whatever the sources are.
+    copies are ordered globally by a hash of id and copy.  Being uniform, it
+    says itself which partition a copy belongs to, so one pass deals them out
+    evenly, whatever the sources are, without sampling the input for bounds.
 
     Returns the columns of ``docs``, ``copy`` (from 0) and ``shuffle_key``.
     Cases: a null source is a source; a null id hashes as the empty string;
@@ -103,4 +109,7 @@ def mix(
     counted = docs.join(tables, F.col(source_col).eqNullSafe(F.col("_source"))).withColumn("_count", drawn)
     copies = counted.where("_count > 0").select(*others(docs, "copy", "shuffle_key"), F.explode(F.sequence(F.lit(0), F.col("_count") - 1)).alias("copy"))
     key = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(str(seed)), F.lit("order"), F.col("copy").cast("string")))
-    return copies.withColumn("shuffle_key", key).orderBy("shuffle_key")
+    expected = rates.agg(F.sum(F.col("size") * F.col("rate"))).first()[0] or 0
+    partitions = max(docs.sparkSession.sparkContext.defaultParallelism, ceil(expected / PARTITION_SIZE))
+    place = F.conv(F.substring("shuffle_key", 1, PLACE_DIGITS), 16, 10).cast("double") / float(16**PLACE_DIGITS)
+    return copies.withColumn("shuffle_key", key).repartitionById(partitions, F.floor(place * partitions).cast("int")).sortWithinPartitions("shuffle_key")
