@@ -18,7 +18,9 @@ from sluice.llm.shared import ship
 WINDOW = 1024
 SEPARATOR = 0
 #: Pieces that wait to be packed together: at most this many times a window of ids in memory.
-BLOCK_PIECES = 1 << 14
+BLOCK_PIECES = 1 << 12
+#: Rows of a batch that goes back to Spark.
+ROWS_AT_ONCE = 1 << 10
 #: Words whose ids a worker remembers.
 MAX_WORDS = 800_000
 #: Texts whose unknown words go to the tokenizer in one call.
@@ -226,9 +228,10 @@ def _pack(path: str, separator: int, window: int, id_type: pa.DataType):
             waiting.clear()
 
         def flush():
-            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            for at in range(0, len(rows), ROWS_AT_ONCE):
+                part = rows[at : at + ROWS_AT_ONCE]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
             rows.clear()
-            return batch
 
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
@@ -244,11 +247,10 @@ def _pack(path: str, separator: int, window: int, id_type: pa.DataType):
                         waiting.append((doc, whole, ids[whole * ID_BYTES :], total))
                     if len(waiting) >= BLOCK_PIECES:
                         pack()
-                    if len(rows) >= BLOCK_PIECES // 8:
-                        yield flush()
+                    if len(rows) >= ROWS_AT_ONCE:
+                        yield from flush()
         pack()
-        if rows:
-            yield flush()
+        yield from flush()
 
     return run
 
