@@ -17,8 +17,6 @@ HASH_DIGITS = 13
 LARGEST_RATE = 8.0
 #: The distribution is inverted by adding terms until they no longer change the sum; with rates up to 8, 64 terms do.
 TERMS = 64
-#: Code points of a partition of the mixture on average.
-PARTITION_SIZE = 64 << 20
 #: Hexadecimal digits of the shuffle key that say where in the order a copy belongs.
 PLACE_DIGITS = 12
 
@@ -90,6 +88,7 @@ def mix(
     copies are ordered globally by a hash of id and copy.  Being uniform, it
     says itself which partition a copy belongs to, so one pass deals them out
     evenly, whatever the sources are, without sampling the input for bounds.
+    There are as many partitions as a scan of so much text would have.
 
     Returns the columns of ``docs``, ``copy`` (from 0) and ``shuffle_key``.
     Cases: a null source is a source; a null id hashes as the empty string;
@@ -110,6 +109,8 @@ def mix(
     copies = counted.where("_count > 0").select(*others(docs, "copy", "shuffle_key"), F.explode(F.sequence(F.lit(0), F.col("_count") - 1)).alias("copy"))
     key = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(str(seed)), F.lit("order"), F.col("copy").cast("string")))
     expected = rates.agg(F.sum(F.col("size") * F.col("rate"))).first()[0] or 0
-    partitions = max(docs.sparkSession.sparkContext.defaultParallelism, ceil(expected / PARTITION_SIZE))
+    spark = docs.sparkSession
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    partitions = max(spark.sparkContext.defaultParallelism, ceil(expected / size))
     place = F.conv(F.substring("shuffle_key", 1, PLACE_DIGITS), 16, 10).cast("double") / float(16**PLACE_DIGITS)
     return copies.withColumn("shuffle_key", key).repartitionById(partitions, F.floor(place * partitions).cast("int")).sortWithinPartitions("shuffle_key")
