@@ -36,15 +36,26 @@ CONTEXT = {
 LOCAL_CHARS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DIGIT = re.compile(r"[0-9]")
+_ALNUM = re.compile(r"[A-Za-z0-9]")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2}((?: ?[A-Z0-9]){11,30}))")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9-])")
 _ACCESS_KEY = re.compile(r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])")
-_SECRET = re.compile(r"(?<![A-Za-z0-9_])(?=[A-Za-z]*[0-9])[A-Za-z0-9_-]{24,128}(?![A-Za-z0-9_-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_-]{24,}+")
 _WORD = re.compile(r"[a-z_]+")
+#: Characters of an account number by the country that it begins with.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22,
+    "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22,
+    "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30,
+    "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20,
+    "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22,
+    "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26,
+    "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
 
 
 def luhn(digits: str) -> bool:
@@ -79,6 +90,23 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         last, at = at, text.find("@", at + 1)
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers, whatever word or number follows: as long as their country's are, or up to the last word's end where mod 97 holds."""
+    done = 0
+    for m in _IBAN.finditer(text):
+        start = m.start()
+        if start < done:
+            continue
+        ends = [i + 1 for i in range(start, m.end(1)) if text[i] != " "]
+        known = IBAN_LENGTHS.get(text[start : start + 2])
+        for n in (known,) if known else range(len(ends), 14, -1):
+            if n > len(ends) or _ALNUM.match(text, end := ends[n - 1]) or not mod97(text[start:end].replace(" ", "")):
+                continue
+            yield start, end
+            done = end
+            break
+
+
 def _octets(ip: str) -> bool:
     return all(len(p := part.lstrip("0")) <= 3 and int(p or "0") <= 255 for part in ip.split("."))
 
@@ -97,7 +125,7 @@ def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
     yield from (("card", *m.span()) for m in _CARD.finditer(text) if 12 <= len(d := _digits(m[0])) <= 19 and luhn(d))
     if "+" in text:
         yield from (("phone", *m.span()) for m in _PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15)
-    yield from (("iban", *m.span()) for m in _IBAN.finditer(text) if 15 <= len(c := m[0].replace(" ", "")) <= 34 and mod97(c))
+    yield from (("iban", *s) for s in ibans(text))
     yield from (("ssn", *m.span()) for m in _SSN.finditer(text) if _ssn(m[0]))
     yield from (("local_phone", *m.span()) for m in _LOCAL_PHONE.finditer(text))
     yield from (("access_key", *m.span()) for m in _ACCESS_KEY.finditer(text))
@@ -136,8 +164,8 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     E-mail addresses, IP addresses, card numbers and international phone
     numbers are reported whenever their pattern and check (octets, Luhn,
-    number of digits) hold.  The method adds account numbers (mod 97), access
-    keys, and, where the score with nearby words reaches ``THRESHOLD``, social
+    number of digits) hold.  The method adds account numbers (their country's
+    length, mod 97), access keys, and, where the score with nearby words reaches ``THRESHOLD``, social
     security numbers, local phone numbers and secrets; these never overlap a
     base span.  A map over rows: no shuffle.
 
