@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from math import ceil
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm.shared import others, stored
@@ -19,6 +19,8 @@ LARGEST_RATE = 8.0
 TERMS = 64
 #: Hexadecimal digits of the shuffle key that say where in the order a copy belongs.
 PLACE_DIGITS = 12
+#: Equal rows are numbered within blocks of two to the power of this many rows as they are stored, then across blocks.
+BLOCK_BITS = 12
 
 
 def uniform(key: Column, seed: int, salt: Column | str) -> Column:
@@ -69,6 +71,36 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, so
     return weighed.select("source", "size", "weight", F.when(F.col("weight") > 0, rate).otherwise(F.lit(0.0)).alias("rate"))
 
 
+def identified(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Add ``_draw`` and ``_order``, the texts that a row's count and its copies' places are hashed from.
+
+    Both are the id if no other row has it.  Rows with a null or repeated id
+    have their other columns hashed too, and equal rows are numbered, in
+    blocks, so that a value that many rows share brings no more than a block
+    of them together.  Which of several equal rows gets which number changes
+    nothing.  Their places all differ; their counts do too, but that equal
+    rows with an id draw in pairs.
+    """
+    key = F.col(id_col)
+    repeated = stored(docs.groupBy(key.alias("_id")).count().where("count > 1 or _id is null").select("_id"), "mixing-repeated")
+    text = F.coalesce(key.cast("string"), F.lit(""))
+    if repeated.isEmpty():
+        return docs.withColumn("_draw", text).withColumn("_order", text)
+    named, same = docs.where(key.isNotNull()), key == F.col("_id")
+    plain = named.join(repeated, same, "left_anti").withColumn("_draw", text).withColumn("_order", text)
+    again = named.join(repeated, same, "left_semi").unionByName(docs.where(key.isNull()))
+    hashed = F.md5(F.to_json(F.struct(*others(docs))))
+    again = stored(again.withColumn("_same", hashed).withColumn("_row", F.monotonically_increasing_id()), "mixing-again")
+    rows = again.select("_row", "_same", F.shiftright("_row", BLOCK_BITS).alias("_block"))
+    before = F.sum("_n").over(Window.partitionBy("_same").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = rows.groupBy("_same", "_block").agg(F.count("*").alias("_n")).select("_same", "_block", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_same", "_block").orderBy("_row")) - 1
+    numbers = rows.withColumn("_within", within).join(blocks, ["_same", "_block"]).select("_row", (F.col("_before") + F.col("_within")).alias("_number"))
+    draw = F.when(key.isNull(), F.col("_number")).otherwise(F.shiftright("_number", 1))
+    again = again.join(numbers, "_row").withColumn("_draw", F.concat_ws(":", text, "_same", draw)).withColumn("_order", F.concat_ws(":", text, "_same", "_number"))
+    return plain.unionByName(again.drop("_row", "_same", "_number"))
+
+
 def mix(
     docs: DataFrame,
     weights: Mapping[str, float] | None = None,
@@ -81,20 +113,23 @@ def mix(
     """Repeat each document by a Poisson count whose mean is its source's target rate, then shuffle globally.
 
     The count inverts the Poisson distribution at a uniform number hashed from
-    the seed and the id, so the result depends on nothing but the rows.  Rates
+    the seed and the id, or the whole row where the id is null or repeated
+    (``identified``), so the result depends on nothing but the rows.  Rates
     above ``LARGEST_RATE`` are sums of draws.  The rates, a row per source,
     are a stored table whose file size tells the planner whether to broadcast
     it; a source with very many documents needs no grouping of its own.  The
-    copies are ordered globally by a hash of id and copy.  Being uniform, it
-    says itself which partition a copy belongs to, so one pass deals them out
-    evenly, whatever the sources are, without sampling the input for bounds.
+    copies are ordered globally by a hash of id (or row) and copy.  Being
+    uniform, it says itself which partition a copy belongs to, so one pass
+    deals them out evenly, whatever the sources and ids are, without sampling
+    the input for bounds.
     There are as many partitions as a scan of so much text would have.
 
     Returns the columns of ``docs``, ``copy`` (from 0) and ``shuffle_key``.
-    Cases: a null source is a source; a null id hashes as the empty string;
-    rows with the same id get the same count; a null or empty text counts
-    nothing for its source's size; input columns named ``copy`` or
-    ``shuffle_key`` are replaced; no rows give no rows.
+    Cases: a null source is a source; rows with a null id, or an id that other
+    rows have too, draw by their other columns; two equal rows with an id get
+    the same count, of more each two; equal rows without an id draw each; a
+    null or empty text counts nothing for its source's size; input columns
+    named ``copy`` or ``shuffle_key`` are replaced; no rows give no rows.
     """
     rates = source_rates(docs, weights, source_col, text_col, total)
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / LARGEST_RATE).cast("int"))
@@ -103,14 +138,14 @@ def mix(
     drawn = F.aggregate(
         F.sequence(F.lit(0), F.col("_parts") - 1),
         F.lit(0),
-        lambda acc, part: acc + poisson_count(uniform(F.col(id_col), seed, part), F.col("_table")),
+        lambda acc, part: acc + poisson_count(uniform(F.col("_draw"), seed, part), F.col("_table")),
     )
-    counted = docs.join(tables, F.col(source_col).eqNullSafe(F.col("_source"))).withColumn("_count", drawn)
-    copies = counted.where("_count > 0").select(*others(docs, "copy", "shuffle_key"), F.explode(F.sequence(F.lit(0), F.col("_count") - 1)).alias("copy"))
-    key = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(str(seed)), F.lit("order"), F.col("copy").cast("string")))
+    counted = identified(docs, id_col).join(tables, F.col(source_col).eqNullSafe(F.col("_source"))).withColumn("_count", drawn)
+    copies = counted.where("_count > 0").select(*others(docs, "copy", "shuffle_key"), "_order", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)).alias("copy"))
+    key = F.md5(F.concat_ws(":", "_order", F.lit(str(seed)), F.lit("order"), F.col("copy").cast("string")))
     expected = rates.agg(F.sum(F.col("size") * F.col("rate"))).first()[0] or 0
     spark = docs.sparkSession
     size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     partitions = max(spark.sparkContext.defaultParallelism, ceil(expected / size))
     place = F.conv(F.substring("shuffle_key", 1, PLACE_DIGITS), 16, 10).cast("double") / float(16**PLACE_DIGITS)
-    return copies.withColumn("shuffle_key", key).repartitionById(partitions, F.floor(place * partitions).cast("int")).sortWithinPartitions("shuffle_key")
+    return copies.withColumn("shuffle_key", key).drop("_order").repartitionById(partitions, F.floor(place * partitions).cast("int")).sortWithinPartitions("shuffle_key")

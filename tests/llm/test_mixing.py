@@ -5,7 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from sluice.llm.mixing import mix, poisson_count, poisson_table, source_rates
+from sluice.llm.mixing import identified, mix, poisson_count, poisson_table, source_rates
 
 SCHEMA = "doc_id long, text string, source string, copy string"
 
@@ -48,6 +48,40 @@ def test_high_rates_are_sums(spark):
     assert abs(sum(counts.values()) / 2000 - 1) < 0.1 and 100 not in counts
 
 
+def test_null_and_repeated_ids_draw_each_and_spread(spark):
+    n = 6000
+    for shared in (None, 7_000_000):
+        for text in (lambda i: f"text {i:05d}", lambda i: "text 00000"):
+            rows = [(i if i % 3 else shared, text(i) if i % 3 == 0 else f"text {i:05d}", "a" if i % 2 else "b", "x") for i in range(n)]
+            df = spark.createDataFrame(rows, SCHEMA)
+            out = mix(df, total=0.5).withColumn("part", F.spark_partition_id()).collect()
+            hot = [r for r in out if r["doc_id"] == shared]
+            assert abs(len(hot) / (n / 6) - 1) < 0.15, (shared, len(hot))
+            for source in ("a", "b"):
+                assert abs(sum(r["source"] == source for r in hot) / (n / 12) - 1) < 0.2
+            parts = Counter(r["part"] for r in hot)
+            assert len(parts) > 1 and max(parts.values()) < 2 * len(hot) / len(parts)
+            keys = [r["shuffle_key"] for r in out]
+            assert keys == sorted(keys) and len(set(keys)) == len(keys)
+            again = mix(df.repartition(7), total=0.5).collect()
+            assert [(r["doc_id"], r["text"], r["copy"], r["shuffle_key"]) for r in again] == [(r["doc_id"], r["text"], r["copy"], r["shuffle_key"]) for r in out]
+
+
+def test_rows_with_an_id_of_their_own_are_as_without_the_others(spark):
+    df = spark.createDataFrame([(i, "abcdefghij", "s", "x") for i in range(500)], SCHEMA)
+    more = df.unionByName(spark.createDataFrame([(None, "abcdefghij", "s", "x"), (900, "abcdefghij", "s", "x"), (900, "bbcdefghij", "s", "x")], SCHEMA))
+    rows = lambda out: [(r["doc_id"], r["copy"], r["shuffle_key"]) for r in out.where("doc_id < 500").collect()]
+    assert rows(mix(df)) == rows(mix(more))
+
+
+def test_numbers_go_on_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr("sluice.llm.mixing.BLOCK_BITS", 3)
+    df = spark.createDataFrame([(None, "a", "s", "x")] * 100 + [(1, "a", "s", "x")] * 50 + [(2, "a", "s", "x")], SCHEMA)
+    found = identified(df).collect()
+    assert len({r["_order"] for r in found}) == 151
+    assert len({r["_draw"] for r in found if r["doc_id"] is None}) == 100 and len({r["_draw"] for r in found if r["doc_id"] == 1}) == 25
+
+
 def test_odd_rows(spark):
     rows = [(1, "abc", None, "x"), (None, "abcd", None, "x"), (2, None, "empty", "x"), (3, "", "empty", "x"), (4, "abcdefg", "s", "x"), (4, "abcdefg", "s", "x")]
     df = spark.createDataFrame(rows, SCHEMA)
