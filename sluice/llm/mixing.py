@@ -21,6 +21,8 @@ TERMS = 64
 PLACE_DIGITS = 12
 #: Equal rows are numbered within blocks of two to the power of this many rows as they are stored, then across blocks.
 BLOCK_BITS = 12
+#: A row draws at most this many counts at once; a document with more is dealt out in blocks of so many.
+DRAWS_AT_ONCE = 128
 
 
 def uniform(key: Column, seed: int, salt: Column | str) -> Column:
@@ -101,6 +103,29 @@ def identified(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return plain.unionByName(again.drop("_row", "_same", "_number"))
 
 
+def drawn(first: Column, last: Column, seed: int) -> Column:
+    """The sum of a row's draws from ``first`` to ``last``."""
+    return F.aggregate(F.sequence(first, last), F.lit(0), lambda acc, part: acc + poisson_count(uniform(F.col("_draw"), seed, part), F.col("_table")))
+
+
+def dealt(heavy: DataFrame, seed: int, partitions: int) -> DataFrame:
+    """Documents with very many draws, a row per block of draws, dealt over the partitions.
+
+    ``_count`` is a block's number of copies and ``_first`` the first one's
+    number; prefix sums over a document's blocks give the numbers it would
+    have if it drew in one row.  All blocks with their texts are less than a
+    thousandth of the copies, so they are joined first and dealt then.
+    """
+    rows = stored(heavy.withColumn("_row", F.monotonically_increasing_id()), "mixing-heavy")
+    size = F.lit(DRAWS_AT_ONCE).cast("long")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_parts") - 1) / size)))
+    count = drawn(F.col("_block") * size, F.least(F.col("_parts"), (F.col("_block") + 1) * size) - 1, seed)
+    counts = rows.select("_row", "_draw", "_parts", "_table").withColumn("_block", every).repartition(partitions, "_row", "_block").select("_row", "_block", count.alias("_count"))
+    before = F.sum("_count").over(Window.partitionBy("_row").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    firsts = counts.withColumn("_first", F.coalesce(before, F.lit(0)))
+    return rows.withColumn("_block", every).join(firsts, ["_row", "_block"]).repartition(partitions, "_row", "_block")
+
+
 def mix(
     docs: DataFrame,
     weights: Mapping[str, float] | None = None,
@@ -115,7 +140,8 @@ def mix(
     The count inverts the Poisson distribution at a uniform number hashed from
     the seed and the id, or the whole row where the id is null or repeated
     (``identified``), so the result depends on nothing but the rows.  Rates
-    above ``LARGEST_RATE`` are sums of draws.  The rates, a row per source,
+    above ``LARGEST_RATE`` are sums of draws, in blocks over all partitions if
+    they are very many (``dealt``).  The rates, a row per source,
     are a stored table whose file size tells the planner whether to broadcast
     it; a source with very many documents needs no grouping of its own.  The
     copies are ordered globally by a hash of id (or row) and copy.  Being
@@ -129,23 +155,27 @@ def mix(
     rows have too, draw by their other columns; two equal rows with an id get
     the same count, of more each two; equal rows without an id draw each; a
     null or empty text counts nothing for its source's size; input columns
-    named ``copy`` or ``shuffle_key`` are replaced; no rows give no rows.
+    named ``copy`` or ``shuffle_key`` are replaced; no rows give no rows; more
+    copies of one document than an int can number are an error.
     """
     rates = source_rates(docs, weights, source_col, text_col, total)
-    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / LARGEST_RATE).cast("int"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / LARGEST_RATE)).cast("long")
     tables = rates.select(F.col("source").alias("_source"), parts.alias("_parts"), poisson_table(F.col("rate") / parts).alias("_table"))
     tables = stored(tables.coalesce(1), "mixing-rates")
-    drawn = F.aggregate(
-        F.sequence(F.lit(0), F.col("_parts") - 1),
-        F.lit(0),
-        lambda acc, part: acc + poisson_count(uniform(F.col("_draw"), seed, part), F.col("_table")),
-    )
-    counted = identified(docs, id_col).join(tables, F.col(source_col).eqNullSafe(F.col("_source"))).withColumn("_count", drawn)
-    copies = counted.where("_count > 0").select(*others(docs, "copy", "shuffle_key"), "_order", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)).alias("copy"))
-    key = F.md5(F.concat_ws(":", "_order", F.lit(str(seed)), F.lit("order"), F.col("copy").cast("string")))
     expected = rates.agg(F.sum(F.col("size") * F.col("rate"))).first()[0] or 0
     spark = docs.sparkSession
     size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     partitions = max(spark.sparkContext.defaultParallelism, ceil(expected / size))
+    known = identified(docs, id_col)
+    own = [*others(docs, "copy", "shuffle_key"), "_order"]
+    at_once = F.col("_parts") <= DRAWS_AT_ONCE
+    meets = F.col(source_col).eqNullSafe(F.col("_source"))
+    counted = known.join(tables.where(at_once), meets).withColumn("_count", drawn(F.lit(0).cast("long"), F.col("_parts") - 1, seed))
+    copies = counted.where("_count > 0").select(*own, F.explode(F.sequence(F.lit(0), F.col("_count") - 1)).alias("copy"))
+    if not (many := tables.where(~at_once)).isEmpty():
+        blocks = dealt(known.join(many, meets), seed, partitions).where("_count > 0")
+        number = F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_count") - 1))
+        copies = copies.unionByName(blocks.select(*own, number.alias("copy")).withColumn("copy", F.col("copy").cast("int")))
+    key = F.md5(F.concat_ws(":", "_order", F.lit(str(seed)), F.lit("order"), F.col("copy").cast("string")))
     place = F.conv(F.substring("shuffle_key", 1, PLACE_DIGITS), 16, 10).cast("double") / float(16**PLACE_DIGITS)
     return copies.withColumn("shuffle_key", key).drop("_order").repartitionById(partitions, F.floor(place * partitions).cast("int")).sortWithinPartitions("shuffle_key")

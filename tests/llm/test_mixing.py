@@ -5,7 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from sluice.llm.mixing import identified, mix, poisson_count, poisson_table, source_rates
+from sluice.llm.mixing import DRAWS_AT_ONCE, dealt, identified, mix, poisson_count, poisson_table, source_rates
 
 SCHEMA = "doc_id long, text string, source string, copy string"
 
@@ -82,6 +82,22 @@ def test_numbers_go_on_across_blocks(spark, monkeypatch):
     assert len({r["_draw"] for r in found if r["doc_id"] is None}) == 100 and len({r["_draw"] for r in found if r["doc_id"] == 1}) == 25
 
 
+def test_very_many_draws_are_dealt_in_blocks(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "a", "rare", "x") for i in range(3)] + [(100, "b" * 997, "rest", "x")], SCHEMA)
+    rows = lambda: [(r["doc_id"], r["copy"], r["shuffle_key"]) for r in mix(df, total=1.5).collect()]
+    whole = rows()
+    assert abs(sum(i < 100 for i, _, _ in whole) / 750 - 1) < 0.15
+    monkeypatch.setattr("sluice.llm.mixing.DRAWS_AT_ONCE", 5)
+    assert rows() == whole
+
+    monkeypatch.setattr("sluice.llm.mixing.DRAWS_AT_ONCE", DRAWS_AT_ONCE)
+    heavy = spark.createDataFrame([("1", 40_000)], "_draw string, _parts long").withColumn("_table", poisson_table(F.lit(8.0)))
+    blocks = dealt(heavy, 42, 8).withColumn("part", F.spark_partition_id()).select("_block", "_count", "_first", "part").orderBy("_block").collect()
+    assert len(blocks) == -(-40_000 // DRAWS_AT_ONCE) and max(r["_count"] for r in blocks) < 10 * DRAWS_AT_ONCE
+    assert [r["_first"] for r in blocks] == [sum(r["_count"] for r in blocks[:k]) for k in range(len(blocks))]
+    assert abs(sum(r["_count"] for r in blocks) / 320_000 - 1) < 0.02 and len({r["part"] for r in blocks}) > 1
+
+
 def test_odd_rows(spark):
     rows = [(1, "abc", None, "x"), (None, "abcd", None, "x"), (2, None, "empty", "x"), (3, "", "empty", "x"), (4, "abcdefg", "s", "x"), (4, "abcdefg", "s", "x")]
     df = spark.createDataFrame(rows, SCHEMA)
