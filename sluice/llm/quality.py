@@ -49,11 +49,11 @@ def statistics(text: str | None) -> list[float]:
     words = raw.split()
     n = len(words)
     count = Counter(words)
-    triples = same = 0
-    for at in range(0, n, WORDS_AT_ONCE):  # so that a very long text needs little memory
-        part = words[at : at + WORDS_AT_ONCE]
-        triples += len(set(zip(part, part[1:], part[2:], strict=False)))
-        same += sum(map(eq, part, part[1:]))
+    triples, same = set(), 0
+    for at in range(0, n, WORDS_AT_ONCE):  # slices overlap, and only hashes are kept, so that a very long text needs little memory
+        part = words[at : at + WORDS_AT_ONCE + 2]
+        triples.update(map(hash, zip(part, part[1:], part[2:], strict=False)))
+        same += sum(map(eq, part[:WORDS_AT_ONCE], part[1:]))
     lines = [line for line in raw.split(b"\n") if line]
     p = bytes_[bytes_ > 0] / size
     per_word = max(1, n)
@@ -65,7 +65,7 @@ def statistics(text: str | None) -> list[float]:
         len(count) / per_word,
         max(count.values(), default=0) / per_word,
         same / per_word,
-        triples / max(1, n - 2),
+        len(triples) / max(1, n - 2),
         *share[:10].tolist(),
         sum(k for w, k in count.items() if w.endswith(_ENDINGS)) / per_word,
         sum(k for w, k in count.items() if len(w) > 1 and w.isupper()) / per_word,

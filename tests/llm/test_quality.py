@@ -38,6 +38,19 @@ def test_statistics_of_odd_texts():
         assert len(statistics(text)) == len(FEATURES) and np.isfinite(statistics(text)).all()
 
 
+def test_statistics_of_a_text_do_not_depend_on_slices(monkeypatch):
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 4, 5, 7, 8, 9, 60):
+        words = [f"w{k}" for k in rng.integers(0, 3, n)]
+        found = {}
+        for size in (4, 1 << 18):
+            monkeypatch.setattr("sluice.llm.quality.WORDS_AT_ONCE", size)
+            found[size] = dict(zip(FEATURES, statistics(" ".join(words)), strict=True))
+        assert found[4] == found[1 << 18]
+        assert found[4]["distinct_triples"] == len({tuple(words[i : i + 3]) for i in range(n - 2)}) / max(1, n - 2)
+        assert found[4]["adjacent_repeats"] == sum(words[i] == words[i + 1] for i in range(n - 1)) / n
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
     model = fit_quality(docs, labels)
