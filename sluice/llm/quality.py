@@ -163,14 +163,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     About ``max_rows`` labelled rows at most are taken, those whose hashed id
     lies in the lowest part that holds so many; their statistics, and nothing
     else, go to the driver.  The same hash filter thins the documents before
-    the join, so no more texts than that are shuffled.
+    the join, so no more texts than that are shuffled.  An id counts once:
+    of several texts the least, of several labels the lower.
     """
     ship(docs.sparkSession)
-    usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
+    usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y"))
     share = min(1.0, max_rows / max(1, usable.count()))
     low = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 30)) < int(share * (1 << 30))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    rows = texts.where(low(F.col("id"))).join(usable.where(low(F.col("id"))), "id").select("id", "y", statistics_column(F.col("text")).alias("x")).toPandas()
+    rows = texts.where(low(F.col("id"))).groupBy("id").agg(F.min("text").alias("text")).join(usable.where(low(F.col("id"))), "id").select("id", "y", statistics_column(F.col("text")).alias("x")).toPandas()
     rows = rows.iloc[np.lexsort((rows["y"], rows["id"]))]
     return fit(np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES)), rows["y"].to_numpy(float))
 

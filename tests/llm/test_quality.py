@@ -60,6 +60,20 @@ def test_held_out_accuracy(spark):
     assert (scored["predicted"][good] == 1).mean() > 0.97 and (scored["predicted"][~good] == 0).mean() > 0.9
 
 
+def test_repeated_ids_count_once_in_the_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr("sluice.llm.quality.fit", lambda x, y: seen.append((x, y)) or fit(x, y))
+    rows = [(i, f"text {i}") for i in range(40)] + [(1, "text z")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 0), (1, 1)] * 20, "doc_id long, quality int")
+    fit_quality(docs, labels)
+    fit_quality(docs.repartition(7), labels)
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    assert 1 in ids
+    for x, y in seen:
+        assert x.tolist() == [statistics(f"text {i}") for i in ids] and y.tolist() == [0.0 if i == 1 else i % 2 for i in ids]
+
+
 def test_rows(spark):
     docs = spark.createDataFrame([(1, "a b c", 5), (2, None, 5), (3, "", 5), (None, "x", 5), (1, "a b c", 5)], "doc_id long, text string, Score int")
     labels = spark.createDataFrame([(1, None), (2, 7), (None, 1), (3, 1)], "doc_id long, quality int")
