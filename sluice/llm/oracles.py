@@ -152,10 +152,114 @@ SELECT told.conv_id, told.n_turns, told.turns_sha256, length(learnt) AS loss_cha
 FROM told LEFT JOIN repeated ON repeated.conv_id = told.conv_id
 """
 
+OP11_MERKLE_MANIFEST = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS row_id, doc_id, lang, text,
+         CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id END
+           || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+           || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END
+           || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars END AS head,
+         list_reduce(
+           list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+             lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda crc, b: CASE WHEN b >= 0 THEN xor(crc, b) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END) AS crc
+  FROM documents
+),
+leaves AS (
+  SELECT row_id, doc_id, lang, sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+         CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN
+           sha256(head || CASE WHEN text IS NULL THEN '-'
+                               ELSE strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END) END AS tampered
+  FROM d
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n,
+         dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS grp
+  FROM leaves
+),
+nodes(grp, level, i, n, digest) AS (
+  SELECT grp, 0, i, n, leaf FROM placed
+  UNION ALL
+  SELECT grp, any_value(level) + 1, i // 8, (any_value(n) + 7) // 8, sha256(string_agg(digest, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY grp, i // 8
+),
+upper(level, i, n, digest) AS (
+  SELECT 0, grp, count(*) OVER (), digest FROM nodes WHERE n = 1
+  UNION ALL
+  SELECT any_value(level) + 1, i // 8, (any_value(n) + 7) // 8, sha256(string_agg(digest, '' ORDER BY i)) FROM upper WHERE n > 1 GROUP BY i // 8
+),
+runs AS (
+  SELECT grp, level, i // 8 AS run, list(digest ORDER BY i) AS digests FROM nodes WHERE n > 1 GROUP BY grp, level, i // 8
+),
+upper_runs AS (SELECT level, i // 8 AS run, list(digest ORDER BY i) AS digests FROM upper WHERE n > 1 GROUP BY level, i // 8),
+walk(row_id, grp, level, i, n, folded, proof) AS (
+  SELECT row_id, grp, 0, i, n, coalesce(tampered, leaf), '' FROM placed
+  UNION ALL
+  SELECT w.row_id, w.grp, w.level + 1, w.i // 8, (w.n + 7) // 8,
+         sha256(array_to_string(digests[:w.i % 8], '') || folded || array_to_string(digests[w.i % 8 + 2:], '')),
+         proof || array_to_string(digests[:w.i % 8], '') || array_to_string(digests[w.i % 8 + 2:], '')
+  FROM walk w JOIN runs r ON r.grp = w.grp AND r.level = w.level AND r.run = w.i // 8 WHERE w.n > 1
+),
+ride(row_id, level, i, n, folded, proof) AS (
+  SELECT row_id, 0, grp, (SELECT max(n) FROM upper WHERE level = 0), folded, proof FROM walk WHERE n = 1
+  UNION ALL
+  SELECT w.row_id, w.level + 1, w.i // 8, (w.n + 7) // 8,
+         sha256(array_to_string(digests[:w.i % 8], '') || folded || array_to_string(digests[w.i % 8 + 2:], '')),
+         proof || array_to_string(digests[:w.i % 8], '') || array_to_string(digests[w.i % 8 + 2:], '')
+  FROM ride w JOIN upper_runs r ON r.level = w.level AND r.run = w.i // 8 WHERE w.n > 1
+)
+SELECT p.doc_id, p.leaf, s.digest AS subroot, r.digest AS root, sha256(f.proof) AS proof_sha256, f.folded AS folded_root, f.folded = r.digest AS verified
+FROM placed p JOIN nodes s ON s.grp = p.grp AND s.n = 1 JOIN upper r ON r.n = 1 JOIN ride f ON f.row_id = p.row_id AND f.n = 1
+"""
+
+_CODE_ROUND = """
+near{r} AS (
+  SELECT p.vec_id, p.part, min(CAST(p.pp - 2 * list_dot_product(p.p, b.e) + list_dot_product(b.e, b.e) AS BIGINT) * 256 + b.entry) AS best
+  FROM parts p JOIN book{r} b ON b.part = p.part GROUP BY p.vec_id, p.part
+)"""
+_CODE_MEANS = """,
+means{r} AS (
+  SELECT part, entry, list(m ORDER BY pos) AS e
+  FROM (SELECT part, entry, pos, floor(CAST(sum(x) AS DOUBLE) / count(*)) AS m
+        FROM (SELECT n.part, n.best % 256 AS entry, unnest(p.p) AS x, generate_subscripts(p.p, 1) AS pos FROM near{r} n JOIN parts p USING (vec_id, part))
+        GROUP BY part, entry, pos) GROUP BY part, entry
+),
+book{next} AS (
+  SELECT b.part, b.entry, coalesce(m.e, b.e) AS e FROM book{r} b LEFT JOIN means{r} m USING (part, entry)
+),"""
+
+OP12_VECTOR_CODES = (
+    r"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 1024)) AS w, len(embedding) // 4 AS width
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+),
+parts AS (
+  SELECT vec_id, part, p, list_dot_product(p, p) AS pp
+  FROM (SELECT vec_id, part, w[part * width + 1 : (part + 1) * width] AS p FROM kept, range(4) t(part))
+),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept QUALIFY entry < 256),
+book0 AS (SELECT p.part, f.entry, p.p AS e FROM first f JOIN parts p USING (vec_id)),"""
+    + "".join(_CODE_ROUND.format(r=r) + _CODE_MEANS.format(r=r, next=r + 1) for r in range(4))
+    + _CODE_ROUND.format(r=4)
+    + r""",
+coded AS (
+  SELECT vec_id, string_agg(lower(lpad(to_hex(best % 256), 2, '0')), '' ORDER BY part) AS code, CAST(sum(best // 256) AS BIGINT) AS error FROM near4 GROUP BY vec_id
+),
+said AS (
+  SELECT sha256(string_agg(array_to_string(list_transform(e, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book4
+)
+SELECT c.vec_id, c.code, c.error, CAST(sum(c.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, said.codebooks_sha256
+FROM coded c JOIN kept k USING (vec_id), said
+"""
+)
+
 ORACLES: dict[str, str] = {
     "op1_embedding_near_dedup": OP1_EMBEDDING_NEAR_DEDUP,
     "op2_line_dedup": OP2_LINE_DEDUP,
     "op3_mixing": OP3_MIXING,
     "op7_warc": OP7_WARC,
     "op10_chat": OP10_CHAT,
+    "op11_merkle_manifest": OP11_MERKLE_MANIFEST,
+    "op12_vector_codes": OP12_VECTOR_CODES,
 }

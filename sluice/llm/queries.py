@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +12,14 @@ from sluice.llm.ann import nearest
 from sluice.llm.chat import format_chats, read_loss, read_turns
 from sluice.llm.embed_dedup import embedding_groups
 from sluice.llm.line_dedup import line_dedup
+from sluice.llm.merkle import FIELDS, fold, leaf_digest, merkle_manifest, proof_text
 from sluice.llm.mixing import mix
 from sluice.llm.packing import pack
+from sluice.llm.pieces import encode_pieces
 from sluice.llm.pii import BASE_KINDS, find_pii, joined, of_kind
 from sluice.llm.quality import fit_quality, held_out, score_quality
 from sluice.llm.simhash import simhash_groups
+from sluice.llm.vector_codes import codebook_text, vector_codes
 from sluice.llm.warc import archive_pages
 
 
@@ -26,6 +30,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_model_path() -> str:
+    """Where this installation keeps the SentencePiece model."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -97,6 +108,28 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("conv_id", "n_turns", F.sha2(said, 256).alias("turns_sha256"), F.length(learnt).cast("long").alias("loss_chars"), F.sha2(learnt, 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = leaf_digest([lowered if f == "text" else F.col(f) for f in FIELDS])
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    made = merkle_manifest(docs, carried=F.when(chosen, F.unhex(tampered)))
+    folded = made.withColumn("folded_root", fold(F.coalesce(F.lower(F.hex("carried")), F.col("leaf")), F.col("proof")))
+    return folded.select("doc_id", "leaf", "subroot", "root", F.sha2(proof_text(F.col("proof")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, codebooks = vector_codes(_table(spark, sf_dir, "embeddings"))
+    digest = hashlib.sha256(codebook_text(codebooks).encode()).hexdigest()
+    return coded.withColumn("codebooks_sha256", F.lit(digest))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = encode_pieces(_table(spark, sf_dir, "documents"), piece_model_path())
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -110,5 +143,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_pii,
         op9_quality,
         op10_chat,
+        op11_merkle_manifest,
+        op12_vector_codes,
+        op13_sentencepiece,
     )
 }
