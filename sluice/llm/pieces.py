@@ -1,24 +1,24 @@
-"""SentencePiece encoding and decoding by a table of distinct chunks."""
+"""SentencePiece encoding and decoding by tables of distinct chunks."""
 
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.shared import ship, stored
+from sluice.llm.shared import ship
 
 #: The library's whitespace marker.
 MARKER = "▁"
-#: Bytes of text that share a block's table of chunks; a longer text is a block alone.
-BLOCK_BYTES = 8 << 20
-#: Codes of a batch that goes back to Spark.
-CODES_AT_ONCE = 1 << 18
+#: Characters of the texts whose ids are put together at once; a longer text is a block alone.
+BLOCK_CHARS = 4 << 20
+#: Distinct chunks that a task's table holds; beyond, it starts anew.
+MAX_CHUNKS = 500_000
 _CHUNKS = re.compile(r" ( *[^ ]+| *$)")
 
 
@@ -57,93 +57,78 @@ def chunks(text: str, cut: bool) -> list[str]:
     return text.split(" ")
 
 
-def _coded(cut: bool, id_type: pa.DataType, block_bytes: int):
-    """Texts as codes of chunks, and behind each block of texts its chunks by code."""
+class ChunkTable:
+    """Distinct chunks with their ids and decoded texts, each segmented once, by code."""
 
-    def run(batches):
-        block, known, size = TaskContext.get().partitionId() << 33, {}, 0
-
-        def table():
-            n = len(known)
-            ids, none = pa.nulls(n, id_type), pa.nulls(n, pa.list_(pa.int32()))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), ids, none, pa.array(np.arange(n, dtype=np.int32)), pa.array(list(known), pa.string())], names)
+    def __init__(self, path: str, cut: bool) -> None:
+        import sentencepiece
 
-        names = ["block", "id", "codes", "code", "chunk"]
+        self.model, self.cut = sentencepiece.SentencePieceProcessor(model_file=path), cut
+        self.lone = [self.model.piece_to_id(MARKER)]
+        self.clear()
+
+    def clear(self) -> None:
+        self.codes: dict[str, int] = {}
+        self.ids, self.said = pa.array([], pa.list_(pa.int32())), pa.array([], pa.string())
+
+    def code(self, words: list[str]) -> np.ndarray:
+        """The code of each word; new words take the next ones and are segmented later."""
+        codes = self.codes
+        for w in words:
+            if w not in codes:
+                codes[w] = len(codes)
+        return np.fromiter(map(codes.__getitem__, words), np.int32, len(words))
+
+    def segment(self) -> None:
+        """Let the library segment, and decode, the chunks that have only a code yet."""
+        new = list(islice(self.codes, len(self.ids), None))
+        if new:
+            ids = [i if w or not self.cut else self.lone for w, i in zip(new, self.model.encode(new, num_threads=1), strict=True)]
+            self.ids = pa.concat_arrays([self.ids, pa.array(ids, pa.list_(pa.int32()))])
+            self.said = pa.concat_arrays([self.said, pa.array(self.model.decode(ids, num_threads=1), pa.string())])
+
+    def joined(self, texts: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+        """Ids and decoded text of each text, from its chunks' codes by position."""
+        self.segment()
+        codes = pa.array(np.concatenate(texts))
+        ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        words = self.ids.take(codes)
+        tokens = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))])
+        ids = pa.ListArray.from_arrays(pa.array(tokens[ends], pa.int32()), words.flatten())
+        return ids, pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), self.said.take(codes)), " ")
+
+
+def _encode(path: str, cut: bool, block_chars: int, max_chunks: int):
+    def run(batches):
+        table = ChunkTable(path, cut)
         for batch in batches:
             at = 0
             while at < batch.num_rows:
-                codes, ends, first = [], [0], at
-                while at < batch.num_rows and ends[-1] < CODES_AT_ONCE and size < block_bytes:
+                first, size, texts = at, 0, []
+                while at < batch.num_rows and (size < block_chars or at == first):
                     text = batch.column(1)[at].as_py() or ""
-                    words = chunks(text, cut)
-                    for w in words:
-                        if w not in known:
-                            known[w] = len(known)
-                    codes.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
-                    ends.append(ends[-1] + len(words))
-                    size += len(text)
-                    at += 1
-                if at > first:
-                    n = at - first
-                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(codes)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), batch.column(0).slice(first, n), lists, pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], names)
-                if size >= block_bytes:
-                    yield table()
-                    block, known, size = block + 1, {}, 0
-        if known:
-            yield table()
-
-    return run
-
-
-def _segment(path: str, cut: bool):
-    """Ids and decoded text of each distinct chunk, by the library."""
-
-    def run(batches):
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        lone = [model.piece_to_id(MARKER)]
-        for batch in batches:
-            words = batch.column(0).to_pylist()
-            ids = [i if w or not cut else lone for w, i in zip(words, model.encode(words, num_threads=1), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(model.decode(ids, num_threads=1), pa.string())], ["chunk", "ids", "said"])
+                    texts.append(table.code(chunks(text, cut)))
+                    size, at = size + len(text), at + 1
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, at - first), *table.joined(texts)], ["id", "ids", "decoded"])
+                if len(table.codes) > max_chunks:
+                    table.clear()
 
     return run
 
 
-def _joined(docs: pa.Table, table: pa.Table) -> pa.Table:
-    """Put the ids and texts of a block's chunks back at their positions."""
-    docs, table = docs.combine_chunks(), table.sort_by("code").combine_chunks()
-    codes = _flat(docs["codes"])
-    words, said = _whole(table["ids"]).take(codes), _whole(table["said"]).take(codes)
-    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(_whole(docs["codes"])).to_numpy(zero_copy_only=False))]).astype(np.int64)
-    tokens = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))]).astype(np.int64)
-    ids = pa.ListArray.from_arrays(pa.array(tokens[ends], pa.int32()), words.flatten())
-    texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), said), " ")
-    return pa.table({"id": docs["id"], "ids": ids, "decoded": texts.cast(pa.string())})
-
-
-def _whole(column: pa.ChunkedArray) -> pa.Array:
-    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
-
-
-def _flat(column: pa.ChunkedArray) -> pa.Array:
-    return _whole(column).flatten()
-
-
-def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, max_chunks: int = MAX_CHUNKS) -> DataFrame:
     """Ids of each whole text, as the sentencepiece library gives them, and the text decoded from them.
 
     Where no piece can cross a whitespace marker, a text's ids are those of
-    its marked words, joined.  Tasks turn texts into codes of words, block by
-    block; the words of all blocks are made distinct, each distinct one is
-    segmented (and decoded) once, and joined back to the blocks' tables; each
-    block's texts then take the ids at their positions.  With any other model
-    a whole text is one chunk, so the result is the library's as well.
-
-    A block holds about ``block_bytes`` of text, whatever the corpus's size.
-    A word that all texts share is a row per block, not per occurrence.
+    its marked words, joined.  A task makes a table of the distinct marked
+    words of its texts, block by block; the library segments (and decodes)
+    each distinct one once, and the texts take the ids at their words'
+    positions by code.  A table for the whole corpus would have to shuffle
+    nearly every word; the tables of tasks shuffle nothing.  With any other
+    model a whole text is one chunk, so the result is the library's as well.
+
+    A block is ``block_chars`` of text or one longer text, and a table is
+    emptied after ``max_chunks``, whatever the corpus's size.
     ``path``: a model file, at the same place on every executor.
 
     Returns the id column, ``ids`` (array of int, without begin or end ids)
@@ -151,23 +136,10 @@ def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     and decodes to an empty text; the marker character itself is a space to
     the library, and decodes to one; rows with a null or repeated id are rows
     each; other columns are not returned and their names don't matter; a text
-    of any length is one block's; no rows give no rows.
+    of any length is encoded whole; no rows give no rows.
     """
     ship(docs.sparkSession)
     cut = cuts_at_markers(path)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    kind = texts.schema["id"].dataType
-    id_type = _arrow_type(kind)
-    coded = stored(texts.mapInArrow(_coded(cut, id_type, block_bytes), f"block long, id {kind.simpleString()}, codes array<int>, code int, chunk string"), "piece-codes")
-    used = coded.where("chunk is not null").select(F.col("block").alias("of"), "code", "chunk")
-    segmented = stored(used.select("chunk").distinct().mapInArrow(_segment(path, cut), "chunk string, ids array<int>, said string"), "piece-chunks")
-    tables = used.join(segmented, "chunk").select("of", "code", "ids", "said")
-    rows = coded.where("chunk is null").select("block", "id", "codes")
-    out = rows.groupBy("block").cogroup(tables.groupBy("of")).applyInArrow(_joined, f"id {kind.simpleString()}, ids array<int>, decoded string")
-    return out.withColumnRenamed("id", id_col)
-
-
-def _arrow_type(kind) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.mapInArrow(_encode(path, cut, block_chars, max_chunks), f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)

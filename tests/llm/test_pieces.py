@@ -45,12 +45,23 @@ def test_ids_and_texts_are_the_librarys(spark, model, monkeypatch, cut):
 
 
 def test_many_blocks(spark, model):
-    """A word of every text is segmented once, however many blocks hold it."""
+    """Blocks share their task's table, which starts anew when it is full."""
     rows = [(i, t) for i, t in enumerate(texts(500, 2))]
-    found = encode_pieces(spark.createDataFrame(rows, "doc_id int, text string").repartition(2), piece_model_path(), block_bytes=200)
+    found = encode_pieces(spark.createDataFrame(rows, "doc_id int, text string").repartition(2), piece_model_path(), block_chars=200, max_chunks=50)
     assert sorted((r["doc_id"], r["ids"], r["decoded"]) for r in found.collect()) == [(i, ids := model.encode(t), model.decode(ids)) for i, t in rows]
 
 
+def test_a_chunk_is_segmented_once(model):
+    table = pieces.ChunkTable(piece_model_path(), True)
+    seen = []
+    encode = table.model.encode
+    table.model = type("Model", (), {"encode": lambda self, words, **kw: (seen.extend(words), encode(words, **kw))[1], "decode": lambda self, ids, **kw: model.decode(ids, **kw)})()
+    for _ in range(3):
+        ids, said = table.joined([table.code(chunks(t, True)) for t in ("the cat the", "", "cat  cat the the")])
+    assert sorted(seen) == [" cat", "cat", "the"]
+    assert ids.to_pylist() == [model.encode(t) for t in ("the cat the", "", "cat  cat the the")] and said.to_pylist() == ["the cat the", "", "cat  cat the the"]
+
+
 def test_no_rows(spark):
     assert encode_pieces(spark.createDataFrame([], "doc_id string, text string"), piece_model_path()).collect() == []
 
