@@ -16,10 +16,10 @@ PARTS = 4
 ENTRIES = 256
 ROUNDS = 4
 #: Split points of a tree node, and entries that a leaf holds at most.
-DEGREE = 8
-LEAF = 8
+DEGREE = 16
+LEAF = 64
 #: Vectors coded together.
-ROWS_AT_ONCE = 1 << 14
+ROWS_AT_ONCE = 1 << 12
 #: Relative and absolute slack, so that rounding never rules out an entry.
 SLACK = 1e-9
 #: Squared distances of a part stay below this, so that they and their sums are exact.
@@ -41,64 +41,71 @@ class GNAT:
     def _node(self, members: np.ndarray):
         if len(members) <= LEAF:
             return members, None, None, None
-        chosen = [0]
-        near = squared(self.entries[members], self.entries[members[:1]])[:, 0]
-        while len(chosen) < min(DEGREE, len(members)) and near.max() > 0:
-            chosen.append(int(near.argmax()))
-            near = np.minimum(near, squared(self.entries[members], self.entries[members[chosen[-1:]]])[:, 0])
-        if len(chosen) == 1:  # equal entries: nothing to split
+        pool = np.linspace(0, len(members) - 1, min(len(members), 3 * DEGREE)).astype(np.int64)
+        chosen, near = [0], squared(self.entries[members[pool]], self.entries[members[:1]])[:, 0]
+        while len(chosen) < DEGREE and near.max() > 0:  # of a spread-out few, those furthest from each other
+            chosen.append(int(pool[near.argmax()]))
+            near = np.minimum(near, squared(self.entries[members[pool]], self.entries[members[chosen[-1:]]])[:, 0])
+        if len(chosen) == 1:  # equal entries, it seems: nothing to split
             return members, None, None, None
+        chosen = sorted(chosen)  # members ascend everywhere, so that the first of equal distances has the lowest index
         splits = members[chosen]
         away = squared(self.entries[members], self.entries[splits])
         owner = away.argmin(axis=1)
         owner[chosen] = np.arange(len(chosen))
         roots = np.sqrt(away.astype(float))
-        low = np.stack([roots[owner == j].min(axis=0) for j in range(len(splits))], axis=1)
-        high = np.stack([roots[owner == j].max(axis=0) for j in range(len(splits))], axis=1)
         rest = np.setdiff1d(np.arange(len(members)), chosen)
-        children = [self._node(members[rest[owner[rest] == j]]) for j in range(len(splits))]
+        kept = [j for j in range(len(splits)) if (owner[rest] == j).any()]  # split points without others have no subtree
+        low, high = (np.stack([end(roots[rest[owner[rest] == j]], axis=0) for j in kept], axis=1) if kept else None for end in (np.min, np.max))
+        children = [(j, self._node(members[rest[owner[rest] == j]])) for j in kept]
         return splits, low, high, children
 
     def nearest(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """The nearest entry of each point (ties to the lower index), its squared distance, and how many distances were taken.
 
-        First each point goes down to its nearest split point's child at
-        each level, which gives a radius.  Then the whole tree is walked: a
+        A point visits the child of its nearest split point first.  Another
         child is left out only if, by its distance range from some split
-        point, all of it lies strictly beyond the radius, with slack for the
-        rounding of roots.  Distances are compared as whole numbers, so ties
-        are true ties.
+        point, all of it lies strictly beyond the best distance so far, with
+        slack for the rounding of roots.  Distances are compared as whole
+        numbers, so ties are true ties; they are taken by a product of
+        matrices where doubles hold all its sums exactly.
         """
-        self.best = np.full(len(points), np.iinfo(np.int64).max)
+        most = int(max(np.abs(points).max(initial=0), np.abs(self.entries).max(initial=0)))
+        self.exact = 4 * max(1, points.shape[1]) * most * most < 1 << 53
+        self.points, self.against = (x.astype(float) if self.exact else x for x in (points, self.entries))
+        self.sizes, self.lengths = ((x * x).sum(axis=1) if self.exact else None for x in (self.points, self.against))
+        self.best = np.full(len(points), np.inf) if self.exact else np.full(len(points), np.iinfo(np.int64).max)
         self.code = np.zeros(len(points), np.int64)
         self.taken = 0
-        self._walk(self.root, points, np.arange(len(points)), greedy=True)
-        self._walk(self.root, points, np.arange(len(points)), greedy=False)
-        return self.code, self.best, self.taken
+        self._walk(self.root, np.arange(len(points)))
+        best = self.best.astype(np.int64) if len(self.entries) else np.zeros(len(points), np.int64)
+        return self.code, best, self.taken
 
-    def _walk(self, node, points: np.ndarray, rows: np.ndarray, greedy: bool) -> None:
+    def _away(self, rows: np.ndarray, members: np.ndarray) -> np.ndarray:
+        self.taken += len(rows) * len(members)
+        if not self.exact:
+            return squared(self.points[rows], self.against[members])
+        return self.points[rows] @ (-2 * self.against[members].T) + self.lengths[members] + self.sizes[rows][:, None]
+
+    def _walk(self, node, rows: np.ndarray) -> None:
         members, low, high, children = node
         if not len(rows) or not len(members):
             return
-        away = squared(points[rows], self.entries[members])
-        self.taken += away.size
-        least = away.min(axis=1)
-        code = np.where(away == least[:, None], members[None], len(self.entries)).min(axis=1)
-        better = (least < self.best[rows]) | ((least == self.best[rows]) & (code < self.code[rows]))
+        away = self._away(rows, members)
+        nearest = away.argmin(axis=1)
+        least, code = away[np.arange(len(rows)), nearest], members[nearest]
+        known, had = self.best[rows], self.code[rows]
+        better = (least < known) | ((least == known) & (code < had))
         self.best[rows[better]], self.code[rows[better]] = least[better], code[better]
-        if children is None:
-            return
-        if greedy:
-            nearest = away.argmin(axis=1)
-            for j, child in enumerate(children):
-                self._walk(child, points, rows[nearest == j], greedy)
+        if not children:
             return
-        roots = np.sqrt(away.astype(float))
-        for j, child in enumerate(children):
-            radius = np.sqrt(self.best[rows].astype(float))
-            slack = SLACK * (1 + roots + radius[:, None] + high[None, :, j])
-            beyond = (roots - radius[:, None] > high[None, :, j] + slack) | (roots + radius[:, None] < low[None, :, j] - slack)
-            self._walk(child, points, rows[~beyond.any(axis=1)], greedy)
+        for j, child in children:
+            self._walk(child, rows[nearest == j])
+        roots, radius = np.sqrt(away), np.sqrt(self.best[rows])[:, None] * (1 + SLACK) + SLACK
+        inner, outer = roots * (1 - SLACK) - radius, roots * (1 + SLACK) + radius
+        for at, (j, child) in enumerate(children):
+            beyond = (inner > high[:, at] * (1 + SLACK)) | (outer < low[:, at] * (1 - SLACK))
+            self._walk(child, rows[(nearest != j) & ~beyond.any(axis=1)])
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
