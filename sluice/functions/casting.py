@@ -56,18 +56,41 @@ def cast_failed(raw: Column, typed: Column) -> Column:
     return raw.isNotNull() & (F.trim(raw.cast("string")) != F.lit("")) & typed.isNull()
 
 
-def matches_logical(raw: Column, logical: str) -> Column:
-    """H3: does a non-null raw value read as ``logical``?  (NULL stays NULL.)"""
+#: Bit of each logical type in a type mask, in the order in which a type is chosen.
+TYPE_BITS = {"integer": 1, "double": 2, "boolean": 4, "timestamp": 8}
+
+
+def type_mask(raw: Column) -> Column:
+    """H3: the logical types a value reads as, one bit each; NULL stays NULL.
+
+    The first character tells which tests can succeed at all, so a value
+    takes at most the few that its kind needs; the masks of a column's values
+    are combined with ``bit_and``.
+    """
     txt = _text(raw)
-    if logical == "integer":
-        return txt.rlike(INTEGER_PATTERN) & txt.try_cast("bigint").isNotNull()
-    if logical == "double":
-        return txt.rlike(DECIMAL_PATTERN)
-    if logical == "boolean":
-        return F.lower(txt).isin(*BOOLEAN_WORDS)
-    if logical == "timestamp":
-        return txt.rlike(ISO_TIMESTAMP_PATTERN) & txt.try_cast("timestamp").isNotNull()
-    return F.lit(True)
+    integer, double, boolean, timestamp = (TYPE_BITS[t] for t in TYPE_BITS)
+    first = F.ascii(F.substring(txt, 1, 1))
+    numeric = (
+        F.when(txt.rlike(INTEGER_PATTERN), F.when(txt.try_cast("bigint").isNotNull(), F.lit(integer | double)).otherwise(F.lit(double)))
+        .when(txt.rlike(DECIMAL_PATTERN), F.lit(double))
+        .otherwise(F.lit(0))
+    )
+    dated = F.when(txt.rlike(ISO_TIMESTAMP_PATTERN), F.when(txt.try_cast("timestamp").isNotNull(), F.lit(timestamp)).otherwise(F.lit(0))).otherwise(numeric)
+    return (
+        F.when(txt.isNull(), F.lit(None).cast("int"))
+        .when(first.between(ord("0"), ord("9")), F.when(F.substring(txt, 5, 1) == "-", dated).otherwise(numeric))
+        .when(first.isin(ord("+"), ord("-"), ord(".")), numeric)
+        .when(first.isin(*map(ord, "tTfF")), F.when(F.lower(txt).isin(*BOOLEAN_WORDS), F.lit(boolean)).otherwise(F.lit(0)))
+        .otherwise(F.lit(0))
+    )
+
+
+def type_of_mask(mask: Column) -> Column:
+    """The narrowest logical type of a column whose values' masks were combined; ``string`` if there were none."""
+    pick = F.when(mask.isNull(), F.lit("string"))
+    for name, bit in TYPE_BITS.items():
+        pick = pick.when(mask.bitwiseAND(F.lit(bit)) > 0, F.lit(name))
+    return pick.otherwise(F.lit("string"))
 
 
 def logical_type_name(dtype: T.DataType) -> str:

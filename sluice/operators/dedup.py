@@ -4,14 +4,16 @@ F1 keeps, per key, the row that is greatest by the given order (newest event
 time first, then the remaining columns, then a row id).  There is one plan
 for every input size, and it needs no knowledge of hot keys:
 
-* ``dedup_latest`` is one aggregate: the winner of a key is a ``max_by`` of
-  the order, combined map-side, so a key with a third of all rows shrinks to
-  one row per task before the shuffle;
-* ``flag_duplicates``, which has to give back every copy, forms the winners of
-  the keys with more than one row in the same way, stores that table, and
-  joins it back.  Its file size tells the planner whether to broadcast it;
-  otherwise both sides of the join are plain shuffles, of which adaptive
-  execution splits the skewed ones.  Rows of unique keys find no winner.
+1. keys alone are counted, by a 64-bit hash, combined map-side; the hashes
+   that occur more than once are stored.  Of a unique key nothing but its hash
+   is ever shuffled (two keys that share a hash are merely looked at again);
+2. rows reach the next step through a semi-join with those hashes, whose
+   stored size tells the planner whether to broadcast them (or, between large
+   sides, to build a runtime Bloom filter).  Of each key that really repeats
+   the winner's row id is found by one aggregate, combined map-side, so a
+   key with a third of all rows shrinks to one row per task, and stored;
+3. the winners are joined back to the rows.  Where the join is a shuffle,
+   adaptive execution splits its skewed partitions.
 
 Rows with a NULL key are never duplicates (a NULL key is a ``not_null`` rule
 matter).
@@ -45,25 +47,38 @@ def _has_keys(keys: list[str]) -> Column:
     return cond
 
 
+def repeated_hashes(df: DataFrame, keys: list[str], path: str) -> DataFrame:
+    """Hashes of the keys that occur more than once, as a stored table (``_h``)."""
+    counts = df.filter(_has_keys(keys)).groupBy(_hash(keys).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+    counts.filter(F.col("_n") > 1).select("_h").write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema("_h bigint").parquet(path)
+
+
+def _hash(keys: list[str]) -> Column:
+    return F.xxhash64(*[F.col(k) for k in keys])
+
+
 def flag_duplicates(df: DataFrame, keys: list[str], order: list[Column | str], scratch: str | None = None) -> DataFrame:
     """Add ``_is_dup``: True for every row that is not its key's winner.
 
     The winner is the row with the greatest ``order`` values (compared left
     to right, NULL lowest), then the greatest row id.  ``df`` must carry
-    ``_rid`` (see ``with_row_id``) and is evaluated twice, so it must be a
-    file scan or a stored table, whose row ids stay the same.  ``scratch``:
+    ``_rid`` (see ``with_row_id``) and is evaluated three times, so it must be
+    a file scan or a stored table, whose row ids stay the same.  ``scratch``:
     where the winners go (a fresh folder under the work root by default).
     """
+    path = scratch or scratch_path(df.sparkSession, "dedup")
+    repeated = repeated_hashes(df, keys, f"{path}/hashes")
     winners = (
         df.filter(_has_keys(keys))
+        .join(repeated, _hash(keys) == F.col("_h"), "left_semi")
         .groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
         .agg(F.count(F.lit(1)).alias("_n"), F.max(_order_struct(order))["_oid"].alias("_win"))
         .filter(F.col("_n") > 1)
         .drop("_n")
     )
-    path = scratch or scratch_path(df.sparkSession, "dedup-winners")
-    winners.write.mode("overwrite").parquet(path)
-    stored = df.sparkSession.read.schema(winners.schema).parquet(path)
+    winners.write.mode("overwrite").parquet(f"{path}/winners")
+    stored = df.sparkSession.read.schema(winners.schema).parquet(f"{path}/winners")
     same = F.lit(True)
     for i, k in enumerate(keys):
         same = same & (df[k] == stored[f"_k{i}"])
@@ -74,12 +89,10 @@ def flag_duplicates(df: DataFrame, keys: list[str], order: list[Column | str], s
 def dedup_latest(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """Keep one row per key (the winner); rows with a NULL key are kept.
 
-    One scan and one shuffle.  A row with a NULL key is a group of its own.
+    ``df`` is a file scan or a stored table, as for ``flag_duplicates``.
     """
     src = df if ROW_ID in df.columns else with_row_id(df)
-    alone = F.when(~_has_keys(keys), F.col(ROW_ID)).alias("_alone")
-    won = src.groupBy(*keys, alone).agg(F.max_by(F.struct(*df.columns), _order_struct(order)).alias("_row"))
-    return won.select("_row.*")
+    return flag_duplicates(src, keys, order).filter(~F.col(DUP_FLAG)).select(*df.columns)
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:

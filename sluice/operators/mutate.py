@@ -3,7 +3,9 @@
 Plain Parquet tables in Spark refuse UPDATE, DELETE and MERGE, so each
 statement is a DataFrame in -> DataFrame out transformation, and a changed
 table is committed as a new version directory (``v=<n>``) that readers pick
-when its commit marker is present.  Single writer per table.
+when its commit marker is present.  Of a partitioned table only the partitions
+that a statement touches are rewritten (``update_partitions``,
+``delete_partitions``, ``upsert_partitions``).  Single writer per table.
 """
 
 from __future__ import annotations
@@ -50,6 +52,74 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str], check: bool =
     return j.select(*keys, *[F.when(hit, F.col(f"_u_{c}")).otherwise(F.col(c)).alias(c) for c in others])
 
 
+# ---------------------------------------------------------------------------
+# I1-I3 on partitioned tables
+# ---------------------------------------------------------------------------
+def _partition_key(cols: list[str]) -> Column:
+    """A partition's values as one text, so that a list of partitions is one pushable filter."""
+    return F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in cols]))
+
+
+def _keys(rows: DataFrame, cols: list[str]) -> dict[str, dict]:
+    """The partitions that rows lie in (the driver gets a row per partition)."""
+    found = rows.select(*cols).distinct().select(_partition_key(cols).alias("key"), *[F.col(c).cast("string").alias(c) for c in cols])
+    return {r.key: {c: r[c] for c in cols} for r in found.collect()}
+
+
+def rewrite_partitions(spark: SparkSession, path: str, schema, cols: list[str], touched: dict[str, dict], change) -> dict[str, dict]:
+    """Replace the ``touched`` partitions by what ``change`` makes of their rows; the files of all others stay as they are.
+
+    The filter on partitions prunes the listing, so no other file is read.
+    New rows go to the work folder first: a partition is overwritten only
+    with rows that are all there.  Rows that move to a partition that was not
+    read pull that one in as well.  Gives the partitions that were rewritten.
+    """
+    from sluice.session import scratch_path
+    from sluice.sinks.writers import overwrite_partitions, partition_path
+    from sluice.sources.files import delete_path
+
+    table = spark.read.schema(schema).option("basePath", path).parquet(path)
+    touched = dict(touched)
+    while touched:
+        staging = scratch_path(spark, "rewrite")
+        rows = table.filter(_partition_key(cols).isin(*touched))
+        change(rows).select(*table.columns).write.parquet(staging)
+        staged = spark.read.schema(table.schema).parquet(staging)
+        now = _keys(staged, cols)
+        beyond = {k: v for k, v in now.items() if k not in touched}
+        if not beyond:
+            overwrite_partitions(staged, path, cols)
+            for key, spec in touched.items():
+                if key not in now:
+                    delete_path(spark, partition_path(path, {c: "__HIVE_DEFAULT_PARTITION__" if v is None else v for c, v in spec.items()}))
+            delete_path(spark, staging)
+            break
+        touched |= beyond
+        delete_path(spark, staging)
+    return touched
+
+
+def update_partitions(spark: SparkSession, path: str, schema, cols: list[str], assignments: dict, where: Column) -> dict[str, dict]:
+    """I1 on a partitioned table."""
+    hit = spark.read.schema(schema).option("basePath", path).parquet(path).filter(where)
+    return rewrite_partitions(spark, path, schema, cols, _keys(hit, cols), lambda rows: update_rows(rows, assignments, where))
+
+
+def delete_partitions(spark: SparkSession, path: str, schema, cols: list[str], where: Column) -> dict[str, dict]:
+    """I2 on a partitioned table; a partition left without rows goes."""
+    hit = spark.read.schema(schema).option("basePath", path).parquet(path).filter(where)
+    return rewrite_partitions(spark, path, schema, cols, _keys(hit, cols), lambda rows: delete_rows(rows, where))
+
+
+def upsert_partitions(spark: SparkSession, path: str, schema, cols: list[str], updates: DataFrame, keys: list[str]) -> dict[str, dict]:
+    """I3 on a partitioned table: the partitions of the updates, and those in which their keys lie now."""
+    check_unique(updates, keys)
+    table = spark.read.schema(schema).option("basePath", path).parquet(path)
+    lies = table.select(*dict.fromkeys([*keys, *cols])).join(updates.select(*keys), keys, "left_semi")
+    touched = _keys(updates, cols) | _keys(lies, cols)
+    return rewrite_partitions(spark, path, schema, cols, touched, lambda rows: upsert(rows, updates, keys, check=False))
+
+
 # ---------------------------------------------------------------------------
 # I4: versioned snapshot directories
 # ---------------------------------------------------------------------------

@@ -49,10 +49,10 @@ def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 # ---------------------------------------------------------------------------
 # Metrics from one aggregate
 # ---------------------------------------------------------------------------
-def quality_counts(verdict: DataFrame, compiled: list[CompiledRule]) -> DataFrame:
-    """One-row aggregate over a verdict: row totals and failures per rule.
+def quality_counts(verdict: DataFrame, compiled: list[CompiledRule], by: list[str] = ()) -> DataFrame:
+    """One-row aggregate over a verdict: row totals and failures per rule; a row per group with ``by``.
 
-    Reads only the ``failed_rules`` column.
+    Reads only the ``failed_rules`` column (and those of ``by``).
     """
     fr = F.col(FAILED)
     aggs = [
@@ -61,7 +61,13 @@ def quality_counts(verdict: DataFrame, compiled: list[CompiledRule]) -> DataFram
     ]
     for i, c in enumerate(compiled):
         aggs.append(F.count_if(F.array_contains(fr, c.rule.rule_id)).alias(f"_f{i}"))
-    return verdict.agg(*aggs)
+    return verdict.groupBy(*by).agg(*aggs)
+
+
+def total_counts(parts: DataFrame, compiled: list[CompiledRule]) -> DataFrame:
+    """The one-row counts of groups that ``quality_counts`` counted apart."""
+    names = ["_total", "_passed", *[f"_f{i}" for i in range(len(compiled))]]
+    return parts.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
 
 
 def _pass_rate(passed_rows: Column, total: Column) -> Column:

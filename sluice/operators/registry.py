@@ -7,6 +7,8 @@
   (ties by value), from a (column, value) count that is combined map-side;
 * ``infer_types`` finds the narrowest logical type of text columns in one
   wide aggregate;
+* ``profile_states`` keeps a day's profile as states that ``merge_states``
+  puts together, so no older day is read again;
 * ``schema_drift`` / ``value_drift`` compare two snapshots column by column.
 """
 
@@ -16,9 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.functions.casting import logical_type_name, matches_logical
-
-INFER_ORDER = ("integer", "double", "boolean", "timestamp")
+from sluice.functions.casting import logical_type_name, type_mask, type_of_mask
 
 
 def _q(name: str) -> str:
@@ -40,15 +40,15 @@ def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, f in enumerate(fields):
         c = F.col(_q(f.name))
-        aggs += [F.count_if(c.isNull()).alias(f"_z{i}"), F.min(c).alias(f"_lo{i}"), F.max(c).alias(f"_hi{i}")]
+        aggs += [F.count(c).alias(f"_k{i}"), F.min(c).alias(f"_lo{i}"), F.max(c).alias(f"_hi{i}")]
     wide = df.agg(*aggs)
     n = F.col("_n")
     rows = [
         F.struct(
             F.lit(f.name).alias("column_name"),
             F.lit(logical_type_name(f.dataType)).alias("column_type"),
-            (F.col(f"_z{i}") > 0).alias("is_nullable"),
-            F.when(n == 0, F.lit(0.0)).otherwise(F.col(f"_z{i}") / n).alias("null_rate"),
+            (F.col(f"_k{i}") < n).alias("is_nullable"),
+            F.when(n == 0, F.lit(0.0)).otherwise((n - F.col(f"_k{i}")) / n).alias("null_rate"),
             _as_text(F.col(f"_lo{i}"), f.dataType).alias("min_value"),
             _as_text(F.col(f"_hi{i}"), f.dataType).alias("max_value"),
         )
@@ -64,9 +64,8 @@ def sample_values(df: DataFrame, columns: list[str] | None = None, k: int = 10)
     value) counts are combined map-side, and the top-k filter becomes a
     partial per-task limit before the shuffle, so neither a hot value nor a
     wide column lands whole in one task.  Exact frequencies need one shuffle
-    of each column's distinct values, so on very large tables this belongs to
-    a snapshot cadence (``ingest_frame(profile_registry=True)`` is off by
-    default), not to every run.
+    of each column's distinct values; runs keep sketches instead
+    (``profile_states``).
     """
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     pairs = F.array(*[F.struct(F.lit(f.name).alias("c"), _as_text(F.col(_q(f.name)), f.dataType).alias("v")) for f in fields])
@@ -82,24 +81,104 @@ def sample_values(df: DataFrame, columns: list[str] | None = None, k: int = 10)
 def infer_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """H3: narrowest logical type whose pattern every non-null value matches.
 
-    One wide aggregate over one scan (a row per task reaches the shuffle), then
-    a row per column.  All-null or empty columns read as ``string``.
+    Each value gives a mask of the types it fits, combined by ``bit_and``: one
+    wide aggregate over one scan (a row per task reaches the shuffle), then a
+    row per column.  All-null or empty columns read as ``string``.
     """
     cols = [c for c in df.columns if columns is None or c in columns]
-    aggs = []
-    for i, c in enumerate(cols):
-        v = F.col(_q(c)).cast("string")
-        aggs.append(F.count(v).alias(f"_nn{i}"))
-        aggs += [F.bool_and(F.when(v.isNotNull(), matches_logical(v, t))).alias(f"_{t}{i}") for t in INFER_ORDER]
-    rows = []
-    for i, c in enumerate(cols):
-        pick = F.when(F.col(f"_nn{i}") == 0, F.lit("string"))
-        for t in INFER_ORDER:
-            pick = pick.when(F.coalesce(F.col(f"_{t}{i}"), F.lit(False)), F.lit(t))
-        rows.append(F.struct(F.lit(c).alias("column_name"), pick.otherwise(F.lit("string")).alias("column_type")))
+    wide = df.agg(*[F.bit_and(type_mask(F.col(_q(c)).cast("string"))).alias(f"_m{i}") for i, c in enumerate(cols)])
+    return wide.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), type_of_mask(F.col(f"_m{i}")).alias("column_type")) for i, c in enumerate(cols)
+    ])))
+
+
+#: Values that a top-k sketch tracks.  With this many or fewer distinct values counts are exact; otherwise a
+#: count may be low by up to 3.5 / 2048 of the rows, and any more frequent value is sure to be found.
+TRACKED = 1024
+SKETCH_ERROR = 3.5 / 2048
+
+
+def profile_states(df: DataFrame, columns: list[str] | None = None, raw: bool = False) -> DataFrame:
+    """H1 + H2 as aggregate states that can be merged: a row per column, from one aggregate over one scan.
+
+    ``rows``, ``nulls``, ``min_value`` and ``max_value`` (as text), ``mask``
+    (for ``raw`` text columns: the type mask, see ``type_mask``) and ``top``, a
+    sketch of the most frequent values of bounded size.
+    """
+    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    for i, f in enumerate(fields):
+        c = F.col(_q(f.name))
+        text = _as_text(c, f.dataType)
+        aggs += [F.count(c).alias(f"_k{i}"), F.min(c).alias(f"_lo{i}"), F.max(c).alias(f"_hi{i}"),
+                 F.call_function("approx_top_k_accumulate", text, F.lit(TRACKED)).alias(f"_t{i}")]
+        if raw:
+            aggs.append(F.bit_and(type_mask(text)).alias(f"_m{i}"))
+    rows = [
+        F.struct(
+            F.lit(f.name).alias("column_name"),
+            F.lit(None if raw else logical_type_name(f.dataType)).cast("string").alias("column_type"),
+            F.col("_n").alias("rows"),
+            (F.col("_n") - F.col(f"_k{i}")).alias("nulls"),
+            _as_text(F.col(f"_lo{i}"), f.dataType).alias("min_value"),
+            _as_text(F.col(f"_hi{i}"), f.dataType).alias("max_value"),
+            (F.col(f"_m{i}") if raw else F.lit(None).cast("int")).alias("mask"),
+            F.col(f"_t{i}").alias("top"),
+        )
+        for i, f in enumerate(fields)
+    ]
     return df.agg(*aggs).select(F.inline(F.array(*rows)))
 
 
+def merge_states(states: DataFrame, by: list[str] = (), k: int = 10) -> DataFrame:
+    """H1 + H2 of all rows behind a table of states (days, sources), without reading those rows again.
+
+    A profile row per group of ``by`` and column, plus ``sample_values``: the
+    most frequent values by the merged sketches, then min and max if these are
+    fewer than ``k``.  Days that disagree on a type make the column ``string``.
+    """
+    keys = [*by, "column_name"]
+    kind = F.when(F.count("mask") > 0, type_of_mask(F.bit_and("mask"))).when(
+        F.min("column_type") == F.max("column_type"), F.min("column_type")).otherwise(F.lit("string"))
+    # Texts of numbers are compared as numbers.
+    typed = states.withColumn("_as", F.coalesce("column_type", F.lit("string")))
+    def least(value: str, agg):
+        v = F.col(value)
+        whole = F.when(F.col("_as") == "integer", v.try_cast("decimal(38,0)"))
+        double = F.when(F.col("_as") == "double", v.try_cast("double"))
+        return agg(F.when(v.isNotNull(), F.struct(whole.alias("a"), double.alias("b"), v.alias("v"))))["v"]
+
+    merged = typed.groupBy(*keys).agg(
+        kind.alias("column_type"), F.sum("rows").alias("_n"), F.sum("nulls").alias("_z"),
+        least("min_value", F.min).alias("min_value"), least("max_value", F.max).alias("max_value"),
+        F.call_function("approx_top_k_combine", F.col("top"), F.lit(TRACKED)).alias("_top"),
+    )
+    found = F.filter(F.transform(F.call_function("approx_top_k_estimate", F.col("_top"), F.lit(k + 1)), lambda x: x["item"]), lambda v: v.isNotNull())
+    ends = F.array_compact(F.array("min_value", "max_value"))
+    samples = F.slice(F.array_distinct(F.concat(F.slice(found, 1, k), ends)), 1, k)
+    return merged.select(
+        *keys, "column_type", (F.col("_z") > 0).alias("is_nullable"),
+        F.when(F.col("_n") == 0, F.lit(0.0)).otherwise(F.col("_z") / F.col("_n")).alias("null_rate"),
+        "min_value", "max_value", F.to_json(samples).alias("sample_values"),
+    )
+
+
+def registry_rows(merged: DataFrame, source_id: str, schema_version: int, analysed_at: Column | None = None) -> DataFrame:
+    """H4: merged profiles in the layout of the schema registry."""
+    return merged.select(
+        F.lit(source_id).alias("source_id"), "column_name", "column_type", "is_nullable", "sample_values",
+        "null_rate", "min_value", "max_value",
+        F.lit(schema_version).cast("int").alias("schema_version"),
+        (analysed_at if analysed_at is not None else F.current_timestamp()).alias("analysed_at"),
+        F.lit(source_id).alias("source_id_part"),
+    )
+
+
+def raw_drift(raw_registry: DataFrame) -> DataFrame:
+    """H5 of raw feeds: each source's newest raw profile against the one before it (a row per column of either)."""
+    return drift_from_registry(raw_registry.withColumn("schema_version", F.unix_micros("analysed_at")))
+
+
 def snapshot(
     df: DataFrame,
     source_id: str,

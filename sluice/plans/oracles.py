@@ -559,3 +559,67 @@ ORACLES["landing_files"] = (
     "SELECT 'supplier', '2024-01-01', strlen(CAST(s_suppkey AS VARCHAR) || ',' || s_name) + 1 FROM supplier) GROUP BY source_dir, processing_date"
 )
 ORACLES["scanned_files"] = "SELECT DISTINCT c_mktsegment AS segment FROM customer"
+
+# ---------------------------------------------------------------------------
+# Queries of ``sluice.plans.standin_feeds``
+# ---------------------------------------------------------------------------
+_MIXED = (
+    "SELECT c_custkey, CASE WHEN c_custkey % 3 < 2 THEN c_name END AS c_name, CASE WHEN c_custkey % 3 = 2 THEN c_name END AS c_label, c_mktsegment, "
+    "CASE WHEN c_custkey % 3 = 0 THEN round(c_acctbal, 2) END AS c_acctbal, CASE WHEN c_custkey % 3 > 0 THEN CAST(c_nationkey AS BIGINT) END AS c_nationkey FROM customer"
+)
+ORACLES["mixed_schema_scan"] = " UNION ALL ".join(f"SELECT '{f}' AS file_format, * FROM ({_MIXED})" for f in ("parquet", "orc"))
+ORACLES["header_versions_scan"] = (
+    "SELECT c_custkey, c_name, c_mktsegment, CASE WHEN c_custkey % 3 = 2 THEN CAST(c_nationkey AS BIGINT) END AS c_nationkey FROM customer"
+)
+ORACLES["pattern_scan"] = " UNION ALL ".join(
+    f"SELECT '{f}' AS file_format, CASE WHEN c_custkey % 2 = 1 THEN 'src_-odd-' ELSE 'src_-even-' END AS source_id, c_custkey, c_name FROM customer"
+    for f in ("json", "parquet", "orc")
+)
+ORACLES["landing_counts"] = (
+    "SELECT 'events' AS source_dir, strftime(ts, '%Y-%m-%d') AS processing_date, count(DISTINCT event_id % 3) AS file_count FROM events GROUP BY 2"
+)
+ORACLES["file_accounting"] = (
+    f"SELECT left(o_orderpriority, 1) AS sent_as, {_RUN} AS run_id, 'src_orders_csv' AS source_id, count(*) AS rows_read, "
+    "count(*) FILTER (WHERE failed_rules = '') AS rows_written, count(*) FILTER (WHERE failed_rules <> '') AS rows_rejected, "
+    "count(*) AS rows_expected, true AS reconciled, true AS has_bytes "
+    f"FROM ({_RUN_ROWS}) r JOIN orders o ON o.o_orderkey = r.transaction_id GROUP BY 1"
+)
+ORACLES["profile_merge"] = ORACLES["profile_columns"]
+ORACLES["top_values"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, string_agg(DISTINCT {c}, '|' ORDER BY {c}) AS sample_values FROM orders" for c in ("o_orderstatus", "o_orderpriority")
+)
+_CHANGED = "SELECT 'src_parties' AS source_id, '{name}' AS column_name, '{changes}' AS changes, {low} AS min_changed, {high} AS max_changed FROM (SELECT *, c_custkey % 2 = 0 AS old FROM customer)"
+
+
+def _ends(col: str) -> dict[str, str]:
+    return {
+        k: f"min(CAST({col} AS VARCHAR)) FILTER (WHERE old) <> min(CAST({col} AS VARCHAR))".replace("min(", f"{f}(")
+        for k, f in (("low", "min"), ("high", "max"))
+    }
+
+
+_NATIONS = "min(CAST(c_nationkey AS VARCHAR)) FILTER (WHERE old) <> min('N' || c_nationkey)"
+ORACLES["raw_drift"] = " UNION ALL ".join([
+    *[_CHANGED.format(name=c, changes="", **_ends(c)) for c in ("c_custkey", "c_name", "c_mktsegment")],
+    _CHANGED.format(name="c_nationkey", changes="retyped", low=_NATIONS, high=_NATIONS.replace("min(", "max(")),
+    _CHANGED.format(name="c_acctbal", changes="removed", low="CAST(any_value(NULL) AS BOOLEAN)", high="CAST(any_value(NULL) AS BOOLEAN)"),
+    _CHANGED.format(name="channel", changes="added", low="CAST(any_value(NULL) AS BOOLEAN)", high="CAST(any_value(NULL) AS BOOLEAN)"),
+])
+ORACLES["registry_run"] = (
+    "SELECT 'src_bad' AS source_id, 'FAILED' AS ingestion_status, CAST(NULL AS BIGINT) AS total_rows_ingested, CAST(NULL AS VARCHAR) AS column_name, "
+    "CAST(NULL AS VARCHAR) AS column_type, CAST(NULL AS BOOLEAN) AS is_nullable, CAST(NULL AS VARCHAR) AS min_value, CAST(NULL AS VARCHAR) AS max_value"
+    + "".join(
+        f" UNION ALL SELECT 'src_parties', 'SUCCESS', count(*), '{silver}', 'string', false, min(CAST({raw} AS VARCHAR)), max(CAST({raw} AS VARCHAR)) FROM customer"
+        for raw, silver in (("c_custkey", "merchant_id"), ("c_name", "business_name"), ("c_mktsegment", "merchant_category"))
+    )
+)
+_DAYS = "SELECT event_id, user_id, value, strftime(ts, '%Y-%m-%d') AS d FROM events"
+ORACLES["partition_rewrite"] = (
+    f"WITH e AS ({_DAYS}), now AS ("
+    "SELECT d, event_id, CASE WHEN d = '2024-01-10' AND user_id % 2 = 0 THEN 1 ELSE 0 END AS up, CASE WHEN d = '2024-01-13' AND event_id % 2 = 0 THEN 1 ELSE 0 END AS ins "
+    "FROM e WHERE NOT (d IN ('2024-01-11', '2024-01-12') AND event_id % 3 = 0) UNION ALL "
+    "SELECT d, -event_id, 0, 1 FROM e WHERE d = '2024-01-13' AND event_id % 2 <> 0) "
+    "SELECT d AS processing_date, count(*) AS rows, CAST(sum(up) AS BIGINT) AS updated, CAST(sum(ins) AS BIGINT) AS upserted, CAST(sum(event_id) AS BIGINT) AS ids, "
+    "d NOT IN (SELECT '2024-01-10' FROM e WHERE d = '2024-01-10' AND user_id % 2 = 0 UNION ALL SELECT d FROM e WHERE d IN ('2024-01-11', '2024-01-12') AND event_id % 3 = 0 "
+    "UNION ALL SELECT '2024-01-13') AS files_kept FROM now GROUP BY d"
+)

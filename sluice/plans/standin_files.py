@@ -287,7 +287,7 @@ def landing_manifest(spark, sf_dir):
 
     root = scratch_path(spark, "landing")
     for name, day in (("customer", "2024-01-01"), ("supplier", "2024-01-01"), ("customer", "2024-01-02")):
-        table(spark, sf_dir, name).coalesce(1).write.option("header", "true").csv(
+        table(spark, sf_dir, name).write.option("header", "true").csv(
             f"{root}/raw/{name}/processing_date={day}")
     return manifest(spark, f"{root}/raw")
 

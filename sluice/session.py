@@ -26,14 +26,20 @@ ENGINE_SETTINGS = {
 }
 
 
+TARGET_SHUFFLE_PARTITION_BYTES = 128 * 1024 * 1024
+#: Set only where the caller's session doesn't: files come out near this size.
+FILE_SIZE_SETTING = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+
+
 def ensure_settings(spark: SparkSession) -> SparkSession:
     for key, value in ENGINE_SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    if spark.conf.get(FILE_SIZE_SETTING, None) is None:
+        spark.conf.set(FILE_SIZE_SETTING, str(TARGET_SHUFFLE_PARTITION_BYTES))
     return spark
 
 
-TARGET_SHUFFLE_PARTITION_BYTES = 128 * 1024 * 1024
 SHUFFLE_SETTING = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 _SIZING = threading.Lock()
 _wanted: list[int] = []

@@ -4,6 +4,10 @@
   source_id)``, dynamic partition overwrite, so a rerun of one day and source
   replaces exactly that partition;
 * audit tables: append only.
+
+Rows are dealt to the writers by ``balanced`` (or, for a bucketed table,
+``bucketed``), never by merging partitions: a merge would pull the scan and
+the joins before it into as few tasks.
 """
 
 from __future__ import annotations
@@ -18,6 +22,28 @@ def partition_path(base: str, spec: dict[str, str]) -> str:
     return base.rstrip("/") + "/" + "/".join(f"{k}={v}" for k, v in spec.items())
 
 
+def balanced(df: DataFrame, partition_cols: list[str] | tuple[str, ...]) -> DataFrame:
+    """Deal rows to files of about ``advisoryPartitionSizeInBytes``.
+
+    A rebalance on the partition columns: what comes before runs in all its
+    tasks, small shares are merged by adaptive execution, and a partition with
+    more than one file's worth is split.
+    """
+    return df.hint("rebalance", *partition_cols)
+
+
+def bucketed(df: DataFrame, buckets: int, keys: list[str]) -> DataFrame:
+    """Deal rows by a table's bucket expression, so that each bucket is written by one task, as one file."""
+    return df.repartition(buckets, *keys)
+
+
+def table_buckets(spark: SparkSession, table: str) -> tuple[int, list[str]] | None:
+    """Bucket count and columns of a catalog table; None if it has no buckets."""
+    said = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()}
+    n = said.get("Num Buckets")
+    return (int(n), [c.strip(" `") for c in said["Bucket Columns"].strip("[]").split(",")]) if n and int(n) > 0 else None
+
+
 def overwrite_partitions(df: DataFrame, path: str, partition_cols: list[str] | tuple[str, ...]) -> None:
     """Replace only the partitions present in ``df``."""
     ensure_settings(df.sparkSession)
@@ -37,6 +63,12 @@ def overwrite_table_partitions(df: DataFrame, table: str) -> None:
     df.select(*cols).write.insertInto(table, overwrite=True)
 
 
+def dealt_for(df: DataFrame, partition_cols: list[str] | tuple[str, ...], table: str | None = None) -> DataFrame:
+    """Rows dealt for a write by path, or through ``table`` by its buckets if it has any."""
+    spread = table_buckets(df.sparkSession, table) if table else None
+    return bucketed(df, *spread) if spread else balanced(df, partition_cols)
+
+
 def replace_partition(df: DataFrame, path: str, partition_cols, spec: dict[str, str], rows: int) -> None:
     """Idempotent write of one partition.
 

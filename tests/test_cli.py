@@ -57,3 +57,40 @@ def test_setup_keeps_the_users_sources_and_inr_amounts_survive_the_config_table(
     rows = spark.table(f"{db}.card_transactions_silver").filter("source_id = 'src_in_card_txns'").collect()
     assert rows and all(r.source_currency == "INR" and r.original_amount is not None for r in rows)
     assert all(abs(r.amount_usd - round(r.original_amount * 0.012, 2)) < 0.011 for r in rows)
+
+
+def test_ingest_fills_the_registry_and_drift_names_a_new_raw_column(spark, capsys):
+    root, db = tempfile.mkdtemp(prefix="sluice-cli-drift-"), "sluice_cli_drift_test"
+    lines = US_FEED.splitlines()
+    write_feed(root, "card_transactions", "2026-01-01", "us_1.csv", US_FEED)
+    write_feed(root, "card_transactions", "2026-01-02", "us_1.csv", "\n".join([lines[0] + ",loyalty", *[x + ",gold" for x in lines[1:]]]) + "\n")
+    assert cli.main(["setup", "--db", db, "--root", root]) == 0
+    for day in ("2026-01-01", "2026-01-02"):
+        assert cli.main(["ingest", "--db", db, "--root", root, "--date", day, "--check-files"]) == 0
+    registry = spark.table(f"{db}.schema_registry").filter("source_id = 'src_us_card_txns'")
+    assert registry.filter("column_name = 'transaction_id' and sample_values is not null").count() == 2  # a snapshot a run
+    capsys.readouterr()
+    assert cli.main(["drift", "--root", root]) == 0
+    raw = {r["column_name"]: r["changes"] for r in json.loads(capsys.readouterr().out)["raw"]}
+    assert raw["loyalty"] == "added"
+    spark.sql(f"DROP DATABASE IF EXISTS {db} CASCADE")
+
+
+def test_an_invalid_config_fails_its_source_before_anything_is_read(spark, capsys):
+    root, db = tempfile.mkdtemp(prefix="sluice-cli-bad-"), "sluice_cli_bad_test"
+    write_feed(root, "card_transactions", "2026-01-01", "us_1.csv", US_FEED)
+    write_feed(root, "atm_withdrawals", "2026-01-01", "atm_1.csv", ATM_FEED)
+    assert cli.main(["setup", "--db", db, "--root", root]) == 0
+    from sluice.operators.mutate import rewrite_table, update_rows
+
+    rule = '[{"rule_id": "z1", "type": "range", "column": "amount_usd", "threshold": 2.0}]'
+    rewrite_table(spark, f"{db}.ingestion_config", lambda t: update_rows(t, {"dq_rules_json": rule}, F.col("source_id") == "src_us_card_txns"))
+    capsys.readouterr()
+    cli.main(["ingest", "--db", db, "--root", root, "--date", "2026-01-01"])
+    runs = {r["source_id"]: r for r in json.loads(capsys.readouterr().out)["runs"]}
+    bad = runs["src_us_card_txns"]
+    assert bad["status"] == "FAILED" and "z1: expression missing" in bad["message"] and "threshold outside" in bad["message"]
+    assert runs["src_atm_sg"]["rows_written"] == 2
+    status = {r.source_id: (r.ingestion_status, r.total_rows_ingested) for r in spark.table(f"{db}.dq_summary").collect()}
+    assert status["src_us_card_txns"] == ("FAILED", None)
+    spark.sql(f"DROP DATABASE IF EXISTS {db} CASCADE")

@@ -225,7 +225,7 @@ def test_a_short_write_fails_the_run(spark, monkeypatch):
     from sluice.plans import ingest
 
     root, configs = _setup()
-    monkeypatch.setattr(ingest, "sized_for_files", lambda df, rows, size: df.limit(max(1, rows - 1)))
+    monkeypatch.setattr(ingest, "dealt_for", lambda df, *args: df.limit(df.count() - 1))
     res = run_source(spark, configs[0], DATE, Layout(root))
     assert res.status == "FAILED" and "read 7 !=" in res.message
     assert ingest.unreconciled_counts(7, 1, 6, 1) is None
@@ -268,3 +268,59 @@ def test_json_rows_are_rejected_whole(spark):
     rejected = {tuple(r.failed_rules): r._raw_json for r in spark.read.parquet(us.rejected_path).collect()}
     assert any('"tier": 3' in line for line in rejected.values()) and "{broken" in rejected.values()
     assert any("raw:malformed" in reasons for reasons in rejected)
+
+
+def test_a_value_changed_on_disk_fails_the_run(spark, monkeypatch):
+    """The row counts agree, the content of the written partition doesn't."""
+    from sluice.plans import ingest
+
+    root, configs = _setup()
+    real = ingest.read_table
+
+    def tampered(spark, path, schema, spec=None, columns=None):
+        rows = real(spark, path, schema, spec, columns)
+        return rows.withColumn("merchant_name", F.upper("merchant_name")) if "silver" in path else rows
+
+    monkeypatch.setattr(ingest, "read_table", tampered)
+    res = run_source(spark, configs[0], DATE, Layout(root))
+    assert res.status == "FAILED" and "content written" in res.message
+    monkeypatch.setattr(ingest, "read_table", real)
+    assert run_source(spark, configs[0], DATE, Layout(root)).status != "FAILED"
+
+
+def test_a_file_read_short_is_named(spark, monkeypatch):
+    """G1 by file: rows counted apart from the scan tell which file lost some."""
+    from sluice.plans import ingest
+    from sluice.sources.files import RawScan
+
+    root, configs = _setup()
+    write_feed(root, "card_transactions", DATE, "us_more.csv", US_FEED)
+    real = ingest.read_source
+
+    class Short(RawScan):
+        @property
+        def tracked(self):
+            rows = super().tracked
+            return rows.filter(~(F.col("_file").contains("us_more") & F.col("transaction_id").eqNullSafe("U2")))
+
+    def short(*args):
+        scan = real(*args)
+        return Short(scan.parts, scan.routed, scan.path)
+
+    assert run_source(spark, configs[0], DATE, Layout(root), check_files=True).status != "FAILED"
+    monkeypatch.setattr(ingest, "read_source", short)
+    res = run_source(spark, configs[0], DATE, Layout(root), check_files=True)
+    assert res.status == "FAILED" and "us_more.csv: read 6 of 7 rows" in res.message
+    files = spark.read.parquet(Layout(root).files).filter(F.col("run_id") == res.run_id)
+    assert {(r.file.rsplit("/", 1)[-1], r.rows_read, r.reconciled) for r in files.collect() if "us_more" in r.file} == {("us_more.csv", 6, False)}
+
+
+def test_unique_keys_ship_no_raw_row(spark):
+    """of a feed without copies only hashes of keys are shuffled by the dedup."""
+    from sluice.operators.dedup import repeated_hashes, with_row_id
+
+    rows = with_row_id(spark.range(0, 50_000, numPartitions=4).selectExpr("concat('key-', id) k", "repeat(sha2(cast(id as string), 256), 3) raw"))
+    path = tempfile.mkdtemp() + "/h"
+    assert repeated_hashes(rows, ["k"], path).count() == 0
+    plan = rows.groupBy(F.xxhash64("k")).count()._jdf.queryExecution().executedPlan().toString()
+    assert "raw" not in plan.split("Exchange")[1]

@@ -1,5 +1,7 @@
 """Registry (H1-H7), mutation (I1-I5), catalog (B5-B11) and checks."""
 
+import glob
+import datetime as dt
 import os
 import tempfile
 
@@ -172,3 +174,79 @@ def test_bucketed_silver_join_without_shuffle(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan
     drop_database(spark, db)
+
+
+def test_merged_states_equal_a_full_profile(spark):
+    from sluice.operators.registry import merge_states, profile, profile_states
+
+    rows = [(i, float(i) * 1.5 - 40, f"v{i % 7}" if i % 11 else None, i % 2 == 0, dt.datetime(2024, 1, 1 + i % 28)) for i in range(300)]
+    df = spark.createDataFrame(rows, "a long, b double, c string, d boolean, e timestamp")
+    parts = [profile_states(df.filter(F.col("a") % 4 == k)) for k in range(3)] + [profile_states(df.filter(F.col("a") % 4 == 3)), profile_states(df.filter("false"))]
+    states = parts[0]
+    for p in parts[1:]:
+        states = states.unionByName(p)
+    merged = merge_states(states)
+    want = sorted(map(tuple, profile(df).collect()))
+    assert sorted(map(tuple, merged.select("column_name", "column_type", "is_nullable", "null_rate", "min_value", "max_value").collect())) == want
+    import json
+
+    samples = {r.column_name: json.loads(r.sample_values) for r in merged.collect()}
+    assert set(samples["c"]) == {f"v{i}" for i in range(7)} and set(samples["d"]) == {"true", "false"} and len(samples["a"]) <= 10
+
+
+def test_sketch_error_bound(spark):
+    """Every value more frequent than the stated error is found, and no count is too high or low by more."""
+    from sluice.operators.registry import SKETCH_ERROR, TRACKED
+
+    n = 200_000
+    df = spark.range(0, n, numPartitions=6).selectExpr(
+        "case when id % 10 < 3 then 'hot' when id % 100 = 5 then concat('warm', id % 300) else cast(id as string) end v")
+    found = df.groupBy((F.xxhash64("v") % 3).alias("day")).agg(F.call_function("approx_top_k_accumulate", "v", F.lit(TRACKED)).alias("s"))
+    top = found.agg(F.call_function("approx_top_k_combine", "s", F.lit(TRACKED)).alias("s")).select(
+        F.inline(F.call_function("approx_top_k_estimate", "s", F.lit(10)))).collect()
+    exact = {r.v: r["count"] for r in df.groupBy("v").count().filter(F.col("count") > n * SKETCH_ERROR).collect()}
+    got = {r["item"]: r["count"] for r in top}
+    assert set(exact) <= set(got) and len(exact) > 1
+    assert all(abs(got[v] - c) <= n * SKETCH_ERROR for v, c in exact.items())
+
+
+def test_type_masks(spark):
+    from sluice.operators.registry import infer_types
+
+    columns = {
+        "i": ["1", " -20 ", "+3", None], "big": ["1", "99999999999999999999"], "d": ["1", "2.5", "1.5e-3", ".5", "-.5E+7"],
+        "t": ["2024-01-01", "2024-01-01 10:00:00.5", "2024-02-29T23:59"], "bad_t": ["2024-01-01", "2024-02-31"], "b": ["true", "FALSE", "True"],
+        "s": ["true", "1"], "none": [None, None], "blank": ["", "1"], "mixed": ["2024-01-01", "2024"], "x": ["t", "f"], "nan": ["NaN", "1.0"],
+    }
+    want = {"i": "integer", "big": "double", "d": "double", "t": "timestamp", "bad_t": "string", "b": "boolean", "s": "string", "none": "string",
+            "blank": "string", "mixed": "string", "x": "string", "nan": "string"}
+    n = max(map(len, columns.values()))
+    rows = [tuple(v[i] if i < len(v) else None for v in columns.values()) for i in range(n)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns))
+    assert {r.column_name: r.column_type for r in infer_types(df).collect()} == want
+
+
+def test_partition_scoped_rewrites(spark):
+    from sluice.operators.mutate import delete_partitions, update_partitions, upsert_partitions
+    from sluice.sinks.writers import overwrite_partitions
+
+    path = tempfile.mkdtemp(prefix="sluice-mut-") + "/t"
+    df = spark.createDataFrame([(1, "a", "d1"), (2, "b", "d1"), (3, "c", "d2"), (4, "d", "d3"), (5, "e", None)], "k int, v string, d string")
+    overwrite_partitions(df, path, ["d"])
+    schema = df.schema
+    files = lambda: {f: os.path.getmtime(f) for f in glob.glob(path + "/*/part-*")}
+    rows = lambda: sorted(map(tuple, spark.read.schema(schema).option("basePath", path).parquet(path).collect()))
+    was = files()
+    assert [v["d"] for v in update_partitions(spark, path, schema, ["d"], {"v": "z"}, F.col("k") == 1).values()] == ["d1"]
+    assert rows() == [(1, "z", "d1"), (2, "b", "d1"), (3, "c", "d2"), (4, "d", "d3"), (5, "e", None)]
+    now = files()
+    assert {f for f in was if "d=d1" not in f} == {f for f in now if "d=d1" not in f} and all(now[f] == was[f] for f in now if f in was)
+    # a row that moves pulls in the partition it moves to, whose rows stay
+    assert sorted(v["d"] for v in update_partitions(spark, path, schema, ["d"], {"d": "d2"}, F.col("k") == 2).values()) == ["d1", "d2"]
+    assert rows() == [(1, "z", "d1"), (2, "b", "d2"), (3, "c", "d2"), (4, "d", "d3"), (5, "e", None)]
+    delete_partitions(spark, path, schema, ["d"], (F.col("d") == "d3") | F.col("d").isNull())
+    assert rows() == [(1, "z", "d1"), (2, "b", "d2"), (3, "c", "d2")] and not os.path.exists(path + "/d=d3")
+    up = spark.createDataFrame([(3, "n", "d1"), (9, "new", "d9")], "k int, v string, d string")
+    upsert_partitions(spark, path, schema, ["d"], up, ["k"])
+    assert rows() == [(1, "z", "d1"), (2, "b", "d2"), (3, "n", "d1"), (9, "new", "d9")]
+    assert update_partitions(spark, path, schema, ["d"], {"v": "q"}, F.col("k") == 77) == {}
