@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.shared import cut
+from sluice.llm.shared import cut, stored
 
 #: Tokens of a window, and of the history that it may repeat.
 BUDGET = 1024
@@ -34,11 +34,12 @@ def token_estimate(text: Column) -> Column:
 def _numbered(turns: DataFrame, budget: int, history_tokens: int) -> DataFrame:
     """Add each turn's index, prefix sums and window.
 
-    Turns are range-partitioned by conversation and order; sums are taken per
-    partition first, then over the partitions, then within them.  So a
-    conversation with very many turns is spread over many tasks.
+    Turns (without their texts) are range-partitioned by conversation and
+    order; sums are taken per partition first, then over the partitions, then
+    within them.  So a conversation with very many turns is spread over many
+    tasks.
     """
-    order = ["c", "turn", "role", "text"]
+    order = ["c", "turn", "role", "tie", "row"]
     dealt = cut(turns.repartitionByRange(*order).withColumn("p", F.spark_partition_id()))
     blocks = dealt.groupBy("c", "p").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("c").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -61,7 +62,17 @@ def _numbered(turns: DataFrame, budget: int, history_tokens: int) -> DataFrame:
     within = Window.partitionBy("c", "p").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     summed = spans.join(parts, ["c", "p"]).withColumn("run", F.col("larges") + F.sum("large").over(within)).withColumn("end", F.col("smalls") + F.sum("small").over(within))
     cell = F.floor((F.col("end") - 1) / (F.col("room") - F.col("longest")))
-    return summed.withColumn("cell", F.when(F.col("large") == 1, F.lit(-1)).otherwise(cell)).select("c", "i", "role", "text", "tokens", "run", "cell")
+    return summed.withColumn("cell", F.when(F.col("large") == 1, F.lit(-1)).otherwise(cell)).select("c", "i", "role", "row", "tokens", "run", "cell")
+
+
+def _slim(said: DataFrame) -> DataFrame:
+    """Turns without their texts, but for those that nothing else puts in order (``tie``)."""
+    keyed = said.select("c", "turn", "role", "tokens", "row").withColumn("k", F.struct("c", "turn", "role"))
+    again = stored(keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"), "chat-ties")
+    if again.isEmpty():
+        return keyed.drop("k").withColumn("tie", F.lit(None).cast("string"))
+    rows = keyed.join(again, "k").select("row")
+    return keyed.drop("k").join(said.select("row", F.col("text").alias("tie")).join(rows, "row"), "row", "left")
 
 
 def format_chats(
@@ -83,7 +94,9 @@ def format_chats(
     where the sum passes a multiple of room less slack; a turn of over half
     the room is a span of its own.  Each span becomes a window: the system
     turn (the first turn, if its role is ``system``), up to ``history_turns``
-    turns before the span of ``history_tokens`` in all, then the span.  Loss
+    turns before the span of ``history_tokens`` in all, then the span.  All of
+    this is found on rows without texts; texts are joined once, to the windows
+    that hold them.  Loss
     falls on the texts of the span's assistant turns only, so each target
     counts once, however often it is repeated as history.
 
@@ -97,20 +110,23 @@ def format_chats(
     columns are not returned; no rows give no rows.
     """
     text, role = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(role_col), F.lit(""))
-    turns = conversations.select(F.struct(F.col(conv_col).alias("id")).alias("c"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"), (token_estimate(text) if tokens is None else tokens).cast("long").alias("tokens"))
-    numbered = cut(_numbered(turns, budget, history_tokens))
+    tokens = (token_estimate(text) if tokens is None else tokens).cast("long")
+    said = conversations.select(F.struct(F.col(conv_col).alias("id")).alias("c"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"), tokens.alias("tokens"))
+    said = stored(said.withColumn("row", F.monotonically_increasing_id()), "chat-turns")
+    numbered = cut(_numbered(_slim(said), budget, history_tokens))
     windows = cut(numbered.groupBy("c", "run", "cell").agg(F.min("i").alias("first")))
 
-    own = numbered.join(windows, ["c", "run", "cell"]).select("c", "first", F.lit(2).alias("part"), "i", "role", "text", "tokens")
+    columns = ["i", "role", "row", "tokens"]
+    own = numbered.join(windows, ["c", "run", "cell"]).select("c", "first", F.lit(2).alias("part"), *columns)
     system = numbered.where("i = 0 and role = 'system'").join(windows.where("first > 0").select("c", "first"), "c")
-    system = system.select("c", "first", F.lit(0).alias("part"), "i", "role", "text", "tokens")
+    system = system.select("c", "first", F.lit(0).alias("part"), *columns)
     back = numbered.where("not (i = 0 and role = 'system')").select("*", F.explode(F.sequence(F.col("i") + 1, F.col("i") + history_turns)).alias("first")) if history_turns > 0 else numbered.where("false").withColumn("first", F.col("i"))
     near = back.join(windows.select("c", "first"), ["c", "first"])
     later = Window.partitionBy("c", "first").orderBy(F.col("i").desc())
     history = near.withColumn("upto", F.sum("tokens").over(later)).where(F.col("upto") <= history_tokens)
-    history = history.select("c", "first", F.lit(1).alias("part"), "i", "role", "text", "tokens")
+    history = history.select("c", "first", F.lit(1).alias("part"), *columns)
 
-    pieces = own.unionByName(system).unionByName(history).select(
+    pieces = own.unionByName(system).unionByName(history).join(said.select("row", "text"), "row").select(
         "c",
         "first",
         "part",
