@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,12 +50,38 @@ def rule_expression_text(rule: Rule) -> str:
     return rule.expression or ""
 
 
+#: Prefix of the reason of a row on which a rule raises.
+ERROR_PREFIX = "error:"
+_DAY = "2000-01-01"
+
+
 @dataclass(frozen=True)
 class CompiledRule:
+    """A rule against some rows: ``ok`` is never NULL, ``reason`` is NULL for rows that pass."""
+
     rule: Rule
     ok: Column
     text: str
     error: str | None = None
+    reason: Column | None = None
+
+
+def guarded(ok: Column) -> Column:
+    """1 if ``ok`` holds, 0 if it doesn't, -1 if its evaluation raises (a division by zero, a bad cast) on the row at hand.
+
+    ``try_add`` of a date and an interval gives NULL for whatever goes wrong
+    in it, so the verdict goes through it as a day or none.
+    """
+    day = F.lit(_DAY).cast("date")
+    return F.coalesce(F.datediff(F.try_add(day, F.make_dt_interval(F.when(ok, F.lit(1)).otherwise(F.lit(0)))), day), F.lit(-1))
+
+
+def _compiled(rule: Rule, predicate: Column, text: str) -> CompiledRule:
+    if rule.type not in ("range", "custom"):  # the other types can't raise on a row
+        return CompiledRule(rule, predicate, text, reason=F.when(~predicate, F.lit(rule.rule_id)))
+    state = guarded(predicate)
+    reasons = F.array(F.lit(ERROR_PREFIX + rule.rule_id), F.lit(rule.rule_id), F.lit(None).cast("string"))
+    return CompiledRule(rule, state == 1, text, reason=F.get(reasons, state + 1))
 
 
 def _analyse(df: DataFrame, predicates: list[Column]) -> None:
@@ -67,21 +93,6 @@ def _analyse(df: DataFrame, predicates: list[Column]) -> None:
         raise ValueError("a rule may not use window functions or subqueries")
 
 
-def raising_rules(df: DataFrame, compiled: list["CompiledRule"]) -> dict[str, str]:
-    """Rules whose expression raises on some row (say, a division by zero), with the whole error text.
-
-    Called only after a run failed: one narrow job for each expression rule.
-    """
-    out = {}
-    for c in compiled:
-        if c.error is None and c.rule.type in ("range", "custom", "regex"):
-            try:
-                df.agg(F.count_if(~c.ok)).collect()
-            except Exception as exc:  # noqa: BLE001 -- any failure of this rule's job is this rule's
-                out[c.rule.rule_id] = str(exc) or type(exc).__name__
-    return out
-
-
 def compile_rules(df: DataFrame, rules) -> list[CompiledRule]:
     """Compile rules against ``df``'s columns.
 
@@ -89,15 +100,21 @@ def compile_rules(df: DataFrame, rules) -> list[CompiledRule]:
     type) is returned with ``error`` set instead of failing the run; it is
     reported as a failed rule set-up and takes no part in the row verdict.
     Resolution is analysis only -- no job runs: all predicates are analysed
-    together, and one by one only when that fails.
+    together, and one by one only when that fails.  A rule that raises on some
+    row fails for that row alone, with the reason ``error:<rule id>``.
     """
     rules = list(rules)
     preds: list = []
     errors: list = []
     for rule in rules:
         try:
+            if rule.type == "regex":
+                df.sparkSession._jvm.java.util.regex.Pattern.compile(rule.expression)
             preds.append(rule_predicate(rule))
             errors.append(None)
+        except IllegalArgumentException as exc:
+            preds.append(None)
+            errors.append(f"bad pattern: {exc}")
         except (AnalysisException, ValueError, TypeError, AttributeError) as exc:  # parse errors included
             preds.append(None)
             errors.append(str(exc) or type(exc).__name__)
@@ -115,7 +132,7 @@ def compile_rules(df: DataFrame, rules) -> list[CompiledRule]:
     for rule, pred, err in zip(rules, preds, errors):
         text = rule_expression_text(rule)
         if err is None:
-            out.append(CompiledRule(rule, pred, text))
+            out.append(_compiled(rule, pred, text))
         else:
             out.append(CompiledRule(rule, F.lit(True), text, error=err))
     return out

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.functions.rules import CompiledRule
+from sluice.functions.rules import ERROR_PREFIX, CompiledRule
 from sluice.session import local_frame
 
 FAILED = "failed_rules"
@@ -26,7 +26,7 @@ DUP_PREFIX = "dup:"
 # ---------------------------------------------------------------------------
 def verdict_array(compiled: list[CompiledRule], extra: list[Column] = ()) -> Column:
     """Array of failed reasons of a row: cast failures first, then rule ids."""
-    parts = list(extra) + [F.when(~c.ok, F.lit(c.rule.rule_id)) for c in compiled if c.error is None]
+    parts = list(extra) + [c.reason for c in compiled if c.error is None]
     if not parts:
         return F.array().cast("array<string>")
     return F.array_compact(F.array(*parts))
@@ -60,7 +60,8 @@ def quality_counts(verdict: DataFrame, compiled: list[CompiledRule], by: list[st
         F.count_if(F.size(fr) == 0).alias("_passed"),
     ]
     for i, c in enumerate(compiled):
-        aggs.append(F.count_if(F.array_contains(fr, c.rule.rule_id)).alias(f"_f{i}"))
+        reasons = [c.rule.rule_id, ERROR_PREFIX + c.rule.rule_id]
+        aggs.append(F.count_if(F.arrays_overlap(fr, F.array(*map(F.lit, reasons)))).alias(f"_f{i}"))
     return verdict.groupBy(*by).agg(*aggs)
 
 
@@ -171,7 +172,7 @@ def sample_failures(
     cols = sample_columns or [c for c in verdict.columns if c != FAILED]
     row = F.struct(*[F.col(c) for c in cols])
     failing = verdict.filter(F.size(F.col(FAILED)) > 0).select(
-        F.explode(F.col(FAILED)).alias("rule_id"),
+        F.explode(F.transform(FAILED, lambda r: F.regexp_replace(r, f"^{ERROR_PREFIX}", ""))).alias("rule_id"),
         F.col(order_key).alias("_k"),
         row.alias("_row"),
     ).filter(F.col("rule_id").isin(*ids))

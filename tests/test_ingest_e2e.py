@@ -232,23 +232,31 @@ def test_a_short_write_fails_the_run(spark, monkeypatch):
     assert ingest.unreconciled_counts(7, 1, 5, 1) and ingest.unreconciled_counts(7, 1, 6, 0)
 
 
-def test_a_rule_that_raises_fails_as_a_rule(spark):
+def test_a_rule_that_raises_on_a_row_rejects_that_row(spark):
     import dataclasses
 
     from sluice.config import Rule
 
     root, configs = _setup()
-    bad = (Rule("x1", "divides", "amount_usd", "custom", 1.0, expression="100 / (amount_usd - 12) > 1"),
+    bad = (Rule("x1", "divides", "amount_usd", "custom", 1.0, expression="100 / (amount_usd - 11) > -1000"),
            Rule("x2", "aggregates", "amount_usd", "custom", 1.0, expression="sum(amount_usd) > 1"),
-           Rule("x3", "ranks", "amount_usd", "custom", 1.0, expression="row_number() over (order by amount_usd) > 0"))
+           Rule("x3", "ranks", "amount_usd", "custom", 1.0, expression="row_number() over (order by amount_usd) > 0"),
+           Rule("x4", "broken", "merchant_name", "regex", 1.0, expression="a("),
+           Rule("x5", "casts", "merchant_name", "range", 1.0, expression="CASE WHEN amount_usd = 12 THEN CAST(merchant_name AS INT) END > 0"))
+    plain = run_source(spark, configs[0], DATE, Layout(root))
     cfg = dataclasses.replace(configs[0], rules=(*configs[0].rules, *bad))
     res = run_source(spark, cfg, DATE, Layout(root))
-    assert res.rows_read == 7 and res.rows_written == 1
+    # U1's newer copy raises in x1, so the older one is no copy any more and takes its place
+    assert res.rows_read == 7 and res.rows_written == plain.rows_written == 1
+    rejected = [set(r.failed_rules) for r in spark.read.parquet(cfg.rejected_path).collect()]
+    assert sum("error:x1" in r for r in rejected) == 1 and sum("error:x5" in r for r in rejected) == 2
     rules = {r["rule_id"]: r for r in res.rules}
-    results = {r.rule_id: r for r in read_table(spark, Layout(root).dq_results, schemas.DQ_RESULTS).collect()}
-    for rule in ("x1", "x2", "x3"):
+    assert rules["x1"]["failed_rows"] == 1 and rules["x5"]["failed_rows"] == 2 and not rules["x1"]["rule_passed"]
+    results = {r.rule_id: r for r in read_table(spark, Layout(root).dq_results, schemas.DQ_RESULTS).filter(F.col("run_id") == res.run_id).collect()}
+    assert "U1" in results["x1"].sample_failures
+    for rule in ("x2", "x3", "x4"):
         assert not rules[rule]["rule_passed"] and results[rule].sample_failures
-    assert "DIVIDE_BY_ZERO" in results["x1"].sample_failures
+    assert "bad pattern" in results["x4"].sample_failures
 
 
 def test_json_rows_are_rejected_whole(spark):
