@@ -15,6 +15,8 @@ from sluice.llm.shared import cut, scratch, ship, stored
 
 #: Payloads smaller than this are always written in full.
 MIN_REVISIT_BYTES = 100
+#: Index entries that a task merges, on average.
+ENTRIES = 200_000
 #: Payload bytes of an archive on average; readers hold one archive at a time.
 ARCHIVE_BYTES = 32 << 20
 END = "\r\n"
@@ -46,12 +48,14 @@ def _field(name: str, value: Column) -> Column:
 def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES) -> None:
     """Write ``id, url, html, captured`` rows as gzipped archives of WARC records.
 
-    Rows are dealt to as many archives as their bytes need and sorted within
-    each by URL key and time, so that each archive is a sorted run.
+    Rows are dealt to as many archives as their bytes need, by a hash that a
+    row number of the scan goes into, so that equal rows spread as well, and
+    sorted within each by URL and time.
     """
+    pages = pages.withColumn("row", F.monotonically_increasing_id())
     sized = pages.withColumn("html", F.coalesce("html", F.lit(""))).withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", F.sha2("html", 256))
     total = sized.agg(F.sum("payload_bytes").alias("b")).first()["b"] or 0
-    rows = with_revisits(sized, min_bytes).repartition(max(1, -(-total // ARCHIVE_BYTES)), F.xxhash64("id", "url", "payload_digest"))
+    rows = with_revisits(sized, min_bytes).repartition(max(1, -(-total // ARCHIVE_BYTES)), F.xxhash64("id", "url", "payload_digest", "row"))
     answer = F.concat(F.lit(END.join(["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", ""])), _field("Content-Length", F.col("payload_bytes").cast("string")), F.lit(END), F.col("html"))
     revisit = F.col("refers_to").isNotNull()
     block = F.when(revisit, F.lit("")).otherwise(answer)
@@ -201,12 +205,14 @@ def merge_index(index: DataFrame) -> DataFrame:
 
     Tasks take ranges of the order (URL key, time, id), cut by Spark from a
     sample, so a host or page with very many captures spreads over several
-    tasks.  Within a task the runs come one after the other, each sorted, and
+    tasks; there are as many ranges as the entries need at ``ENTRIES`` each.
+    Within a task the runs come one after the other, each sorted, and
     a loser tree merges them; it holds its range of index entries, not pages.
     """
     ship(index.sparkSession)
     order = ["urlkey", "captured", "id", "archive", "offset"]
-    return cut(index).repartitionByRange(*order).sortWithinPartitions("archive", *order[:3], "offset").mapInArrow(_merge, INDEX)
+    runs = cut(index)
+    return runs.repartitionByRange(max(1, -(-runs.count() // ENTRIES)), *order).sortWithinPartitions("archive", *order[:3], "offset").mapInArrow(_merge, INDEX)
 
 
 def archive_pages(pages: DataFrame, path: str | None = None, captured: Column | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
