@@ -18,9 +18,8 @@ PROJECTED = 8
 #: Probability that a nearer neighbour, if there were one, would have been seen before the search ends.
 CONFIDENCE = 0.97
 SEED = 42
-#: Vectors of a shard and queries of a block on average.
+#: Vectors of a shard on average.
 SHARD = 8192
-QUERIES = 2048
 LEAF = 32
 LEAVES_AT_ONCE = 8
 QUERIES_AT_ONCE = 256
@@ -75,57 +74,84 @@ class KDTree:
         return out
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, confidence: float = CONFIDENCE, projected: int = PROJECTED) -> tuple[np.ndarray, np.ndarray, int]:
-    """Best ``k`` points of each query, by cosine; all are unit rows, ids sorted.
+class Shard:
+    """Candidates with a kd-tree over their projection; unit rows, ids sorted."""
+
+    def __init__(self, points: np.ndarray, ids: np.ndarray, projected: int = PROJECTED) -> None:
+        self.points, self.ids, self.projected = points, ids, projected
+        self.matrix = projection(points.shape[1], projected)
+        self.flat = points @ self.matrix
+        self.tree = KDTree(self.flat)
+
+    def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int, confidence: float = CONFIDENCE) -> tuple[np.ndarray, np.ndarray, int]:
+        """Best ``k`` points of each query, by cosine.
+
+        Leaves come in the order of their distance in the projection.  With d
+        the distance of the k-th best so far, a point at the projected
+        distance r is verified, by its cosine, only while chi-square(r^2 / d^2)
+        is at most the confidence; a search ends at the first leaf beyond that
+        radius.  A nearer point would have been seen with that probability.
+
+        Returns indexes of points (-1: none) and cosines, best first, ties to
+        the smaller index, and how many points were verified.
+        """
+        points, ids, flat, tree = self.points, self.ids, self.flat, self.tree
+        limit = chi_square_quantile(confidence, self.projected)
+        best = np.full((len(queries), k), -1)
+        score = np.full((len(queries), k), -np.inf)
+        verified = 0
+        for at in range(0, len(queries), QUERIES_AT_ONCE):
+            part = np.arange(at, min(len(queries), at + QUERIES_AT_ONCE))
+            start = queries[part] @ self.matrix
+            bound = tree.bounds(start)
+            order = np.argsort(bound, axis=1, kind="stable")
+            bound = np.take_along_axis(bound, order, axis=1)
+            for leaf in range(0, order.shape[1], LEAVES_AT_ONCE):
+                part = part[bound[part - at, leaf] <= limit * (2 - 2 * score[part, -1]) + SLACK]
+                if not len(part):
+                    break
+                radius = limit * (2 - 2 * score[part, -1]) + SLACK
+                found = tree.members[order[part - at, leaf : leaf + LEAVES_AT_ONCE]].reshape(len(part), -1)
+                away = sum((start[part - at, axis, None] - flat[found, axis]) ** 2 for axis in range(self.projected))
+                row, column = np.nonzero((found >= 0) & (away <= radius[:, None]) & (ids[found] != query_ids[part, None]))
+                cosine = np.full(found.shape, -np.inf)
+                cosine[row, column] = np.einsum("pd,pd->p", queries[part[row]], points[found[row, column]])
+                verified += len(row)
+                some = cosine.max(axis=1) >= score[part, -1]  # only where a point is as near as the k-th best
+                rows, found, cosine = part[some], found[some], cosine[some]
+                every, cosines = np.concatenate([best[rows], found], 1), np.concatenate([score[rows], cosine], 1)
+                every[np.isneginf(cosines)] = -1
+                first = np.lexsort((every, -cosines), axis=1)[:, :k]
+                best[rows], score[rows] = np.take_along_axis(every, first, 1), np.take_along_axis(cosines, first, 1)
+        return best, score, verified
 
-    Leaves come in the order of their distance in the projection.  With d the
-    distance of the k-th best so far, a point at the projected distance r is
-    verified, by its cosine, only while chi-square(r^2 / d^2) is at most the
-    confidence; a search ends at the first leaf beyond that radius.  A nearer
-    point would have been seen with that probability.
 
-    Returns indexes of points (-1: none) and cosines, best first, ties to the
-    smaller index, and how many points were verified.
-    """
-    matrix = projection(points.shape[1], projected)
-    flat = points @ matrix
-    tree, limit = KDTree(flat), chi_square_quantile(confidence, projected)
-    best = np.full((len(queries), k), -1)
-    score = np.full((len(queries), k), -np.inf)
-    verified = 0
-    for at in range(0, len(queries), QUERIES_AT_ONCE):
-        part = np.arange(at, min(len(queries), at + QUERIES_AT_ONCE))
-        start = queries[part] @ matrix
-        bound = tree.bounds(start)
-        order = np.argsort(bound, axis=1, kind="stable")
-        bound = np.take_along_axis(bound, order, axis=1)
-        for leaf in range(0, order.shape[1], LEAVES_AT_ONCE):
-            part = part[bound[part - at, leaf] <= limit * (2 - 2 * score[part, -1]) + SLACK]
-            if not len(part):
-                break
-            radius = limit * (2 - 2 * score[part, -1]) + SLACK
-            found = tree.members[order[part - at, leaf : leaf + LEAVES_AT_ONCE]].reshape(len(part), -1)
-            away = sum((start[part - at, axis, None] - flat[found, axis]) ** 2 for axis in range(projected))
-            row, column = np.nonzero((found >= 0) & (away <= radius[:, None]) & (ids[found] != query_ids[part, None]))
-            cosine = np.full(found.shape, -np.inf)
-            cosine[row, column] = np.einsum("pd,pd->p", queries[part[row]], points[found[row, column]])
-            verified += len(row)
-            every, cosines = np.concatenate([best[part], found], 1), np.concatenate([score[part], cosine], 1)
-            every[np.isneginf(cosines)] = -1
-            first = np.lexsort((every, -cosines), axis=1)[:, :k]
-            best[part], score[part] = np.take_along_axis(every, first, 1), np.take_along_axis(cosines, first, 1)
-    return best, score, verified
+def search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, confidence: float = CONFIDENCE, projected: int = PROJECTED) -> tuple[np.ndarray, np.ndarray, int]:
+    """``Shard.search`` on a shard made for it."""
+    return Shard(points, ids, projected).search(queries, query_ids, k, confidence)
 
 
 def _search(k: int, confidence: float, projected: int):
-    def run(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(points) or not len(queries):
-            return pd.DataFrame({"query": queries["id"][:0], "id": points["id"][:0], "score": np.empty(0)})
-        points = points.sort_values("id", kind="stable", ignore_index=True)
-        ids, query_ids = points["id"].to_numpy(), queries["id"].to_numpy()
-        best, score, _ = search(unit(queries["v"]), query_ids, unit(points["v"]), ids, k, confidence, projected)
-        query, nth = np.nonzero(best >= 0)
-        return pd.DataFrame({"query": query_ids[query], "id": ids[best[query, nth]], "score": score[query, nth]})
+    """Rows of a partition come sorted by dimension, shard and kind: a shard's points, then its queries, which stream past its tree."""
+
+    def run(batches):
+        key, waiting, shard = None, [], None
+        for batch in batches:
+            for this, rows in batch.groupby(["dim", "shard", "query"], sort=False):
+                if this[:2] != key:
+                    key, waiting, shard = this[:2], [], None
+                if not this[2]:
+                    waiting.append(rows[["id", "v"]])
+                    continue
+                if shard is None:
+                    if not waiting:
+                        continue
+                    points = pd.concat(waiting).sort_values("id", kind="stable", ignore_index=True)
+                    shard, waiting = Shard(unit(points["v"]), points["id"].to_numpy(), projected), []
+                ids = rows["id"].to_numpy()
+                best, score, _ = shard.search(unit(rows["v"]), ids, k, confidence)
+                query, nth = np.nonzero(best >= 0)
+                yield pd.DataFrame({"query": ids[query], "id": shard.ids[best[query, nth]], "score": score[query, nth]})
 
     return run
 
@@ -141,11 +167,12 @@ def nearest(
 ) -> DataFrame:
     """The ``k`` nearest vectors, by cosine, of each row for which ``is_query`` holds.
 
-    Every vector is a candidate.  Candidates are dealt into shards by hashed
-    id, each with a kd-tree over its projection; queries meet every shard in
-    blocks, so a task holds one shard and one block whatever the table's size.
-    Its few results per query are merged by a ranking that Spark limits per
-    group before the shuffle.
+    Every vector is a candidate.  Candidates are dealt into shards by a hash,
+    each with one kd-tree over its projection, built once; the queries of all
+    blocks stream past it, so a task holds one shard and a batch of queries
+    whatever the table's size.  Vectors are shuffled once, queries once per
+    shard.  The few results per query are merged by a ranking that Spark
+    limits per group before the shuffle.
 
     Returns ``query_id``, ``rank`` (from 1), the id column and ``score`` (the
     cosine, in double precision).  Ties go to the smaller id.  Cases: vectors
@@ -158,14 +185,13 @@ def nearest(
     ship(embeddings.sparkSession)
     every = cut(directions(embeddings, id_col, vector_col).distinct())
     asks = cut(directions(embeddings.where(is_query), id_col, vector_col).distinct())
-    shards, blocks = max(1, ceil(every.count() / SHARD)), max(1, ceil(asks.count() / QUERIES))
-    deal = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    points = every.select("id", "dim", "v", deal(shards, 1).alias("shard"), each(blocks).alias("block"))
-    queries = asks.select("id", "dim", "v", deal(blocks, 2).alias("block"), each(shards).alias("shard"))
-    key = ["dim", "shard", "block"]
+    shards = max(1, ceil(every.count() / SHARD))
+    home = F.pmod(F.xxhash64("id", "v", F.lit(SEED)), F.lit(shards)).cast("int")
+    points = every.select("dim", home.alias("shard"), F.lit(False).alias("query"), "id", "v")
+    queries = asks.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("query"), "id", "v")
+    rows = points.unionByName(queries).repartitionById(shards, F.col("shard")).sortWithinPartitions("dim", "shard", "query")
     kind = every.schema["id"].dataType.simpleString()
-    found = points.groupBy(*key).cogroup(queries.groupBy(*key)).applyInPandas(_search(k, confidence, projected), f"query {kind}, id {kind}, score double")
+    found = rows.mapInPandas(_search(k, confidence, projected), f"query {kind}, id {kind}, score double")
     best = found.groupBy("query", "id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("query").alias("query_id"), "rank", F.col("id").alias(id_col), "score")
