@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.shared import ship, stored
+from sluice.llm.shared import aside, restored, ship, stored
 
 #: What is stripped from both ends of a line: the bytes 0x20 and 0x09 to 0x0D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -82,9 +82,12 @@ def line_dedup(
     comes back empty; rows with the same id are one document for the count
     and each row is rewritten; a row with a null id counts for no document
     and keeps its lines; a text whose lines all go comes back empty; no rows
-    give no rows; input columns named ``n_lines`` or ``n_dropped`` are replaced.
+    give no rows; input columns named ``n_lines`` or ``n_dropped`` are
+    replaced, and all other names, those used inside included, are the caller's.
     """
     ship(docs.sparkSession)
+    docs, renamed = aside(docs, "_gone_doc", "_gone_keys", "_kept")
+    id_col, text_col = renamed.get(id_col, id_col), renamed.get(text_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     wanted = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
     pairs = wanted.mapInArrow(_keys(min_code_points), f"doc {kind}, h1 long, h2 long")
@@ -103,5 +106,5 @@ def line_dedup(
         .select(F.col("doc").alias("_gone_doc"), F.col("gone").alias("_gone_keys"))
     )
     kept = docs.join(gone, F.col(id_col) == F.col("_gone_doc"), "left").withColumn("_kept", _reassemble(min_code_points)(F.col(text_col), F.col("_gone_keys")))
-    columns = [F.col("_kept.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    return kept.select(*columns, "_kept.n_lines", "_kept.n_dropped")
+    columns = [F.col("_kept.text").alias(c) if c.lower() == text_col.lower() else F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    return restored(kept.select(*columns, "_kept.n_lines", "_kept.n_dropped"), renamed)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.shared import others, stored
+from sluice.llm.shared import aside, others, restored, stored
 
 SEED = 42
 #: Digits of a hash that make a uniform number: 13 hexadecimal digits are 52 bits, exact in a double.
@@ -24,6 +25,9 @@ BLOCK_BITS = 12
 #: A row draws at most this many counts at once; a document with more is dealt out in blocks of so many.
 DRAWS_AT_ONCE = 128
 
+#: Column names used inside.
+INNER = ("_draw", "_order", "_id", "_same", "_row", "_block", "_before", "_within", "_number", "_n", "_source", "_parts", "_table", "_count", "_first")
+
 
 def uniform(key: Column, seed: int, salt: Column | str) -> Column:
     """A number in [0, 1) from the hash of a row's key; the same on every engine."""
@@ -67,7 +71,7 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, so
             raise ValueError("weights must not be negative")
         named = F.create_map(*[F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))]) if weights else F.create_map().cast("map<string,double>")
         weight = F.coalesce(F.element_at(named, F.coalesce(F.col("source").cast("string"), F.lit(""))), F.lit(0.0))
-    weighed = stored(sizes.withColumn("weight", F.when(F.col("size") > 0, weight).otherwise(F.lit(0.0))).coalesce(1), "mixing-sizes")
+    weighed = stored(sizes.withColumn("weight", F.when(F.col("size") > 0, weight).otherwise(F.lit(0.0))), "mixing-sizes")
     sums = weighed.agg(F.sum("size").alias("size"), F.sum("weight").alias("weight")).first()
     rate = F.col("weight") / F.lit(float(sums["weight"] or 1)) * F.lit(float(total)) * F.lit(float(sums["size"] or 0)) / F.col("size")
     return weighed.select("source", "size", "weight", F.when(F.col("weight") > 0, rate).otherwise(F.lit(0.0)).alias("rate"))
@@ -103,6 +107,12 @@ def identified(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return plain.unionByName(again.drop("_row", "_same", "_number"))
 
 
+def byte_count(size: str) -> int:
+    """Bytes of a setting such as ``134217728``, ``128m`` or ``1gb``."""
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([kmgtp]?)i?b?\s*", size.lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 def drawn(first: Column, last: Column, seed: int) -> Column:
     """The sum of a row's draws from ``first`` to ``last``."""
     return F.aggregate(F.sequence(first, last), F.lit(0), lambda acc, part: acc + poisson_count(uniform(F.col("_draw"), seed, part), F.col("_table")))
@@ -155,16 +165,18 @@ def mix(
     rows have too, draw by their other columns; two equal rows with an id get
     the same count, of more each two; equal rows without an id draw each; a
     null or empty text counts nothing for its source's size; input columns
-    named ``copy`` or ``shuffle_key`` are replaced; no rows give no rows; more
+    named ``copy`` or ``shuffle_key`` are replaced, and no other name matters; no rows give no rows; more
     copies of one document than an int can number are an error.
     """
+    docs, renamed = aside(docs, *INNER)
+    id_col, text_col, source_col = (renamed.get(c, c) for c in (id_col, text_col, source_col))
     rates = source_rates(docs, weights, source_col, text_col, total)
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / LARGEST_RATE)).cast("long")
     tables = rates.select(F.col("source").alias("_source"), parts.alias("_parts"), poisson_table(F.col("rate") / parts).alias("_table"))
-    tables = stored(tables.coalesce(1), "mixing-rates")
+    tables = stored(tables, "mixing-rates")
     expected = rates.agg(F.sum(F.col("size") * F.col("rate"))).first()[0] or 0
     spark = docs.sparkSession
-    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = byte_count(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     partitions = max(spark.sparkContext.defaultParallelism, ceil(expected / size))
     known = identified(docs, id_col)
     own = [*others(docs, "copy", "shuffle_key"), "_order"]
@@ -178,4 +190,5 @@ def mix(
         copies = copies.unionByName(blocks.select(*own, number.alias("copy")).withColumn("copy", F.col("copy").cast("int")))
     key = F.md5(F.concat_ws(":", "_order", F.lit(str(seed)), F.lit("order"), F.col("copy").cast("string")))
     place = F.conv(F.substring("shuffle_key", 1, PLACE_DIGITS), 16, 10).cast("double") / float(16**PLACE_DIGITS)
-    return copies.withColumn("shuffle_key", key).drop("_order").repartitionById(partitions, F.floor(place * partitions).cast("int")).sortWithinPartitions("shuffle_key")
+    placed = copies.withColumn("shuffle_key", key).drop("_order").repartitionById(partitions, F.floor(place * partitions).cast("int")).sortWithinPartitions("shuffle_key")
+    return restored(placed, renamed)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.shared import others, ship
+from sluice.llm.shared import aside, others, restored, ship
 
 #: Kinds in their order; the first four are always reported once their check holds.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -171,11 +171,12 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Cases: a null or empty text has no spans; spans of different kinds may
     overlap; repeated rows are searched each; an input column named ``spans``
-    is replaced; no rows give no rows.
+    is replaced, and no other name matters; no rows give no rows.
     """
     ship(docs.sparkSession)
-    found = docs.withColumn("_spans", spans_column(F.col(text_col)))
-    return found.select(*others(docs, "spans"), F.col("_spans").alias("spans"))
+    docs, renamed = aside(docs, "_spans")
+    found = docs.withColumn("_spans", spans_column(F.col(renamed.get(text_col, text_col))))
+    return restored(found.select(*others(docs, "spans"), F.col("_spans").alias("spans")), renamed)
 
 
 def joined(spans: Column) -> Column:

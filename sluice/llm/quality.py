@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.shared import others, ship
+from sluice.llm.shared import aside, others, restored, ship
 
 FEATURES = (
     "log_bytes", "log_words", "mean_word", "longest_word", "distinct_words", "top_word", "adjacent_repeats", "distinct_triples",
@@ -182,9 +182,11 @@ def score_quality(docs: DataFrame, model: Boosted, text_col: str = "text", thres
     Only the text is an input of the score.  A map over rows with the trees,
     a few kilobytes, in its closure.  Cases: a null text scores like an empty
     one; repeated rows score alike; input columns named ``score`` or
-    ``predicted`` are replaced; no rows give no rows; without usable labels
+    ``predicted`` are replaced, and no other name matters; no rows give no rows; without usable labels
     every row gets the model's constant score.
     """
     ship(docs.sparkSession)
-    scored = docs.withColumn("_score", score_column(model, F.col(text_col)))
-    return scored.select(*others(docs, "score", "predicted"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    docs, renamed = aside(docs, "_score")
+    scored = docs.withColumn("_score", score_column(model, F.col(renamed.get(text_col, text_col))))
+    out = scored.select(*others(docs, "score", "predicted"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    return restored(out, renamed)

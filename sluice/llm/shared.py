@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 import zipfile
 from pathlib import Path
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _shipped: set[str] = set()
+_made = threading.local()
 
 
 def ship(spark: SparkSession) -> None:
@@ -49,7 +51,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    made().append(path)
+    return path
+
+
+def made() -> list[str]:
+    """The scratch paths that this thread's operators have named so far and that are not swept yet."""
+    if not hasattr(_made, "paths"):
+        _made.paths = []
+    return _made.paths
+
+
+def sweep(spark: SparkSession, begun: int) -> None:
+    """Delete all scratch tables named since ``made()`` was ``begun`` long, but the last one.
+
+    For a caller whose last step was to store a result: nothing before it is read again.
+    """
+    paths = made()
+    for path in paths[begun:-1]:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    paths[begun:-1] = []
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -69,6 +92,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """Rename the columns whose names (in any case) an operator uses inside, and how: old name to new.
+
+    Names given out again are put back by ``restored``.
+    """
+    taken, inner, new = {c.lower() for c in df.columns}, {n.lower() for n in names}, {}
+    for c in df.columns:
+        if c.lower() in inner:
+            name = f"in_{c}"
+            while name.lower() in taken | inner:
+                name = f"in_{name}"
+            taken.add(name.lower())
+            new[c] = name
+    return (df.withColumnsRenamed(new) if new else df), new
+
+
+def restored(df: DataFrame, new: dict[str, str]) -> DataFrame:
+    return df.withColumnsRenamed({b: a for a, b in new.items()}) if new else df
+
+
 def others(df: DataFrame, *taken: str) -> list[str]:
     """Columns of ``df``, quoted, but those whose names (in any case) an operator gives out itself."""
     return [f"`{c}`" for c in df.columns if c.lower() not in {n.lower() for n in taken}]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm.components import connected_components
-from sluice.llm.shared import cut, ship, stored
+from sluice.llm.shared import aside, cut, restored, ship, stored
 
 BITS = 64
 SHINGLE_WORDS = 4
@@ -256,9 +256,13 @@ def simhash_near_dedup(
 
     Columns are those of ``docs``.  Of rows that share the kept id, the one
     with the smallest text stays (nulls first); rows with a null id all stay.
+    Column names don't matter; null and empty texts, and no rows, are as in
+    ``simhash_groups``.
     """
+    docs, renamed = aside(docs, "_kept", "_nth")
+    id_col, text_col = renamed.get(id_col, id_col), renamed.get(text_col, text_col)
     groups = simhash_groups(docs, id_col, text_col, words_in_shingle, max_bits)
     kept = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
     rows = docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
     first = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).where("_nth = 1").drop("_nth")
-    return first.unionByName(docs.where(F.col(id_col).isNull()))
+    return restored(first.unionByName(docs.where(F.col(id_col).isNull())), renamed)

@@ -6,7 +6,7 @@ from collections import defaultdict
 import corpus_pipeline
 from pyspark.sql import functions as F
 from sluice.llm.mixing import source_rates
-from sluice.llm.shared import stored
+from sluice.llm.shared import made, stored
 from sluice.llm.simhash import fingerprint
 from tests.conftest import SF_SMALL
 
@@ -71,8 +71,12 @@ def test_stages(spark):
 
 
 def test_run_gives_the_last_stage(spark):
+    """And leaves no scratch table but its result; those of other work stay."""
+    own = stored(spark.range(3), "test-own")
+    begun = len(made())
     out = corpus_pipeline.run(spark, SF_SMALL)
-    assert 4 <= len(corpus_pipeline.STAGES) <= 5 and out.count() > 0
+    assert len(made()) == begun + 1
+    assert 4 <= len(corpus_pipeline.STAGES) <= 5 and out.count() > 0 and own.count() == 3
 
 
 def test_stages_without_rows(spark):
