@@ -60,29 +60,32 @@ def cast_failed(raw: Column, typed: Column) -> Column:
 TYPE_BITS = {"integer": 1, "double": 2, "boolean": 4, "timestamp": 8}
 
 
-def type_mask(raw: Column) -> Column:
-    """H3: the logical types a value reads as, one bit each; NULL stays NULL.
+def type_tests(raw: Column) -> dict[str, Column]:
+    """H3: does a (non-null) value read as each logical type?
 
-    The first character tells which tests can succeed at all, so a value
-    takes at most the few that its kind needs; the masks of a column's values
-    are combined with ``bit_and``.
+    A look at one character comes first, so a value takes only the patterns
+    that its kind can match at all.
     """
     txt = _text(raw)
-    integer, double, boolean, timestamp = (TYPE_BITS[t] for t in TYPE_BITS)
-    first = F.ascii(F.substring(txt, 1, 1))
-    numeric = (
-        F.when(txt.rlike(INTEGER_PATTERN), F.when(txt.try_cast("bigint").isNotNull(), F.lit(integer | double)).otherwise(F.lit(double)))
-        .when(txt.rlike(DECIMAL_PATTERN), F.lit(double))
-        .otherwise(F.lit(0))
-    )
-    dated = F.when(txt.rlike(ISO_TIMESTAMP_PATTERN), F.when(txt.try_cast("timestamp").isNotNull(), F.lit(timestamp)).otherwise(F.lit(0))).otherwise(numeric)
-    return (
-        F.when(txt.isNull(), F.lit(None).cast("int"))
-        .when(first.between(ord("0"), ord("9")), F.when(F.substring(txt, 5, 1) == "-", dated).otherwise(numeric))
-        .when(first.isin(ord("+"), ord("-"), ord(".")), numeric)
-        .when(first.isin(*map(ord, "tTfF")), F.when(F.lower(txt).isin(*BOOLEAN_WORDS), F.lit(boolean)).otherwise(F.lit(0)))
-        .otherwise(F.lit(0))
-    )
+    first = F.ascii(txt)
+    number = first.between(ord("+"), ord("9"))  # a digit, a sign or a point, at least
+    return {
+        "integer": number & txt.rlike(INTEGER_PATTERN) & txt.try_cast("bigint").isNotNull(),
+        "double": number & txt.rlike(DECIMAL_PATTERN),
+        "boolean": first.isin(*map(ord, "tTfF")) & F.lower(txt).isin(*BOOLEAN_WORDS),
+        "timestamp": (F.substring(txt, 5, 1) == "-") & txt.rlike(ISO_TIMESTAMP_PATTERN) & txt.try_cast("timestamp").isNotNull(),
+    }
+
+
+def mask_aggregates(raw: Column, name: str) -> list[Column]:
+    """A column's type mask as aggregates: one small one per type, which compiles well; ``mask_of`` puts them together."""
+    return [F.bool_and(F.when(raw.isNotNull(), test)).alias(f"{name}_{t}") for t, test in type_tests(raw).items()]
+
+
+def mask_of(name: str) -> Column:
+    """The types that all values read as, a bit each; NULL if there were no values."""
+    bits = [F.when(F.col(f"{name}_{t}"), F.lit(bit)).otherwise(F.lit(0)) for t, bit in TYPE_BITS.items()]
+    return F.when(F.col(f"{name}_integer").isNotNull(), sum(bits[1:], bits[0]))
 
 
 def type_of_mask(mask: Column) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.functions.casting import logical_type_name, type_mask, type_of_mask
+from sluice.functions.casting import logical_type_name, mask_aggregates, mask_of, type_of_mask
 
 
 def _q(name: str) -> str:
@@ -81,14 +81,14 @@ def sample_values(df: DataFrame, columns: list[str] | None = None, k: int = 10)
 def infer_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """H3: narrowest logical type whose pattern every non-null value matches.
 
-    Each value gives a mask of the types it fits, combined by ``bit_and``: one
-    wide aggregate over one scan (a row per task reaches the shuffle), then a
-    row per column.  All-null or empty columns read as ``string``.
+    One wide aggregate over one scan, whose row holds a mask of the types that
+    all values of a column fit, then a row per column.  All-null or empty
+    columns read as ``string``.
     """
     cols = [c for c in df.columns if columns is None or c in columns]
-    wide = df.agg(*[F.bit_and(type_mask(F.col(_q(c)).cast("string"))).alias(f"_m{i}") for i, c in enumerate(cols)])
+    wide = df.agg(*[a for i, c in enumerate(cols) for a in mask_aggregates(F.col(_q(c)).cast("string"), f"_m{i}")])
     return wide.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), type_of_mask(F.col(f"_m{i}")).alias("column_type")) for i, c in enumerate(cols)
+        F.struct(F.lit(c).alias("column_name"), type_of_mask(mask_of(f"_m{i}")).alias("column_type")) for i, c in enumerate(cols)
     ])))
 
 
@@ -102,7 +102,7 @@ def profile_states(df: DataFrame, columns: list[str] | None = None, raw: bool =
     """H1 + H2 as aggregate states that can be merged: a row per column, from one aggregate over one scan.
 
     ``rows``, ``nulls``, ``min_value`` and ``max_value`` (as text), ``mask``
-    (for ``raw`` text columns: the type mask, see ``type_mask``) and ``top``, a
+    (for ``raw`` text columns: the types that all values fit, see ``mask_of``) and ``top``, a
     sketch of the most frequent values of bounded size.
     """
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
@@ -113,7 +113,7 @@ def profile_states(df: DataFrame, columns: list[str] | None = None, raw: bool =
         aggs += [F.count(c).alias(f"_k{i}"), F.min(c).alias(f"_lo{i}"), F.max(c).alias(f"_hi{i}"),
                  F.call_function("approx_top_k_accumulate", text, F.lit(TRACKED)).alias(f"_t{i}")]
         if raw:
-            aggs.append(F.bit_and(type_mask(text)).alias(f"_m{i}"))
+            aggs += mask_aggregates(text, f"_m{i}")
     rows = [
         F.struct(
             F.lit(f.name).alias("column_name"),
@@ -122,7 +122,7 @@ def profile_states(df: DataFrame, columns: list[str] | None = None, raw: bool =
             (F.col("_n") - F.col(f"_k{i}")).alias("nulls"),
             _as_text(F.col(f"_lo{i}"), f.dataType).alias("min_value"),
             _as_text(F.col(f"_hi{i}"), f.dataType).alias("max_value"),
-            (F.col(f"_m{i}") if raw else F.lit(None).cast("int")).alias("mask"),
+            (mask_of(f"_m{i}") if raw else F.lit(None).cast("int")).alias("mask"),
             F.col(f"_t{i}").alias("top"),
         )
         for i, f in enumerate(fields)

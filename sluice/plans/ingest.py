@@ -398,9 +398,10 @@ def ingest_frame(
             problem = f"content written {written} != re-read {found}"
         if scan is not None:
             accounts = account_files(spark, cfg, scan, by_file, check_files)
-            accounts.write.mode("overwrite").parquet(f"{stage_path}-accounts")
-            accounts = spark.read.schema(accounts.schema).parquet(f"{stage_path}-accounts")
-            problem = short_files(accounts) or problem
+            if check_files:
+                accounts.write.mode("overwrite").parquet(f"{stage_path}-accounts")
+                accounts = spark.read.schema(accounts.schema).parquet(f"{stage_path}-accounts")
+                problem = short_files(accounts) or problem
             stamped = accounts.withColumns({"run_id": F.lit(run_id), "processing_date": F.lit(processing_date), "source_id": F.lit(cfg.source_id)})
             with _AUDIT_LOCK:
                 append(stamped, layout.files, schemas.PARTITION_COLUMNS)

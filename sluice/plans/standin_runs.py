@@ -7,6 +7,7 @@ from __future__ import annotations
 import dataclasses
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sluice import schemas
@@ -237,9 +238,12 @@ def seed_listing(spark, sf_dir):
 
     path = scratch_path(spark, "listing")
     configs = _customer_configs(spark, sf_dir).withColumn("source_id", F.lpad("source_id", 12, "0"))
-    listing(configs).coalesce(1).write.parquet(path)  # a row per source: the position in the file is the position in the listing
-    at = F.col("_metadata.row_index") + 1
-    return spark.read.parquet(path).select(at.alias("nth"), F.col("source_id").cast("bigint").alias("source_id"), "source_type", "is_active")
+    listing(configs).write.parquet(path)  # sorted globally: file by file, and row by row in each
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("i"))
+    ahead = Window.orderBy("f").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    files = rows.groupBy("f").agg(F.count(F.lit(1)).alias("n")).select("f", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    nth = F.col("before") + F.col("i") + 1
+    return rows.join(files, "f").select(nth.alias("nth"), F.col("source_id").cast("bigint").alias("source_id"), "source_type", "is_active")
 
 
 @query

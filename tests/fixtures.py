@@ -1,5 +1,6 @@
 """Literal feeds for unit tests (see FIXTURES.md)."""
 
+# FIXED VALUES: the feeds' column names, which the data model gives (rows are our own).
 US_FEED = """transaction_id,card_number,merchant_name,amount_usd,transaction_time,status,is_international
 U1,4000000000000001,"Smith, Lee and Co",10.50,2026-01-01 10:00:00,APPROVED,0
 U2,4000000000000002,Acme,,2026-01-01 10:01:00,DECLINED,1
@@ -35,6 +36,7 @@ F3,U999,0.4,AMOUNT_SPIKE,2026-01-01T12:00:00,0
 F4,,0.7,NEW_MERCHANT,2026-01-01T13:00:00,0
 """
 
+# FIXED VALUES: the three rows that the mutation sequence loads.
 EMP_CSV = "101,ALICE,Data Engineering,75000.0\n102,BOB,Analytics,68000.0\n103,CHARLIE,Operations,55000.0\n"
 
 
