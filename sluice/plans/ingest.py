@@ -347,7 +347,7 @@ def ingest_frame(
         checked = [c for c in columns if c not in schemas.PARTITION_COLUMNS]
         # G1 + G4 cross-check: the writer's own rows and their content, observed during the write
         obs = Observation(f"silver-{uuid.uuid4().hex}")
-        silver = dealt_for(silver.select(*columns), schemas.PARTITION_COLUMNS, silver_table).observe(obs, *content(checked))
+        silver = dealt_for(silver.select(*columns), schemas.PARTITION_COLUMNS, rows_written / max(1, judged), silver_table).observe(obs, *content(checked))
         if silver_table and rows_written:
             overwrite_table_partitions(silver, silver_table)
         else:
@@ -359,7 +359,7 @@ def ingest_frame(
             {"run_id": F.lit(run_id), "processing_date": F.lit(processing_date), "source_id": F.lit(cfg.source_id)}
         )
         obs_rejected = Observation(f"rejected-{uuid.uuid4().hex}")
-        rejected = dealt_for(rejected, schemas.PARTITION_COLUMNS).observe(obs_rejected, F.count(F.lit(1)).alias("rows"))
+        rejected = dealt_for(rejected, schemas.PARTITION_COLUMNS, rows_rejected / max(1, judged)).observe(obs_rejected, F.count(F.lit(1)).alias("rows"))
         replace_partition(rejected, cfg.rejected_path, schemas.PARTITION_COLUMNS, spec, rows_rejected)
         observed_rejected = int(obs_rejected.get["rows"]) if rows_rejected else 0
 

@@ -5,9 +5,9 @@
   replaces exactly that partition;
 * audit tables: append only.
 
-Rows are dealt to the writers by ``balanced`` (or, for a bucketed table,
-``bucketed``), never by merging partitions: a merge would pull the scan and
-the joins before it into as few tasks.
+Rows are dealt to the writers as they come from the scan, by ``balanced`` or,
+for a bucketed table, by ``bucketed``, never by merging partitions: a merge
+would pull the scan and the joins before it into as few tasks.
 """
 
 from __future__ import annotations
@@ -63,10 +63,22 @@ def overwrite_table_partitions(df: DataFrame, table: str) -> None:
     df.select(*cols).write.insertInto(table, overwrite=True)
 
 
-def dealt_for(df: DataFrame, partition_cols: list[str] | tuple[str, ...], table: str | None = None) -> DataFrame:
-    """Rows dealt for a write by path, or through ``table`` by its buckets if it has any."""
+#: A write of more than this share of the rows that were read keeps the tasks of the scan.
+SHUFFLED_SHARE = 0.5
+
+
+def dealt_for(df: DataFrame, partition_cols: list[str] | tuple[str, ...], share: float, table: str | None = None) -> DataFrame:
+    """Rows dealt for a write by path, or through ``table`` by its buckets if it has any.
+
+    Most rows of a scan make files as large as its splits where they are, and
+    to shuffle them would cost as much as to read them.  A smaller ``share``
+    would make files as much smaller, so it is balanced, which shuffles half
+    of the rows at most.
+    """
     spread = table_buckets(df.sparkSession, table) if table else None
-    return bucketed(df, *spread) if spread else balanced(df, partition_cols)
+    if spread:
+        return bucketed(df, *spread)
+    return df if share > SHUFFLED_SHARE else balanced(df, partition_cols)
 
 
 def replace_partition(df: DataFrame, path: str, partition_cols, spec: dict[str, str], rows: int) -> None:

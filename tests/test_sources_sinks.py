@@ -235,10 +235,12 @@ def test_bucketed_write_has_a_file_per_bucket(spark):
     try:
         assert table_buckets(spark, "sluice_bk.t") == (8, ["k"])
         rows = spark.range(0, 10_000, numPartitions=50).selectExpr("id k", "cast(id as string) v", "'x' d")
-        overwrite_table_partitions(dealt_for(rows, ["d"], "sluice_bk.t"), "sluice_bk.t")
+        overwrite_table_partitions(dealt_for(rows, ["d"], 1.0, "sluice_bk.t"), "sluice_bk.t")
         files = {r[0] for r in spark.table("sluice_bk.t").select("_metadata.file_path").distinct().collect()}
         assert len(files) == 8 and spark.table("sluice_bk.t").count() == 10_000
         spark.sql("CREATE TABLE sluice_bk.plain (k bigint, d string) USING parquet PARTITIONED BY (d)")
         assert table_buckets(spark, "sluice_bk.plain") is None
+        plans = [dealt_for(rows, ["d"], share, "sluice_bk.plain")._jdf.queryExecution().executedPlan().toString() for share in (0.9, 0.1)]
+        assert "Exchange" not in plans[0] and "REBALANCE" in plans[1]  # most rows stay where they are, few are dealt anew
     finally:
         spark.sql("DROP DATABASE sluice_bk CASCADE")
