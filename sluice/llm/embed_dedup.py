@@ -10,14 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.components import connected_components
-from sluice.llm.shared import cut, ship, stored
+from sluice.llm.shared import aside, cut, restored, ship, stored
 from sluice.llm.simhash import Union
 from sluice.llm.vectors import directions, padded, unit
 
 MIN_COSINE = 0.95
-#: Vectors of a cell on average, and of a block at most on average.
-CELL = 4096
-BLOCK = 4096
+#: Bytes of the vectors of a cell, and of a block at most, on average: a unit of work holds two blocks.
+BLOCK_BYTES = 8 << 20
 #: Centres at most, so that they are small enough to send to every task; larger cells are dealt into more blocks.
 MAX_CENTRES = 4096
 ROUNDS = 3
@@ -32,11 +31,16 @@ def _nearest(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.n
     return products.argmax(axis=1), products
 
 
+def block_rows(width: int) -> int:
+    """Vectors of a block, and of a cell on average."""
+    return max(1, BLOCK_BYTES // (8 * max(1, width)))
+
+
 def fit_centres(rows: DataFrame, k: int, width: int, rounds: int = ROUNDS) -> np.ndarray:
     """Spherical k-means over all rows: each round sums the unit vectors of each cell and normalises the sums.
 
     The start are the ``k`` rows with the smallest hashes.  A round's sums
-    are formed per batch, then by Spark per cell and component; the driver
+    are formed once per task, then by Spark per cell and component; the driver
     gets ``k`` vectors.  Centres only deal out the work: links don't depend on them.
     """
     first = rows.select("v").orderBy(F.xxhash64("v"), "v").limit(k).toPandas()
@@ -44,13 +48,15 @@ def fit_centres(rows: DataFrame, k: int, width: int, rounds: int = ROUNDS) -> np
     for _ in range(rounds):
 
         def sums(batches, centres=centres):
+            total, some = np.zeros_like(centres), np.zeros(len(centres), bool)
             for batch in batches:
-                vectors = padded(batch["v"], width)
-                cell, _ = _nearest(vectors, centres)
-                total = np.zeros_like(centres)
-                np.add.at(total, cell, vectors)
-                hit = np.unique(cell)
-                yield pd.DataFrame({"cell": np.repeat(hit, width), "i": np.tile(np.arange(width), len(hit)), "x": total[hit].ravel()})
+                for at in range(0, len(batch), ROWS_AT_ONCE):
+                    vectors = padded(batch["v"].iloc[at : at + ROWS_AT_ONCE], width)
+                    cell, _ = _nearest(vectors, centres)
+                    np.add.at(total, cell, vectors)
+                    some[cell] = True
+            hit = np.flatnonzero(some)
+            yield pd.DataFrame({"cell": np.repeat(hit, width), "i": np.tile(np.arange(width), len(hit)), "x": total[hit].ravel()})
 
         found = rows.select("v").mapInPandas(sums, "cell long, i long, x double").groupBy("cell", "i").agg(F.sum("x").alias("x")).toPandas()
         total = np.zeros_like(centres)
@@ -129,9 +135,9 @@ def _forest(hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.nd
     return np.concatenate([left[first], left[a]]), np.concatenate([right[columns], left[b]])
 
 
-def _units(placed: DataFrame) -> DataFrame:
+def _units(placed: DataFrame, block: int) -> DataFrame:
     """Deal the hosts and guests of each cell into blocks, and send each block to its meetings with the others."""
-    blocks = placed.groupBy("dim", "cell").agg(F.ceil(F.count_if(~F.col("guest")) / BLOCK).cast("int").alias("hosts"), F.ceil(F.count_if("guest") / BLOCK).cast("int").alias("guests"))
+    blocks = placed.groupBy("dim", "cell").agg(F.ceil(F.count_if(~F.col("guest")) / block).cast("int").alias("hosts"), F.ceil(F.count_if("guest") / block).cast("int").alias("guests"))
     dealt = placed.join(stored(blocks.where("hosts > 0"), "embedding-blocks"), ["dim", "cell"])
     of = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("other")
@@ -151,7 +157,7 @@ def embedding_groups(embeddings: DataFrame, id_col: str = "vec_id", vector_col:
     Vectors are dealt to cells by spherical k-means; a vector also visits the
     cells in which it may have links, by an exact bound, so every link is
     found.  The hosts and the guests of a cell are dealt into blocks of about
-    ``BLOCK``, and each meeting of two blocks is a unit of work: one blocked
+    ``BLOCK_BYTES``, and each meeting of two blocks is a unit of work: one blocked
     product, whose links are counted and folded into a spanning forest.
     Equal vectors are folded into one first.
 
@@ -171,9 +177,10 @@ def embedding_groups(embeddings: DataFrame, id_col: str = "vec_id", vector_col:
     size = items.agg(F.count("*").alias("n"), F.max("dim").alias("d")).first()
     rep_kind = items.schema["rep"].dataType.simpleString()
     row = f"dim int, cell long, guest boolean, k long, rep {rep_kind}, copies long, v array<double>"
-    centres = fit_centres(items, min(MAX_CENTRES, max(1, ceil(size["n"] / CELL))), size["d"] or 1)
+    block = block_rows(size["d"] or 1)
+    centres = fit_centres(items, min(MAX_CENTRES, max(1, ceil(size["n"] / block))), size["d"] or 1)
     placed = cut(items.mapInPandas(_cells(centres, min_cosine), row))
-    found = cut(_units(placed).groupBy("dim", "cell", "i", "j").applyInPandas(_link(min_cosine), f"k long, n long, rep {rep_kind}, to {rep_kind}"))
+    found = cut(_units(placed, block).groupBy("dim", "cell", "i", "j").applyInPandas(_link(min_cosine), f"k long, n long, rep {rep_kind}, to {rep_kind}"))
     several = directions(embeddings, id_col, vector_col).groupBy("id").agg(F.min("v").alias("x"), F.max("v").alias("y")).where("x <> y")
     own = several.select("id").join(directions(embeddings, id_col, vector_col), "id").join(items.select("v", "rep"), "v").select(F.col("id").alias("rep"), F.col("rep").alias("to"))
     reached = connected_components(found.select("rep", "to").unionByName(own), "rep", "to")
@@ -192,6 +199,14 @@ def embedding_groups(embeddings: DataFrame, id_col: str = "vec_id", vector_col:
 
 
 def embedding_near_dedup(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", min_cosine: float = MIN_COSINE) -> DataFrame:
-    """Keep the rows whose id is its group's smallest; rows with a null id stay too.  Columns are those of the input."""
+    """Keep the rows whose id is its group's smallest; rows with a null id stay too.
+
+    Columns are those of the input, whatever their names.  Vectors that link
+    with nothing stay; of rows that share a kept id all stay; vectors that are
+    null, zero, empty or not finite, and no rows, are as in ``embedding_groups``.
+    """
+    embeddings, renamed = aside(embeddings, "_kept")
+    id_col, vector_col = renamed.get(id_col, id_col), renamed.get(vector_col, vector_col)
     kept = embedding_groups(embeddings, id_col, vector_col, min_cosine).where("kept").select(F.col(id_col).alias("_kept")).distinct()
-    return embeddings.join(kept, F.col(id_col) == F.col("_kept"), "left_semi").unionByName(embeddings.where(F.col(id_col).isNull()))
+    rows = embeddings.join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
+    return restored(rows.unionByName(embeddings.where(F.col(id_col).isNull())), renamed)

@@ -31,10 +31,9 @@ def _brute(ids, vectors):
     return {int(i): (int(hit[k].sum()), int(ids[reach[k]].min())) for k, i in enumerate(ids)}
 
 
-@pytest.mark.parametrize("cell, block", [(4096, 4096), (40, 15)])
-def test_all_links_are_found_however_the_work_is_dealt(spark, monkeypatch, cell, block):
-    monkeypatch.setattr(embed_dedup, "CELL", cell)
-    monkeypatch.setattr(embed_dedup, "BLOCK", block)
+@pytest.mark.parametrize("block", [4096, 40, 15])
+def test_all_links_are_found_however_the_work_is_dealt(spark, monkeypatch, block):
+    monkeypatch.setattr(embed_dedup, "BLOCK_BYTES", block * 16 * 8)
     vectors = _vectors()
     df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(vectors)], SCHEMA)
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_groups(df).collect()}
