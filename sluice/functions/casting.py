@@ -61,25 +61,24 @@ TYPE_BITS = {"integer": 1, "double": 2, "boolean": 4, "timestamp": 8}
 
 
 def type_tests(raw: Column) -> dict[str, Column]:
-    """H3: does a (non-null) value read as each logical type?
+    """H3: does a value read as each logical type?  (NULL stays NULL.)
 
-    A look at one character comes first, so a value takes only the patterns
-    that its kind can match at all.
+    Each test begins with the trimmed text, unconditionally, so that Spark
+    computes it once for all of them.
     """
     txt = _text(raw)
-    first = F.ascii(txt)
-    number = first.between(ord("+"), ord("9"))  # a digit, a sign or a point, at least
+    fits = lambda kind: txt.isNull() | txt.try_cast(kind).isNotNull()
     return {
-        "integer": number & txt.rlike(INTEGER_PATTERN) & txt.try_cast("bigint").isNotNull(),
-        "double": number & txt.rlike(DECIMAL_PATTERN),
-        "boolean": first.isin(*map(ord, "tTfF")) & F.lower(txt).isin(*BOOLEAN_WORDS),
-        "timestamp": (F.substring(txt, 5, 1) == "-") & txt.rlike(ISO_TIMESTAMP_PATTERN) & txt.try_cast("timestamp").isNotNull(),
+        "integer": txt.rlike(INTEGER_PATTERN) & fits("bigint"),
+        "double": txt.rlike(DECIMAL_PATTERN),
+        "boolean": F.lower(txt).isin(*BOOLEAN_WORDS),
+        "timestamp": txt.rlike(ISO_TIMESTAMP_PATTERN) & fits("timestamp"),
     }
 
 
 def mask_aggregates(raw: Column, name: str) -> list[Column]:
     """A column's type mask as aggregates: one small one per type, which compiles well; ``mask_of`` puts them together."""
-    return [F.bool_and(F.when(raw.isNotNull(), test)).alias(f"{name}_{t}") for t, test in type_tests(raw).items()]
+    return [F.bool_and(test).alias(f"{name}_{t}") for t, test in type_tests(raw).items()]
 
 
 def mask_of(name: str) -> Column:
