@@ -12,8 +12,12 @@ for every input size, and it needs no knowledge of hot keys:
    sides, to build a runtime Bloom filter).  Of each key that really repeats
    the winner's row id is found by one aggregate, combined map-side, so a
    key with a third of all rows shrinks to one row per task, and stored;
-3. the winners are joined back to the rows.  Where the join is a shuffle,
-   adaptive execution splits its skewed partitions.
+3. the winners are joined back to the rows.
+
+Both joins match on a part number too: the rows of a hash that more than
+``PART_ROWS`` rows have are dealt over parts of about that size, and the other
+side has a row per part, so that no task gets a hot key whole.  Only such
+hashes, at most one per ``PART_ROWS`` rows, are broadcast to number the rows.
 
 Rows with a NULL key are never duplicates (a NULL key is a ``not_null`` rule
 matter).
@@ -28,6 +32,9 @@ from sluice.session import scratch_path
 
 DUP_FLAG = "_is_dup"
 ROW_ID = "_rid"
+#: Rows of one key that may meet in one task of a join.
+PART_ROWS = 1 << 16
+_PART, _PARTS = "_dup_part", "_dup_parts"
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
@@ -48,10 +55,26 @@ def _has_keys(keys: list[str]) -> Column:
 
 
 def repeated_hashes(df: DataFrame, keys: list[str], path: str) -> DataFrame:
-    """Hashes of the keys that occur more than once, as a stored table (``_h``)."""
+    """Hashes of the keys that occur more than once (``_h``) and the parts their rows are dealt to, as a stored table."""
     counts = df.filter(_has_keys(keys)).groupBy(_hash(keys).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
-    counts.filter(F.col("_n") > 1).select("_h").write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema("_h bigint").parquet(path)
+    parts = F.ceil(F.col("_n") / PART_ROWS).alias(_PARTS)
+    counts.filter(F.col("_n") > 1).select("_h", parts).write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(f"_h bigint, {_PARTS} bigint").parquet(path)
+
+
+def _dealt(df: DataFrame, keys: list[str], repeated: DataFrame) -> DataFrame:
+    """Add each row's part and the parts of its hash; rows with a NULL key, which match nothing, are dealt freely."""
+    hot = repeated.filter(F.col(_PARTS) > 1)
+    nth = F.xxhash64(ROW_ID)
+    return df.join(F.broadcast(hot), _hash(keys) == F.col("_h"), "left").select(
+        *df.columns,
+        F.coalesce(_PARTS, F.lit(1)).alias(_PARTS),
+        F.when(_has_keys(keys), F.coalesce(F.pmod(nth, _PARTS), F.lit(0))).otherwise(nth).alias(_PART),
+    )
+
+
+def _per_part(stored: DataFrame) -> DataFrame:
+    return stored.withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.col(_PARTS) - 1))).drop(_PARTS)
 
 
 def _hash(keys: list[str]) -> Column:
@@ -69,21 +92,23 @@ def flag_duplicates(df: DataFrame, keys: list[str], order: list[Column | str], s
     """
     path = scratch or scratch_path(df.sparkSession, "dedup")
     repeated = repeated_hashes(df, keys, f"{path}/hashes")
+    rows = _dealt(df, keys, repeated)
+    some = _per_part(repeated)
     winners = (
-        df.filter(_has_keys(keys))
-        .join(repeated, _hash(keys) == F.col("_h"), "left_semi")
+        rows.filter(_has_keys(keys))
+        .join(some, (_hash(keys) == F.col("_h")) & (F.col(_PART) == F.col("_p")), "left_semi")
         .groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
-        .agg(F.count(F.lit(1)).alias("_n"), F.max(_order_struct(order))["_oid"].alias("_win"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.max(_order_struct(order))["_oid"].alias("_win"), F.max(_PARTS).alias(_PARTS))
         .filter(F.col("_n") > 1)
         .drop("_n")
     )
     winners.write.mode("overwrite").parquet(f"{path}/winners")
-    stored = df.sparkSession.read.schema(winners.schema).parquet(f"{path}/winners")
-    same = F.lit(True)
+    stored = _per_part(df.sparkSession.read.schema(winners.schema).parquet(f"{path}/winners"))
+    same = F.col(_PART) == F.col("_p")
     for i, k in enumerate(keys):
-        same = same & (df[k] == stored[f"_k{i}"])
+        same = same & (rows[k] == stored[f"_k{i}"])
     is_dup = F.coalesce(F.col("_win") != F.col(ROW_ID), F.lit(False))
-    return df.join(stored, same, "left").withColumn(DUP_FLAG, is_dup).select(*df.columns, DUP_FLAG)
+    return rows.join(stored, same, "left").withColumn(DUP_FLAG, is_dup).select(*df.columns, DUP_FLAG)
 
 
 def dedup_latest(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:

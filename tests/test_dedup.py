@@ -75,3 +75,28 @@ def test_keys_that_share_a_hash_are_told_apart(spark, monkeypatch):
 def test_latest_keeps_null_keys(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), (None, 3)], "k string, v int")
     assert sorted(((r.k or "", r.v) for r in dedup_latest(df, ["k"], ["v"]).collect())) == [("", 3), ("", 3), ("a", 2)]
+
+
+def test_hot_key_and_null_keys_are_dealt_over_tasks(spark, monkeypatch):
+    from sluice.operators import dedup
+
+    monkeypatch.setattr(dedup, "PART_ROWS", 20, raising=False)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    rows = spark.range(0, 3000, 1, 4).select(
+        F.when(F.col("id") % 3 == 0, -1).when(F.col("id") % 3 == 2, F.col("id") % 500).alias("k"), ((F.col("id") * 7) % 3000).alias("v"))
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        out = flag_duplicates(with_row_id(rows), ["k"], ["v"])
+        found = out.withColumn("task", F.spark_partition_id()).toPandas()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(found) == 3000
+    keyed = found[found.k.notna()]
+    kept = keyed[~keyed[DUP_FLAG]]
+    assert dict(zip(kept.k, kept.v, strict=True)) == keyed.groupby("k").v.max().to_dict() and len(kept) == keyed.k.nunique()
+    assert not found[found.k.isna()][DUP_FLAG].any()
+    for group in (found[found.k == -1], found[found.k.isna()]):  # 1000 rows each, no task has most of them
+        assert len(group) == 1000 and group.task.value_counts().max() < 300
