@@ -23,14 +23,16 @@ BLOCK_PIECES = 1 << 12
 ROWS_AT_ONCE = 1 << 10
 #: Words whose ids a worker remembers.
 MAX_WORDS = 800_000
-#: Texts whose unknown words go to the tokenizer in one call.
+#: Texts whose words are looked up together, and unknown words that go to the tokenizer in one call.
 TEXTS_AT_ONCE = 512
+WORDS_AT_ONCE = 200
 ID_BYTES = 4
 
 _BLANK = r"\t\n\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: Texts with a space that doesn't stand alone between two words.
 _ODD = f" [ {_BLANK}]|[{_BLANK}] | $"
-_ODD_BLANK = re.compile(r"[^\S ]")
+#: How a byte-level vocabulary writes a space.
+_SPACE = "\u0120"
 _BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -40,7 +42,8 @@ class Encoder:
     A byte-level tokenizer never joins a word to a following single space, so
     a text may be cut before each such space; the ids of the parts, joined,
     are the ids of the text.  Parts repeat, so their ids are remembered, and
-    new ones go to the tokenizer together, a line each.
+    new ones go to the tokenizer together, each after its space: the ids that
+    begin with a space are where one ends and the next one starts.
     """
 
     def __init__(self, path: str) -> None:
@@ -48,28 +51,31 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.later: dict[str, bytes] = {}
-        self.line_end = self._ids("\n x")[:1]
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith(_SPACE)]] = True
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _learn(self, new: list[str]) -> None:
         """Remember the ids of words that follow a space."""
-        lines, odd = [], []
+        plain, odd = [], []
         for w in new:
-            (odd if not w or _ODD_BLANK.search(w) or " " in w else lines).append(w)
+            (odd if not w or w[0].isspace() or w[-1].isspace() or " " in w else plain).append(w)
+        ids: list[int] = []
+        for at in range(0, len(plain), WORDS_AT_ONCE):
+            ids += self._ids(" " + " ".join(plain[at : at + WORDS_AT_ONCE]))
+        coded = np.array(ids, "<u4")
+        starts = np.flatnonzero(self.spaced[coded])
+        if len(starts) == len(plain):
+            raw = coded.tobytes()
+            at = [*(starts * ID_BYTES).tolist(), len(raw)]
+            self.later.update((w, raw[a:b]) for w, a, b in zip(plain, at, at[1:], strict=False))
+        else:  # not expected of a byte-level tokenizer
+            odd += plain
         for w in odd:
             self.later[w] = _packed(self._ids(" " + w))
-        if not lines:
-            return
-        ids = np.array(self._ids("\n ".join(["", *lines, "x"])), "<u4")
-        ends = np.flatnonzero(ids == self.line_end[0])
-        if len(ends) != len(lines) + 1:  # not expected of a byte-level tokenizer
-            self.later.update((w, _packed(self._ids(" " + w))) for w in lines)
-            return
-        raw = ids.tobytes()
-        at = (ends * ID_BYTES).tolist()
-        self.later.update((w, raw[a + ID_BYTES : b]) for w, a, b in zip(lines, at, at[1:], strict=False))
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text of an Arrow array without nulls."""
@@ -84,8 +90,11 @@ class Encoder:
         words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         if len(self.later) > MAX_WORDS:
             self.later = {}
-        self._learn([w for w in words if w not in self.later])
-        known = [self.later[w] for w in words]
+        known = list(map(self.later.get, words))
+        if new := [i for i, ids in enumerate(known) if ids is None]:
+            self._learn([words[i] for i in new])
+            for i in new:
+                known[i] = self.later[words[i]]
         flat = np.frombuffer(b"".join(known), "<u4")
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // ID_BYTES
         starts = np.cumsum(sizes) - sizes

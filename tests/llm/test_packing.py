@@ -88,3 +88,16 @@ def test_pieces(spark, path):
 
 def test_no_rows(spark, path):
     assert pack(spark.createDataFrame([], "doc_id long, text string"), path).collect() == []
+
+
+def test_new_words_share_calls_of_the_tokenizer(path, monkeypatch):
+    encoder, calls = Encoder(path), []
+    ids = encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda text: calls.append(text) or ids(text))
+    texts = [" ".join(f"w{i}.\nNext{j}" for j in range(200)) for i in range(5)]
+    expected = [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.encode(pa.array(texts)) == expected
+    assert len(calls) < 20  # 1000 words, of which the first of a text goes alone
+    encoder.later.clear()
+    encoder.spaced[:] = False  # a vocabulary that doesn't tell where a word begins
+    assert encoder.encode(pa.array(texts)) == expected
